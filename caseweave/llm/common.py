@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a batch that a per-document function is handed at once, by characters: a batch of long
 #: documents holds fewer of them.
@@ -87,7 +88,5 @@ def with_columns(docs: DataFrame, rows: Callable[[list], list[pa.Array]], column
     columns: (name, DDL type) of what rows returns. Names must not be in docs; callers choose
     private ones.
     """
-    schema = docs.schema
-    for name, kind in columns:
-        schema = schema.add(name, kind)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in columns)])
     return docs.mapInArrow(adding_columns(rows, text), schema)
