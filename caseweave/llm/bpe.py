@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices
-from .tokens import PieceEncoder
+from .tokens import PieceEncoder, byte_characters
 
 #: Fixed value: the published pre-splitting pattern of byte-level vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -24,14 +24,6 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 REMEMBERED_WORDS = 300_000
 
 
-def byte_characters() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary file: the printable ones of
-    Latin-1 for themselves, the others by the code points from 256 on in ascending order."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Automaton:
     """The deterministic automaton over tokens that accepts the correct tokenizations and no others.
 

@@ -22,13 +22,33 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 #: token's beginning or a token by itself, hence a cut before a run of it is always one of theirs.
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Where a text isn't just words with single spaces and line feeds before them.
-UNEVEN = re.compile("[\\t\\x0b-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x00]|[ \\n][ \\n]")
+UNEVEN = r"[\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x00]|[ \n][ \n]"
+
+#: Latin letters that stay one letter each in lower case.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A letter, a stop and then white space: pre-splitting always cuts before that stop.
+STOP = f"([{LATIN}])([.,])"
+#: A piece that is one pre-split word.
+WORD = re.compile(f" ?[{LATIN}]+")
+#: Words on which the two ways to encode a word are compared before the shorter one is used.
+PROBES = ["the", "Word", "élan", "Straße", "tokenization", "ÀÇÉ", "a"]
 
 #: Distinct pieces that a worker remembers, the first that it meets; the others it encodes once per
 #: call.
 REMEMBERED = 800_000
 
 
+def byte_characters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary file: the printable ones of
+    Latin-1 for themselves, the others by the code points from 256 on in ascending order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+BYTE_LEVEL = {b: c for c, b in byte_characters().items()}
+
+
 class PieceEncoder:
     """ids of texts by one vocabulary file; keeps the ids of pieces it has met."""
 
@@ -41,8 +61,19 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.spaces = spaces
         self.known: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        probes = [s + p for p in PROBES for s in (["", " "] if spaces else [""])]
+        self.short = [self.word(p) for p in probes] == [e.ids for e in self.tokenizer.encode_batch(probes, add_special_tokens=False)]
+
+    def word(self, piece: str) -> list[int]:
+        """The ids of one pre-split word, straight from the tokenizer's model."""
+        return [t.id for t in self.tokenize((piece if self.spaces else piece.lower()).encode().decode("latin-1").translate(BYTE_LEVEL))]
 
     def learn(self, pieces: list[str]) -> None:
+        if self.short:
+            words = set(filter(WORD.fullmatch, pieces))
+            self.known.update((p, array("I", self.word(p)).tobytes()) for p in words)
+            pieces = [p for p in pieces if p not in words]
         for i in range(0, len(pieces), 20000):
             part = pieces[i : i + 20000]
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
@@ -71,12 +102,13 @@ class PieceEncoder:
         """One array of unsigned 32-bit ids per text; null is the empty text."""
         texts = [t or "" for t in texts]
         if not self.spaces:
-            words = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
-            return self.ids_of(pc.split_pattern(words, " "))
-        uneven = [UNEVEN.search(t) is not None for t in texts]
+            words = pc.replace_substring_regex(pa.array(texts, pa.string()), STOP + "([ \\n])", r"\1 \2\3")
+            return self.ids_of(pc.split_pattern(pc.replace_substring(words, "\n", " "), " "))
+        uneven = pc.match_substring_regex(pa.array(texts, pa.string()), UNEVEN).to_pylist()
         even = pa.array(["" if u else t for t, u in zip(texts, uneven)], pa.string())
         for space in (" ", "\n"):
             even = pc.replace_substring(even, space, "\0" + space)
+        even = pc.replace_substring_regex(even, STOP + "\\x00", "\\1\0\\2\0")
         out = self.ids_of(pc.split_pattern(even, "\0"))
         odd = [i for i, u in enumerate(uneven) if u]
         for i, ids in zip(odd, self.ids_of(pa.array([PIECE.findall(texts[i]) for i in odd], pa.list_(pa.string())))):
