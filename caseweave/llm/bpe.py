@@ -20,8 +20,8 @@ from .tokens import PieceEncoder, byte_characters
 #: Fixed value: the published pre-splitting pattern of byte-level vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-#: Distinct words that a worker remembers besides its pieces.
-REMEMBERED_WORDS = 300_000
+#: What a worker remembers at most: pieces, words besides them, and transitions met.
+REMEMBERED, REMEMBERED_WORDS, REMEMBERED_STEPS = 300_000, 100_000, 400_000
 
 
 class Automaton:
@@ -40,10 +40,6 @@ class Automaton:
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         size = max(vocabulary.values()) + 1
-        self.ids = vocabulary
-        self.labels: list[bytes] = [b""] * size
-        for label, i in vocabulary.items():
-            self.labels[i] = label
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.removed: dict[int, int] = {}  # state * SHIFT + token: rank
         self.table: dict[int, bool] = {}
@@ -85,7 +81,7 @@ class Automaton:
         key = state << 20 | token
         known = self.table.get(key)
         if known is None:
-            if len(self.table) > 4_000_000:
+            if len(self.table) > REMEMBERED_STEPS:
                 self.table.clear()
             known = self.table[key] = self.follows(state, token)
         return known
@@ -115,8 +111,6 @@ class Automaton:
             i = begin[i]
         return out[::-1]
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.labels.__getitem__, ids))
 
 
 def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], dict[str, int]]:
@@ -139,17 +133,13 @@ class AutomatonEncoder(PieceEncoder):
         tokens, merges, special = read_vocabulary(path)
         self.automaton = Automaton(tokens, merges)
         self.special = special
-        size = max([*tokens.values(), *special.values()]) + 1
-        self.labels = self.automaton.labels + [b""] * (size - len(self.automaton.labels))
-        for text, i in special.items():
-            self.labels[i] = text.encode()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.spaces, self.known, self.words = True, {}, {}
+        self.spaces, self.known, self.words, self.remembered = True, {}, {}, REMEMBERED
 
     def learn(self, pieces: list[str]) -> None:
         words, encode = self.words, self.automaton.encode
         for piece in pieces:
-            ids: list[int] = []
+            ids = array("I")
             for i, part in enumerate(self.cut.split(piece) if self.cut else [piece]):
                 if i % 2:
                     ids.append(self.special[part])
@@ -157,14 +147,11 @@ class AutomatonEncoder(PieceEncoder):
                 for word in WORDS.findall(part):
                     found = words.get(word)
                     if found is None:
-                        found = encode(word.encode())
+                        found = array("I", encode(word.encode()))
                         if len(words) < REMEMBERED_WORDS:
                             words[word] = found
                     ids += found
-            self.known[piece] = array("I", ids).tobytes()
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+            self.known[piece] = ids.tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -173,6 +160,18 @@ def automaton_encoder(path: str) -> AutomatonEncoder:
     return AutomatonEncoder(path)
 
 
+@lru_cache(maxsize=2)
+def labels(path: str) -> list[bytes]:
+    """The label of each arc, by its id: the bytes of a token, the text of a special one."""
+    tokens, _, special = read_vocabulary(path)
+    named = {i: label for label, i in tokens.items()} | {i: text.encode() for text, i in special.items()}
+    return [named.get(i, b"") for i in range(max(named) + 1)]
+
+
+def decoded(ids: list[int], path: str) -> str:
+    return b"".join(map(labels(path).__getitem__, ids)).decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text, as the tokenizers library gives them.
 
@@ -199,11 +198,10 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = automaton_encoder(vocabulary)
         for batch in batches:
             lists = batch.column("ids")
             flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [encoder.decode(flat[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            texts = [decoded(flat[a:b].tolist(), vocabulary) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("decoded")).schema)

@@ -59,7 +59,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spaces = spaces
+        self.spaces, self.remembered = spaces, REMEMBERED
         self.known: dict[str, bytes] = {}
         self.tokenize = self.tokenizer.model.tokenize
         probes = [s + p for p in PROBES for s in (["", " "] if spaces else [""])]
@@ -88,7 +88,7 @@ class PieceEncoder:
             new = [p for p, r in zip(distinct, raw) if r is None]
             self.learn(new)
             raw = list(map(self.known.get, distinct))
-            for p in new[max(0, REMEMBERED - len(self.known) + len(new)) :]:
+            for p in new[max(0, self.remembered - len(self.known) + len(new)) :]:
                 del self.known[p]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         starts = np.cumsum(sizes) - sizes

@@ -52,7 +52,7 @@ def test_like_the_library():
     encoder = bpe.AutomatonEncoder(PATH)
     given = texts(600) + ["aaaaaaaa" * 50, "=" * 99, "ab" * 500, " \n" * 40]
     assert [x.tolist() for x in encoder(given)] == whole(PATH)(given)
-    assert [encoder.decode(x.tolist()) for x in encoder(given)] == given
+    assert [bpe.decoded(x.tolist(), PATH) for x in encoder(given)] == given
 
 
 def test_query_columns(spark):
