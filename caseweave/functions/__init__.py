@@ -1 +1 @@
-
+"""Column functions: text, geometry, addresses and identities."""

@@ -1,4 +1,8 @@
 """The registered queries of the library, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import documents, events, orders, pages, streams
+
+QUERIES = documents.QUERIES | orders.QUERIES | pages.QUERIES | events.QUERIES | streams.QUERIES
+ORACLES = documents.ORACLES | orders.ORACLES | pages.ORACLES | events.ORACLES | streams.ORACLES

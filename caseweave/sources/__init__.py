@@ -1 +1 @@
-
+"""Tables and files as DataFrames."""

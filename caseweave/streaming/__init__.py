@@ -1 +1 @@
-
+"""Structured Streaming forms of the folder watch, the caches and the sessions."""
