@@ -185,8 +185,8 @@ def calibrate(model: Model, texts: list[str], languages: list[str], accepted: fl
     """Set the rejection limits and the score's sharpness on documents that the model hasn't seen.
 
     A limit is the accepted quantile of the cross-entropies that documents of the language have in
-    their size class, plus a margin in nats; a class with fewer than 50 such documents takes the
-    highest limit of the language. The sharpness gives the true languages the highest likelihood.
+    their size class, plus a margin in nats; with fewer than 50 such documents it is the highest of the
+    language's cross-entropies plus two margins, and there is none if there are no documents. The sharpness gives the true languages the highest likelihood.
     """
     entropy, n = Scorer(model)(texts)
     truth = np.array([model.languages.index(x) for x in languages], np.int64)
@@ -201,9 +201,8 @@ def calibrate(model: Model, texts: list[str], languages: list[str], accepted: fl
             part = own[(truth == j) & (classes == c)]
             if len(part) >= 50:
                 model.limits[j, c] = np.quantile(part, accepted) + margin
-        known = model.limits[j][np.isfinite(model.limits[j])]
-        if len(known):
-            model.limits[j][~np.isfinite(model.limits[j])] = known.max() + margin
+        if (truth == j).any():
+            model.limits[j][~np.isfinite(model.limits[j])] = own[truth == j].max() + 2 * margin
     grid = [0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0]
     model.sharpness = max(grid, key=lambda s: np.log(np.maximum(posteriors(entropy, n, s)[np.arange(len(n)), truth], 1e-12)).sum())
 

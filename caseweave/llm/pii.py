@@ -284,7 +284,7 @@ def examples(contexts: list[str], n: int, seed: int = 0) -> tuple[np.ndarray, np
     return x, y
 
 
-def learn(docs: DataFrame, sample: int = 1500, windows: int = 1200, epochs: int = 8, hidden: int = 12, seed: int = 0) -> Tagger:
+def learn(docs: DataFrame, sample: int = 1500, windows: int = 1600, epochs: int = 8, hidden: int = 12, seed: int = 0) -> Tagger:
     """Train on about `sample` documents at most, chosen by a hash of doc_id.
 
     An executor cuts one plain window from each sampled document, and up to two around spans that the
