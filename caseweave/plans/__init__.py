@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, events, orders, pages, streams
+from . import documents, events, orders, pages, review, streams
 
-QUERIES = documents.QUERIES | orders.QUERIES | pages.QUERIES | events.QUERIES | streams.QUERIES
-ORACLES = documents.ORACLES | orders.ORACLES | pages.ORACLES | events.ORACLES | streams.ORACLES
+QUERIES = documents.QUERIES | orders.QUERIES | pages.QUERIES | events.QUERIES | review.QUERIES | streams.QUERIES
+ORACLES = documents.ORACLES | orders.ORACLES | pages.ORACLES | events.ORACLES | review.ORACLES | streams.ORACLES
