@@ -93,7 +93,7 @@ def unit_rows(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
-def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, per_cell: int = 24, seed: int = 0) -> MultiIndex:
+def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, per_cell: int = 256, seed: int = 0) -> MultiIndex:
     """Codebooks from a sample of unit vectors, sized for so many rows, and the slack for the recall.
 
     A pair is found if either vector's traversal reaches the other's cell. The slack is the recall
@@ -171,7 +171,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     if not len(chosen):
         chosen = entries.select("v").limit(sample).toPandas()["v"]
     index = fit(unit_rows(np.array(chosen.tolist())), total, cosine, recall)
-    shared = spark.sparkContext.broadcast(index)  # two codebooks, each of sqrt(rows / 24) half vectors
+    shared = spark.sparkContext.broadcast(index)  # two codebooks, each of sqrt(rows / 256) half vectors
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
