@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +29,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete what materialise wrote for this driver process; its results can't be read any more."""
+    while _scratch:
+        with contextlib.suppress(OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+            store, path = pafs.FileSystem.from_uri(_scratch.pop())
+            store.delete_dir(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
     The files are replicated as that folder's store is, so a lost executor costs only its own tasks.
+    They are deleted when the driver process ends, or by sweep().
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/caseweave/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,8 +86,12 @@ def by_text(schema: pa.Schema, rows: Callable[[list, list], dict]) -> Callable[[
     return run
 
 
-def adding_columns(rows: Callable[[list], list[pa.Array]], text: str = "text") -> Callable:
-    """A mapInArrow function that keeps every column of its input and appends those of rows(texts)."""
+def adding_columns(rows: Callable[[list], list[pa.Array]], text: str = "text", done: Callable[[], None] | None = None) -> Callable:
+    """A mapInArrow function that keeps every column of its input and appends those of rows(texts).
+
+    done is called at the end of a task: an idle worker stays alive beside later stages' memory, and
+    should hold nothing large then.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -78,15 +99,18 @@ def adding_columns(rows: Callable[[list], list[pa.Array]], text: str = "text") -
                 more = rows(batch.column(text).to_pylist())
                 names = [*batch.schema.names, *(f"_caseweave_{i}" for i in range(len(more)))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+        if done:
+            done()
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def with_columns(docs: DataFrame, rows: Callable[[list], list[pa.Array]], columns: list[tuple[str, str]], text: str = "text") -> DataFrame:
+def with_columns(docs: DataFrame, rows: Callable[[list], list[pa.Array]], columns: list[tuple[str, str]], text: str = "text", done: Callable[[], None] | None = None) -> DataFrame:
     """docs with further columns computed from its text column in one pass, without a shuffle.
 
     columns: (name, DDL type) of what rows returns. Names must not be in docs; callers choose
     private ones.
     """
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in columns)])
-    return docs.mapInArrow(adding_columns(rows, text), schema)
+    return docs.mapInArrow(adding_columns(rows, text, done), schema)

@@ -17,8 +17,8 @@ from .common import id_and_text, slices, with_columns
 ORDER = 4
 EDGE = 32  # the symbol before and after a word
 UNKNOWN = "und"
-#: Words whose scores a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 19
+#: Words whose scores a task remembers; beyond it the memory starts anew.
+REMEMBERED = 1 << 18
 #: Symbols up to which evidence counts for the score; more text doesn't make it surer.
 EVIDENCE = 400
 
@@ -255,7 +255,7 @@ _scorers: dict[int, Scorer] = {}
 
 
 def scorer(shared) -> Scorer:
-    """The worker's scorer of a broadcast model; it stays for the tasks that the worker runs later."""
+    """The task's scorer of a broadcast model."""
     if shared.value is None:
         raise ValueError("no model")
     key = id(shared.value)
@@ -265,6 +265,10 @@ def scorer(shared) -> Scorer:
     return _scorers[key]
 
 
+def forget() -> None:
+    _scorers.clear()
+
+
 def predictions(shared, texts: list) -> tuple[list[str], list[float], list[bool]]:
     """(language, score, rejected) of each text."""
     if shared is None:
@@ -286,7 +290,7 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
         lang, score, rejected = predictions(shared, texts)
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
 
-    return with_columns(docs, rows, [("_lang_pred", "string"), ("_score", "double"), ("_rejected", "boolean")])
+    return with_columns(docs, rows, [("_lang_pred", "string"), ("_score", "double"), ("_rejected", "boolean")], done=forget)
 
 
 def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
