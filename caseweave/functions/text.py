@@ -78,6 +78,15 @@ def running_key(text: Column) -> Column:
     return F.when(line.rlike("^(?:\\[\\d+\\]|\\d+[.)])\\s"), F.lit(None)).when(line.rlike("^(?:(?i:page)\\s*)?[-– ]*\\d+[-– ]*$"), F.lit("#page-number")).otherwise(F.nullif(line, F.lit("")))
 
 
+def error_distance(gold: Column, read: Column) -> Column:
+    return F.levenshtein(gold, read).cast("long")
+
+
+def recognition_accepted(gold: Column, read: Column, percent: int = 12) -> Column:
+    """Whether the character error rate is under the limit."""
+    return (F.length(gold) > 0) & (error_distance(gold, read) * 100 < percent * F.length(gold))
+
+
 def file_name(name: Column) -> Column:
     """A name without the characters that file systems refuse, ending in .pdf."""
     clean = tidy(F.regexp_replace(name, "[\\\\/:*?\"<>|\\x00-\\x1f]+", " "))

@@ -197,14 +197,13 @@ def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source").agg(F.count("*").alias("n_files"), F.sha2(listed, 256).alias("build_id"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, left(regexp_replace(text, '[^\x20-\x7e]', '', 'g'), 60) AS t FROM documents)
-SELECT a.doc_id, CAST(levenshtein(a.t, b.t) AS BIGINT) AS distance, length(a.t) > 0 AND levenshtein(a.t, b.t) * 100 < 12 * length(a.t) AS accepted
-FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
+@query("""SELECT a.p_partkey, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS distance, length(a.p_name) > 0 AND levenshtein(a.p_name, b.p_name) * 100 < 12 * length(a.p_name) AS accepted
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def cer_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^\\x20-\\x7e]", ""), 1, 60).alias("gold"))
-    other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("gold").alias("read"))
-    distance = F.levenshtein("gold", "read")
-    return t.join(other, "doc_id").select("doc_id", distance.cast("long").alias("distance"), ((F.length("gold") > 0) & (distance * 100 < 12 * F.length("gold"))).alias("accepted"))
+    """Character error rates, of each part's name read as the next one's."""
+    gold = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("gold"))
+    read = gold.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("gold").alias("read"))
+    return gold.join(read, "p_partkey").select("p_partkey", T.error_distance(F.col("gold"), F.col("read")).alias("distance"), T.recognition_accepted(F.col("gold"), F.col("read")).alias("accepted"))
 
 
 @query(r"""SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n_chars, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL""")
