@@ -112,7 +112,7 @@ class Stream:
         return pa.RecordBatch.from_arrays(rows, schema=PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, token_step: int = 32) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, token_step: int = 16) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece.
 
     A document is its ids by the vocabulary file of the tokenizers library and end_id. The documents
