@@ -218,10 +218,13 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.length("text").cast("long").alias("code_points"), T.utf16_length(F.col("text")).alias("utf16_units"), structure.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, source, n_chars, regexp_split_to_array(lower(text), '[\t\n\f\r ]+')[1] AS name FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY n_chars DESC, doc_id) AS rn FROM d WHERE doc_id // 20 % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY doc_id) AS rn FROM d WHERE doc_id // 20 % 2 = 0)
+SELECT f.source, f.doc_id AS file_id, r.doc_id AS record_id FROM f JOIN r ON r.source = f.source AND r.name = f.name AND r.rn = f.rn""")
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     opening = F.array_join(F.slice(F.split(F.lower("text"), "[\\t\\n\\f\\r ]+"), 1, 1), " ")
-    docs = table(spark, sf_dir, "documents").where("text is not null").withColumn("name", opening)
+    docs = table(spark, sf_dir, "documents").where("text is not null and source is not null").withColumn("name", opening)
     files = docs.where("doc_id div 20 % 2 = 1").select("source", F.col("doc_id").alias("file_id"), "name", F.col("n_chars").alias("mtime"))
     records = docs.where("doc_id div 20 % 2 = 0").select("source", F.col("doc_id").alias("record_id"), F.col("doc_id").alias("seq"), "name")
     return matching.greedy_assignment(files, records, "source", lambda a, b: a == b)
