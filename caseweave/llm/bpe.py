@@ -172,9 +172,15 @@ def decoded(ids: list[int], path: str) -> str:
     return b"".join(map(labels(path).__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
+def lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)))
+
+
+def encode(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
     """(doc_id, ids): the token ids of every whole text, as the tokenizers library gives them.
 
+    decode: also decoded, the text that the ids spell, in the same pass over the texts.
     A null or empty text has no ids. Repeated rows and rows without an id are encoded like any other;
     an empty table gives an empty result. There is no shuffle.
     """
@@ -184,11 +190,12 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 ids = encoder(batch.column("text").to_pylist())
-                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+                out = {"doc_id": batch.column("doc_id"), "ids": lists(ids)}
+                if decode:
+                    out["decoded"] = pa.array([decoded(x.tolist(), vocabulary) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -199,14 +206,16 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [decoded(flat[a:b].tolist(), vocabulary) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                found = part.column("ids")
+                flat, at = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
+                texts = [decoded(flat[a:b].tolist(), vocabulary) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("decoded")).schema)
 
 
 def digest(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decode(encode(...))."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of decode(encode(...)), or of encode with decode."""
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

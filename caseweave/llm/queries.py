@@ -37,8 +37,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("byte_bpe_50k.json")
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), decode=True))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,7 @@ def test_query_columns(spark):
     given = [(i, t) for i, t in enumerate(texts(80))] + [(900, None), (None, "no id"), (3, "again"), (3, "again")]
     rows = spark.createDataFrame([(i, t, "x") for i, t in given], "doc_id long, text string, ids string")
     found = bpe.digest(bpe.decode(bpe.encode(rows, PATH), PATH)).collect()
+    assert sorted(map(str, bpe.digest(bpe.encode(rows, PATH, decode=True)).collect())) == sorted(map(str, found))
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     ids = whole(PATH)([t for _, t in given])
     expected = [(i, len(x), sha(",".join(map(str, x))), sha(t or "")) for (i, t), x in zip(given, ids)]
