@@ -53,7 +53,16 @@ class Automaton:
                 live.add(c)
             self.removed.setdefault(a << 20 | b, rank)
         self.table.clear()
-        self.longest = max(map(len, self.arcs))
+        self.sizes = [0] * size
+        self.children: dict[int, int] = {}  # of the labels' trie: node * 256 + byte
+        self.token_at = [-1]
+        for label, token in self.arcs.items():
+            self.sizes[token], node = len(label), 0
+            for byte in label:
+                node = self.children.setdefault(node << 8 | byte, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+            self.token_at[node] = token
 
     def follows(self, state: int, token: int, before: int = 1 << 30) -> bool:
         """Whether the state, as it is before that merge, has an arc of the token.
@@ -86,31 +95,47 @@ class Automaton:
             known = self.table[key] = self.follows(state, token)
         return known
 
+    def spell(self, word: bytes, at: int) -> list[tuple[int, int]]:
+        """(token, its end) of every arc whose label stands in the word there, the longest last."""
+        children, tokens, node, out = self.children.get, self.token_at, 0, []
+        for i in range(at, len(word)):
+            node = children(node << 8 | word[i])
+            if node is None:
+                break
+            if tokens[node] >= 0:
+                out.append((tokens[node], i + 1))
+        return out
+
     def encode(self, word: bytes) -> list[int]:
-        """The one accepted sequence of tokens that spells the word.
+        """The labels of the one accepted path that spells the word.
 
-        For each prefix there is one such sequence, so the last token of each is all that is kept: it
-        is the token that ends there and that the state before it has an arc for.
+        The path is walked with the longest arc first. Every prefix has one accepted path only, so a
+        place from which no arc leads on is given up for good.
         """
         whole = self.arcs.get(word)
-        arcs, step, n, longest = self.arcs.get, self.step, len(word), self.longest
-        if whole is not None and n == 1:
+        if whole is not None:
             return [whole]
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                token = arcs(word[j:i])
-                if token is not None and (not j or last[j] >= 0 and step(last[j], token)):
-                    last[i], begin[i] = token, j
+        step, n = self.step, len(word)
+        path: list[int] = []
+        state, at, dead = -1, 0, set()
+        open_arcs = [self.spell(word, 0)]
+        while at < n:
+            arcs = open_arcs[-1]
+            while arcs:
+                token, end = arcs.pop()
+                if end not in dead and (state < 0 or step(state, token)):
+                    path.append(token)
+                    state, at = token, end
+                    open_arcs.append(self.spell(word, at))
                     break
-        out, i = [], n
-        while i:
-            if last[i] < 0:
-                raise ValueError(f"no tokenization of {word!r}")
-            out.append(last[i])
-            i = begin[i]
-        return out[::-1]
-
+            else:
+                if not path:
+                    raise ValueError(f"no tokenization of {word!r}")
+                dead.add(at)
+                open_arcs.pop()
+                at -= self.sizes[path.pop()]
+                state = path[-1] if path else -1
+        return path
 
 
 def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], dict[str, int]]:
