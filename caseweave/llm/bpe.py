@@ -219,6 +219,7 @@ def encode(docs: DataFrame, vocabulary: str, decode: bool = False) -> DataFrame:
                 if decode:
                     out["decoded"] = pa.array([decoded(x.tolist(), vocabulary) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
+        encoder.end_of_task()
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode)
 

@@ -143,5 +143,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
                         yield rows
         if rows := stream.cut(last=True):
             yield rows
+        encode.end_of_task()
 
     return id_and_text(docs).mapInArrow(run, ", ".join(f"{n} long" for n in PIECES.names))

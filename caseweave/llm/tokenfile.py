@@ -60,6 +60,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, spaces
                     offsets.append(total)
                     keys.append(key or 0)
                     nulls += key is None
+        encode.end_of_task()
         if out is None:
             return
         out.close()

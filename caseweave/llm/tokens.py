@@ -10,6 +10,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ WORD = re.compile(f" ?[{LATIN}]+")
 PROBES = ["the", "Word", "élan", "Straße", "tokenization", "ÀÇÉ", "a"]
 
 #: Distinct pieces that a worker remembers, the first that it meets; the others it encodes once per
-#: call.
-REMEMBERED = 800_000
+#: call. Between tasks it keeps the first KEPT: an idle worker stays alive beside later stages' memory.
+REMEMBERED, KEPT = 800_000, 100_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -69,6 +70,10 @@ class PieceEncoder:
         """The ids of one pre-split word, straight from the tokenizer's model."""
         return [t.id for t in self.tokenize((piece if self.spaces else piece.lower()).encode().decode("latin-1").translate(BYTE_LEVEL))]
 
+    def end_of_task(self) -> None:
+        self.known = dict(islice(self.known.items(), KEPT))
+        pa.default_memory_pool().release_unused()
+
     def learn(self, pieces: list[str]) -> None:
         if self.short:
             words = set(filter(WORD.fullmatch, pieces))
@@ -118,7 +123,8 @@ class PieceEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, spaces: bool = True) -> PieceEncoder:
-    """The worker's encoder of this file; it stays for the tasks that the worker runs later.
+    """The worker's encoder of this file; it stays for the tasks that the worker runs later, each of
+    which calls end_of_task.
 
     spaces: whether the vocabulary's tokens hold white space; if not, it is dropped.
     """
