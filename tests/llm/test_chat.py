@@ -54,6 +54,20 @@ def test_context_gives_the_same(spark):
     assert chat.turn_spans(turns, chat.default_template) == chat.turn_spans(turns, chat.default_template, context=0)
 
 
+def test_long_conversations():
+    turns = [(("user", "assistant")[i % 2], f"a{i}<]") for i in range(800)]
+    output, spans = chat.turn_spans(turns, chat.default_template)
+    assert output == chat.default_template(turns)
+    assert chat.parse_default(output) == turns and spans[-1].end == len(output)
+
+    def first_again(ts):  # every turn names the first one: no bounded look-back
+        return "".join(f"<{ts[0][1]}>{t}\n" for _, t in ts)
+
+    turns = [("user", f"t{i}") for i in range(300)]
+    output, spans = chat.turn_spans(turns, first_again)
+    assert output == first_again(turns) and [output[s.text_start : s.text_end] for s in spans][1:] == [t for _, t in turns][1:]
+
+
 def test_like_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     folder = "/root/testdata/sf0.001"
