@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import durable
+
 
 def subtree(nodes: DataFrame, levels: int = 32) -> DataFrame:
     """(root, id, depth): every node with all nodes below it, itself at depth 0.
 
-    nodes: id, parent_id. A recursive query of the SQL front end; levels bounds a broken tree. Nodes
-    may come in any order.
+    nodes: id, parent_id, in any order. One join per level that the tree has; each level is cut off
+    from the plan of those above. levels bounds a broken tree. A recursive query would say the same,
+    but Spark bounds the rows of those.
     """
-    spark = nodes.sparkSession
-    view = f"_nodes_{abs(hash(str(nodes.semanticHash())))}"
-    nodes.select("id", "parent_id").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE below(root, id, depth) AS (
-          SELECT id, id, CAST(0 AS BIGINT) FROM {view}
-          UNION ALL
-          SELECT b.root, n.id, b.depth + 1 FROM below b JOIN {view} n ON n.parent_id = b.id WHERE b.depth < {levels}
-        ) SELECT root, id, depth FROM below""")
+    children = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where("id is not null")
+    level = durable(nodes.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("depth")))
+    found = level
+    for _ in range(levels):
+        level = durable(level.join(children, "id").select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")))
+        if not level.limit(1).count():
+            break
+        found = found.unionByName(level)
+    return found
 
 
 def bare_label(label: Column) -> Column:
