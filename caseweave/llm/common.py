@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -74,6 +76,14 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     yield batch.slice(at)
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: an idle worker stays alive beside later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_text(schema: pa.Schema, rows: Callable[[list, list], dict]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function from rows(ids, texts) -> columns, with one output row per document."""
 
@@ -82,6 +92,7 @@ def by_text(schema: pa.Schema, rows: Callable[[list, list], dict]) -> Callable[[
             for batch in slices(whole):
                 out = rows(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+        release()
 
     return run
 
@@ -89,8 +100,7 @@ def by_text(schema: pa.Schema, rows: Callable[[list, list], dict]) -> Callable[[
 def adding_columns(rows: Callable[[list], list[pa.Array]], text: str = "text", done: Callable[[], None] | None = None) -> Callable:
     """A mapInArrow function that keeps every column of its input and appends those of rows(texts).
 
-    done is called at the end of a task: an idle worker stays alive beside later stages' memory, and
-    should hold nothing large then.
+    done is called at the end of a task, after which a worker should hold nothing large.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +111,7 @@ def adding_columns(rows: Callable[[list], list[pa.Array]], text: str = "text", d
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
         if done:
             done()
-            pa.default_memory_pool().release_unused()
+        release()
 
     return run
 

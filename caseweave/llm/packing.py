@@ -112,7 +112,7 @@ class Stream:
         return pa.RecordBatch.from_arrays(rows, schema=PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, token_step: int = 16) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, token_step: int = 32, kept: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece.
 
     A document is its ids by the vocabulary file of the tokenizers library and end_id. The documents
@@ -124,6 +124,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
     There is no shuffle: partitions are packed by themselves, and a sequence id holds its partition's
     number above 40 bits. Each partition's last window may be short.
 
+    kept: how many pieces of text a worker remembers between tasks. Where other stages run in the same
+    application, an idle worker's memory stands beside theirs, and few are better.
+
     A null or empty text is the end_id alone. Repeated rows are packed as often as they come, rows
     without an id keep a null id, and an empty table gives an empty result.
     """
@@ -143,6 +146,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
                         yield rows
         if rows := stream.cut(last=True):
             yield rows
-        encode.end_of_task()
+        encode.end_of_task(kept)
 
     return id_and_text(docs).mapInArrow(run, ", ".join(f"{n} long" for n in PIECES.names))

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import release
+
 #: The characters with Unicode's White_Space property, as a regex class.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -35,8 +37,8 @@ WORD = re.compile(f" ?[{LATIN}]+")
 PROBES = ["the", "Word", "élan", "Straße", "tokenization", "ÀÇÉ", "a"]
 
 #: Distinct pieces that a worker remembers, the first that it meets; the others it encodes once per
-#: call. Between tasks it keeps the first KEPT: an idle worker stays alive beside later stages' memory.
-REMEMBERED, KEPT = 800_000, 100_000
+#: call.
+REMEMBERED = 800_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -70,9 +72,11 @@ class PieceEncoder:
         """The ids of one pre-split word, straight from the tokenizer's model."""
         return [t.id for t in self.tokenize((piece if self.spaces else piece.lower()).encode().decode("latin-1").translate(BYTE_LEVEL))]
 
-    def end_of_task(self) -> None:
-        self.known = dict(islice(self.known.items(), KEPT))
-        pa.default_memory_pool().release_unused()
+    def end_of_task(self, kept: int | None = None) -> None:
+        """Keep the first so many pieces, or all, for the worker's later tasks."""
+        if kept is not None and len(self.known) > kept:
+            self.known = dict(islice(self.known.items(), kept))
+        release()
 
     def learn(self, pieces: list[str]) -> None:
         if self.short:
