@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_text, id_and_text, materialise
@@ -59,7 +60,10 @@ def bit_counts(words: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = 3, width: int = 1) -> list[int]:
     """The SimHash as 64-bit words; a bit is 1 if it is set in over half the hashes. No word: 0."""
-    hashes = np.array(shingle_hashes(text, words), np.uint64)
+    return of_hashes(np.array(shingle_hashes(text, words), np.uint64), width)
+
+
+def of_hashes(hashes: np.ndarray, width: int) -> list[int]:
     if not len(hashes):
         return [0] * width
     counts = sum(bit_counts(widened(hashes[i : i + 65536], width)) for i in range(0, len(hashes), 65536))
@@ -85,84 +89,145 @@ def ball(bits: int, radius: int) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
-def part(table: int, bits: int) -> Column:
-    """The bits of one table, cut from the words f0, f1, ... and marked with the table's number.
-
-    The number stands above the bits; with 64 bits there is one table only.
-    """
-    if bits == 64:
-        return F.col("f0")
-    first, shift = divmod(table * bits, 64)
-    value = F.shiftrightunsigned(F.col(f"f{first}"), shift) if shift else F.col(f"f{first}")
-    if shift + bits > 64:
-        value = value.bitwiseOR(F.shiftleft(F.col(f"f{first + 1}"), 64 - shift))
-    return value.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(table << bits))
-
-
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, tables: int = 1, radius: int = 2, max_distance: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; linked documents share a component.
 
-    Each of the tables takes its own bits of the fingerprint. There, every distinct value emits all
-    variants within half the radius; two values within the radius meet at a variant. Colliding pairs
-    are deduplicated, and verified on the whole fingerprint: they link at max_distance or fewer
-    differing bits. One table of 64 bits with radius 2 finds every such link; several narrower
-    tables find links of a larger distance, each with its own chance.
+    Every distinct fingerprint emits all variants within half the radius; two within the radius meet
+    at a variant. Colliding pairs are deduplicated and verified: they link at radius or fewer
+    differing bits, and every such link is found.
 
-    Documents with one fingerprint are one node from the start, so that copies cost nothing more. At
-    one table, values that meet at a variant lie within the radius of each other, so a star from the
-    smallest of them loses no connection; a variant has as many such values as a ball has masks at
-    most. With more tables the neighbours in order are tried as well.
+    Documents with one fingerprint are one node from the start, so that copies cost nothing more.
+    Values that meet at a variant lie within the radius of each other, so a star from the smallest of
+    them loses no connection; a variant has as many such values as a ball has masks at most.
 
     Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows and ids
     are returned as often as they come; a row without an id gets the component of its fingerprint.
     An empty table gives an empty result.
     """
-    if tables > 1 and bits > 60 or radius % 2:
-        raise ValueError("several tables take at most 60 bits each, and the radius is even")
-    width = -(-tables * bits // 64)
-    names = [f"f{i}" for i in range(width)]
-    prints = materialise(fingerprints(docs, words, width), "fingerprints")
-    nodes = materialise(prints.where("doc_id is not null").groupBy(*names).agg(F.min("doc_id").alias("rep")), "nodes")
-
-    keyed = nodes.select("rep", F.explode(F.array(*[part(t, bits) for t in range(tables)])).alias("key")) if tables > 1 else nodes.select("rep", part(0, bits).alias("key"))
-    heads, same = keyed, None
-    if tables > 1:
-        keyed = materialise(keyed, "keys")
-        heads = materialise(keyed.groupBy("key").agg(F.min("rep").alias("rep")), "heads")
-        same = keyed.join(heads.withColumnRenamed("rep", "a"), "key").where("a <> rep").select("a", F.col("rep").alias("b"))
-    variants = heads.select("rep", "key", F.explode(F.array(*[F.lit(m) for m in ball(bits, radius // 2)])).alias("mask"))
-    variants = variants.select("rep", F.col("key").bitwiseXOR(F.col("mask")).alias("variant"))
+    if radius % 2:
+        raise ValueError("the radius is even")
+    prints = materialise(fingerprints(docs, words), "fingerprints")
+    nodes = materialise(prints.where("doc_id is not null").groupBy("f0").agg(F.min("doc_id").alias("rep")), "nodes")
+
+    masks = ball(64, radius // 2)
+    variants = nodes.select("rep", "f0", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    variants = variants.select("rep", F.col("f0").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.groupBy("variant").agg(F.array_sort(F.collect_list("rep")).alias("reps")).where("size(reps) > 1")
-    pairs = met.select(F.col("reps")[0].alias("a"), F.explode(F.slice("reps", 2, ball_size(bits, radius // 2))).alias("b"))
-    if tables > 1:
-        following = met.select(F.explode(F.arrays_zip(F.expr("slice(reps, 2, size(reps) - 2)").alias("a"), F.expr("slice(reps, 3, size(reps) - 2)").alias("b"))).alias("p")).select("p.a", "p.b")
-        pairs = materialise(pairs.unionByName(following).unionByName(same).distinct(), "pairs")
-    else:
-        pairs = materialise(pairs.distinct(), "pairs")
+    pairs = materialise(met.select(F.col("reps")[0].alias("a"), F.explode(F.slice("reps", 2, len(masks))).alias("b")).distinct(), "pairs")
 
     def side(to: str) -> DataFrame:
-        return nodes.select(F.col("rep").alias(to), *[F.col(n).alias(f"{to}_{n}") for n in names])
+        return nodes.select(F.col("rep").alias(to), F.col("f0").alias(f"{to}_f0"))
 
     with_a = materialise(pairs.join(side("a"), "a"), "pairs-a")
-    distance = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    links = with_a.join(side("b"), "b").where(distance <= max_distance).select("a", "b")
+    links = with_a.join(side("b"), "b").where(F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))) <= radius).select("a", "b")
     found = connected_components(links)
-    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
     named = materialise(named, "named")
-    text = F.concat(*[F.lower(F.lpad(F.hex(n), 16, "0")) for n in names])
-    return prints.join(named, names, "left").select("doc_id", text.alias("fingerprint"), "component_id")
+    return prints.join(named, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Values of a band of min-hashes. Two shingle sets of similarity s share a band with the chance s^BAND.
+BAND = 8
+#: Shingles of a block of documents that are compared with those of another block in one task.
+BLOCK = 1 << 20
+
+
+def distinct_shingles(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """One hash of a sorted set of shingles: texts of the same set are one node."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+
+
+def band_keys(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
+    """A key for each BAND of min-hashes, one min-hash per odd factor; none without a shingle."""
+    if not len(hashes):
+        return []
+    least = np.min([(hashes[i : i + 1024, None] * factors).min(axis=0) for i in range(0, len(hashes), 1024)], axis=0).reshape(-1, BAND)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)]
+
+
+def sketches(docs: DataFrame, words: int, width: int, bands: int) -> DataFrame:
+    """(doc_id, node, n, f0, f1, ..., keys): hash and size of each document's set of shingles, the
+    set's SimHash, and its band keys."""
+    names = [f"f{i}" for i in range(width)]
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *((n, pa.int64()) for n in names), ("keys", pa.list_(pa.int64()))])
+    factors = np.random.default_rng(42).integers(0, 2**64, bands * BAND, np.uint64) | np.uint64(1)
+
+    def rows(ids: list, texts: list) -> dict:
+        sets = [distinct_shingles(t, words) for t in texts]
+        prints = np.array([of_hashes(s, width) for s in sets], np.uint64).reshape(-1, width).view(np.int64)
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return {"doc_id": ids, "node": signed([set_hash(s) for s in sets]), "n": [len(s) for s in sets], "keys": [signed(band_keys(s, factors)) for s in sets]} | {n: prints[:, i] for i, n in enumerate(names)}
+
+    return id_and_text(docs).mapInArrow(by_text(schema, rows), "doc_id long, node long, n long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+
+
+def forest(candidates: Callable[[int], np.ndarray], linked: Callable[[int, int], bool], size: int) -> list[tuple[int, int]]:
+    """Links that connect all that linked pairs of candidates connect. Pairs that are connected
+    already aren't tested, so a dense group takes few tests and never gives more links than members."""
+    labels, out = np.arange(size), []
+    for i in range(size):
+        left = candidates(i) & (labels != labels[i])
+        while left.any():
+            j = int(left.argmax())
+            left[j] = False
+            if linked(i, j):
+                out.append((i, j))
+                labels[labels == labels[j]] = labels[i]
+                left &= labels != labels[i]
+    return out
 
 
-def ball_size(bits: int, radius: int) -> int:
-    return len(ball(bits, radius))
+def block_links(names: list[str], max_distance: int) -> Callable[[pa.Table], pa.Table]:
+    """The links between two blocks of a group, or within one."""
 
+    def run(table: pa.Table) -> pa.Table:
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        prints = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+        across = table.column("i")[0] != table.column("j")[0]
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+        def candidates(i: int) -> np.ndarray:
+            near = np.bitwise_count(prints ^ prints[i]).sum(axis=1) <= max_distance
+            return near & (block != block[i]) if across else near
+
+        found = forest(candidates, lambda i, j: True, len(node))
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": node[ends[:, 0]], "b": node[ends[:, 1]]})
+
+    return run
+
+
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7, max_distance: int = 58, bands: int = 24) -> DataFrame:
     """docs with one row left of each group of near-duplicates, that of the smallest id.
 
+    Documents of one set of shingles are one node. Every node emits its band keys, and nodes that
+    share a key are candidates: a pair of similarity s with the chance 1 - (1 - s^BAND)^bands. Nodes
+    connected by shared keys form a group; all of its pairs are compared, block against block, so that
+    a large group is spread over many tasks. They link if their SimHashes of bits * tables bits differ
+    in max_distance or fewer.
+
     Of repeated rows with that id one stays as well; rows without an id are kept as they are.
     """
-    groups = near_duplicates(docs, **options)
-    gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_caseweave_id")).distinct(), "gone")
+    names = [f"f{i}" for i in range(-(-bits * tables // 64))]
+    rows = materialise(sketches(docs, words, len(names), bands).where("doc_id is not null"), "sketches")
+    nodes = materialise(rows.groupBy("node", "n", *names).agg(F.min("doc_id").alias("rep")), "nodes")
+    keyed = materialise(rows.select("node", F.explode("keys").alias("key")).distinct(), "keys")
+    heads = materialise(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("held")).where("held > 1").drop("held"), "heads")
+    groups = materialise(connected_components(keyed.join(heads, "key").where("node <> head").select("node", "head").distinct(), "node", "head"), "groups")
+
+    members = materialise(groups.join(nodes, "node"), "members")
+    blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.select("component", "node", "block", *names, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    links = met.groupBy("component", "i", "j").applyInArrow(block_links(names, max_distance), "a long, b long")
+
+    found = connected_components(links)
+    placed = rows.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    placed = materialise(placed, "placed")
+    first = materialise(placed.groupBy("component").agg(F.min("doc_id").alias("first")), "first")
+    gone = materialise(placed.join(first, "component").where("doc_id <> first").select(F.col("doc_id").alias("_caseweave_id")).distinct(), "gone")
     kept = docs.join(gone, docs["doc_id"] == gone["_caseweave_id"], "left_anti")
     return kept

@@ -75,6 +75,40 @@ def test_wide_tables_find_near_copies(spark, edits):
     assert set(range(n)) <= ids and len(ids) <= n + 3
 
 
+def at_similarity(rng, similar, n=300, words=5):
+    """Two texts whose sets of shingles have about this similarity: a run of words is replaced."""
+    a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shingles = n - words + 1
+    lost = round(shingles * (1 - similar) / (1 + similar))
+    at = rng.randrange(words, n - lost - words)
+    b = list(a)
+    b[at : at + lost - words + 1] = [f"v{rng.randrange(10**6)}" for _ in range(lost - words + 1)]
+    return " ".join(a), " ".join(b)
+
+
+def test_wide_search_at_the_threshold(spark):
+    rng, rows, n = random.Random(8), [], 300
+    for i in range(n):
+        a, b = at_similarity(rng, 0.81)
+        rows += [(i, a), (1000 + i, b)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=36, tables=7, max_distance=58)
+    ids = {r.doc_id for r in kept.collect()}
+    assert set(range(n)) <= ids and len(ids) - n <= n // 10
+
+
+def test_blocks_compare_every_pair(spark, monkeypatch):
+    """A chain: neighbours are near copies, its ends aren't; every block pair must be compared."""
+    monkeypatch.setattr(simhash, "BLOCK", 2000)
+    rng = random.Random(9)
+    words, rows = [f"w{i}" for i in range(300)], []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        at = rng.randrange(290)
+        words[at : at + 5] = [f"e{i}.{k}" for k in range(5)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=36, tables=7, max_distance=58)
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 300), (200, 150)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
