@@ -7,6 +7,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,6 +166,17 @@ def sketches(docs: DataFrame, words: int, width: int, bands: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(by_text(schema, rows), "doc_id long, node long, n long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
 
 
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): each document's distinct shingles, sorted."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def rows(ids: list, texts: list) -> dict:
+        sets = [distinct_shingles(t, words) for t in texts]
+        return {"node": np.array([set_hash(s) for s in sets], np.uint64).view(np.int64), "shingles": [s.view(np.int64) for s in sets]}
+
+    return id_and_text(docs).mapInArrow(by_text(schema, rows), "node long, shingles array<long>")
+
+
 def forest(candidates: Callable[[int], np.ndarray], linked: Callable[[int, int], bool], size: int) -> list[tuple[int, int]]:
     """Links that connect all that linked pairs of candidates connect. Pairs that are connected
     already aren't tested, so a dense group takes few tests and never gives more links than members."""
@@ -181,33 +193,48 @@ def forest(candidates: Callable[[int], np.ndarray], linked: Callable[[int, int],
     return out
 
 
-def block_links(names: list[str], max_distance: int) -> Callable[[pa.Table], pa.Table]:
+def block_links(names: list[str], max_distance: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
     """The links between two blocks of a group, or within one."""
 
     def run(table: pa.Table) -> pa.Table:
         node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
         prints = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
+        n = table.column("n").to_numpy()
+        codes = np.unique(table.column("shingles").combine_chunks().flatten().to_numpy(), return_inverse=True)[1]
+        sets = np.split(codes, np.cumsum(pc.list_value_length(table.column("shingles")).to_numpy())[:-1])
+        held, holder = np.zeros(codes.max() + 1, bool), -1
         across = table.column("i")[0] != table.column("j")[0]
 
         def candidates(i: int) -> np.ndarray:
             near = np.bitwise_count(prints ^ prints[i]).sum(axis=1) <= max_distance
+            near &= np.minimum(n, n[i]) / np.maximum(n, n[i]) >= similarity
             return near & (block != block[i]) if across else near
 
-        found = forest(candidates, lambda i, j: True, len(node))
+        def linked(i: int, j: int) -> bool:
+            nonlocal holder
+            if holder != i:
+                held[sets[holder]] = False
+                held[sets[i]] = True
+                holder = i
+            both = np.count_nonzero(held[sets[j]])
+            return both / (n[i] + n[j] - both) >= similarity
+
+        found = forest(candidates, linked, len(node))
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": node[ends[:, 0]], "b": node[ends[:, 1]]})
 
     return run
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7, max_distance: int = 58, bands: int = 24) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7, max_distance: int = 58, bands: int = 24, similarity: float = 0.8) -> DataFrame:
     """docs with one row left of each group of near-duplicates, that of the smallest id.
 
     Documents of one set of shingles are one node. Every node emits its band keys, and nodes that
     share a key are candidates: a pair of similarity s with the chance 1 - (1 - s^BAND)^bands. Nodes
     connected by shared keys form a group; all of its pairs are compared, block against block, so that
     a large group is spread over many tasks. They link if their SimHashes of bits * tables bits differ
-    in max_distance or fewer.
+    in max_distance or fewer and the similarity of their sets (what both have of what either has) is
+    similarity at least.
 
     Of repeated rows with that id one stays as well; rows without an id are kept as they are.
     """
@@ -219,10 +246,13 @@ def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7
     groups = materialise(connected_components(keyed.join(heads, "key").where("node <> head").select("node", "head").distinct(), "node", "head"), "groups")
 
     members = materialise(groups.join(nodes, "node"), "members")
+    sought = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = shingle_sets(id_and_text(docs).join(sought, "doc_id"), words).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets, "sets")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = dealt.select("component", "node", "block", *names, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = met.groupBy("component", "i", "j").applyInArrow(block_links(names, max_distance), "a long, b long")
+    dealt = members.join(blocks, "component").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.select("component", "node", "n", "block", "shingles", *names, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    links = met.groupBy("component", "i", "j").applyInArrow(block_links(names, max_distance, similarity), "a long, b long")
 
     found = connected_components(links)
     placed = rows.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

@@ -109,6 +109,17 @@ def test_blocks_compare_every_pair(spark, monkeypatch):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_pairs_below_the_threshold_stay(spark):
+    """Pairs at 0.72 pass the fingerprint's filter and mostly share a band, and still aren't linked."""
+    rng, rows = random.Random(10), []
+    for i in range(100):
+        a, b = at_similarity(rng, 0.72)
+        rows += [(i, a), (1000 + i, b)]
+    for options in ({"max_distance": 38}, {"max_distance": 58}):
+        kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=36, tables=7, **options)
+        assert kept.count() == 200
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 300), (200, 150)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
