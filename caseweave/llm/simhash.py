@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, id_and_text, materialise
+from .common import by_text, id_and_text, materialise, with_columns
 from .components import connected_components
 
 LOW_BITS = np.uint64(0x0101010101010101)
@@ -236,7 +236,8 @@ def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7
     in max_distance or fewer and the similarity of their sets (what both have of what either has) is
     similarity at least.
 
-    Of repeated rows with that id one stays as well; rows without an id are kept as they are.
+    Rows are judged by id and set: where one id has several texts, each counts in its own group. Of
+    rows that repeat both, one stays; rows without an id are kept as they are.
     """
     names = [f"f{i}" for i in range(-(-bits * tables // 64))]
     rows = materialise(sketches(docs, words, len(names), bands).where("doc_id is not null"), "sketches")
@@ -255,9 +256,18 @@ def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7
     links = met.groupBy("component", "i", "j").applyInArrow(block_links(names, max_distance, similarity), "a long, b long")
 
     found = connected_components(links)
-    placed = rows.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    placed = rows.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
-    first = materialise(placed.groupBy("component").agg(F.min("doc_id").alias("first")), "first")
-    gone = materialise(placed.join(first, "component").where("doc_id <> first").select(F.col("doc_id").alias("_caseweave_id")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["_caseweave_id"], "left_anti")
-    return kept
+    winners = materialise(placed.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("w")).select("w.doc_id", "w.node"), "winners")
+    repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_caseweave_id")), "repeated")
+    lost = placed.select("doc_id").distinct().join(winners, "doc_id", "left_anti").select(F.col("doc_id").alias("_caseweave_id"))
+    gone = materialise(lost.unionByName(repeated).distinct(), "gone")
+    single = docs.join(gone, docs["doc_id"] == gone["_caseweave_id"], "left_anti")
+
+    def node(texts: list) -> list[pa.Array]:
+        return [pa.array(np.array([set_hash(distinct_shingles(t, words)) for t in texts], np.uint64).view(np.int64))]
+
+    several = with_columns(docs.join(repeated, docs["doc_id"] == repeated["_caseweave_id"], "left_semi"), node, [("_caseweave_node", "long")])
+    same = (several["doc_id"] == winners["doc_id"]) & (several["_caseweave_node"] == winners["node"])
+    one = several.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_caseweave_node"]).drop("_caseweave_node")
+    return single.unionByName(one)

@@ -120,6 +120,13 @@ def test_pairs_below_the_threshold_stay(spark):
         assert kept.count() == 200
 
 
+def test_repeated_ids_are_judged_by_row(spark):
+    one, two, three = ("one " * 3 + "a b c d e f g h", "two i j k l m n o p", "three q r s t u v w x")
+    rows = [(1, one), (1, one), (2, one), (2, two), (3, three), (3, three), (None, one), (None, one)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5)
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(0, one), (0, one), (1, one), (2, two), (3, three)])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 300), (200, 150)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
