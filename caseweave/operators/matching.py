@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,14 +37,22 @@ def majority_matches(files: DataFrame, file_key: str, waiting: DataFrame, record
     return hits.join(sizes, record_key).where("hits * 2 > _phrases and unique_hits >= 2").select(file_key, record_key, "hits", "unique_hits")
 
 
-def greedy_assignment(files: DataFrame, records: DataFrame, group: str, matches: Callable[[str, str], bool]) -> DataFrame:
+def greedy_assignment(files: DataFrame, records: DataFrame, group: str, matches: Callable[[str, str], bool] | None = None) -> DataFrame:
     """(group, file_id, record_id): per group, files by time from the newest each take the first
     waiting record that matches, which is then gone.
 
-    The outcome depends on the order, so a group is folded as a whole; groups are independent.
+    matches None: names must be equal. The n-th file of a name then takes its n-th record, which two
+    windows over group and name find. With another match the outcome depends on the order, so a group
+    is folded as a whole, in one task: that is for groups of bounded size.
     files: group, file_id, name, mtime; records: group, record_id, seq, name.
     """
 
+    if matches is None:
+        at = lambda *order: F.row_number().over(Window.partitionBy(group, "name").orderBy(*order))
+        f = files.select(group, "name", "file_id", at(F.desc("mtime"), "file_id").alias("_place"))
+        r = records.select(group, "name", "record_id", at("seq", "record_id").alias("_place"))
+        return f.join(r, [group, "name", "_place"]).select(group, "file_id", "record_id")
+
     def fold(f: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         waiting = list(r.sort_values(["seq", "record_id"])[["record_id", "wanted"]].itertuples(index=False))
         out = []

@@ -227,7 +227,7 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null and source is not null").withColumn("name", opening)
     files = docs.where("doc_id div 20 % 2 = 1").select("source", F.col("doc_id").alias("file_id"), "name", F.col("n_chars").alias("mtime"))
     records = docs.where("doc_id div 20 % 2 = 0").select("source", F.col("doc_id").alias("record_id"), F.col("doc_id").alias("seq"), "name")
-    return matching.greedy_assignment(files, records, "source", lambda a, b: a == b)
+    return matching.greedy_assignment(files, records, "source")
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -129,6 +129,14 @@ def test_cache_replay(spark):
     assert of(reads_count=True, spare_current=True) == [("a", "x"), ("a", "z"), ("b", "big")]
 
 
+def test_equal_names_pair_without_a_fold(spark):
+    f = spark.createDataFrame([("g", 1, "a", 5), ("g", 2, "a", 9), ("g", 3, "b", 1), ("h", 4, "a", 1)], "g string, file_id long, name string, mtime long")
+    r = spark.createDataFrame([("g", 10, 2, "a"), ("g", 11, 1, "a"), ("g", 12, 3, "a"), ("h", 13, 1, "b")], "g string, record_id long, seq long, name string")
+    found = matching.greedy_assignment(f, r, "g")
+    assert sorted(tuple(x) for x in found.collect()) == [("g", 1, 10), ("g", 2, 11)]
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
 def test_greedy_assignment(spark):
     f = spark.createDataFrame([("g", 1, "a", 10), ("g", 2, "a", 20), ("g", 3, "b", 5), ("h", 4, "a", 1)], "g string, file_id long, name string, mtime long")
     r = spark.createDataFrame([("g", 7, 1, "a"), ("g", 8, 2, "b")], "g string, record_id long, seq long, name string")
