@@ -51,10 +51,6 @@ class Span:
     text_end: int
 
 
-#: Conversations of more turns are first rendered from so many turns back.
-LONG, LOOK_BACK = 256, 32
-
-
 def turn_spans(turns: list[Turn], render: Renderer, context: int | None = None) -> tuple[str, list[Span]]:
     """The output and the span of each turn, without any knowledge of the template.
 
@@ -66,14 +62,8 @@ def turn_spans(turns: list[Turn], render: Renderer, context: int | None = None)
 
     context: prefixes are rendered from so many turns back only, which is right for a template whose
     output for a turn depends on no turn further back; the work then grows with the conversation and
-    not with its square. None: from the first turn. A conversation of over LONG turns is then first
-    tried from LOOK_BACK turns back, and that stands only if the spans in a row are the template's
-    output for the whole conversation.
+    not with its square. None: from the first turn, at every length.
     """
-    if context is None and len(turns) > LONG:
-        output, spans = turn_spans(turns, render, LOOK_BACK)
-        if output == render(turns):
-            return output, spans
     outputs: list[str] = []
     spans: list[Span] = []
     at, whole = 0, render([])

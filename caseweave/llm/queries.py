@@ -25,7 +25,7 @@ def vocabulary(name: str) -> str:
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.digest(chat.format_conversations(rows.unionByName(chat.probe_conversation(spark))))
+    return chat.digest(chat.format_conversations(rows.unionByName(chat.probe_conversation(spark)), context=0))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,21 @@ def test_like_sql(spark):
     rows = QUERIES["op2_chat"](spark, folder)
     assert sorted(rows.columns) == sorted(names)
     assert sorted(tuple(r[n] for n in names) for r in rows.collect()) == sorted(found.fetchall())
+
+
+def test_long_conversations_are_rendered_from_the_first_turn():
+    turns = [("system", "s"), *[(("user", "assistant")[i % 2], f"t{i}") for i in range(260)]]
+
+    def strict(part):
+        if part and part[0][0] != "system":
+            raise RuntimeError("no system turn")
+        return chat.default_template(part)
+
+    output, spans = chat.turn_spans(turns, strict)
+    assert output == strict(turns) and len(spans) == len(turns)
+
+    def rewriting(part):
+        return chat.default_template(part) + ("!" if len(part) == 40 else "")
+
+    with pytest.raises(chat.RewritesHistory):
+        chat.turn_spans(turns, rewriting)
