@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -22,39 +23,54 @@ PIECES = pa.schema(
 )
 
 
-def choose_cuts(places: list[int], penalties: list[float], window: int) -> list[int]:
-    """The places to cut at, the last included; place 0 is the stream's begin and isn't listed.
+def choose_cuts(size: int, tiers: list[tuple[float, list[int]]], anywhere: float, window: int) -> list[int]:
+    """The places from 1 to size to cut at, size included.
+
+    tiers: penalties in ascending order, each with its places in ascending order; a cut at any other
+    place costs anywhere, which is the highest. Size itself is free.
 
     Cost of a window: its padding and the penalty of the place where it ends. With cost(i) the least
-    cost of all up to place i, cost(i) = penalty(i) + window - place(i) + min(cost(j) + place(j)) over
-    the j at most a window before; the minimum is the head of a monotone queue.
+    cost of all up to place i, cost(i) = penalty(i) + window - i + min(cost(j) + j) over the j at most
+    a window before; the minimum is the head of a monotone queue of cost(j) + j.
+
+    Places that have the same head differ by their penalties only, so of those of one penalty the last
+    outlives and equals the others: it alone enters the queue. Every place counts, but the work is a
+    few steps per head.
     """
-    at = [0, *places]
-    key = [0.0] * len(at)
-    back = [0] * len(at)
-    queue = deque([0])
-    for i in range(1, len(at)):
-        here = at[i]
-        while here - at[queue[0]] > window:
-            queue.popleft()
-        j = queue[0]
-        back[i] = j
-        value = key[i] = key[j] + penalties[i - 1] + window  # cost(i) + place(i)
-        while queue and key[queue[-1]] >= value:
-            queue.pop()
-        queue.append(i)
-    cuts, i = [], len(at) - 1
+    back: dict[int, int] = {}
+    queue = deque([(0, 0.0)])
+    offered = 0  # the places up to here
+    while True:
+        head, least = queue.popleft()
+        reach = head + window
+        if reach >= size:
+            back[size] = head
+            break
+        for penalty, places in [*tiers, (anywhere, None)]:
+            place = reach if places is None else places[k - 1] if (k := bisect_right(places, reach)) else 0
+            if place > offered:  # else a cheaper and later one is in
+                value = least + penalty + window
+                while queue and queue[-1][1] >= value:
+                    queue.pop()
+                queue.append((place, value))
+                back[place] = head
+                offered = place
+    cuts, i = [], size
     while i:
-        cuts.append(at[i])
+        cuts.append(i)
         i = back[i]
     return cuts[::-1]
 
 
 class Stream:
-    """Documents of one partition in their order, cut into windows as blocks of them are complete."""
+    """Documents of one partition in their order, cut into windows as blocks of them are complete.
+
+    ends: the ids that may end a sentence; opens: those that begin a word or are no part of one. A
+    sentence ends between the two.
+    """
 
-    def __init__(self, sentence_end: np.ndarray, window: int, sentence_penalty: float, token_penalty: float, token_step: int, first_sequence: int):
-        self.sentence_end, self.window, self.step = sentence_end, window, token_step
+    def __init__(self, ends: np.ndarray, opens: np.ndarray, window: int, sentence_penalty: float, token_penalty: float, first_sequence: int):
+        self.ends, self.opens, self.window = ends, opens, window
         self.sentence_penalty, self.token_penalty = sentence_penalty, token_penalty
         self.sequence = first_sequence
         self.parts: list[np.ndarray] = []
@@ -66,27 +82,17 @@ class Stream:
         self.docs.append((doc_id, self.size, len(ids)))
         self.size += len(ids)
 
-    def places(self, ids: np.ndarray) -> tuple[list[int], list[float]]:
-        """Where cuts may be, and their penalties: ends of documents, ends of sentences, and where
-        those are further apart than token_step, one place in between per token_step."""
-        flags = np.zeros(len(ids) + 1, np.uint8)
-        flags[1:][self.sentence_end[ids]] = 1
-        flags[[s + n for _, s, n in self.docs]] = 2
-        marks = np.flatnonzero(flags)
-        gaps = np.diff(marks, prepend=0)
-        wide = gaps > self.step
-        for end, gap in zip(marks[wide].tolist(), gaps[wide].tolist()):
-            flags[end - gap + self.step : end : self.step] = 3
-        every = np.flatnonzero(flags)
-        costs = np.array([0.0, self.sentence_penalty, 0.0, self.token_penalty])
-        return every.tolist(), costs[flags[every]].tolist()
+    def places(self, ids: np.ndarray) -> list[tuple[float, list[int]]]:
+        """The ends of documents and of sentences, with their penalties."""
+        sentences = np.flatnonzero(self.ends[ids[:-1]] & self.opens[ids[1:]]) + 1
+        return [(0.0, [s + n for _, s, n in self.docs]), (self.sentence_penalty, sentences.tolist())]
 
     def cut(self, last: bool) -> pa.RecordBatch | None:
         """Rows of the windows that are settled: all at the end, else all but the last one."""
         if not self.size:
             return None
         ids = np.concatenate(self.parts)
-        cuts = np.array(choose_cuts(*self.places(ids), self.window))
+        cuts = np.array(choose_cuts(len(ids), self.places(ids), self.token_penalty, self.window))
         if not last:
             cuts = cuts[:-1]
         if not len(cuts):
@@ -112,14 +118,14 @@ class Stream:
         return pa.RecordBatch.from_arrays(rows, schema=PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, token_step: int = 32, kept: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, kept: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece.
 
     A document is its ids by the vocabulary file of the tokenizers library and end_id. The documents
     of an input partition are one stream in their order; it is cut into windows so that padding plus
     penalties are least. A cut at a document's end is free, one at a sentence's end costs
-    sentence_penalty tokens, one elsewhere token_penalty; the last is possible only where sentences
-    end further apart than token_step. Every id lies in exactly one piece.
+    sentence_penalty tokens, one at any other token token_penalty, which is the highest of the three.
+    Every id lies in exactly one piece.
 
     There is no shuffle: partitions are packed by themselves, and a sequence id holds its partition's
     number above 40 bits. Each partition's last window may be short.
@@ -133,10 +139,11 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        size = encode.tokenizer.get_vocab_size()
-        ends = np.array([(encode.tokenizer.id_to_token(i) or "").rstrip("\"')").endswith((".", "!", "?", "Ċ")) for i in range(size)])
+        names = [encode.tokenizer.id_to_token(i) or "" for i in range(encode.tokenizer.get_vocab_size())]
+        ends = np.array([n.rstrip("\"')").endswith((".", "!", "?", "Ċ")) for n in names])
+        opens = np.array([i == end_id or n.startswith(("Ġ", "Ċ", "ĉ", "č")) for i, n in enumerate(names)])
         context = TaskContext.get()
-        stream = Stream(ends, window, sentence_penalty, token_penalty, token_step, (context.partitionId() if context else 0) << 40)
+        stream = Stream(ends, opens, window, sentence_penalty, token_penalty, (context.partitionId() if context else 0) << 40)
         end = np.array([end_id], "<u4")
         for whole in batches:
             for batch in slices(whole):
