@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: The control strings of the template below.
 ROLE_OPEN, ROLE_CLOSE, TURN_END = "[INST:", "[/INST]", "</s>"
 
+#: Code points to probe with: control characters, then the private-use planes.
+PROBES = [*range(1, 9), *range(0xF0000, 0xFFFFE)]
+
 Turn = tuple[str, str]
 Renderer = Callable[[list[Turn]], str]
 
@@ -56,9 +59,9 @@ def turn_spans(turns: list[Turn], render: Renderer, context: int | None = None)
 
     Prefixes of one turn, two turns and so on are rendered; what an output has beyond the one before
     is the turn's span. An output that doesn't begin with the one before means that the template
-    rewrites history: RewritesHistory is raised. In a span, the text is what remains between the
-    longest common prefix and suffix of the spans that the same turn has with two different probe
-    texts; the probes share no character with each other.
+    rewrites history: RewritesHistory is raised. In a span, the text is what stands where a probe
+    stands when the same turn is rendered with a probe for its text: a character that the output
+    doesn't hold. A template that leaves a turn's text out has an empty text at the turn's end.
 
     context: prefixes are rendered from so many turns back only, which is right for a template whose
     output for a turn depends on no turn further back; the work then grows with the conversation and
@@ -71,13 +74,13 @@ def turn_spans(turns: list[Turn], render: Renderer, context: int | None = None)
         before = turns[:i] if context is None else turns[max(0, i - context) : i]
         head = whole if context is None else render(before)
         whole = render([*before, (role, text)])
-        one, two = (render([*before, (role, p)]) for p in ("\x01", "\x02"))
-        if not (whole.startswith(head) and one.startswith(head) and two.startswith(head)):
+        probe = next(p for p in map(chr, PROBES) if p not in whole)
+        probed = render([*before, (role, probe)])
+        if not (whole.startswith(head) and probed.startswith(head)):
             raise RewritesHistory(f"turn {i}: the output before it changed")
-        left = next((k for k in range(len(head), len(one)) if one[k] != two[k]), len(one))
-        right = len(one) - left - 1
-        added = len(whole) - len(head)
-        spans.append(Span(role, at, at + added, at + left - len(head), at + added - right))
+        left, added = probed.find(probe, len(head)), len(whole) - len(head)
+        begin, right = (left - len(head), len(probed) - left - 1) if left >= 0 else (added, 0)
+        spans.append(Span(role, at, at + added, at + begin, at + added - right))
         outputs.append(whole[len(head) :])
         at += added
     opening = render([])
