@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="caseweave-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -43,6 +45,13 @@ def sweep() -> None:
             store.delete_dir(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one, which sweep() deletes."""
+    path = f"{shared_folder(spark)}/caseweave/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
@@ -50,8 +59,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     They are deleted when the driver process ends, or by sweep().
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/caseweave/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

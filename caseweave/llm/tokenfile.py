@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shared_folder, slices
+from .common import id_and_text, scratch_folder, slices
 from .tokens import encoder
 
 PARTS = "part long, name string, docs long, tokens long, null_ids long"
@@ -37,8 +37,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, spaces
 
     spaces: whether the vocabulary's tokens hold white space (byte-level) or it is dropped.
     Each document's ids end with end_id; a null or empty text is end_id alone. Rows without an id come
-    first; the manifest counts them. Rows that share an id follow each other in no fixed order. An
-    empty table gives no part.
+    first; the manifest counts them. Rows that share an id follow each other by a hash of their text,
+    then by the text, so the files are the same in every run. An empty table gives no part.
     """
     spark = docs.sparkSession
 
@@ -71,7 +71,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, spaces
 
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    ordered = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = id_and_text(docs).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     parts = sorted(ordered.mapInArrow(run, PARTS).collect())
     bases = np.concatenate([[0], np.cumsum([p.tokens for p in parts], dtype=np.int64)]).tolist()
     size = encoder(vocabulary, spaces).tokenizer.get_vocab_size()
@@ -104,7 +105,7 @@ def mapped(store: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
 
 
 def read(parts: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, one task per few parts.
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, one task per part.
 
     start counts the ids of all documents before, ids_crc32 is the unsigned CRC-32 of the document's
     ids as little-endian unsigned 32-bit integers, whatever the files hold.
@@ -123,11 +124,13 @@ def read(parts: DataFrame, folder: str) -> DataFrame:
                     names = [None if i + k < p["null_ids"] else v for k, v in enumerate(keys[i : i + 8192].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (names, p["base"] + at[:-1], np.diff(at), crc)], schema=ROWS)
 
-    spread = parts.repartition(F.col("part"))
+    # dealt in turn from one partition of a few numbers per part; a number given isn't coalesced
+    spread = parts.coalesce(1).repartition(max(1, parts.count()))
     return spread.mapInArrow(run, ", ".join(f"{n} long" for n in ROWS.names))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 2, spaces: bool = False, folder: str | None = None) -> DataFrame:
-    """Write the documents' ids to a new folder in the shared one, and read the files back."""
-    folder = folder or f"{shared_folder(docs.sparkSession)}/caseweave/tokens-{uuid.uuid4().hex}"
+    """Write the documents' ids to a folder, and read the files back. Without one given it is a new one
+    in the shared folder, which goes with the driver process or by common.sweep()."""
+    folder = folder or scratch_folder(docs.sparkSession, "tokens")
     return read(write(docs, folder, vocabulary, end_id, spaces), folder)
