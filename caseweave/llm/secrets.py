@@ -171,7 +171,7 @@ class Scanner:
         self.regexes = [re.compile(r.pattern, re.ASCII) for r in rules]
         self.queries = [derive(r.pattern) for r in rules]
         self.terms = sorted(set().union(*map(terms, self.queries)))
-        self.number = np.zeros(1 << 21, np.uint8)  # of 7-bit trigrams
+        self.number = np.zeros(1 << 21, np.min_scalar_type(len(self.terms)))  # of 7-bit trigrams
         for i, t in enumerate(self.terms):
             self.number[ord(t[0]) << 14 | ord(t[1]) << 7 | ord(t[2])] = i + 1
 
