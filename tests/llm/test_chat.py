@@ -40,6 +40,14 @@ def test_templates_are_black_boxes():
     assert text[spans[1].start : spans[1].end] == "(1|assistant) two\n"
 
 
+def test_texts_left_out_are_empty():
+    def roles_only(turns):
+        return "".join(f"{r}\x01{t if r == 'user' else ''};" for r, t in turns)
+
+    text, spans = chat.turn_spans([("user", "a\x02"), ("assistant", "b")], roles_only)
+    assert [text[s.text_start : s.text_end] for s in spans] == ["a\x02", ""]
+
+
 @pytest.mark.parametrize("context", [None, 3])
 def test_rewriting_templates_are_found(context):
     def marks_last(turns):
@@ -84,15 +92,22 @@ def test_long_conversations_are_rendered_from_the_first_turn():
     turns = [("system", "s"), *[(("user", "assistant")[i % 2], f"t{i}") for i in range(260)]]
 
     def strict(part):
-        if part and part[0][0] != "system":
-            raise RuntimeError("no system turn")
+        if any(role != (("assistant", "user")[i % 2] if i else "system") for i, (role, _) in enumerate(part)):
+            raise RuntimeError("a system turn, then user and assistant in turn")
         return chat.default_template(part)
 
     output, spans = chat.turn_spans(turns, strict)
     assert output == strict(turns) and len(spans) == len(turns)
 
     def rewriting(part):
-        return chat.default_template(part) + ("!" if len(part) == 40 else "")
+        return chat.default_template(part) + ("!" if len(part) == at else "")
 
-    with pytest.raises(chat.RewritesHistory):
-        chat.turn_spans(turns, rewriting)
+    for at in (40, 258):
+        with pytest.raises(chat.RewritesHistory):
+            chat.turn_spans(turns, rewriting)
+
+
+def test_very_long_texts(spark):
+    text = "[x</s>] \\" * 200_000
+    found = formatted(spark, [(1, 0, "user", "q"), (1, 1, "assistant", text)])[1]
+    assert found.loss_texts == [text] and found.texts == ["q", text]

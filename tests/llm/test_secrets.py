@@ -81,3 +81,13 @@ def test_redaction(spark):
     found = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs).collect()}
     assert found == {1: ("x [SECRET] y", 12), 2: ("clean", 5), 3: (None, None), 4: ("[SECRET]", 8)}
     assert secrets.redact(docs).columns == docs.columns
+
+
+def test_many_rules():
+    """More trigrams than a byte can number."""
+    rng = random.Random(1)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(300)]
+    many = secrets.Scanner(tuple(secrets.Rule(k, k + "[0-9]+", 1, 0, False) for k in keys))
+    assert len(many.terms) > 255
+    found = many.spans([f"x {k}7 y" for k in keys])
+    assert [[many.rules[k].kind for _, k, _ in spans] for spans in found] == [[k] for k in keys]
