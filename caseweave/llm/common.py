@@ -64,6 +64,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def private(docs: DataFrame, stem: str = "_caseweave_") -> str:
+    """A prefix that no column of docs begins with, in whatever case."""
+    while any(c.lower().startswith(stem.lower()) for c in docs.columns):
+        stem = "_" + stem
+    return stem
+
+
 def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns an operator reads, whatever else the table holds."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -127,8 +134,8 @@ def adding_columns(rows: Callable[[list], list[pa.Array]], text: str = "text", d
 def with_columns(docs: DataFrame, rows: Callable[[list], list[pa.Array]], columns: list[tuple[str, str]], text: str = "text", done: Callable[[], None] | None = None) -> DataFrame:
     """docs with further columns computed from its text column in one pass, without a shuffle.
 
-    columns: (name, DDL type) of what rows returns. Names must not be in docs; callers choose
-    private ones.
+    columns: (name, DDL type) of what rows returns. Names must not be in docs: callers begin them with
+    private(docs).
     """
     schema = T.StructType([*docs.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in columns)])
     return docs.mapInArrow(adding_columns(rows, text, done), schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, with_columns
+from .common import id_and_text, private, slices, with_columns
 
 ORDER = 4
 EDGE = 32  # the symbol before and after a word
@@ -282,15 +282,15 @@ def predictions(shared, texts: list) -> tuple[list[str], list[float], list[bool]
     return [s.model.languages[b] if k else UNKNOWN for b, k in zip(best, n)], np.where(n > 0, score, 0.0).tolist(), rejected.tolist()
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with _lang_pred, _score and _rejected."""
+def identified(docs: DataFrame, model: Model | None, prefix: str = "_") -> DataFrame:
+    """docs with lang_pred, score and rejected, each with the prefix before its name."""
     shared = docs.sparkSession.sparkContext.broadcast(model) if model else None
 
     def rows(texts: list) -> list[pa.Array]:
         lang, score, rejected = predictions(shared, texts)
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
 
-    return with_columns(docs, rows, [("_lang_pred", "string"), ("_score", "double"), ("_rejected", "boolean")], done=forget)
+    return with_columns(docs, rows, [(prefix + "lang_pred", "string"), (prefix + "score", "double"), (prefix + "rejected", "boolean")], done=forget)
 
 
 def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
@@ -309,5 +309,11 @@ def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFram
 
 
 def keep_known(docs: DataFrame, **options) -> DataFrame:
-    """The documents that identify doesn't reject, with their columns; there is no shuffle."""
-    return identified(docs, learn(docs, **options)).where("not _rejected").select(docs.columns)
+    """The documents that identify doesn't reject, with their columns; there is no shuffle.
+
+    Null texts and texts without a letter go. Repeated rows stay or go together, rows without an id are
+    judged like any other, and texts of any length are read whole. With nothing to learn from, or in an
+    empty table, no row stays. Columns of any name may be in docs.
+    """
+    p = private(docs)
+    return identified(docs, learn(docs, **options), p).where(~F.col(p + "rejected")).select(docs.columns)

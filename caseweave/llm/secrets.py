@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, id_and_text, with_columns
+from .common import by_text, id_and_text, private, with_columns
 
 try:  # the parser that re itself uses
     from re import _constants as sre, _parser as sre_parse
@@ -252,6 +252,8 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RU
     """docs with every secret in text replaced by the mask, and n_chars, if there, counted anew.
 
     Overlapping secrets are masked as one. Texts without a secret stay as they are, null ones too.
+    Every row stays, repeated ones and those without an id too; texts of any length are read whole; an
+    empty table gives an empty result. Columns of any name may be in docs.
     """
 
     def rows(texts: list) -> list[pa.Array]:
@@ -265,6 +267,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RU
             out.append("".join(parts) + text[at:] if spans else text)
         return [pa.array(out, pa.string())]
 
-    clean = with_columns(docs, rows, [("_caseweave_text", "string")])
-    changed = {"text": F.col("_caseweave_text")} | ({"n_chars": F.when(F.col("_caseweave_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("_caseweave_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    p = private(docs)
+    clean = with_columns(docs, rows, [(p + "text", "string")])
+    new = F.col(p + "text")
+    changed = {"text": new}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(new.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
     return clean.withColumns(changed).select(docs.columns)

@@ -87,3 +87,13 @@ def test_folds(spark):
 
     rows = spark.range(100).select("id", langid.fold(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
+
+
+def test_clashing_names_and_odd_rows(spark):
+    rows = [(i, "the words of this text are english and there are some of them", "en") for i in range(400)] + [(1000, None, "en"), (1001, "", None), (1002, "12 34", "en"), (None, "these words have no id but are english", None)]
+    rows += [(5, rows[5][1], "en"), (1003, "the words of this text are english " * 30000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS _rejected", "2 AS _caseweave_rejected", "'x' AS _score")
+    kept = langid.keep_known(docs)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and ids.count(5) == 2 and not {1000, 1001, 1002} & set(ids) and 1003 in ids
+    assert langid.keep_known(docs.limit(0)).collect() == []

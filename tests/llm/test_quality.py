@@ -58,6 +58,53 @@ def test_guarantee():
     assert bad <= 200 * delta * 1.5
 
 
+def simulated(rng, n, strata):
+    """(stratum, severities by rule, good) of n texts each; good texts rarely fail, by one rule or two."""
+    out = []
+    for s in range(strata):
+        for _ in range(n):
+            good = rng.random() < 0.8
+            row = {r: min(48, int(rng.expovariate((0.9, 0.5, 1.5, 0.7, 0.4)[k] if good else 0.08))) for k, r in enumerate(quality.RATES)}
+            out.append((s, row, good))
+    return out
+
+
+def learnt(rows, strata, alpha, delta):
+    """What learn_cutoffs does, without tables."""
+    found = {}
+    for s in range(strata):
+        mine = [(row, good) for t, row, good in rows if t == s]
+        tuning, tested = mine[::5], [x for i, x in enumerate(mine) if i % 5]
+        counts = [{r: [sum(g == want and row[r] >= level for row, g in tuning) for level in range(quality.LEVELS + 1)] for r in quality.RATES} for want in (True, False)]
+        path = quality.path_of(*counts)
+        first = {(r, v): i for r, v, i in quality.first_steps(path)}
+        steps = {}
+        for row, good in tested:
+            step = min((first[r, v] for r, v in row.items() if (r, v) in first), default=None)
+            g, b = steps.get(step, (0, 0))
+            steps[step] = (g + good, b + (not good))
+        found[s] = quality.certificate(str(s), path, steps, alpha, delta / strata)
+    return found
+
+
+def test_guarantee_of_all_rules_and_strata():
+    """In at most about delta of the runs does any stratum lose over alpha of its good texts."""
+    rng, alpha, delta, strata, bad, certified = random.Random(3), 0.1, 0.2, 2, 0, 0
+    truth = [row for _, row, good in simulated(rng, 20000, 1) if good]
+    for _ in range(60):
+        found = learnt(simulated(rng, 300, strata), strata, alpha, delta)
+        certified += sum(bool(c.cutoffs) for c in found.values())
+        bad += any(sum(any(row[r] >= round(x * quality.STEPS) for r, x in c.cutoffs.items()) for row in truth) > alpha * len(truth) for c in found.values())
+    assert certified > 60 and bad <= 60 * delta * 1.5
+
+
+def test_reasons():
+    few = quality.certificate("xx", [("symbols", 3)], {0: (0, 5), None: (20, 0)}, 0.03, 0.0125)
+    assert not few.cutoffs and few.reason == "20 good texts, and 144 are needed"
+    assert quality.certificate("xx", [], {None: (500, 3)}, 0.03, 0.0125).reason == "no rule rejects more bad than good texts"
+    assert quality.certificate("xx", [("symbols", 3)], {0: (400, 5), None: (20, 0)}, 0.03, 0.0125).reason == "the first step isn't certified"
+
+
 def table(spark, n=9000):
     rng = random.Random(2)
     rows, labels = [], []
@@ -84,5 +131,22 @@ def test_judging(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} - {None} == {i for i, r in by.items() if r.kept}
     assert quality.judge(docs.limit(0), labels).collect() == []
+    assert quality.keep_good(docs.limit(0), labels).collect() == []
     plain = quality.judge(docs, labels.limit(0)).where("doc_id < 9000").collect()
     assert all(r.kept == (not r.base_failed) for r in plain)
+
+
+def test_copies_and_repeated_labels_are_one_draw(spark):
+    docs = spark.createDataFrame([(i, f"{i % 40} of these words make up a text that has ten words", "en") for i in range(2000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i != 39), 0) for i in range(2000)] * 2, "doc_id long, quality int, toxic int")
+    rows = quality.measured(docs).select("doc_id", "lang", "text", *["_q_" + n for n, _ in quality.METRICS]).withColumnsRenamed({"lang": "stratum"}).selectExpr("*", "xxhash64(text) AS draw").drop("text")
+    (found,) = quality.learn_cutoffs(rows, labels)
+    assert found.good + found.bad <= 40 and found.bad == 0 and not found.cutoffs  # text 39 is labelled both ways
+
+
+def test_clashing_names(spark):
+    docs, labels = table(spark, 2000)
+    kept = quality.keep_good(docs, labels)
+    named = docs.selectExpr("*", "7 AS _q_n_words", "'x' AS _Q__q_n_words", "1 AS draw", "2 AS stratum")
+    more = quality.keep_good(named, labels)
+    assert more.columns == named.columns and more.count() == kept.count()

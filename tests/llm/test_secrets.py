@@ -91,3 +91,12 @@ def test_many_rules():
     assert len(many.terms) > 255
     found = many.spans([f"x {k}7 y" for k in keys])
     assert [[many.rules[k].kind for _, k, _ in spans] for spans in found] == [[k] for k in keys]
+
+
+def test_redacting_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "token=abcdefgh"), (3, "token=abcdefgh"), (None, "plain"), (4, "é " * 200_000 + "token=abcdefgh")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars", "'x' AS _caseweave_text", "1 AS kind")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0, (r.text or "")[-8:], r.n_chars, r._caseweave_text) for r in out.collect()), key=str) == sorted([(1, "", None, "x"), (2, "", 0, "x"), (3, "[SECRET]", 8, "x"), (3, "[SECRET]", 8, "x"), (0, "plain", 5, "x"), (4, "[SECRET]", 400_008, "x")], key=str)
+    assert secrets.redact(docs.limit(0)).collect() == []
