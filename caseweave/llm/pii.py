@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +67,8 @@ def base_spans(text: str | None) -> list[Span]:
 # -- the model ---------------------------------------------------------------------------------
 
 WINDOW, STRIDE, AROUND = 96, 48, 24
+#: Characters of a window to train on; the model is the same at any length.
+TRAINED = 64
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 SINGLES = "@.-+()_:/,%#$\"'=\n "
 PAD = len(SINGLES) + 5
@@ -95,88 +97,75 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tagger:
-    """w: per direction the input table (class to gates), the recurrent matrix; out, bias; transitions."""
+    """w: for both directions the input tables x (2, class, gates) and the recurrent matrices h; the
+    outputs o with their bias; the CRF's transitions t."""
 
     w: dict[str, np.ndarray]
 
     @staticmethod
     def fresh(hidden: int, seed: int) -> Tagger:
         rng = np.random.default_rng(seed)
-        w = {}
-        for d in "fb":
-            w["x" + d] = rng.normal(0, 0.3, (PAD + 1, 4 * hidden)).astype(np.float32)
-            w["x" + d][:, hidden : 2 * hidden] += 1  # remember at first
-            w["h" + d] = rng.normal(0, 0.3, (hidden, 4 * hidden)).astype(np.float32)
-        w["o"] = rng.normal(0, 0.3, (2 * hidden, TAGS)).astype(np.float32)
-        w["bias"] = np.zeros(TAGS, np.float32)
-        w["t"] = np.zeros((TAGS, TAGS), np.float32)
-        return Tagger(w)
-
-    def lstm(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """(T, B, H) states of windows (T, B), in the order of the text for either direction."""
-        table, recurrent = self.w["x" + d], self.w["h" + d]
-        steps, rows, n = len(x), x.shape[1], recurrent.shape[0]
-        out = np.empty((steps, rows, n), np.float32)
-        h, c = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = table[x[t]] + h @ recurrent
-            gates = sigmoid(z[:, : 3 * n])
-            g = np.tanh(z[:, 3 * n :])
+        normal = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
+        w = {"x": normal(2, PAD + 1, 4 * hidden), "h": normal(2, hidden, 4 * hidden), "o": normal(2 * hidden, TAGS)}
+        w["x"][:, :, hidden : 2 * hidden] += 1  # remember at first
+        return Tagger(w | {"bias": np.zeros(TAGS, np.float32), "t": np.zeros((TAGS, TAGS), np.float32)})
+
+    def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """(T, B, 2H): the states of both directions at each place of windows (T, B)."""
+        table, recurrent = self.w["x"], self.w["h"]
+        steps, rows, n = len(x), x.shape[1], recurrent.shape[1]
+        both, direction = np.stack([x, x[::-1]], axis=1), np.arange(2)[:, None]
+        out = np.empty((steps, 2, rows, n), table.dtype)
+        h = c = np.zeros((2, rows, n), table.dtype)
+        for t in range(steps):
+            z = table[direction, both[t]] + h @ recurrent
+            gates = sigmoid(z[:, :, : 3 * n])
+            g = np.tanh(z[:, :, 3 * n :])
             before = c, h
-            c = gates[:, n : 2 * n] * c + gates[:, :n] * g
+            c = gates[:, :, n : 2 * n] * c + gates[:, :, :n] * g
             squash = np.tanh(c)
-            h = gates[:, 2 * n :] * squash
-            out[t] = h
+            out[t] = h = gates[:, :, 2 * n :] * squash
             if keep is not None:
                 keep.append((t, *before, gates, g, squash))
-        return out
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self.lstm(x, "f"), self.lstm(x, "b")], axis=2)
-        return states @ self.w["o"] + self.w["bias"]
+        return self.states(x) @ self.w["o"] + self.w["bias"]
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """The mean negative log-likelihood of the tags y (T, B) and its gradient."""
         steps, rows = x.shape
-        keep: dict[str, list] = {"f": [], "b": []}
-        states = np.concatenate([self.lstm(x, d, keep[d]) for d in "fb"], axis=2)
+        keep: list = []
+        states = self.states(x, keep)
         e, trans = states @ self.w["o"] + self.w["bias"], self.w["t"]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        soft = lambda v, axis: (top := v.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(v - top).sum(axis=axis))
-        for t in range(1, steps):
-            alpha[t] = e[t] + soft(alpha[t - 1][:, :, None] + trans, 1)
-        for t in range(steps - 2, -1, -1):
-            beta[t] = soft(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        total = soft(alpha[-1], 1)
-        at = np.arange(rows)
-        gold = sum(e[t, at, y[t]] for t in range(steps)) + sum(trans[y[t - 1], y[t]] for t in range(1, steps))
+        alpha, beta, total = forward_backward(e, trans)
+        place, at = np.ogrid[:steps, :rows]
+        gold = e[place, at, y].sum(axis=0) + trans[y[:-1], y[1:]].sum(axis=0)
         de = np.exp(alpha + beta - total[None, :, None])
-        dt = np.zeros_like(trans)
-        for t in range(1, steps):
-            dt += np.exp(alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - total[:, None, None]).sum(axis=0)
-            np.add.at(dt, (y[t - 1], y[t]), -1)
-        for t in range(steps):
-            de[t, at, y[t]] -= 1
+        de[place, at, y] -= 1
+        dt = np.exp(alpha[:-1, :, :, None] + trans + (e[1:] + beta[1:])[:, :, None, :] - total[None, :, None, None]).sum(axis=(0, 1))
+        np.add.at(dt, (y[:-1].ravel(), y[1:].ravel()), -1)
         grads = {"t": dt, "o": np.einsum("tbh,tbk->hk", states, de), "bias": de.sum(axis=(0, 1))}
         ds = de @ self.w["o"].T
-        n = self.w["hf"].shape[0]
-        for k, d in enumerate("fb"):
-            own, recurrent = ds[:, :, k * n : (k + 1) * n], self.w["h" + d]
-            dx, dr = np.zeros_like(self.w["x" + d]), np.zeros_like(recurrent)
-            dh, dc = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
-            for t, c0, h0, gates, g, squash in reversed(keep[d]):
-                dh = dh + own[t]
-                i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-                dc = dc + dh * o * (1 - squash * squash)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * squash * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-                np.add.at(dx, x[t], dz)
-                dr += h0.T @ dz
-                dh, dc = dz @ recurrent.T, dc * f
-            grads["x" + d], grads["h" + d] = dx, dr
+        recurrent = self.w["h"]
+        n = recurrent.shape[1]
+        own = np.stack([ds[:, :, :n], ds[::-1, :, n:]], axis=1)
+        before, dz = np.empty((2, steps, rows, n), e.dtype), np.empty((2, steps, rows, 4 * n), e.dtype)
+        dh = dc = np.zeros((2, rows, n), e.dtype)
+        for t, c0, h0, gates, g, squash in reversed(keep):
+            dh = dh + own[t]
+            i, f, o = gates[:, :, :n], gates[:, :, n : 2 * n], gates[:, :, 2 * n :]
+            dc = dc + dh * o * (1 - squash * squash)
+            before[:, t] = h0
+            dz[:, t] = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), dh * squash * o * (1 - o), dc * i * (1 - g * g)], axis=2)
+            dh, dc = dz[:, t] @ recurrent.transpose(0, 2, 1), dc * f
+        flat = dz.reshape(2, steps * rows, -1)
+        one_hot = (np.stack([x, x[::-1]]).reshape(2, -1, 1) == np.arange(PAD + 1)).astype(e.dtype)
+        grads["x"] = one_hot.transpose(0, 2, 1) @ flat
+        grads["h"] = before.reshape(2, steps * rows, -1).transpose(0, 2, 1) @ flat
         return float((total - gold).mean()), {name: g / rows for name, g in grads.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 0) -> list[float]:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 32, rate: float = 0.01, seed: int = 0) -> list[float]:
         """Adam over windows (N, T); returns each epoch's mean loss."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
@@ -196,22 +185,49 @@ class Tagger:
             losses.append(float(np.mean(total)))
         return losses
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tags, margins) of windows (T, B): the best path, and how far its tag beats outside's."""
-        e, trans = self.emissions(x), self.w["t"]
-        steps, rows = x.shape
-        back = np.empty((steps, rows, TAGS), np.int8)
-        score = e[0]
-        for t in range(1, steps):
-            paths = score[:, :, None] + trans
-            back[t] = paths.argmax(axis=1)
-            score = paths.max(axis=1) + e[t]
-        tags = np.empty((steps, rows), np.int64)
-        tags[-1] = score.argmax(axis=1)
-        at = np.arange(rows)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t, at, tags[t]]
-        return tags, np.take_along_axis(e, tags[:, :, None], 2)[:, :, 0] - e[:, :, 0]
+    def marginals(self, x: np.ndarray) -> np.ndarray:
+        """(T, B, TAGS): the probability of each tag at each place of windows (T, B)."""
+        alpha, beta, total = forward_backward(self.emissions(x), self.w["t"])
+        return np.exp(alpha + beta - total[None, :, None])
+
+
+def forward_backward(e: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The CRF's (alpha, beta, total): logarithms of the sums over all paths up to a tag, after it, and
+    over whole paths, from emissions (T, B, TAGS)."""
+    alpha, beta = np.empty_like(e), np.zeros_like(e)
+    alpha[0] = e[0]
+    for t in range(1, len(e)):
+        alpha[t] = e[t] + log_sum(alpha[t - 1][:, :, None] + trans, 1)
+    for t in range(len(e) - 2, -1, -1):
+        beta[t] = log_sum(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
+    return alpha, beta, log_sum(alpha[-1], 1)
+
+
+def log_sum(v: np.ndarray, axis: int) -> np.ndarray:
+    top = v.max(axis=axis, keepdims=True)
+    return top.squeeze(axis) + np.log(np.exp(v - top).sum(axis=axis))
+
+
+def best_tags(p: np.ndarray) -> np.ndarray:
+    """(T, B) tags of the highest product of probabilities (T, B, TAGS) among the sequences in which an
+    inside tag follows a tag of its own kind."""
+    allowed = np.full((TAGS, TAGS), -np.inf, np.float32)
+    allowed[:, 0] = allowed[:, 1::2] = 0
+    for k in range(2, TAGS, 2):
+        allowed[k - 1, k] = allowed[k, k] = 0
+    e = np.log(np.maximum(p, 1e-9))
+    score = e[0] + allowed[0]
+    back = np.empty(p.shape, np.int8)
+    for t in range(1, len(e)):
+        paths = score[:, :, None] + allowed
+        back[t] = paths.argmax(axis=1)
+        score = paths.max(axis=1) + e[t]
+    tags = np.empty(p.shape[:2], np.int64)
+    tags[-1] = score.argmax(axis=1)
+    at = np.arange(p.shape[1])
+    for t in range(len(e) - 1, 0, -1):
+        tags[t - 1] = back[t, at, tags[t]]
+    return tags
 
 
 def tags_of(size: int, spans: list[Span]) -> np.ndarray:
@@ -242,8 +258,8 @@ def invented(rng: np.random.Generator, kind: int) -> str:
         digits = next(body + str(d) for d in range(10) if luhn(body + str(d)))
         gap = pick("", "", " ", "-", ".")
         return gap.join(digits[i : i + 4] for i in range(0, len(digits), 4))
-    sep = pick(" ", "-", ".", "")
-    area = pick(f"({number(3)}) ", number(3) + sep, f"0{number(2)}{sep or ' '}")
+    sep = pick(" ", "-", ".")
+    area = pick(f"({number(3)}) ", number(3) + sep, f"0{number(2)}{sep}")
     return pick(f"+{rng.integers(1, 100)} ", f"+{rng.integers(1, 100)}", "", "") + area + number(3) + sep + number(4)
 
 
@@ -255,28 +271,32 @@ def harmless(rng: np.random.Generator) -> str:
         lambda: f"{rng.integers(1900, 2100)}-{number(2)}-{number(2)}", lambda: f"{rng.integers(1, 1000)},{number(3)}.{number(2)}",
         lambda: f"${rng.integers(1, 900)}.{number(2)}", lambda: f"v{rng.integers(0, 9)}.{rng.integers(0, 20)}.{rng.integers(0, 20)}",
         lambda: f"{number(2)}:{number(2)}", lambda: "".join(rng.choice(list("0123456789abcdef"), rng.integers(16, 41))),
-        lambda: number(rng.integers(1, 7)), lambda: number(rng.integers(17, 30)), lambda: f"@{''.join(rng.choice(list('abcdefg'), 6))}",
+        lambda: number(rng.integers(1, 7)), lambda: number(rng.integers(7, 13)), lambda: number(rng.integers(17, 30)), lambda: f"@{''.join(rng.choice(list('abcdefg'), 6))}",
         lambda: f"{number(2)}-{number(2)}", lambda: f"[{number(1)}]", lambda: f"{number(3)}/{number(2)}", lambda: f"{number(2)} %",
     )
     return forms[rng.integers(len(forms))]()
 
 
-def examples(contexts: list[str], n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (n, WINDOW) of classes and tags: labelled values set into contexts of plain text."""
+#: What stands before and after a value.
+GLUE = ((" ", " ", " ", " (", ": ", "\n", "=", "<"), (" ", " ", " ", ", ", ". ", ")", "\n", ">", ";"))
+
+
+def examples(contexts: list[str], n: int, seed: int = 0, width: int = TRAINED) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (n, width) of classes and tags: labelled values set into contexts of plain text."""
     rng = np.random.default_rng(seed)
-    x, y = np.full((n, WINDOW), PAD, np.int64), np.zeros((n, WINDOW), np.int64)
+    x, y = np.full((n, width), PAD, np.int64), np.zeros((n, width), np.int64)
     contexts = [c for c in contexts if len(c) > 20] or ["the words of a text stand around what is to be found, and end here."]
     for i in range(n):
         context = contexts[rng.integers(len(contexts))]
         at = int(rng.integers(0, len(context)))
-        before, after = context[max(0, at - WINDOW) : at], context[at : at + WINDOW]
+        before, after = context[max(0, at - width) : at], context[at : at + width]
         kind = int(rng.integers(-3, len(KINDS)))
         value = invented(rng, kind) if kind >= 0 else harmless(rng)
-        glue = [["", " "][int(rng.integers(4) > 0)] for _ in range(2)]
+        glue = [GLUE[i][int(rng.integers(len(GLUE[i])))] for i in range(2)]
         whole = before + glue[0] + value + glue[1] + after
         start = len(before) + len(glue[0])
-        shift = max(0, start - int(rng.integers(0, WINDOW - min(len(value), WINDOW - 1))))
-        part = whole[shift : shift + WINDOW]
+        shift = max(0, start - int(rng.integers(0, width - min(len(value), width - 1))))
+        part = whole[shift : shift + width]
         spans = base_spans(part)
         if kind >= 0:
             spans = [s for s in spans if s[2] <= start - shift or s[0] >= start - shift + len(value)] + [(start - shift, kind, start - shift + len(value))]
@@ -284,12 +304,14 @@ def examples(contexts: list[str], n: int, seed: int = 0) -> tuple[np.ndarray, np
     return x, y
 
 
-def learn(docs: DataFrame, sample: int = 1500, windows: int = 1600, epochs: int = 8, hidden: int = 12, seed: int = 0) -> Tagger:
+def learn(docs: DataFrame, sample: int = 1500, windows: int = 2400, epochs: int = 8, hidden: int = 32, seed: int = 0) -> Tagger:
     """Train on about `sample` documents at most, chosen by a hash of doc_id.
 
     An executor cuts one plain window from each sampled document, and up to two around spans that the
-    base patterns label; the driver sees those windows only. Invented values in the plain windows are
-    the other labelled spans. An empty sample leaves the invented ones in a fixed context.
+    base patterns label; the driver sees those windows only. Labelled spans are values invented in
+    `windows` plain windows, in forms that the base patterns miss too, and what the base patterns find
+    in up to a sixth as many of the others, taken by their hash. An empty sample leaves the invented
+    ones in a fixed context.
     """
     slim = id_and_text(docs).where("text is not null")
     share = min(1.0, sample / max(1, slim.count()))
@@ -303,14 +325,15 @@ def learn(docs: DataFrame, sample: int = 1500, windows: int = 1600, epochs: int
                     at = ((i or 0) * 7919) % max(1, len(text) - WINDOW)
                     found.append((text[at : at + 2 * WINDOW], False))
                     for start, _, end in base_spans(text)[:2]:
-                        at = max(0, (start + end) // 2 - WINDOW // 2)
-                        found.append((text[at : at + WINDOW], True))
+                        at = max(0, (start + end - TRAINED) // 2)
+                        found.append((text[at : at + TRAINED], True))
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())], names=["window", "labelled"])
 
-    rows = sorted((r.labelled, r.window) for r in chosen.mapInArrow(cut, "window string, labelled boolean").collect())
+    order = lambda r: (xxhash.xxh64_intdigest(r.window, seed), r.window)
+    rows = [(r.labelled, r.window) for r in sorted(chosen.mapInArrow(cut, "window string, labelled boolean").collect(), key=order)]
     x, y = examples([w for labelled, w in rows if not labelled], windows, seed)
-    known = [w for labelled, w in rows if labelled][:windows]
-    more = np.full((len(known), WINDOW), PAD, np.int64), np.zeros((len(known), WINDOW), np.int64)
+    known = [w for labelled, w in rows if labelled][: windows // 6]
+    more = np.full((len(known), TRAINED), PAD, np.int64), np.zeros((len(known), TRAINED), np.int64)
     for i, w in enumerate(known):
         more[0][i, : len(w)], more[1][i, : len(w)] = classes(w), tags_of(len(w), base_spans(w))
     tagger = Tagger.fresh(hidden, seed)
@@ -320,8 +343,10 @@ def learn(docs: DataFrame, sample: int = 1500, windows: int = 1600, epochs: int
 
 # -- decoding of whole texts -------------------------------------------------------------------
 
-#: The mean margin per character that a span found by the model must have.
-LEAST_MARGIN = 2.0
+#: The mean probability per character that a span found by the model must have.
+LEAST = 0.9
+#: Windows that are decoded together, and places of the regions that are.
+TOGETHER, PLACES = 1024, 1 << 17
 
 
 def plausible(kind: int, value: str) -> bool:
@@ -334,7 +359,7 @@ def plausible(kind: int, value: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits) and len(digits) >= len(value) * 0.7
-    return 9 <= len(digits) <= 15 and len(digits) >= len(value) * 0.6 and all(c in "0123456789+-(). " for c in value)
+    return 9 <= len(digits) <= 15 and len(digits) >= len(value) * 0.6 and all(c in "0123456789+-(). " for c in value) and any(c in "+-(). " for c in value)
 
 
 def windows_of(text: str) -> list[int]:
@@ -353,55 +378,116 @@ def windows_of(text: str) -> list[int]:
     return begins
 
 
-def choose(candidates: list[tuple[int, int, int, float]]) -> list[Span]:
-    """The non-overlapping spans of the highest total score: weighted interval scheduling over the
-    candidates of all windows of a text."""
-    candidates = sorted(set(candidates), key=lambda c: (c[2], c[0], c[1]))
-    ends = [c[2] for c in candidates]
-    best, take = [0.0], []
-    for i, (start, _, _, score) in enumerate(candidates):
-        j = bisect_right(ends, start, 0, i)
-        take.append((best[j] + score > best[i], j))
-        best.append(max(best[i], best[j] + score))
-    out, i = [], len(candidates)
-    while i:
-        taken, j = take[i - 1]
-        if taken:
-            out.append(candidates[i - 1][:3])
-        i = j if taken else i - 1
-    return sorted(out)
+def probabilities(tagger: Tagger, texts: list[str], where: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The tag probabilities (T, TAGS) of each window (text, begin), as far as its text goes."""
+    out = []
+    for k in range(0, len(where), TOGETHER):
+        part = where[k : k + TOGETHER]
+        x = np.full((WINDOW, len(part)), PAD, np.int64)
+        for i, (d, b) in enumerate(part):
+            piece = texts[d][b : b + WINDOW]
+            x[: len(piece), i] = classes(piece)
+        p = tagger.marginals(x)
+        out += [p[: len(texts[d]) - b, i] for i, (d, b) in enumerate(part)]
+    return out
+
+
+def regions(found: dict[int, np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """(begin, probabilities) of each stretch that windows cover without a gap, from those of a text's
+    windows by their begins. A place takes what the window says in which it is furthest from an edge."""
+    out: list[tuple[int, np.ndarray]] = []
+    part: list[int] = []
+    begins = sorted(found)
+    for i, b in enumerate(begins):
+        part.append(b)
+        if i + 1 < len(begins) and begins[i + 1] <= b + len(found[b]):
+            continue
+        first, end = part[0], b + len(found[b])
+        merged, depth = np.empty((end - first, TAGS), np.float32), np.full(end - first, -1)
+        for w in part:
+            p = found[w]
+            own = np.minimum(np.arange(len(p)), np.arange(len(p))[::-1])
+            places = np.arange(w - first, w - first + len(p))
+            deeper = own > depth[places]
+            merged[places[deeper]], depth[places[deeper]] = p[deeper], own[deeper]
+        out.append((first, merged))
+        part = []
+    return out
+
+
+def decoded(stretches: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tags of each stretch; those of similar length are decoded together."""
+    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(stretches)
+    order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
+    while order:
+        longest = len(stretches[order[-1]])
+        n = max(1, PLACES // max(1, longest))
+        part, order = order[-n:], order[:-n]
+        p = np.zeros((longest, len(part), TAGS), np.float32)
+        p[:, :, 0] = 1
+        for k, i in enumerate(part):
+            p[: len(stretches[i]), k] = stretches[i]
+        tags = best_tags(p)
+        for k, i in enumerate(part):
+            out[i] = tags[: len(stretches[i]), k]
+    return out
 
 
 def model_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Per text the spans that the model finds: windows are decoded together, then reconciled.
+    """Per text the spans that the model finds.
 
-    A span that touches the edge of its window, where the text goes on, is left to the window that
-    overlaps there.
+    The windows' probabilities are put together per place, and each stretch of overlapping windows is
+    decoded as one, so a span may be longer than a window. Where a stretch begins or ends inside a span
+    and the text goes on, windows are added on that side, twice as many every time, until it doesn't.
     """
-    where = [(d, b) for d, t in enumerate(texts) for b in windows_of(t)]
-    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    for k in range(0, len(where), 1024):
-        part = where[k : k + 1024]
-        x = np.full((WINDOW, len(part)), PAD, np.int64)
-        for i, (d, b) in enumerate(part):
-            piece = texts[d][b : b + WINDOW]
-            x[: len(piece), i] = classes(piece)
-        tags, margins = tagger.decode(x)
-        for i in np.flatnonzero(tags.any(axis=0)).tolist():
-            (d, b), y, m = part[i], tags[:, i].tolist(), margins[:, i]
-            size, t = min(WINDOW, len(texts[d]) - b), 0
-            while t < size:
-                if not y[t]:
-                    t += 1
-                    continue
-                kind, start = (y[t] - 1) // 2, t
-                t += 1
-                while t < size and y[t] == 2 + 2 * kind:
-                    t += 1
-                cut_off = start == 0 and b > 0 or t == size and b + size < len(texts[d])
-                if not cut_off and m[start:t].mean() >= LEAST_MARGIN:
-                    found[d].append((b + start, kind, b + t, float(m[start:t].sum())))
-    return [choose(c) for c in found]
+    found: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    new = [(d, b) for d, t in enumerate(texts) for b in windows_of(t)]
+    settled: list[list[Span]] = [[] for _ in texts]
+    touched, more = {d for d, _ in new}, 1
+    while new:
+        for (d, b), p in zip(new, probabilities(tagger, texts, new)):
+            found[d][b] = p
+        stretches = [(d, b, p) for d in sorted(touched) for b, p in regions(found[d])]
+        new, touched = [], set()
+        spans: dict[int, list[Span]] = {d: [] for d, _, _ in stretches}
+        for (d, b, p), tags in zip(stretches, decoded([p for _, _, p in stretches])):
+            end = b + len(tags)
+            before = range(max(0, b - STRIDE * more), b, STRIDE) if tags[0] and b else ()
+            after = range(end - STRIDE, min(len(texts[d]) - 1, end - STRIDE + STRIDE * more), STRIDE) if tags[-1] and end < len(texts[d]) else ()
+            added = [(d, w) for w in (*before, *after) if w not in found[d]]
+            new += added
+            touched |= {w for w, _ in added}
+            spans[d] += spans_in(tags, p, b)
+        for d, x in spans.items():
+            settled[d] = x
+        more *= 2
+    return settled
+
+
+def spans_in(tags: np.ndarray, p: np.ndarray, begin: int) -> list[Span]:
+    """The spans of the tags whose mean probability is LEAST at least."""
+    out = []
+    starts = np.flatnonzero(tags % 2 == 1)
+    for start in starts.tolist():
+        end = start + 1
+        while end < len(tags) and tags[end] == tags[start] + 1:
+            end += 1
+        if p[np.arange(start, end), tags[start:end]].mean() >= LEAST:
+            out.append((begin + start, int(tags[start] - 1) // 2, begin + end))
+    return out
+
+
+def whole_words(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span without white space at its ends and with the runs of letters and digits it cuts."""
+    while start < end and text[start].isspace():
+        start += 1
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    while 0 < start < end and text[start].isalnum() and text[start - 1].isalnum():
+        start -= 1
+    while start < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
+    return start, end
 
 
 def all_spans(tagger: Tagger | None, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
@@ -414,8 +500,7 @@ def all_spans(tagger: Tagger | None, texts: list[str | None]) -> list[list[tuple
     for text, own, extra in zip(texts, base, more):
         spans = [(*s, True) for s in own]
         for start, kind, end in extra:
-            value = text[start:end]
-            start, end = start + len(value) - len(value.lstrip()), end - len(value) + len(value.rstrip())
+            start, end = whole_words(text, start, end)
             if start < end and plausible(kind, text[start:end]) and not any(s < end and start < e for s, _, e in own):
                 spans.append((start, kind, end, False))
         out.append(sorted(spans))
