@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, id_and_text, materialise, with_columns
+from .common import by_text, id_and_text, materialise, private, with_columns
 from .components import connected_components
 
 LOW_BITS = np.uint64(0x0101010101010101)
@@ -177,11 +177,12 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(by_text(schema, rows), "node long, shingles array<long>")
 
 
-def forest(candidates: Callable[[int], np.ndarray], linked: Callable[[int, int], bool], size: int) -> list[tuple[int, int]]:
-    """Links that connect all that linked pairs of candidates connect. Pairs that are connected
-    already aren't tested, so a dense group takes few tests and never gives more links than members."""
-    labels, out = np.arange(size), []
-    for i in range(size):
+def forest(candidates: Callable[[int], np.ndarray], linked: Callable[[int, int], bool], labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all that linked pairs of candidates connect. Pairs of one label, or that are
+    connected already, aren't tested, so a dense group takes few tests and never gives more links than
+    members."""
+    labels, out = labels.copy(), []
+    for i in range(len(labels)):
         left = candidates(i) & (labels != labels[i])
         while left.any():
             j = int(left.argmax())
@@ -193,22 +194,48 @@ def forest(candidates: Callable[[int], np.ndarray], linked: Callable[[int, int],
     return out
 
 
+def coded(shingles: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sets with their shingles numbered from 0, in one numbering, and an array of no for each."""
+    distinct, codes = np.unique(shingles.combine_chunks().flatten().to_numpy(), return_inverse=True)
+    return np.split(codes, np.cumsum(pc.list_value_length(shingles).to_numpy())[:-1]), np.zeros(len(distinct), bool)
+
+
+def near(prints: np.ndarray, n: np.ndarray, i: int, max_distance: int, similarity: float) -> np.ndarray:
+    """Which rows' fingerprints and sizes don't rule out a link with row i."""
+    close = np.bitwise_count(prints ^ prints[i]).sum(axis=1) <= max_distance
+    return close & (np.minimum(n, n[i]) / np.maximum(n, n[i]) >= similarity)
+
+
+def head_links(names: list[str], max_distance: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """The links of nodes with the head that they share a band with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, head, n = (table.column(c).to_numpy() for c in ("node", "head", "n"))
+        prints = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        h = int((node == head).argmax())
+        sets, held = coded(table.column("shingles"))
+        held[sets[h]] = True
+        close = near(prints, n, h, max_distance, similarity) & (node != head)
+        ends = [i for i in np.flatnonzero(close).tolist() if (both := np.count_nonzero(held[sets[i]])) / (n[i] + n[h] - both) >= similarity]
+        return pa.table({"a": node[ends], "b": head[ends]})
+
+    return run
+
+
 def block_links(names: list[str], max_distance: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
-    """The links between two blocks of a group, or within one."""
+    """The links between two blocks of a group, or within one, that connect different labels."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        prints = np.stack([table.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-        n = table.column("n").to_numpy()
-        codes = np.unique(table.column("shingles").combine_chunks().flatten().to_numpy(), return_inverse=True)[1]
-        sets = np.split(codes, np.cumsum(pc.list_value_length(table.column("shingles")).to_numpy())[:-1])
-        held, holder = np.zeros(codes.max() + 1, bool), -1
+        node, n, label = (table.column(c).to_numpy() for c in ("node", "n", "label"))
+        block = np.unique(table.column("block").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        prints = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+        sets, held = coded(table.column("shingles"))
+        holder = -1
         across = table.column("i")[0] != table.column("j")[0]
 
         def candidates(i: int) -> np.ndarray:
-            near = np.bitwise_count(prints ^ prints[i]).sum(axis=1) <= max_distance
-            near &= np.minimum(n, n[i]) / np.maximum(n, n[i]) >= similarity
-            return near & (block != block[i]) if across else near
+            close = near(prints, n, i, max_distance, similarity)
+            return close & (block != block[i]) if across else close
 
         def linked(i: int, j: int) -> bool:
             nonlocal holder
@@ -219,55 +246,91 @@ def block_links(names: list[str], max_distance: int, similarity: float) -> Calla
             both = np.count_nonzero(held[sets[j]])
             return both / (n[i] + n[j] - both) >= similarity
 
-        found = forest(candidates, linked, len(node))
+        found = forest(candidates, linked, np.unique(label, return_inverse=True)[1])
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": node[ends[:, 0]], "b": node[ends[:, 1]]})
 
     return run
 
 
+def linked_sets(nodes: DataFrame, keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], names: list[str], max_distance: int, similarity: float) -> DataFrame:
+    """(node, component) of the nodes that have a link. nodes: node, n, rep and the fingerprint's names;
+    keyed: node, key; sets: from nodes to (node, shingles).
+
+    First every node is compared with the heads, the smallest nodes, of its bands: work in proportion
+    to the nodes, which settles a large group of near copies of one text. Nodes that shared bands
+    connect, directly or through others, form a group. In a group that the heads haven't made one
+    component, all pairs of different components are compared, block against block. A component of
+    more than a block has blocks of its own, which meet those of others only.
+    """
+    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("held")).where("held > 1").drop("held")
+    met = materialise(keyed.join(heads, "key").where("node <> head").select("node", "head").distinct(), "met")
+    groups = materialise(connected_components(met, "node", "head").withColumnRenamed("component", "group"), "groups")
+    members = groups.join(nodes, "node")
+    members = materialise(members.join(sets(members), "node").select("group", "node", "n", *names, "shingles"), "members")
+
+    slim = members.drop("group")
+    salts = materialise(met.join(slim.select("node", "n"), "node").groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).alias("salts")), "salts")
+    spokes = met.join(slim, "node").join(salts, "head").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
+    hubs = slim.join(salts.withColumn("node", F.col("head")), "node").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    by_head = spokes.unionByName(hubs).drop("salts").groupBy("head", "salt").applyInArrow(head_links(names, max_distance, similarity), "a long, b long")
+    by_head = materialise(by_head, "head-links")
+    first = connected_components(by_head).withColumnRenamed("component", "label")
+
+    labelled = materialise(groups.join(first, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")), "labelled")
+    open_groups = labelled.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("held")).where("a <> b and held > 2").select("group")
+    rows = members.join(labelled.drop("group"), "node").join(open_groups, "group")
+    sizes = rows.groupBy("group", "label").agg(F.sum("n").alias("size")).withColumn("part", F.when(F.col("size") > BLOCK, F.col("label").cast("string")).otherwise("rest"))
+    sizes = materialise(sizes, "sizes")
+    parts = sizes.groupBy("group", "part").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    dealt = rows.join(sizes.select("group", "label", "part"), ["group", "label"]).join(parts, ["group", "part"])
+    named = lambda part, number: F.concat_ws(":", part, number.cast("string"))
+    dealt = dealt.withColumn("block", named(F.col("part"), F.pmod(F.xxhash64("node"), "blocks"))).drop("blocks")
+    others = parts.select("group", F.col("part").alias("other"), "blocks")
+    faced = dealt.join(others, "group").where("part <> other or part = 'rest'").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    opposite = named(F.col("other"), F.col("number"))
+    faced = faced.withColumns({"i": F.least("block", opposite), "j": F.greatest("block", opposite)}).select("group", "i", "j", "block", "node", "n", "label", *names, "shingles")
+    by_block = faced.groupBy("group", "i", "j").applyInArrow(block_links(names, max_distance, similarity), "a long, b long")
+    return connected_components(by_head.unionByName(by_block))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7, max_distance: int = 58, bands: int = 24, similarity: float = 0.8) -> DataFrame:
     """docs with one row left of each group of near-duplicates, that of the smallest id.
 
     Documents of one set of shingles are one node. Every node emits its band keys, and nodes that
     share a key are candidates: a pair of similarity s with the chance 1 - (1 - s^BAND)^bands. Nodes
-    connected by shared keys form a group; all of its pairs are compared, block against block, so that
-    a large group is spread over many tasks. They link if their SimHashes of bits * tables bits differ
-    in max_distance or fewer and the similarity of their sets (what both have of what either has) is
-    similarity at least.
+    connected by shared keys form a group, all of whose pairs count; none is capped. They link if their
+    SimHashes of bits * tables bits differ in max_distance or fewer and the similarity of their sets
+    (what both have of what either has) is similarity at least.
 
     Rows are judged by id and set: where one id has several texts, each counts in its own group. Of
-    rows that repeat both, one stays; rows without an id are kept as they are.
+    rows that repeat both, one stays; rows without an id are kept as they are. Texts without a word,
+    null ones too, are one set. Texts of any length are read whole; an empty table gives an empty
+    result. Columns of any name may be in docs.
     """
     names = [f"f{i}" for i in range(-(-bits * tables // 64))]
     rows = materialise(sketches(docs, words, len(names), bands).where("doc_id is not null"), "sketches")
     nodes = materialise(rows.groupBy("node", "n", *names).agg(F.min("doc_id").alias("rep")), "nodes")
     keyed = materialise(rows.select("node", F.explode("keys").alias("key")).distinct(), "keys")
-    heads = materialise(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("held")).where("held > 1").drop("held"), "heads")
-    groups = materialise(connected_components(keyed.join(heads, "key").where("node <> head").select("node", "head").distinct(), "node", "head"), "groups")
-
-    members = materialise(groups.join(nodes, "node"), "members")
-    sought = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = shingle_sets(id_and_text(docs).join(sought, "doc_id"), words).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "sets")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "component").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = dealt.select("component", "node", "n", "block", "shingles", *names, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = met.groupBy("component", "i", "j").applyInArrow(block_links(names, max_distance, similarity), "a long, b long")
 
-    found = connected_components(links)
+    def sets(members: DataFrame) -> DataFrame:
+        sought = members.select(F.col("rep").alias("doc_id")).distinct()
+        return shingle_sets(id_and_text(docs).join(sought, "doc_id"), words).groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    found = linked_sets(nodes, keyed, sets, names, max_distance, similarity)
+    p = private(docs)
     placed = rows.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
-    winners = materialise(placed.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("w")).select("w.doc_id", "w.node"), "winners")
-    repeated = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_caseweave_id")), "repeated")
-    lost = placed.select("doc_id").distinct().join(winners, "doc_id", "left_anti").select(F.col("doc_id").alias("_caseweave_id"))
+    winners = materialise(placed.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("w")).select(F.col("w.doc_id").alias(p + "id"), F.col("w.node").alias(p + "set")), "winners")
+    repeated = materialise(rows.groupBy(F.col("doc_id").alias(p + "id")).agg(F.count("*").alias("n")).where("n > 1").select(p + "id"), "repeated")
+    lost = placed.select(F.col("doc_id").alias(p + "id")).distinct().join(winners, p + "id", "left_anti")
     gone = materialise(lost.unionByName(repeated).distinct(), "gone")
-    single = docs.join(gone, docs["doc_id"] == gone["_caseweave_id"], "left_anti")
+    single = docs.join(gone, docs["doc_id"] == gone[p + "id"], "left_anti")
 
     def node(texts: list) -> list[pa.Array]:
         return [pa.array(np.array([set_hash(distinct_shingles(t, words)) for t in texts], np.uint64).view(np.int64))]
 
-    several = with_columns(docs.join(repeated, docs["doc_id"] == repeated["_caseweave_id"], "left_semi"), node, [("_caseweave_node", "long")])
-    same = (several["doc_id"] == winners["doc_id"]) & (several["_caseweave_node"] == winners["node"])
-    one = several.join(winners, same, "left_semi").dropDuplicates(["doc_id", "_caseweave_node"]).drop("_caseweave_node")
+    several = with_columns(docs.join(repeated, docs["doc_id"] == repeated[p + "id"], "left_semi"), node, [(p + "node", "long")])
+    same = (several["doc_id"] == winners[p + "id"]) & (several[p + "node"] == winners[p + "set"])
+    one = several.join(winners, same, "left_semi").dropDuplicates(["doc_id", p + "node"]).drop(p + "node")
     return single.unionByName(one)

@@ -109,6 +109,47 @@ def test_blocks_compare_every_pair(spark, monkeypatch):
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
+def test_like_all_pairs(spark, monkeypatch):
+    """Families of texts that share passages, so that groups hold strangers, chains and large components."""
+    monkeypatch.setattr(simhash, "BLOCK", 3000)
+    rng, texts = random.Random(12), []
+    for family in range(6):
+        shared = [f"s{family}.{k}" for k in range(120)]
+        for _ in range(8):
+            own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([20, 60, 100]))]
+            base = shared + own
+            for _ in range(rng.choice([1, 2, 12])):
+                words = list(base)
+                for _ in range(rng.randrange(5)):
+                    words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+                texts.append(words)
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), words=5, max_distance=252)
+    ids = {r.doc_id for r in kept.collect()}
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert want <= ids and len(ids - want) <= 2
+
+
+def test_clashing_names(spark):
+    rows = [(i % 3, "a b c d e f g h") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _caseweave_id", "2 AS node", "3 AS n", "'x' AS component")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_pairs_below_the_threshold_stay(spark):
     """Pairs at 0.72 pass the fingerprint's filter and mostly share a band, and still aren't linked."""
     rng, rows = random.Random(10), []
