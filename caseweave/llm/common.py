@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 #: Rows of a batch that a per-document function is handed at once, by characters: a batch of long
 #: documents holds fewer of them.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
-from .tokens import encoder
+from .tokens import REMEMBERED, encoder
 
 #: Tokens of the stream that one dynamic programme sees; its last window opens the next one.
 BLOCK = 1 << 20
@@ -130,8 +130,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
     There is no shuffle: partitions are packed by themselves, and a sequence id holds its partition's
     number above 40 bits. Each partition's last window may be short.
 
-    kept: how many pieces of text a worker remembers between tasks. Where other stages run in the same
-    application, an idle worker's memory stands beside theirs, and few are better.
+    kept: how many pieces of text a worker remembers, if not tokens.REMEMBERED. Where other stages run
+    in the same application, an idle worker's memory stands beside theirs, and few are better.
 
     A null or empty text is the end_id alone. Repeated rows are packed as often as they come, rows
     without an id keep a null id, and an empty table gives an empty result.
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
+        encode.remembered = REMEMBERED if kept is None else kept
         names = [encode.tokenizer.id_to_token(i) or "" for i in range(encode.tokenizer.get_vocab_size())]
         ends = np.array([n.rstrip("\"')").endswith((".", "!", "?", "Ċ")) for n in names])
         opens = np.array([i == end_id or n.startswith(("Ġ", "Ċ", "ĉ", "č")) for i, n in enumerate(names)])
