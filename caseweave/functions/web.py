@@ -55,18 +55,37 @@ def answer_days(url: Column, body: Column) -> Column:
     return F.when(lasting & ~F.coalesce(body, F.lit("")).rlike('"results"\\s*:\\s*\\[\\s*\\]'), F.lit(30)).otherwise(F.lit(1)).cast("long")
 
 
-def status_of(method: Column, path: Column, origin_header: Column, allowed: list[str]) -> Column:
-    """The status a request gets before any work is done: CORS membership, then path, then method."""
+#: The paths of the service, each with its one method.
+SERVICE = {"/pdf": "GET", "/health": "GET", "/source": "POST"}
+#: The bytes that a request's body may have, under /runtime/ and elsewhere.
+RUNTIME_BODY, BODY = 128 * 1024 * 1024, 132_000
+
+
+def status_of(method: Column, path: Column, origin_header: Column, allowed: list[str], asked_method: Column | None = None, asked_headers: Column | None = None) -> Column:
+    """The status a request gets before any work is done: its origin, then its path, then its method.
+
+    OPTIONS is answered, unless the preflight asks for another method than the path's own, or for a
+    header; /source takes content-type. An absent or empty value asks for nothing.
+    """
+    own = F.when(path == "/source", "POST").otherwise("GET")
+    other_method = F.coalesce(asked_method, F.lit("")) if asked_method is not None else F.lit("")
+    header = F.lower(F.coalesce(asked_headers, F.lit(""))) if asked_headers is not None else F.lit("")
+    refused = ((other_method != "") & (other_method != own)) | ((header != "") & ~((path == "/source") & (header == "content-type")))
     return (
-        F.when(origin_header.isNotNull() & ~origin_header.isin(allowed), F.lit(403))
-        .when(method == "OPTIONS", F.lit(204))
-        .when(~path.isin("/pdf", "/health"), F.lit(404))
-        .when(~method.isin("GET", "HEAD"), F.lit(405))
+        F.when((F.coalesce(origin_header, F.lit("")) != "") & ~origin_header.isin(allowed), F.lit(403))
+        .when(~path.isin(*SERVICE), F.lit(404))
+        .when(method == "OPTIONS", F.when(refused, F.lit(403)).otherwise(F.lit(204)))
+        .when(method != own, F.lit(405))
         .otherwise(F.lit(200))
         .cast("long")
     )
 
 
+def body_fits(path: Column, size: Column) -> Column:
+    """Whether a request's body is within the limit of its path."""
+    return size <= F.when(path.startswith("/runtime/"), F.lit(RUNTIME_BODY)).otherwise(F.lit(BODY))
+
+
 def ip_number(address: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
     parts = F.split(address, "\\.")
@@ -92,24 +111,35 @@ def ip_key(address: Column) -> Column:
     return run(address)
 
 
-#: The interfaces that may be asked, as provider, method and address.
+#: What may be asked, as host, method and path.
 ENDPOINTS = (
-    ("courtlistener", "GET", r"^https://www\.courtlistener\.com/api/rest/v4/(search|clusters/[0-9]+)/([?].*)?$"),
-    ("govinfo", "POST", r"^https://api\.govinfo\.gov/search$"),
-    ("govinfo", "GET", r"^https://api\.govinfo\.gov/packages/[A-Za-z0-9-]+/summary$"),
+    ("www.courtlistener.com", "GET", r"^/api/rest/v4/(citation-lookup/|search/|clusters/\d+/|opinions/(\d+/)?)$"),
+    ("www.courtlistener.com", "POST", r"^/api/rest/v4/citation-lookup/$"),
+    ("api.govinfo.gov", "GET", r"^/packages/USCOURTS-[A-Za-z0-9_-]+/(summary|pdf)$"),
+    ("api.govinfo.gov", "POST", r"^/search$"),
+    ("www.govinfo.gov", "GET", r"^/content/pkg/(USCOURTS-[A-Za-z0-9_-]+)/pdf/\1\.pdf$"),
+    ("assets.publishing.service.gov.uk", "GET", r"^(?i)/(media/[A-Za-z0-9_-]+|government/uploads/system/uploads/attachment_data/file/\d+)/[^/]+\.pdf$"),
+    ("storage.courtlistener.com", "GET", r"^(?i)/[A-Za-z0-9_%./-]+\.pdf$"),
 )
 
 
 def provider(url: Column, method: Column) -> Column:
-    """Whose interface a request is for; null for one that isn't allowed."""
-    found = F.lit(None).cast("string")
-    for name, verb, pattern in reversed(ENDPOINTS):
-        found = F.when((method == verb) & url.rlike(pattern), F.lit(name)).otherwise(found)
-    return found
+    """The host that a request is for; null for one that isn't allowed.
+
+    https only, without a user or another port than its own, and without encoded slashes, backslashes
+    and NULs in the path. Query and fragment don't count.
+    """
+    whole = r"^https://([^/?#@:]+)(?::443)?(/[^?#]*)?([?#].*)?$"
+    asked, path = F.lower(F.regexp_extract(url, whole, 1)), F.regexp_extract(url, whole, 2)
+    fits = F.lit(False)
+    for name, verb, pattern in ENDPOINTS:
+        fits = fits | ((asked == name) & (method == verb) & path.rlike(pattern))
+    return F.when(fits & ~path.rlike(r"(?i)\\|%(00|2f|5c)"), asked)
 
 
 def credential_fits(value: Column, longest: int = 4096) -> Column:
-    return value.isNotNull() & (F.length(value) <= longest) & ~value.rlike("[\\r\\n]")
+    """Whether a credential may be sent on: none, or a short text of one line."""
+    return value.isNull() | ((F.length(value) <= longest) & ~value.rlike("[\\r\\n]"))
 
 
 def safe_path(path: Column, kind: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,16 +106,19 @@ def gate(settings: DataFrame, facts: DataFrame, owner: str = "store") -> DataFra
     return facts.join(wide, owner, "left").select(owner, F.coalesce(fits, F.lit(False)).alias("open"))
 
 
-def addresses_in(addresses: DataFrame, rules: DataFrame, number: str = "n") -> DataFrame:
+def addresses_in(addresses: DataFrame, rules: DataFrame, number: str = "n", stretch: Callable[[Column], Column] = lambda n: F.shiftright(n, 20)) -> DataFrame:
     """addresses with `blocked`: whether a rule of the same family holds the number.
 
-    Rules are sorted into disjoint blocks first, so each address meets at most one: the last block
-    that begins at or before it, found by a window over the union."""
+    The rules, which are few beside the addresses, are merged into disjoint blocks first, so an address
+    meets one at most. Blocks and addresses meet by the stretch of numbers that they are in: a block
+    stands in each that it reaches into, so this is an equality join, which Spark broadcasts if the
+    blocks' measured size is small and splits where a stretch is hot. stretch: from a number to one of
+    a few thousand consecutive longs; the default suits IPv4 addresses as numbers.
+    """
     order = Window.partitionBy("family").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     block = rules.withColumn("_reach", F.max("last").over(order)).withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("first") > F.col("_reach")), 1).otherwise(0))
-    block = block.withColumn("_b", F.sum("_new").over(Window.partitionBy("family").orderBy("first"))).groupBy("family", "_b").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    both = addresses.select("family", F.col(number).alias("_at"), F.lit(1).alias("_side"), F.struct(*addresses.columns).alias("_row"), F.lit(None).cast(rules.schema["last"].dataType).alias("_last")).unionByName(
-        block.select("family", F.col("first").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(addresses.select(F.struct(*addresses.columns).alias("s")).schema["s"].dataType).alias("_row"), F.col("last").alias("_last"))
-    )
-    seen = F.last("_last", ignorenulls=True).over(Window.partitionBy("family").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("blocked", F.coalesce(seen >= F.col("_at"), F.lit(False))).where("_side = 1").select("_row.*", "blocked")
+    block = block.withColumn("_b", F.sum("_new").over(Window.partitionBy("family").orderBy("first"))).groupBy("family", "_b").agg(F.min("first").alias("_first"), F.max("last").alias("_last"))
+    reached = block.select(F.col("family").alias("_family"), "_first", "_last", F.explode(F.sequence(stretch(F.col("_first")), stretch(F.col("_last")))).alias("_stretch"))
+    n = F.col(number)
+    meets = (F.col("family") == F.col("_family")) & (stretch(n) == F.col("_stretch")) & (n >= F.col("_first")) & (n <= F.col("_last"))
+    return addresses.join(reached, meets, "left").select(*addresses.columns, F.col("_first").isNotNull().alias("blocked"))

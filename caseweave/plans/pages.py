@@ -97,13 +97,41 @@ def kv_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.gate(settings, facts)
 
 
-@query("""WITH r AS (SELECT page_id, ['GET', 'POST', 'OPTIONS', 'HEAD'][page_id % 4 + 1] AS method, ['/pdf', '/health', '/other'][page_id % 3 + 1] AS path, [NULL, 'https://a.test', 'https://b.test'][page_id % 7 % 3 + 1] AS origin FROM pages)
-SELECT page_id, CAST(CASE WHEN origin IS NOT NULL AND origin <> 'https://a.test' THEN 403 WHEN method = 'OPTIONS' THEN 204 WHEN path NOT IN ('/pdf', '/health') THEN 404 WHEN method NOT IN ('GET', 'HEAD') THEN 405 ELSE 200 END AS BIGINT) AS status FROM r""")
+METHODS, PATHS, ORIGINS = ["GET", "POST", "OPTIONS", "HEAD"], ["/pdf", "/health", "/source", "/other"], [None, "https://a.test", "https://b.test", ""]
+ASKED, HEADERS = [None, "GET", "POST"], [None, "Content-Type", "x-other", "", None]
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of every kind: each column's values follow each other in their own period."""
+    pick = lambda xs, i: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), i.cast("int"))
+    p = F.col("page_id")
+    return table(spark, sf_dir, "pages").select("page_id", pick(METHODS, p % 4).alias("method"), pick(PATHS, F.floor(p / 4) % 4).alias("path"), pick(ORIGINS, p % 7 % 4).alias("origin"), pick(ASKED, p % 11 % 3).alias("asked"), pick(HEADERS, p % 5).alias("headers"))
+
+
+def quoted(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH r AS (SELECT page_id, {quoted(METHODS)}[page_id % 4 + 1] AS method, {quoted(PATHS)}[page_id // 4 % 4 + 1] AS path, {quoted(ORIGINS)}[page_id % 7 % 4 + 1] AS origin,
+  {quoted(ASKED)}[page_id % 11 % 3 + 1] AS asked, {quoted(HEADERS)}[page_id % 5 + 1] AS headers FROM pages)
+SELECT page_id, CAST(CASE
+  WHEN origin <> '' AND origin <> 'https://a.test' THEN 403
+  WHEN path NOT IN ('/pdf', '/source', '/health') THEN 404
+  WHEN method = 'OPTIONS' AND path = '/source' THEN CASE WHEN coalesce(asked, '') NOT IN ('', 'POST') OR lower(coalesce(headers, '')) NOT IN ('', 'content-type') THEN 403 ELSE 204 END
+  WHEN method = 'OPTIONS' THEN CASE WHEN coalesce(asked, '') NOT IN ('', 'GET') OR coalesce(headers, '') <> '' THEN 403 ELSE 204 END
+  WHEN path = '/source' AND method <> 'POST' THEN 405 WHEN path <> '/source' AND method <> 'GET' THEN 405 ELSE 200 END AS BIGINT) AS status FROM r""")
 def request_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = web.status_of(F.col("method"), F.col("path"), F.col("origin"), ["https://a.test"], F.col("asked"), F.col("headers"))
+    return requests(spark, sf_dir).select("page_id", status.alias("status"))
+
+
+@query("""WITH b AS (SELECT page_id, ['/runtime/x', '/source', '/runtimes', '/pdf'][page_id % 4 + 1] AS path, [0, 132000, 132001, 134217728, 134217729][page_id % 5 + 1] AS size FROM pages)
+SELECT page_id, CASE WHEN starts_with(path, '/runtime/') THEN size <= 134217728 ELSE size <= 132000 END AS fits FROM b""")
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
     p = F.col("page_id")
-    rows = table(spark, sf_dir, "pages").select("page_id", pick(["GET", "POST", "OPTIONS", "HEAD"], p % 4).alias("method"), pick(["/pdf", "/health", "/other"], p % 3).alias("path"), pick([None, "https://a.test", "https://b.test"], p % 7 % 3).alias("origin"))
-    return rows.select("page_id", web.status_of(F.col("method"), F.col("path"), F.col("origin"), ["https://a.test"]).alias("status"))
+    rows = table(spark, sf_dir, "pages").select("page_id", pick(["/runtime/x", "/source", "/runtimes", "/pdf"], p % 4).alias("path"), pick([0, 132000, 132001, 134217728, 134217729], p % 5).alias("size"))
+    return rows.select("page_id", web.body_fits(F.col("path"), F.col("size")).alias("fits"))
 
 
 @query(r"""WITH e AS (SELECT page_id, ['a/b.txt', '/abs', 'a/../b', 'c:\x', 'ok/..x/y', ''][page_id % 6 + 1] AS path, ['-', 'd', 'l'][page_id % 5 % 3 + 1] AS kind FROM pages)
@@ -122,17 +150,42 @@ def first_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.first_available(rows, "record", "ord", F.col("ord") % 3 != 0, "url")
 
 
-@query(r"""WITH u AS (SELECT page_id, ['https://www.courtlistener.com/api/rest/v4/search/?q=1', 'https://www.courtlistener.com/api/rest/v4/clusters/7/', 'https://api.govinfo.gov/search', 'https://api.govinfo.gov/packages/USCODE-1/summary', 'https://api.govinfo.gov/other', 'http://www.courtlistener.com/api/rest/v4/search/'][page_id % 6 + 1] AS url, ['GET', 'POST'][page_id % 7 % 2 + 1] AS method FROM pages)
-SELECT page_id, CASE WHEN method = 'GET' AND regexp_matches(url, '^https://www\.courtlistener\.com/api/rest/v4/(search|clusters/[0-9]+)/([?].*)?$') THEN 'courtlistener'
-  WHEN method = 'POST' AND url = 'https://api.govinfo.gov/search' THEN 'govinfo' WHEN method = 'GET' AND regexp_matches(url, '^https://api\.govinfo\.gov/packages/[A-Za-z0-9-]+/summary$') THEN 'govinfo' END AS provider FROM u""")
+URLS = [
+    "https://www.courtlistener.com/api/rest/v4/search/?q=1", "https://www.courtlistener.com/api/rest/v4/clusters/7/", "https://www.courtlistener.com/api/rest/v4/citation-lookup/", "https://www.courtlistener.com/api/rest/v4/opinions/",
+    "https://www.courtlistener.com/api/rest/v4/opinions/12/#x", "https://www.courtlistener.com/api/rest/v4/people/", "https://api.govinfo.gov/search", "https://api.govinfo.gov/packages/USCOURTS-1_a/summary", "https://api.govinfo.gov/packages/USCODE-1/summary",
+    "https://api.govinfo.gov/packages/USCOURTS-1/pdf?api_key=k", "https://www.govinfo.gov/content/pkg/USCOURTS-a/pdf/USCOURTS-a.pdf", "https://www.govinfo.gov/content/pkg/USCOURTS-a/pdf/USCOURTS-b.pdf", "https://assets.publishing.service.gov.uk/media/5a/Judgment.PDF",
+    "https://assets.publishing.service.gov.uk/government/uploads/system/uploads/attachment_data/file/12/x y.pdf", "https://assets.publishing.service.gov.uk/other/x.pdf", "https://storage.courtlistener.com/pdf/2020/x.pdf", "https://storage.courtlistener.com/pdf%2fx.pdf",
+    "http://www.courtlistener.com/api/rest/v4/search/", "https://www.courtlistener.com:8443/api/rest/v4/search/", "https://user@www.courtlistener.com/api/rest/v4/search/", "https://WWW.courtlistener.com:443/api/rest/v4/search/", "https://storage.courtlistener.com/x.html", "not a url",
+]
+
+
+@query(rf"""WITH u AS (SELECT page_id, {quoted(URLS)}[page_id % {len(URLS)} + 1] AS url, ['GET', 'POST', 'PUT'][page_id // {len(URLS)} % 3 + 1] AS method FROM pages),
+p AS (SELECT *, regexp_extract(url, '^https://([^/?#]*)', 1) AS authority, split_part(split_part(regexp_extract(url, '^https://[^/?#]*(.*)$', 1), '#', 1), '?', 1) AS path FROM u),
+h AS (SELECT *, lower(regexp_replace(authority, ':443$', '')) AS host FROM p)
+SELECT page_id, CASE
+  WHEN host LIKE '%:%' OR host LIKE '%@%' OR regexp_matches(path, '(?i)%(00|2f|5c)') THEN NULL
+  WHEN host = 'www.courtlistener.com' AND method = 'POST' AND path = '/api/rest/v4/citation-lookup/' THEN host
+  WHEN host = 'www.courtlistener.com' AND method = 'GET' AND regexp_full_match(path, '/api/rest/v4/(citation-lookup/|search/|clusters/[0-9]+/|opinions/|opinions/[0-9]+/)') THEN host
+  WHEN host = 'api.govinfo.gov' AND method = 'POST' AND path = '/search' THEN host
+  WHEN host = 'api.govinfo.gov' AND method = 'GET' AND regexp_full_match(path, '/packages/USCOURTS-[A-Za-z0-9_-]+/(summary|pdf)') THEN host
+  WHEN host = 'www.govinfo.gov' AND method = 'GET' AND regexp_full_match(path, '/content/pkg/USCOURTS-[A-Za-z0-9_-]+/pdf/[^/]+') AND split_part(path, '/', 6) = split_part(path, '/', 4) || '.pdf' THEN host
+  WHEN host = 'assets.publishing.service.gov.uk' AND method = 'GET' AND regexp_full_match(lower(path), '/(media/[a-z0-9_-]+|government/uploads/system/uploads/attachment_data/file/[0-9]+)/[^/]+\.pdf') THEN host
+  WHEN host = 'storage.courtlistener.com' AND method = 'GET' AND regexp_full_match(lower(path), '/[a-z0-9_%./-]+\.pdf') THEN host END AS provider FROM h""")
 def provider_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
-    p = F.col("page_id")
-    urls = ["https://www.courtlistener.com/api/rest/v4/search/?q=1", "https://www.courtlistener.com/api/rest/v4/clusters/7/", "https://api.govinfo.gov/search", "https://api.govinfo.gov/packages/USCODE-1/summary", "https://api.govinfo.gov/other", "http://www.courtlistener.com/api/rest/v4/search/"]
-    rows = table(spark, sf_dir, "pages").select("page_id", pick(urls, p % 6).alias("url"), pick(["GET", "POST"], p % 7 % 2).alias("method"))
+    p = F.col("page_id").cast("long")
+    rows = table(spark, sf_dir, "pages").select("page_id", pick(URLS, p % len(URLS)).alias("url"), pick(["GET", "POST", "PUT"], F.floor(p / len(URLS)) % 3).alias("method"))
     return rows.select("page_id", web.provider(F.col("url"), F.col("method")).alias("provider"))
 
 
+@query("""WITH c AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN repeat('k', 4096) WHEN 2 THEN repeat('k', 4097) WHEN 3 THEN 'a' || chr(10) || 'b' ELSE '' END AS token FROM pages)
+SELECT page_id, token IS NULL OR (length(token) <= 4096 AND NOT contains(token, chr(10)) AND NOT contains(token, chr(13))) AS fits FROM c""")
+def credential_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = F.array(F.lit(None).cast("string"), F.repeat(F.lit("k"), 4096), F.repeat(F.lit("k"), 4097), F.lit("a\nb"), F.lit(""))
+    token = F.get(values, (F.col("page_id") % 5).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", web.credential_fits(token).alias("fits"))
+
+
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([a-zA-Z]+://[^/?#]+)', 1)), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1') AS origin
 FROM (SELECT page_id, regexp_replace(upper(url), '^(HTTPS?://[^/?#]+)', CASE WHEN page_id % 3 = 0 THEN '\1:443' WHEN page_id % 3 = 1 THEN '\1:80' ELSE '\1:8080' END) AS u FROM pages)""")
 def url_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
