@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 def kept_within(entries: DataFrame, budget: int, newest: Sequence[Column], partition: Sequence[str] = ()) -> DataFrame:
     """The newest entries whose sizes add up to the budget at most: a snapshot of an eviction that
-    drops the oldest first. entries: size and what orders them."""
+    drops the oldest first. entries: size and what orders them. One over the budget is never kept and
+    evicts nothing."""
     order = Window.partitionBy(*partition).orderBy(*newest).rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= budget)
+    return entries.where(F.col("size") <= budget).withColumn("total", F.sum("size").over(order)).where(F.col("total") <= budget)
 
 
 def last_use(log: DataFrame, keys: Sequence[str], reads_count: bool) -> DataFrame:
@@ -26,13 +27,16 @@ def last_use(log: DataFrame, keys: Sequence[str], reads_count: bool) -> DataFram
     return log.groupBy(*keys).agg(F.max_by(F.when(write, F.col("size")), F.when(write, F.col("seq"))).alias("size"), used.alias("used")).where("size is not null")
 
 
-def replayed_cache(log: DataFrame, cache: str, budget: int, reads_count: bool, spare_current: bool) -> DataFrame:
+def replayed_cache(log: DataFrame, cache: str, budget: int, reads_count: bool, oversized: str = "drop") -> DataFrame:
     """(cache, key, size, used): what is in each cache after its log, replayed write by write.
 
     After an eviction a smaller replacement doesn't bring the evicted entry back, hence the fold; a
-    cache is one group. spare_current: the entry being written is never evicted.
+    cache is one group. An entry over the budget never evicts others. oversized: whether it takes its
+    key's old value with it (drop, as in memory) or leaves that as it is (ignore, as in a store).
     log: cache, key, op, size, seq.
     """
+    if oversized not in ("drop", "ignore"):
+        raise ValueError(oversized)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         held: dict[str, list] = {}
@@ -42,13 +46,17 @@ def replayed_cache(log: DataFrame, cache: str, budget: int, reads_count: bool, s
                 if reads_count and r.key in held:
                     held[r.key][1] = r.seq
                 continue
-            total += r.size - (held.pop(r.key)[0] if r.key in held else 0)
+            if r.size > budget and oversized == "ignore":
+                continue
+            total -= held.pop(r.key)[0] if r.key in held else 0
+            if r.size > budget:
+                continue
+            total += r.size
             held[r.key] = [r.size, r.seq]
             for key in sorted(held, key=lambda k: held[k][1]):
                 if total <= budget:
                     break
-                if not (spare_current and key == r.key):
-                    total -= held.pop(key)[0]
+                total -= held.pop(key)[0]
         return pd.DataFrame([(rows[cache].iloc[0], k, s, u) for k, (s, u) in held.items()], columns=[cache, "key", "size", "used"])
 
     return log.groupBy(cache).applyInPandas(fold, f"{cache} {log.schema[cache].dataType.simpleString()}, key string, size long, used long")

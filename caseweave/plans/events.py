@@ -31,27 +31,27 @@ def origin_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CAST(days AS BIGINT) AS days, ts + days * INTERVAL 1 DAY > now AS fresh FROM a, n""")
 def ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
-    now = rows.agg(F.max("ts")).first()[0]
+    now = rows.agg(F.max("ts")).scalar()
     url = F.when(F.col("event_type") == "view", F.lit("https://api.test/fetch?doc_type=cases")).otherwise(F.lit("https://api.test/fetch?doc_type=laws"))
     body = F.when(F.col("event_id") % 4 == 0, F.lit('{"results" : [ ]}')).otherwise(F.lit('{"results":[1]}'))
-    found = stateful.expired(rows.withColumn("days", web.answer_days(url, body)), "ts", F.col("days"), F.lit(now))
+    found = stateful.expired(rows.withColumn("days", web.answer_days(url, body)), "ts", F.col("days"), now)
     return found.select("event_id", "days", "fresh")
 
 
 LOG = """log AS (
-  SELECT user_id AS cache, 'k' || event_id % 23 AS key, CASE WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'write' END AS op, CAST(event_id * 37 % 500 + 1 AS BIGINT) AS size, event_id AS seq FROM events
+  SELECT user_id AS cache, 'k' || event_id % 23 AS key, CASE WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'write' END AS op, CAST(event_id * 37 % 1200 + 1 AS BIGINT) AS size, event_id AS seq FROM events
 )"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type").isin("view", "click"), "read").otherwise("write")
-    return events(spark, sf_dir).select(F.col("user_id").alias("cache"), F.concat(F.lit("k"), (F.col("event_id") % 23).cast("string")).alias("key"), op.alias("op"), (F.col("event_id") * 37 % 500 + 1).alias("size"), F.col("event_id").alias("seq"))
+    return events(spark, sf_dir).select(F.col("user_id").alias("cache"), F.concat(F.lit("k"), (F.col("event_id") % 23).cast("string")).alias("key"), op.alias("op"), (F.col("event_id") * 37 % 1200 + 1).alias("size"), F.col("event_id").alias("seq"))
 
 
 def snapshot_sql(used: str) -> str:
     return f"""WITH {LOG}, e AS (
   SELECT cache, key, arg_max(size, seq) FILTER (WHERE op = 'write') AS size, {used} AS used FROM log GROUP BY cache, key
-), t AS (SELECT *, sum(size) OVER (PARTITION BY cache ORDER BY used DESC ROWS UNBOUNDED PRECEDING) AS total FROM e WHERE size IS NOT NULL)
+), t AS (SELECT *, sum(size) OVER (PARTITION BY cache ORDER BY used DESC ROWS UNBOUNDED PRECEDING) AS total FROM e WHERE size <= 1000)
 SELECT cache, key, size, used, CAST(total AS BIGINT) AS total FROM t WHERE total <= 1000"""
 
 
@@ -65,9 +65,31 @@ def cache_lru_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.kept_within(stateful.last_use(log(spark, sf_dir), ["cache", "key"], reads_count=True), 1000, [F.desc("used")], ["cache"])
 
 
-@query()
+def replay_sql(oversized: str) -> str:
+    """The cache as a list of entries by their last use; an eviction keeps its longest tail within the budget."""
+    others = "list_filter(w.held, lambda x: x.k <> r.key)"
+    return f"""WITH RECURSIVE {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY cache ORDER BY seq) AS rn FROM log),
+walk(cache, rn, held) AS (
+  SELECT DISTINCT cache, CAST(0 AS BIGINT), CAST([] AS STRUCT(k VARCHAR, s BIGINT, u BIGINT)[]) FROM r UNION ALL
+  SELECT cache, rn, list_filter(h, lambda x, i: list_sum(list_transform(h[i:], lambda y: y.s)) <= 1000) FROM (
+    SELECT r.cache, r.rn, CASE
+      WHEN r.op = 'read' AND len({others}) = len(w.held) THEN w.held
+      WHEN r.op = 'read' THEN list_append({others}, {{'k': r.key, 's': list_filter(w.held, lambda x: x.k = r.key)[1].s, 'u': r.seq}})
+      WHEN r.size > 1000 THEN {"w.held" if oversized == "ignore" else others}
+      ELSE list_append({others}, {{'k': r.key, 's': r.size, 'u': r.seq}}) END AS h
+    FROM walk w JOIN r ON r.cache = w.cache AND r.rn = w.rn + 1)
+), ends AS (SELECT cache, unnest(arg_max(held, rn)) AS e FROM walk GROUP BY cache)
+SELECT cache, e.k AS key, e.s AS size, e.u AS used FROM ends"""
+
+
+@query(replay_sql("drop"))
 def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stateful.replayed_cache(log(spark, sf_dir), "cache", 1000, reads_count=True, spare_current=True)
+    return stateful.replayed_cache(log(spark, sf_dir), "cache", 1000, reads_count=True)
+
+
+@query(replay_sql("ignore"))
+def store_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.replayed_cache(log(spark, sf_dir), "cache", 1000, reads_count=True, oversized="ignore")
 
 
 @query("""SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type""")
