@@ -40,9 +40,9 @@ def marked_targets(targets: DataFrame, marks: DataFrame, keys: Sequence[str]) ->
     return targets.join(first, list(keys), "left")
 
 
-def record_state(blocked: Column, failed: Column, document: Column, found: Column, targets: Column) -> Column:
-    """The label of a record in the list; what is wrong comes before what is missing."""
-    return F.when(blocked, "blocked").when(failed, "failed").when(~document, "waiting").when(found < targets, "check").otherwise("ready")
+def record_state(working: Column, document: Column, failed: Column) -> Column:
+    """The label of a record in the list: what is being done, then what is there, then what went wrong."""
+    return F.when(working, "Fetching").when(document, "PDF ready").when(failed, "Needs PDF").otherwise("No PDF yet")
 
 
 def progress(done: Column, expected: Column) -> Column:

@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from ..sources.scratch import durable
 
 
-def subtree(nodes: DataFrame, levels: int = 32) -> DataFrame:
+def subtree(nodes: DataFrame) -> DataFrame:
     """(root, id, depth): every node with all nodes below it, itself at depth 0.
 
     nodes: id, parent_id, in any order. One join per level that the tree has; each level is cut off
-    from the plan of those above. levels bounds a broken tree. A recursive query would say the same,
-    but Spark bounds the rows of those.
+    from the plan of those above. A level at which a node comes below itself means that the parents
+    run in a circle, which raises.
     """
     children = nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("id")).where("id is not null")
     level = durable(nodes.select(F.col("id").alias("root"), "id", F.lit(0).cast("long").alias("depth")))
     found = level
-    for _ in range(levels):
+    while True:
         level = durable(level.join(children, "id").select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth")))
+        if level.where("root = id").limit(1).count():
+            raise ValueError("a node is below itself")
         if not level.limit(1).count():
-            break
+            return found
         found = found.unionByName(level)
-    return found
 
 
 def bare_label(label: Column) -> Column:
@@ -67,6 +68,7 @@ def excerpt(text: Column, most: int = 2000) -> Column:
     return F.substring(F.trim(text), 1, most)
 
 
-def finding_status(found: Column, targets: Column) -> Column:
-    """What a record's state says: complete, partial or none of its targets located."""
-    return F.when(targets == 0, "no targets").when(found == targets, "complete").when(found > 0, "partial").otherwise("unlocated")
+def finding_status(found: Column, targets: Column, by_name: Column) -> Column:
+    """What the state of a record with a document says. by_name: its file was matched by name only."""
+    located = F.concat(found.cast("string"), F.lit(" of "), targets.cast("string"), F.lit(" requested passages located"), F.when(found < targets, F.lit(" · review needed")).otherwise(F.lit("")))
+    return F.when(by_name, "Matched by filename; check the PDF in Review").when(targets > 0, located).otherwise("PDF ready · add highlights in review")

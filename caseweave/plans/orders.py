@@ -84,13 +84,13 @@ def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH held AS (
   SELECT DISTINCT p_partkey, v FROM (SELECT p_partkey, unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR)]) AS v FROM part) WHERE v IS NOT NULL
-), wanted AS (SELECT DISTINCT v AS key FROM (SELECT p_name AS v FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_name || ' x' FROM part WHERE p_partkey % 50 = 0)),
+), wanted AS (SELECT DISTINCT v AS key FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT p_name || ' x' FROM part)),
 counted AS (SELECT key, count(p_partkey) AS n_matches, min(p_partkey) AS one FROM wanted LEFT JOIN held ON v = key GROUP BY key)
 SELECT key, n_matches, CASE WHEN n_matches = 0 THEN 'none' WHEN n_matches = 1 THEN 'match' ELSE 'many' END AS status, CASE WHEN n_matches = 1 THEN one END AS p_partkey FROM counted""")
 def exact_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    wanted = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("key")).unionByName(part.select(F.col("p_brand").alias("key")))
-    wanted = wanted.unionByName(part.where("p_partkey % 50 = 0").select(F.concat("p_name", F.lit(" x")).alias("key")))
+    wanted = part.select(F.col("p_name").alias("key")).unionByName(part.select(F.col("p_brand").alias("key")))
+    wanted = wanted.unionByName(part.select(F.concat("p_name", F.lit(" x")).alias("key")))
     return resolve.exact_matches(wanted, part, ["p_name", "p_brand", "p_type", "p_size"], "p_partkey")
 
 
@@ -105,13 +105,13 @@ def alias_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("o_custkey", F.array_join(both, "|").alias("aliases"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS t, o_orderkey % 7 = 0 AS manual FROM orders WHERE o_orderkey % 3 <> 0),
+@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS t, o_orderkey % 7 = 0 AS manual FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 1),
 n AS (SELECT o_orderkey AS id, o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS t FROM orders WHERE o_orderkey % 2 = 0)
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN CASE WHEN manual THEN 'retained' ELSE 'dropped' END WHEN o.t = n.t THEN 'keep' ELSE 'relocate' END AS action,
   CASE WHEN n.id IS NOT NULL THEN n.t ELSE o.t END AS targets FROM o FULL JOIN n ON o.id = n.id""")
 def previous_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("targets"))
-    old = orders.where("id % 3 <> 0").withColumn("manual", F.col("id") % 7 == 0)
+    old = orders.where("id % 3 <> 0 or id % 2 = 1").withColumn("manual", F.col("id") % 7 == 0)
     new = orders.where("id % 2 = 0").withColumn("targets", F.col("targets") + F.when(F.col("id") % 5 == 0, 1).otherwise(0))
     return resolve.merged_state(old, new)
 
@@ -189,11 +189,14 @@ def priority_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", F.array_join(resolve.priority_first(asked, F.col("pages")), ",").alias("pages"))
 
 
-@query("""SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS found, count(*) AS targets,
-CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') = count(*) THEN 'complete' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0 THEN 'partial' ELSE 'unlocated' END AS status FROM orders GROUP BY o_custkey""")
+@query("""WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 4 = 0 AND o_orderstatus = 'F') AS found, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS targets FROM orders GROUP BY o_custkey)
+SELECT o_custkey, found, targets, CASE WHEN o_custkey % 10 = 7 THEN 'Matched by filename; check the PDF in Review'
+  WHEN targets > 0 THEN found || ' of ' || targets || ' requested passages located' || CASE WHEN found < targets THEN ' · review needed' ELSE '' END
+  ELSE 'PDF ready · add highlights in review' END AS status FROM c""")
 def finding_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("found"), F.count("*").alias("targets"))
-    return counted.withColumn("status", structure.finding_status(F.col("found"), F.col("targets")))
+    target = F.col("o_orderkey") % 4 == 0
+    counted = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(target & (F.col("o_orderstatus") == "F")).alias("found"), F.count_if(target).alias("targets"))
+    return counted.withColumn("status", structure.finding_status(F.col("found"), F.col("targets"), F.col("o_custkey") % 10 == 7))
 
 
 BOX = """SELECT l_orderkey AS page, l_linenumber AS seq, l_discount * 5 AS x0, l_tax * 5 AS y0, l_discount * 5 + l_quantity / 50 AS x1, l_tax * 5 + 0.5 AS y1 FROM lineitem"""

@@ -14,6 +14,15 @@ from .registry import Registry
 query = Registry()
 
 
+@query("""WITH n AS (SELECT o_custkey, o_orderkey, ['z', chr(65535), chr(128512), 'é', '', 'Z'][o_orderkey % 6 + 1] AS mark FROM orders)
+SELECT o_custkey, string_agg(mark, '' ORDER BY CASE WHEN mark = chr(128512) THEN 'd83dde00' WHEN mark = '' THEN '' ELSE lpad(printf('%x', ord(mark)), 4, '0') END, o_orderkey) AS marks FROM n GROUP BY o_custkey""")
+def utf16_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of each customer by UTF-16 units: a character above U+FFFF comes before U+FFFF."""
+    mark = F.get(F.array(*[F.lit(x) for x in ("z", "\uffff", "\U0001f600", "é", "", "Z")]), (F.col("o_orderkey") % 6).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.struct(T.utf16_order(mark).alias("order"), "o_orderkey", mark.alias("mark")).alias("m"))
+    return rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list("m")).alias("m")).select("o_custkey", F.array_join("m.mark", "").alias("marks"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <= 2""")
 def opening_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.opening_pages(table(spark, sf_dir, "lineitem"), "l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -47,10 +56,10 @@ def marked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.marked_targets(orders.select("o_orderkey", "o_custkey", "label"), marks, ["o_custkey", "label"]).select("o_orderkey", "mark_id")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'blocked' WHEN o_orderkey % 7 = 0 THEN 'failed' WHEN o_orderstatus <> 'F' THEN 'waiting' WHEN o_custkey % 3 < 2 THEN 'check' ELSE 'ready' END AS state FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'Fetching' WHEN o_orderstatus = 'F' THEN 'PDF ready' WHEN o_orderkey % 7 = 0 THEN 'Needs PDF' ELSE 'No PDF yet' END AS state FROM orders""")
 def record_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    state = review.record_state(k % 11 == 0, k % 7 == 0, F.col("o_orderstatus") == "F", F.col("o_custkey") % 3, F.lit(2))
+    state = review.record_state(k % 11 == 0, F.col("o_orderstatus") == "F", k % 7 == 0)
     return table(spark, sf_dir, "orders").select("o_orderkey", state.alias("state"))
 
 
