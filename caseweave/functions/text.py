@@ -75,7 +75,12 @@ def item_of(text: Column) -> Column:
 def running_key(text: Column) -> Column:
     """What a line is compared by across pages: null for a numbered one, one key for page numbers."""
     line = tidy(text)
-    return F.when(line.rlike("^(?:\\[\\d+\\]|\\d+[.)])\\s"), F.lit(None)).when(line.rlike("^(?:(?i:page)\\s*)?[-– ]*\\d+[-– ]*$"), F.lit("#page-number")).otherwise(F.nullif(line, F.lit("")))
+    return F.when(numbered(line), F.lit(None)).when(line.rlike("^(?i)(page\\s+)?[-–—]?\\s*\\d+\\s*[-–—]?$"), F.lit("#page-number")).otherwise(F.nullif(line, F.lit("")))
+
+
+def numbered(line: Column) -> Column:
+    """Whether a line begins with a paragraph's number."""
+    return line.rlike("^\\s*(\\[\\d+\\]|\\d+[.)])\\s+")
 
 
 def error_distance(gold: Column, read: Column) -> Column:
@@ -91,3 +96,8 @@ def file_name(name: Column) -> Column:
     """A name without the characters that file systems refuse, ending in .pdf."""
     clean = tidy(F.regexp_replace(name, "[\\\\/:*?\"<>|\\x00-\\x1f]+", " "))
     return F.concat(F.trim(F.regexp_replace(clean, "(?i)\\.pdf$", "")), F.lit(".pdf"))
+
+
+def utf16_order(text: Column) -> Column:
+    """A key that sorts strings by their UTF-16 units; Spark's own order is that of code points."""
+    return F.encode(text, "UTF-16BE")

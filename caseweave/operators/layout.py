@@ -26,15 +26,37 @@ def running_lines(lines: DataFrame, page: str = "doc_id", line: str = "line", le
     return pairs.groupBy("line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least)
 
 
+#: The bands at a page's top and bottom, in shares of its height.
+TOP, BOTTOM = 0.075, 0.935
+
+
 def running_headers(lines: DataFrame, document: str, page: str, line: str = "line", share: float = 0.5) -> DataFrame:
-    """(document, key): keys that stand on max(2, half the pages, or another share, rounded up) pages
-    of a document."""
-    keyed = lines.select(document, page, T.running_key(F.col(line)).alias("key"))
-    pages = lines.groupBy(document).agg(F.countDistinct(page).alias("pages"))
+    """(document, key): keys that stand in the top or bottom band of max(2, half the pages, or another
+    share, rounded up) pages of a document.
+
+    lines: document, page, line, and top and bottom of its box from 0 to 1."""
+    in_band = (F.col("top") < TOP) | (F.col("bottom") > BOTTOM)
+    keyed = lines.where(in_band).select(document, page, T.running_key(F.col(line)).alias("key"))
+    pages = lines.select(document, page).distinct().groupBy(document).agg(F.count("*").alias("pages"))
     counts = keyed.where("key is not null").distinct().groupBy(document, "key").agg(F.count("*").alias("n"))
     return counts.join(pages, document).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * share))).select(document, "key")
 
 
+def strip_running(lines: DataFrame, running: DataFrame, document: str, page: str, line: str = "line") -> DataFrame:
+    """The lines without running headers and page numbers.
+
+    A line of a running key goes if it is a page's number in one of the bands, or stands in the top
+    band before the page's first numbered line. Elsewhere the same words stay.
+    lines: also line_no, by which the lines of a page are ordered; running: of running_headers.
+    """
+    first = lines.where(T.numbered(F.col(line))).groupBy(document, page).agg(F.min("line_no").alias("_first"))
+    placed = lines.join(first, [document, page], "left").withColumn("key", T.running_key(F.col(line)))
+    number, top = F.col("key") == "#page-number", F.col("top") < TOP
+    may_go = F.coalesce((top & (number | (F.col("line_no") < F.col("_first")))) | ((F.col("bottom") > BOTTOM) & number), F.lit(False))
+    kept = placed.where(~may_go).drop("_first", "key")
+    return kept.unionByName(placed.where(may_go).join(running, [document, "key"], "left_anti").drop("_first", "key"))
+
+
 def strip_lines(lines: DataFrame, running: DataFrame, line: str = "line") -> DataFrame:
     """The lines whose tidied form isn't running."""
     return lines.join(running.select(F.col("line").alias("_running")), T.tidy(F.col(line)) == F.col("_running"), "left_anti")
@@ -82,36 +104,32 @@ def drop_recognised(native: DataFrame, recognised: DataFrame, keys: Sequence[str
 
 
 def assemble_lines(items: DataFrame) -> DataFrame:
-    """Text items of pages put together to lines, in the items' order.
-
-    items: doc_id, page, item_no, text, x0, y0, x1, y1, baseline, height, has_eol. An item continues
-    the open line if its baseline lies within a quarter of its height of the line's first one, it
-    doesn't begin before the line's end (less .005) and its gap is under three heights. A gap of over
-    .15 heights gives a space unless one is there. A blank item adds nothing; an end of line closes.
-    What is compared is the line as it has grown, so this is a fold over a page's items; a page is
-    one group.
+    """Text items of pages put together to lines, in the items' order: gaps and islands by two windows.
+
+    items: doc_id, page, item_no, text, x0, y0, x1, y1 in shares of the page, baseline, height and
+    width, the page's, in one unit, has_eol. A line begins with a page, after an item that ends one,
+    and where an item's baseline is a quarter of its height or more from that of the item before, where
+    it begins over .005 before that one's end, or where the gap is three heights or more. Within a line
+    a gap of over .15 heights gives a space unless one is there. Blank items have no text, but may end
+    a line.
     """
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
-        now: dict | None = None
-        for r in page.sort_values("item_no").itertuples(index=False):
-            if (r.text or "").strip():
-                fits = now is not None and abs(now["baseline"] - r.baseline) < 0.25 * r.height and r.x0 >= now["x1"] - 0.005 and r.x0 - now["x1"] < 3 * r.height
-                if fits:
-                    space = " " if r.x0 - now["x1"] > 0.15 * r.height and not now["text"][-1:].isspace() else ""
-                    now["text"] += space + r.text
-                    now.update(x0=min(now["x0"], r.x0), y0=min(now["y0"], r.y0), x1=max(now["x1"], r.x1), y1=max(now["y1"], r.y1))
-                else:
-                    now = {"doc_id": r.doc_id, "page": r.page, "text": r.text, "x0": r.x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "baseline": r.baseline}
-                    lines.append(now)
-            if r.has_eol:
-                now = None
-        out = pd.DataFrame(lines, columns=["doc_id", "page", "text", "x0", "y0", "x1", "y1", "baseline"])
-        out.insert(2, "line_no", range(len(out)))
-        return out
-
-    return items.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page long, line_no long, text string, x0 double, y0 double, x1 double, y1 double, baseline double")
+    order = Window.partitionBy("doc_id", "page").orderBy("item_no")
+    closed = F.coalesce(F.lag(F.sum(F.col("has_eol").cast("int")).over(order)).over(order), F.lit(0))
+    written = items.withColumn("_closed", closed).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+
+    def before(column: str) -> Column:
+        return F.lag(column).over(order)
+
+    gap = (F.col("x0") - before("x1")) * F.col("width")
+    breaks = before("_closed").isNull() | (before("_closed") != F.col("_closed")) | (F.abs(before("baseline") - F.col("baseline")) >= 0.25 * F.col("height")) | (F.col("x0") < before("x1") - 0.005) | (gap >= 3 * F.col("height"))
+    spaced = (gap > 0.15 * F.col("height")) & ~before("text").rlike("\\s$")
+    marked = written.withColumns({"_new": breaks.cast("long"), "_piece": F.when(~breaks & spaced, F.concat(F.lit(" "), "text")).otherwise(F.col("text"))})
+    numbered = marked.withColumn("line_no", F.sum("_new").over(order) - 1)
+    pieces = F.array_sort(F.collect_list(F.struct("item_no", "_piece")))
+    first = F.min_by("baseline", "item_no").alias("baseline")
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    lines = numbered.groupBy("doc_id", "page", "line_no").agg(pieces.alias("p"), *box, first)
+    return lines.select("doc_id", "page", "line_no", F.array_join(F.col("p._piece"), "").alias("text"), "x0", "y0", "x1", "y1", "baseline")
 
 
 def merge_rects(rects: DataFrame, keys: Sequence[str], top: float = 0.006, bottom: float = 0.01, gap: float = 0.012) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,22 @@ def word_runs(rows: DataFrame, key: str, text: str, size: int = 12, opening: boo
     """(key, phrase): the different runs of so many words of a text, or only its opening one.
 
     Words are split at ASCII white space and lower-cased; a shorter text has none."""
-    words = F.filter(F.split(F.lower(F.col(text)), "[\\t\\n\\f\\r ]+"), lambda w: w != "")
-    with_words = rows.select(key, words.alias("w")).where(F.size("w") >= size)
+    with_words = rows.select(key, words_of(text).alias("w")).where(F.size("w") >= size)
     if opening:
-        return with_words.select(key, F.array_join(F.slice("w", 1, size), " ").alias("phrase"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
-    return with_words.select(key, F.explode(F.array_distinct(runs)).alias("phrase"))
+        return with_words.select(key, run_at(F.lit(1), size).alias("phrase"))
+    return with_words.select(key, F.explode(F.array_distinct(F.transform(places(size), lambda i: run_at(i, size)))).alias("phrase"))
+
+
+def words_of(text: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(text)), "[\\t\\n\\f\\r ]+"), lambda w: w != "")
+
+
+def places(size: int) -> Column:
+    return F.sequence(F.lit(1), F.size("w") - size + 1)
+
+
+def run_at(i: Column, size: int) -> Column:
+    return F.array_join(F.slice("w", i, size), " ")
 
 
 def shared_openings(rows: DataFrame, key: str, text: str, size: int = 12) -> DataFrame:
@@ -28,11 +38,16 @@ def shared_openings(rows: DataFrame, key: str, text: str, size: int = 12) -> Dat
 
 def majority_matches(files: DataFrame, file_key: str, waiting: DataFrame, record_key: str, size: int = 12, text: str = "text") -> DataFrame:
     """(file, record, hits, unique_hits): files that hold most of a record's phrases, two of which no
-    other waiting record has."""
+    other waiting record has.
+
+    A file's runs are hashed where it is read, and only those whose hash is one of a record's go on; of
+    these the words are compared, so an equal hash alone is no hit."""
     wanted = word_runs(waiting, record_key, text, size)
     owners = wanted.groupBy("phrase").agg(F.count("*").alias("_owners"))
     sizes = wanted.groupBy(record_key).agg(F.count("*").alias("_phrases"))
-    held = word_runs(files, file_key, text, size)
+    hashed = files.select(file_key, words_of(text).alias("w")).where(F.size("w") >= size).select(file_key, F.posexplode(F.transform(places(size), lambda i: F.xxhash64(run_at(i, size)))).alias("at", "hash"))
+    met = hashed.join(wanted.select(F.xxhash64("phrase").alias("hash")).distinct(), "hash", "left_semi").groupBy(file_key).agg(F.collect_set("at").alias("at"))
+    held = files.select(file_key, words_of(text).alias("w")).join(met, file_key).select(file_key, F.explode(F.transform("at", lambda i: run_at(i + 1, size))).alias("phrase")).distinct()
     hits = held.join(wanted.join(owners, "phrase"), "phrase").groupBy(file_key, record_key).agg(F.count("*").alias("hits"), F.count_if(F.col("_owners") == 1).alias("unique_hits"))
     return hits.join(sizes, record_key).where("hits * 2 > _phrases and unique_hits >= 2").select(file_key, record_key, "hits", "unique_hits")
 

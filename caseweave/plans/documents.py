@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import layout, matching, resolve, structure
+from ..sources import sinks
 from ..sources.tables import table
 from .registry import Registry
 
@@ -47,17 +48,44 @@ def strip_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-@query(f"""WITH {LINES}, keyed AS (
-  SELECT source, d.doc_id, CASE WHEN regexp_matches(tidy, '^(\\[\\d+\\]|\\d+[.)])\\s') THEN NULL
-    WHEN regexp_matches(tidy, '^((?i:page)\\s*)?[-– ]*\\d+[-– ]*$') THEN '#page-number' ELSE nullif(tidy, '') END AS key
-  FROM (SELECT doc_id, {TIDY.format("line")} AS tidy FROM lines) l JOIN documents d ON d.doc_id = l.doc_id
-), pages AS (SELECT source, count(DISTINCT doc_id) AS pages FROM keyed GROUP BY source)
-SELECT k.source, k.key FROM keyed k JOIN pages p ON p.source IS NOT DISTINCT FROM k.source WHERE k.key IS NOT NULL
-GROUP BY k.source, k.key, p.pages HAVING count(DISTINCT k.doc_id) >= greatest(2, ceil(p.pages * 0.04))""")
+PAGES = r"""pages AS (
+  SELECT source, doc_id, string_split('Report of ' || source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'page ' || doc_id ELSE 'Opening' END || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '[1] ' END || text || chr(10) || 'Report of ' || source || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- ' || doc_id || ' -' ELSE 'Closing' END, chr(10)) AS l
+  FROM documents WHERE source IS NOT NULL AND text IS NOT NULL
+), lines AS (SELECT source, doc_id, i - 1 AS line_no, l[i] AS line, (i - 1) / len(l) AS top, i / len(l) AS bottom FROM pages, unnest(range(1, len(l) + 1)) t(i)),
+tidied AS (SELECT *, """ + TIDY.format("line") + r""" AS tidy FROM lines),
+keyed AS (
+  SELECT *, regexp_matches(line, '^\s*(\[\d+\]|\d+[.)])\s+') AS numbered,
+    CASE WHEN regexp_matches(tidy, '^(\[\d+\]|\d+[.)])\s+') THEN NULL WHEN regexp_matches(tidy, '^(?i)(page\s+)?[-–—]?\s*\d+\s*[-–—]?$') THEN '#page-number' ELSE nullif(tidy, '') END AS key FROM tidied
+), counted AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
+running AS (
+  SELECT k.source, k.key FROM keyed k JOIN counted c ON c.source = k.source WHERE k.key IS NOT NULL AND (top < 0.075 OR bottom > 0.935)
+  GROUP BY k.source, k.key, c.n HAVING count(DISTINCT k.doc_id) >= greatest(2, ceil(c.n * 0.1))
+)"""
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a page of its source's report, with a header and a footer."""
+    k = F.col("doc_id")
+    head = F.concat(F.lit("Report of "), "source")
+    text = F.concat_ws("\n", head, F.when(k % 3 == 0, F.concat(F.lit("page "), k.cast("string"))).otherwise("Opening"), F.concat(F.when(k % 4 == 0, "").otherwise("[1] "), "text"), head, F.when(k % 2 == 0, F.concat(F.lit("- "), k.cast("string"), F.lit(" -"))).otherwise("Closing"))
+    pages = table(spark, sf_dir, "documents").where("source is not null and text is not null").select("source", "doc_id", F.split(text, "\n").alias("l"))
+    lines = pages.select("source", "doc_id", F.size("l").alias("n"), F.posexplode("l").alias("line_no", "line"))
+    return lines.withColumns({"top": F.col("line_no") / F.col("n"), "bottom": (F.col("line_no") + 1) / F.col("n")}).drop("n")
+
+
+@query(f"WITH {PAGES} SELECT source, key FROM running")
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("source is not null")
-    found = docs.where("text is not null").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return layout.running_headers(found, "source", "doc_id", share=0.04)
+    return layout.running_headers(reports(spark, sf_dir), "source", "doc_id", share=0.1)
+
+
+@query(f"""WITH {PAGES}, firsts AS (SELECT source, doc_id, min(line_no) FILTER (WHERE numbered) AS first FROM keyed GROUP BY source, doc_id)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(*) FILTER (WHERE starts_with(line, 'Report of ')) AS n_reports FROM keyed k JOIN firsts f USING (source, doc_id)
+WHERE NOT coalesce(((top < 0.075 AND (key = '#page-number' OR line_no < first)) OR (bottom > 0.935 AND key = '#page-number')) AND EXISTS (SELECT 1 FROM running r WHERE r.source = k.source AND r.key = k.key), false)
+GROUP BY doc_id""")
+def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = reports(spark, sf_dir)
+    kept = layout.strip_running(lines, layout.running_headers(lines, "source", "doc_id", share=0.1), "source", "doc_id")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"), F.count_if(F.col("line").startswith("Report of ")).alias("n_reports"))
 
 
 @query(f"""WITH {OFFSETS} SELECT doc_id, line_no, "start", "end" FROM offsets""")
@@ -188,13 +216,12 @@ def unique_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.unique_bind(docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "file_id"), docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "record_id"))
 
 
-@query("""WITH f AS (SELECT source, sha256(coalesce(text, '')) AS digest, doc_id FROM documents)
-SELECT source, count(*) AS n_files, sha256(string_agg(doc_id || ':' || digest, chr(10) ORDER BY doc_id, digest)) AS build_id FROM f GROUP BY source""")
+@query("""WITH f AS (SELECT source, sha256(coalesce(text, '')) AS digest, doc_id FROM documents),
+p AS (SELECT source, doc_id // 4096 AS part, count(*) AS n, sha256(string_agg(doc_id || ':' || digest, chr(10) ORDER BY doc_id, digest)) AS digest FROM f GROUP BY source, doc_id // 4096)
+SELECT source, CAST(sum(n) AS BIGINT) AS n_files, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS build_id FROM p GROUP BY source""")
 def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", "digest")))
-    listed = F.array_join(F.transform(parts, lambda p: F.concat(p["doc_id"].cast("string"), F.lit(":"), p["digest"])), "\n")
-    return docs.groupBy("source").agg(F.count("*").alias("n_files"), F.sha2(listed, 256).alias("build_id"))
+    return sinks.ranged_manifest(docs, "source", "doc_id", "digest")
 
 
 @query("""SELECT a.p_partkey, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS distance, length(a.p_name) > 0 AND levenshtein(a.p_name, b.p_name) * 100 < 12 * length(a.p_name) AS accepted
