@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import sinks
+from ..sources.scratch import scratch_folder
 from ..sources.tables import table
 from ..streaming.watch import unseen
 from .registry import Registry
@@ -17,21 +16,21 @@ query = Registry()
 
 @query("""SELECT DISTINCT 'f' || user_id AS name, event_id % 5 AS size, user_id * 1000 AS mtime_us FROM events""")
 def stream_seen_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as sightings of files, read as a stream; what is new goes to a memory table."""
+    """The events as sightings of files, read as a stream; what is new goes to a table."""
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     files = rows.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("name"), (F.col("event_id") % 5).alias("size"), (F.col("user_id") * 1000).alias("mtime_us"))
-    name = f"seen_{uuid.uuid4().hex}"
-    running = unseen(files).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    target = scratch_folder(spark, "seen")
+    running = unseen(files).writeStream.format("parquet").option("checkpointLocation", target + "-state").outputMode("append").trigger(availableNow=True).start(target)
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(files.schema).parquet(target)
 
 
 @query()
 def crc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null")
     files = docs.select("source", F.format_string("%08d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
-    return sinks.archives(files, "source").select("source", F.octet_length("archive").cast("long").alias("bytes"), "crc")
+    return sinks.archives(files, "source", most=4 << 20).select("source", "part", F.octet_length("archive").cast("long").alias("bytes"), "crc")
 
 
 @query("""SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents""")

@@ -22,10 +22,20 @@ def manifest(files: DataFrame, group: str, path: str = "path", content: str = "c
     return rows.select(group, F.size("files").cast("long").alias("n_files"), F.sha2(F.to_json("files"), 256).alias("build_id"))
 
 
-def archives(files: DataFrame, group: str) -> DataFrame:
-    """(group, archive, crc): a store-only ZIP of each group's files, by name. files: group, name, content.
+def ranged_manifest(files: DataFrame, group: str, key: str, digest: str, size: int = 4096) -> DataFrame:
+    """(group, n_files, build_id): a digest in two levels, over the lists of ranges of so many keys and
+    then over the list of their digests, so that no list grows with the files of a range's group."""
+    listed = lambda a, b: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b")))), lambda e: F.concat(e["a"].cast("string"), F.lit(":"), e["b"])), "\n")
+    parts = files.groupBy(group, F.floor(F.col(key) / size).alias("part")).agg(F.count("*").alias("n"), F.sha2(listed(key, digest), 256).alias("digest"))
+    return parts.groupBy(group).agg(F.sum("n").alias("n_files"), F.sha2(listed("part", "digest"), 256).alias("build_id"))
 
-    An archive is one value, so its files meet in one task; groups are as many as archives asked for.
+
+def archives(files: DataFrame, group: str, most: int = 64 << 20) -> DataFrame:
+    """(group, part, archive, crc): each group's files in store-only ZIPs, by name. files: group, name,
+    content.
+
+    An archive is one value, so its files meet in one task: a group with more than about `most` bytes
+    is dealt over several by a hash of the names.
     """
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -33,9 +43,11 @@ def archives(files: DataFrame, group: str) -> DataFrame:
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
             for name, content in rows.sort_values("name")[["name", "content"]].itertuples(index=False):
                 archive.writestr(zipfile.ZipInfo(name), content)
-        return pd.DataFrame({group: [rows[group].iloc[0]], "archive": [out.getvalue()]})
+        return pd.DataFrame({group: [rows[group].iloc[0]], "part": [rows["part"].iloc[0]], "archive": [out.getvalue()]})
 
-    built = files.select(group, "name", "content").groupBy(group).applyInPandas(build, f"{group} {files.schema[group].dataType.simpleString()}, archive binary")
+    parts = files.groupBy(F.col(group).alias("_group")).agg(F.ceil(F.sum(F.octet_length("content")) / most).alias("_parts"))
+    dealt = files.join(parts, F.col(group).eqNullSafe(F.col("_group"))).select(group, F.pmod(F.xxhash64("name"), F.greatest("_parts", F.lit(1))).alias("part"), "name", "content")
+    built = dealt.groupBy(group, "part").applyInPandas(build, f"{group} {files.schema[group].dataType.simpleString()}, part long, archive binary")
     return built.withColumn("crc", F.crc32("archive"))
 
 

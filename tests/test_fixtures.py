@@ -111,12 +111,12 @@ def test_web(spark):
 
 
 def item(no, text_, x0, x1, baseline=0.5, eol=False):
-    return (1, 1, no, text_, x0, 0.4, x1, 0.5, baseline, 0.1, eol)
+    return (1, 1, no, text_, x0, 0.4, x1, 0.5, baseline, 0.1, eol, 1.0)
 
 
 def test_line_assembly(spark):
     rows = [item(0, "Hello", 0.1, 0.2), item(1, "world", 0.22, 0.3), item(2, "!", 0.3, 0.31, eol=True), item(3, "next", 0.1, 0.2), item(4, "low", 0.25, 0.3, baseline=0.56), item(5, " ", 0.4, 0.5, eol=True), item(6, "far", 0.9, 0.95)]
-    found = layout.assemble_lines(spark.createDataFrame(rows, "doc_id long, page long, item_no long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, height double, has_eol boolean")).orderBy("line_no").collect()
+    found = layout.assemble_lines(spark.createDataFrame(rows, "doc_id long, page long, item_no long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, height double, has_eol boolean, width double")).orderBy("line_no").collect()
     assert [r.text for r in found] == ["Hello world!", "next", "low", "far"]
 
 
@@ -124,9 +124,17 @@ def test_cache_replay(spark):
     log = [("a", "x", "write", 5, 1), ("a", "y", "write", 5, 2), ("a", "x", "read", 0, 3), ("a", "z", "write", 3, 4), ("a", "z", "write", 1, 5), ("b", "big", "write", 99, 1)]
     rows = spark.createDataFrame(log, "cache string, key string, op string, size long, seq long")
     of = lambda **k: sorted((r.cache, r.key) for r in stateful.replayed_cache(rows, "cache", 10, **k).collect())
-    assert of(reads_count=True, spare_current=False) == [("a", "x"), ("a", "z")]
-    assert of(reads_count=False, spare_current=False) == [("a", "y"), ("a", "z")]
-    assert of(reads_count=True, spare_current=True) == [("a", "x"), ("a", "z"), ("b", "big")]
+    assert of(reads_count=True) == [("a", "x"), ("a", "z")]
+    assert of(reads_count=False) == [("a", "y"), ("a", "z")]
+
+
+def test_oversized_entries_evict_nothing(spark):
+    log = [("a", "x", "write", 5, 1), ("a", "y", "write", 5, 2), ("a", "y", "write", 99, 3)]
+    rows = spark.createDataFrame(log, "cache string, key string, op string, size long, seq long")
+    of = lambda how: sorted(r.key for r in stateful.replayed_cache(rows, "cache", 10, reads_count=True, oversized=how).collect())
+    assert of("drop") == ["x"] and of("ignore") == ["x", "y"]
+    newest = spark.createDataFrame([("a", 5, 1), ("b", 99, 2), ("c", 5, 0)], "key string, size long, used long")
+    assert sorted(r.key for r in stateful.kept_within(newest, 10, [F.desc("used")]).collect()) == ["a", "c"]
 
 
 def test_equal_names_pair_without_a_fold(spark):
@@ -197,6 +205,7 @@ def test_files(spark, tmp_path):
 
 def test_archives(spark):
     rows = spark.createDataFrame([("g", "b.txt", b"two"), ("g", "a.txt", b"one")], "g string, name string, content binary")
+    assert sorted(r.part for r in sinks.archives(rows, "g", most=1).collect()) != [0]
     made = sinks.archives(rows, "g").first()
     with zipfile.ZipFile(io.BytesIO(made.archive)) as z:
         assert z.namelist() == ["a.txt", "b.txt"] and z.read("b.txt") == b"two" and z.testzip() is None
@@ -233,3 +242,34 @@ def test_stream_sessions(spark, tmp_path):
         running.stop()
     closed = {(r.session, r.n) for r in spark.table("closed").collect()}
     assert ("t", 1) in closed and ("s", 2) in closed and not any(s == "u" for s, _ in closed)
+
+
+def test_archives_of_a_whole_table(spark):
+    """crc_zip has no SQL: every document comes back from the archives, whose CRC-32 is right."""
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    given = docs.select("source", F.format_string("%08d.txt", "doc_id").alias("name"), F.encode("text", "UTF-8").alias("content"))
+    back = []
+    for r in sinks.archives(given, "source", most=1 << 18).collect():
+        assert r.crc == zlib.crc32(r.archive)
+        with zipfile.ZipFile(io.BytesIO(r.archive)) as z:
+            assert z.testzip() is None and z.namelist() == sorted(z.namelist())
+            back += [(r.source, n, z.read(n)) for n in z.namelist()]
+    order = lambda rows: sorted((str(a), b, bytes(c)) for a, b, c in rows)
+    assert order(back) == order(given.collect())
+
+
+def test_a_circle_of_parents_raises(spark):
+    nodes = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, parent_id long")
+    with pytest.raises(ValueError):
+        structure.subtree(nodes)
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(34)], "id long, parent_id long")
+    assert structure.subtree(deep).where("root = 0").count() == 34
+
+
+def test_gaps_are_measured_in_the_page_s_unit(spark):
+    rows = [(1, 1, 0, "a", 0.1, 0.4, 0.2, 0.5, 50.0, 10.0, False, 600.0), (1, 1, 1, "b", 0.24, 0.4, 0.3, 0.5, 50.0, 10.0, False, 600.0), (1, 1, 2, "c", 0.36, 0.4, 0.4, 0.5, 50.0, 10.0, False, 600.0)]
+    schema = "doc_id long, page long, item_no long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, height double, has_eol boolean, width double"
+    found = layout.assemble_lines(spark.createDataFrame(rows, schema)).orderBy("line_no").collect()
+    assert [(r.line_no, r.text) for r in found] == [(0, "a b"), (1, "c")]
