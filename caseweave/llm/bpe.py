@@ -20,8 +20,8 @@ from .tokens import PieceEncoder, byte_characters
 #: Fixed value: the published pre-splitting pattern of byte-level vocabularies.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-#: What a worker remembers at most: pieces, words besides them, and transitions met.
-REMEMBERED, REMEMBERED_WORDS, REMEMBERED_STEPS = 300_000, 100_000, 400_000
+#: What a worker remembers at most: pieces, words besides them, and transitions written out.
+REMEMBERED, REMEMBERED_WORDS, WRITTEN = 300_000, 100_000, 600_000
 
 
 class Automaton:
@@ -30,112 +30,117 @@ class Automaton:
     It starts as one state with an arc to itself for each byte. The merges are put in in their order.
     The gadget of a merge of u and v: the state after u gets a copy without the arc v, to which all
     arcs u now lead, and every state that had u followed by v gets an arc uv, to where v led before.
-    As all arcs of a label lead to one state, states are named by tokens. A state is kept as its own
-    removed arcs with the rank of the merge that removed them, and as a reference to the state of
-    the right half as it was when the token was made, which it was copied from.
-
-    A merge whose two arcs are never in a row makes no arc; its token is dead and so is what would be
-    made of it.
+    As all arcs of a label lead to one state, states are named by tokens. A merge whose two arcs are
+    never in a row makes no arc; its token is dead and so is what would be made of it.
+
+    The table of transitions is kept in factors, since written out it would have an entry for nearly
+    every pair of tokens. A state was copied from that of its right half, as that was when the token was
+    made, and so on down to a byte: its line of copies, each with the merge up to which removals were
+    inherited. An arc was made from that of its left half: its line of makings, each with the merge up
+    to which it had to be there. A state lacks an arc if a merge of one of its line with one of the
+    arc's line removed it in time. The first WRITTEN transitions that are met are written out and stay.
+
+    Bytes are read by a second table, that of the labels' prefixes with links to the longest suffix of
+    each that is one too; so it is known at every byte which labels end there.
     """
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         size = max(vocabulary.values()) + 1
-        self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
-        self.removed: dict[int, int] = {}  # state * SHIFT + token: rank
-        self.table: dict[int, bool] = {}
-        self.arcs: dict[bytes, int] = {bytes([b]): vocabulary[bytes([b])] for b in range(256) if bytes([b]) in vocabulary}
-        live = set(self.arcs.values())
+        never = len(merges)
+        self.removed: dict[int, int] = {}  # state << 20 | token: the merge that removed the arc
+        self.copies: list[tuple] = [()] * size  # of a state: (state << 20, removals inherited before)
+        self.makings: list[tuple] = [()] * size  # of a token: (token, removals that count up to)
+        arcs = {bytes([b]): vocabulary[bytes([b])] for b in range(256) if bytes([b]) in vocabulary}
+        for t in arcs.values():
+            self.copies[t], self.makings[t] = ((t << 20, never),), ((t, never),)
         for rank, (u, v) in enumerate(merges):
             a, b, c = vocabulary[u], vocabulary[v], vocabulary[u + v]
-            if a in live and b in live and self.born[c] < 0 and c not in live and self.follows(a, b, rank):
-                self.left[c], self.right[c], self.born[c] = a, b, rank
-                self.arcs[u + v] = c
-                live.add(c)
+            if self.makings[a] and self.makings[b] and not self.makings[c] and self.has_arc(a, b, rank - 1):
+                self.copies[c] = ((c << 20, never), *((s, min(r, rank)) for s, r in self.copies[b]))
+                self.makings[c] = ((c, never), *((t, min(r, rank)) for t, r in self.makings[a]))
+                arcs[u + v] = c
             self.removed.setdefault(a << 20 | b, rank)
-        self.table.clear()
-        self.sizes = [0] * size
-        self.children: dict[int, int] = {}  # of the labels' trie: node * 256 + byte
-        self.token_at = [-1]
-        for label, token in self.arcs.items():
-            self.sizes[token], node = len(label), 0
-            for byte in label:
-                node = self.children.setdefault(node << 8 | byte, len(self.token_at))
-                if node == len(self.token_at):
-                    self.token_at.append(-1)
-            self.token_at[node] = token
-
-    def follows(self, state: int, token: int, before: int = 1 << 30) -> bool:
-        """Whether the state, as it is before that merge, has an arc of the token.
-
-        It has none if that arc, or one from which it was made, was removed: the token's left halves
-        must have been there up to the merge that made the whole, and each removal counts only if it
-        came before the state was copied.
-        """
-        born, left, right, removed = self.born, self.left, self.right, self.removed
-        until = before - 1  # removals up to this rank, itself included
-        while token >= 0:
-            s, limit = state, 1 << 30
-            while s >= 0:
-                rank = removed.get(s << 20 | token)
-                if rank is not None and rank <= until and rank < limit:
+        self.whole, self.sizes = arcs, [0] * size
+        self.written: dict[int, bool] = {}
+        self.compile(arcs)
+
+    def has_arc(self, state: int, token: int, until: int = 1 << 30) -> bool:
+        """Whether the state has an arc of the token, after the merges up to that one."""
+        removed = self.removed.get
+        for t, made in self.makings[token]:
+            for s, copied in self.copies[state]:
+                rank = removed(s | t)
+                if rank is not None and rank <= made and rank <= until and rank < copied:
                     return False
-                limit = min(limit, born[s])
-                s = right[s]
-            until = min(until, born[token])
-            token = left[token]
         return True
 
-    def step(self, state: int, token: int) -> bool:
-        """follows(), from the table of transitions, which is filled as they are met."""
-        key = state << 20 | token
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > REMEMBERED_STEPS:
-                self.table.clear()
-            known = self.table[key] = self.follows(state, token)
-        return known
-
-    def spell(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """(token, its end) of every arc whose label stands in the word there, the longest last."""
-        children, tokens, node, out = self.children.get, self.token_at, 0, []
-        for i in range(at, len(word)):
-            node = children(node << 8 | word[i])
-            if node is None:
-                break
-            if tokens[node] >= 0:
-                out.append((tokens[node], i + 1))
-        return out
+    def compile(self, arcs: dict[bytes, int]) -> None:
+        """The table by which bytes are read: per prefix its successors, the arcs whose labels end
+        there, the longest first, and where to go on when a byte doesn't fit."""
+        prefixes: dict[int, int] = {}  # prefix << 8 | byte: prefix
+        own, parents = [-1], [(0, 0)]
+        for label, token in arcs.items():
+            self.sizes[token], node = len(label), 0
+            for byte in label:
+                node = prefixes.setdefault(node << 8 | byte, len(own))
+                if node == len(own):
+                    own.append(-1)
+                    parents.append((0, 0))
+            own[node] = token
+        for key, node in prefixes.items():
+            parents[node] = key >> 8, key & 255
+        depth = [0] * len(own)
+        for node in range(1, len(own)):  # a prefix has a greater number than what it continues
+            depth[node] = depth[parents[node][0]] + 1
+        back = [0] * len(own)
+        ending: list[tuple[int, ...]] = [()] * len(own)
+        for node in sorted(range(1, len(own)), key=depth.__getitem__):
+            parent, byte = parents[node]
+            if parent:
+                at = back[parent]
+                while at and at << 8 | byte not in prefixes:
+                    at = back[at]
+                back[node] = prefixes.get(at << 8 | byte, 0)
+            ending[node] = ((own[node],) if own[node] >= 0 else ()) + ending[back[node]]
+        self.prefixes, self.back, self.ending = prefixes, back, ending
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the one accepted path that spells the word.
 
-        The path is walked with the longest arc first. Every prefix has one accepted path only, so a
-        place from which no arc leads on is given up for good.
+        Every prefix of the word has one accepted path, so its last arc is found from those of the
+        shorter prefixes: of the labels that end at a byte it is the one whose arc the state before its
+        begin has. There is no going back.
         """
-        whole = self.arcs.get(word)
+        whole = self.whole.get(word)
         if whole is not None:
             return [whole]
-        step, n = self.step, len(word)
-        path: list[int] = []
-        state, at, dead = -1, 0, set()
-        open_arcs = [self.spell(word, 0)]
-        while at < n:
-            arcs = open_arcs[-1]
-            while arcs:
-                token, end = arcs.pop()
-                if end not in dead and (state < 0 or step(state, token)):
-                    path.append(token)
-                    state, at = token, end
-                    open_arcs.append(self.spell(word, at))
-                    break
+        prefixes, back, ending, sizes, written = self.prefixes.get, self.back, self.ending, self.sizes, self.written.get
+        last, node = [-1], 0
+        for i, byte in enumerate(word, 1):
+            found = prefixes(node << 8 | byte)
+            while found is None and node:
+                node = back[node]
+                found = prefixes(node << 8 | byte)
+            node = found or 0
+            for token in ending[node]:
+                before = last[i - sizes[token]]
+                if before >= 0:
+                    leads = written(before << 20 | token)
+                    if leads is None:
+                        leads = self.has_arc(before, token)
+                        if len(self.written) < WRITTEN:
+                            self.written[before << 20 | token] = leads
+                    if not leads:
+                        continue
+                last.append(token)
+                break
             else:
-                if not path:
-                    raise ValueError(f"no tokenization of {word!r}")
-                dead.add(at)
-                open_arcs.pop()
-                at -= self.sizes[path.pop()]
-                state = path[-1] if path else -1
-        return path
+                raise ValueError(f"no tokenization of {word!r}")
+        path, i = [], len(word)
+        while i:
+            path.append(last[i])
+            i -= sizes[last[i]]
+        return path[::-1]
 
 
 def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]], dict[str, int]]:
