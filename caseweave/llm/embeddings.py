@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import connected_components
 
-#: Vectors of a block, about; a cell with more is dealt over several blocks.
-BLOCK = 512
+#: Vectors of a block, about, and visitors that are packed together; a cell with more is dealt over several.
+BLOCK, VISITORS = 512, 2048
 
 
 @dataclass
@@ -146,7 +146,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     block. Each link is counted once, though both ends may find it. A block returns, per vector, the
     number of its links there and the smallest vector that it reaches, so that a large group of near
     copies gives rows in proportion to its vectors and not to its pairs. A cell with more vectors or
-    more visitors than a block holds is dealt over several.
+    more visitors than a block or a pack holds is dealt over several.
 
     Vectors that are null, empty, zero, hold null or non-finite components, or haven't the most common
     length (the longest such one) link with nothing and are components of their own. Repeated rows
@@ -189,13 +189,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     stored = placed.select("cell", "rep", "n", "vec")
     probes = placed.select(F.explode("visits").alias("cell"), "rep", "n", "vec", F.col("cell").alias("own"))
     s_sizes = stored.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    p_sizes = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("p_blocks"))
+    p_sizes = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).alias("p_blocks"))
     sizes_of = materialise(s_sizes.join(p_sizes, "cell"), "cells")
-    deal = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).alias("block")
+    deal = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks))
     packed = lambda *names: F.collect_list(F.struct(*names))
-    s_packs = stored.join(sizes_of, "cell").select("cell", deal("blocks"), "rep", "n", "vec").groupBy("cell", "block").agg(packed("rep", "n", "vec").alias("stored"))
-    p_packs = probes.join(sizes_of, "cell").select("cell", deal("p_blocks").alias("p_block"), "blocks", "rep", "n", "vec", "own").groupBy("cell", "p_block", "blocks").agg(packed("rep", "n", "vec", "own").alias("probes"))
-    p_packs = p_packs.select("cell", "probes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    s_packs = stored.join(sizes_of, "cell").select("cell", deal("blocks").alias("block"), "p_blocks", "rep", "n", "vec").groupBy("cell", "block", "p_blocks").agg(packed("rep", "n", "vec").alias("stored"))
+    # Visitors are the greater side: they stay where they are packed, and the blocks are sent to them.
+    s_packs = s_packs.select("cell", "stored", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_blocks") - 1)).alias("p_block"))
+    p_packs = probes.join(sizes_of, "cell").select("cell", deal("p_blocks").alias("p_block"), "rep", "n", "vec", "own").groupBy("cell", "p_block").agg(packed("rep", "n", "vec", "own").alias("probes"))
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -224,7 +225,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (names, links, found)], names=["rep", "links", "root"])
 
-    met = materialise(p_packs.join(s_packs, ["cell", "block"]).select("probes", "stored").mapInArrow(verify, "rep long, links long, root long"), "links")
+    met = materialise(p_packs.join(s_packs, ["cell", "p_block"]).select("probes", "stored").mapInArrow(verify, "rep long, links long, root long"), "links")
     found = connected_components(met, "rep", "root").withColumnRenamed("node", "rep")
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     known = entries.join(counts, "rep", "left").join(found, "rep", "left")
