@@ -31,6 +31,19 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
+#: What counts as white space at the ends of a text.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def utf16_prefix(text: Column, most: int) -> Column:
+    """The first so many UTF-16 units; a character that would be cut in two is left out."""
+    head = F.substring(text, 1, most)  # as many units at least
+    units = F.encode(head, "UTF-16BE")
+    split = F.hex(F.substring(units, 2 * most - 1, 1)).between("D8", "DB")
+    cut = F.when(split, F.substring(units, 1, 2 * most - 2)).otherwise(F.substring(units, 1, 2 * most))
+    return F.when(utf16_length(head) <= most, head).otherwise(F.decode(cut, "UTF-16BE"))
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -149,11 +149,14 @@ def caption_style(text: str | None, key: str) -> str | None:
     return None
 
 
-def case_address(key: Column, language: str = "en") -> Column:
-    """The page of a case by its neutral citation, null for other keys."""
+#: Where the decisions of some courts are; any table of court and place may be given instead.
+COURTS = {"SCC": "ca/scc", "FCA": "ca/fca", "FC": "ca/fct", "ONCA": "on/onca", "BCCA": "bc/bcca", "BCSC": "bc/bcsc", "ABCA": "ab/abca", "QCCA": "qc/qcca"}
+
+
+def case_address(key: Column, language: str = "en", courts: Mapping[str, str] = COURTS) -> Column:
+    """The page of a case by its neutral citation, null for other keys and for courts that aren't known."""
     part = lambda i: F.regexp_extract(key, "^(\\d{4}) ([A-Z]+) (\\d+)$", i)
     slug = F.concat(part(1), F.lower(part(2)), part(3))
-    courts = {"SCC": "ca/scc", "FCA": "ca/fca", "FC": "ca/fct", "ONCA": "on/onca", "BCCA": "bc/bcca", "BCSC": "bc/bcsc", "ABCA": "ab/abca", "QCCA": "qc/qcca"}
     place = F.element_at(F.create_map(*[F.lit(x) for pair in courts.items() for x in pair]), part(2))
     return F.when(part(1) != "", F.concat(F.lit(f"https://www.canlii.org/{language}/"), place, F.lit("/doc/"), part(1), F.lit("/"), slug, F.lit("/"), slug, F.lit(".html")))
 
@@ -164,8 +167,8 @@ def statute_address(key: Column, language: str = "en") -> Column:
     return F.when(part(1) != "", F.concat(F.lit(f"https://www.canlii.org/{language}/ca/laws/stat/"), slug, F.lit("/latest/"), slug, F.lit(".html")))
 
 
-def address(key: Column) -> Column:
-    return F.coalesce(case_address(key), statute_address(key))
+def address(key: Column, language: str = "en", courts: Mapping[str, str] = COURTS) -> Column:
+    return F.coalesce(case_address(key, language, courts), statute_address(key, language))
 
 
 def anchor(kind: Column, first: Column) -> Column:

@@ -136,20 +136,29 @@ def merge_rects(rects: DataFrame, keys: Sequence[str], top: float = 0.006, botto
     """Selected rectangles put together along a line, in their order: gaps and islands by a fold.
 
     rects: keys, seq, x0, y0, x1, y1. A rectangle extends the last one if tops, bottoms and the gap
-    are within the limits; only x1 grows.
+    are within the limits; only x1 grows. The fold carries the open rectangle beside those that are
+    closed. A key is one selection.
     """
-    box = F.struct("seq", "x0", "y0", "x1", "y1")
-    start = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    box = F.struct("seq", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    kind = "struct<x0:double,y0:double,x1:double,y1:double>"
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("closed"), F.lit(None).cast(kind).alias("open"))
 
     def step(acc: Column, r: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        plain = F.struct(r["x0"].cast("double").alias("x0"), r["y0"].cast("double").alias("y0"), r["x1"].cast("double").alias("x1"), r["y1"].cast("double").alias("y1"))
-        grown = F.struct(last["x0"].alias("x0"), last["y0"].alias("y0"), F.greatest(last["x1"], plain["x1"]).alias("x1"), last["y1"].alias("y1"))
-        fits = (F.abs(last["y0"] - plain["y0"]) < top) & (F.abs(last["y1"] - plain["y1"]) < bottom) & (plain["x0"] <= last["x1"] + gap)
-        return F.when((F.size(acc) > 0) & fits, F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, plain))
-
+        last = acc["open"]
+        plain = F.struct(*[r[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+        grown = F.struct(last["x0"].alias("x0"), last["y0"].alias("y0"), F.greatest(last["x1"], r["x1"]).alias("x1"), last["y1"].alias("y1"))
+        fits = (F.abs(last["y0"] - r["y0"]) < top) & (F.abs(last["y1"] - r["y1"]) < bottom) & (r["x0"] <= last["x1"] + gap)
+        closed = F.when(fits | last.isNull(), acc["closed"]).otherwise(F.array_append(acc["closed"], last))
+        return F.struct(closed.alias("closed"), F.when(fits, grown).otherwise(plain).alias("open"))
+
+    merged = F.aggregate("b", start, step, lambda acc: F.array_append(acc["closed"], acc["open"]))
     whole = rects.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
-    return whole.select(*keys, F.posexplode(F.aggregate("b", start, step)).alias("rect_no", "r")).select(*keys, F.col("rect_no").cast("long"), "r.x0", "r.y0", "r.x1", "r.y1")
+    return whole.select(*keys, F.posexplode(merged).alias("rect_no", "r")).select(*keys, F.col("rect_no").cast("long"), "r.x0", "r.y0", "r.x1", "r.y1")
+
+
+def bounds(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x0, y0, x1, y1): the smallest rectangle round all of each key."""
+    return rects.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 def topmost_at(points: DataFrame, marks: DataFrame, page: str = "page") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_filled
@@ -12,15 +12,21 @@ from .citations import address, anchor
 def without_overlaps(spans: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """The spans that overlap no earlier one that was kept, per key: first come, first written.
 
-    A span that is turned down blocks no other, so this is a fold over a key's spans in order and not
-    an anti-join. Columns besides key, order, start and end are dropped.
+    A span that is turned down blocks no other, so this is a fold over spans in order and not an
+    anti-join. A span that begins where all before it have ended meets none of those: a window cuts each
+    key there into stretches, and only within a stretch are spans folded. Columns besides key, order,
+    start and end are dropped; order may be of any type that has an order, a struct too.
     """
-    span = F.struct(F.col(order).cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    none = F.array().cast("array<struct<seq:bigint,start:bigint,end:bigint>>")
+    rows = spans.select(key, F.col(order).alias("_order"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    by_start = Window.partitionBy(key).orderBy("start", "end", "_order")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    cut = rows.withColumn("_cut", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("long")).withColumn("_stretch", F.sum("_cut").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    none = F.array().cast(f"array<struct<_order:{rows.schema['_order'].dataType.simpleString()},start:bigint,end:bigint>>")
     folded = F.aggregate(
         F.array_sort(F.col("spans")), none, lambda kept, s: F.when(F.exists(kept, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"])), kept).otherwise(F.array_append(kept, s))
     )
-    return spans.groupBy(key).agg(F.collect_list(span).alias("spans")).select(key, F.explode(folded).alias("s")).select(key, F.col("s.seq").alias(order), "s.start", "s.end")
+    grouped = cut.groupBy(key, "_stretch").agg(F.collect_list(F.struct("_order", "start", "end")).alias("spans"))
+    return grouped.select(key, F.explode(folded).alias("s")).select(key, F.col("s._order").alias(order), "s.start", "s.end")
 
 
 def rebased(occurrences: DataFrame, parts: Column) -> DataFrame:
@@ -35,7 +41,8 @@ def rebased(occurrences: DataFrame, parts: Column) -> DataFrame:
 
 
 def planned(units: DataFrame, found: DataFrame, sources: DataFrame | None = None, body: bool = False, whole_pinpoint: bool = False) -> DataFrame:
-    """(unit_id, seq, start, end, expected, url): the links of a document, none over another.
+    """(unit_id, seq, n, start, end, expected, url): the links of a document, none over another. seq is
+    the citation's, n counts its links.
 
     units: unit_id, kind, text; found: citations.extract over them by unit_id. Footnotes only unless
     body. A citation links to its authority's page: an explicit source of its key if there is one
@@ -59,7 +66,7 @@ def planned(units: DataFrame, found: DataFrame, sources: DataFrame | None = None
         return F.when(p["last"].isNull(), F.array(first)).otherwise(F.array(first, last))
 
     spans = F.concat(F.array(whole), F.flatten(F.transform("pinpoints", one)))
-    flat = rows.select("unit_id", "unit_text", "seq", F.posexplode(spans).alias("n", "s")).select("unit_id", "unit_text", (F.col("seq") * 1000 + F.col("n")).cast("long").alias("seq"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.url")
-    kept = without_overlaps(flat, "unit_id")
-    out = kept.join(flat, ["unit_id", "seq", "start", "end"])
-    return out.select("unit_id", "seq", "start", "end", F.expr("substring(unit_text, int(start) + 1, int(`end` - start))").alias("expected"), "url")
+    flat = rows.select("unit_id", "unit_text", "seq", F.posexplode(spans).alias("n", "s")).select("unit_id", "unit_text", F.struct("seq", "n").alias("place"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.url")
+    kept = without_overlaps(flat, "unit_id", "place")
+    out = kept.join(flat, ["unit_id", "place", "start", "end"])
+    return out.select("unit_id", "place.seq", "place.n", "start", "end", F.expr("substring(unit_text, int(start) + 1, int(`end` - start))").alias("expected"), "url")

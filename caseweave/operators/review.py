@@ -63,9 +63,14 @@ def inked(pixels: DataFrame, page: str, dark: int = 630, more_than: int = 12) ->
     return pixels.groupBy(page).agg((F.count_if(F.col("r") + F.col("g") + F.col("b") < dark) > more_than).alias("inked"))
 
 
+def missing_pages(asked: DataFrame, cached: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of pages that are asked for and not kept."""
+    return asked.join(cached.select(*keys), list(keys), "left_anti")
+
+
 def pages_to_read(asked: DataFrame, cached: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The pages that are asked for and not kept, numbered in the order they are read."""
-    missing = asked.join(cached.select(*keys).distinct(), list(keys), "left_anti")
+    missing = missing_pages(asked, cached, keys)
     return missing.withColumn("turn", F.row_number().over(Window.partitionBy(keys[0]).orderBy(*order)).cast("long"))
 
 

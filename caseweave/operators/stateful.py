@@ -90,19 +90,28 @@ def expired(answers: DataFrame, ts: str, days: Column, now: Column) -> DataFrame
 
 def shared_requests(requests: DataFrame, key: Sequence[str], ts: str, window_seconds: int) -> DataFrame:
     """requests with `leader`: the first of identical requests since an answer of so many seconds ran
-    out does the work, the others share it. A later one counts from its leader, so this is a fold; it
-    is done over a key's sorted times with the aggregate function."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    row = F.struct(at.alias("at"), F.col("request_id").alias("id"))
-    none = F.struct(F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("id"), F.array().cast("array<struct<id:bigint,leader:bigint>>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        starts = acc["at"].isNull() | (r["at"] - acc["at"] >= window_seconds * 1_000_000)
-        leader = F.when(starts, r["id"]).otherwise(acc["id"])
-        return F.struct(F.when(starts, r["at"]).otherwise(acc["at"]).alias("at"), leader.alias("id"), F.array_append(acc["out"], F.struct(r["id"].alias("id"), leader.alias("leader"))).alias("out"))
-
-    grouped = requests.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("r"))
-    return grouped.select(*key, F.explode(F.aggregate("r", none, step)["out"]).alias("o")).select(*key, F.col("o.id").alias("request_id"), F.col("o.leader").alias("leader"))
+    out does the work, the others share it.
+
+    A later one counts from its leader, so leaders come from a fold. After a gap of so many seconds a
+    request always leads: windows cut each key there, and only the requests between two such gaps are
+    folded. The fold keeps leaders, at most one in so many seconds; a window then names each request's.
+    """
+    span = window_seconds * 1_000_000
+    rows = requests.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col("request_id").alias("id"))
+    order = Window.partitionBy(*key).orderBy("at", "id")
+    cut = F.coalesce(F.col("at") - F.lag("at").over(order) >= span, F.lit(True)).cast("long")
+    stretches = rows.withColumn("_cut", cut).withColumn("_stretch", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    none = F.array().cast(f"array<struct<at:bigint,id:{rows.schema['id'].dataType.simpleString()}>>")
+
+    def step(leaders: Column, r: Column) -> Column:
+        shares = r["at"] - F.get(leaders, F.size(leaders) - 1)["at"] < span
+        return F.when(shares, leaders).otherwise(F.array_append(leaders, r))
+
+    grouped = stretches.groupBy(*key, "_stretch").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("r"))
+    leaders = grouped.select(*key, F.explode(F.aggregate("r", none, step)).alias("l")).select(*key, "l.at", "l.id", F.col("l.id").alias("leader"), F.lit(0).alias("side"))
+    both = leaders.unionByName(rows.select(*key, "at", "id", F.lit(None).alias("leader"), F.lit(1).alias("side")))
+    last = F.last("leader", ignorenulls=True).over(Window.partitionBy(*key).orderBy("at", "id", "side").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("leader", last).where("side = 1").select(*key, F.col("id").alias("request_id"), "leader")
 
 
 def answered(requests: DataFrame, responses: DataFrame, key: str, limit_seconds: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources.scratch import durable
 
 
@@ -65,7 +66,8 @@ def fragments(lines: DataFrame, document: str = "doc_id") -> DataFrame:
 
 
 def excerpt(text: Column, most: int = 2000) -> Column:
-    return F.substring(F.trim(text), 1, most)
+    """The first so many UTF-16 units without white space at the ends of the text."""
+    return T.utf16_prefix(F.btrim(text, F.lit(T.SPACES)), most)
 
 
 def finding_status(found: Column, targets: Column, by_name: Column) -> Column:

@@ -233,15 +233,21 @@ def cer_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.join(read, "p_partkey").select("p_partkey", T.error_distance(F.col("gold"), F.col("read")).alias("distance"), T.recognition_accepted(F.col("gold"), F.col("read")).alias("accepted"))
 
 
-@query(r"""SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n_chars, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents WHERE text IS NOT NULL""")
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text || ' ' || ['fi', 'A', '1', 'kg', 'é'][doc_id % 5 + 1], '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM d""")
 def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.nfkc(F.col("text")).alias("t"))
+    """Texts, each followed by a mark that has a compatibility form; SQL appends that form."""
+    mark = F.get(F.array(*[F.lit(x) for x in ("\ufb01", "\uff21", "\u2460", "\u338f", "e\u0301")]), (F.col("doc_id") % 5).cast("int"))
+    marked = F.concat("text", F.lit("\u3000"), mark)
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.nfkc(marked).alias("t"))
     return docs.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@query("""SELECT doc_id, length(text) AS code_points, CAST(length(text) AS BIGINT) AS utf16_units, substr(trim(text), 1, 2000) AS excerpt FROM documents""")
+@query(r"""WITH d AS (SELECT doc_id, chr(9) || ' ' || chr(128512) || text AS t FROM documents)
+SELECT doc_id, length(t) AS code_points, length(t) + len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')) AS utf16_units, substr(trim(t, chr(9) || chr(10) || chr(13) || ' '), 1, 1999) AS excerpt FROM d""")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Texts that begin with white space and a character of two units, the only one of that kind."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit("\t \U0001f600"), "text"))
     return docs.select("doc_id", F.length("text").cast("long").alias("code_points"), T.utf16_length(F.col("text")).alias("utf16_units"), structure.excerpt(F.col("text")).alias("excerpt"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions import text as T
-from ..operators import citations, layout, links, resolve, stateful, structure
+from ..operators import citations, layout, links, resolve, review, stateful, structure
 from ..sources.tables import table
 from .registry import Registry
 
@@ -174,10 +174,10 @@ def priority_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.started(queue, "src", 4, F.col("seq") % 2 == 1).select("src", "seq", "place")
 
 
-@query("""SELECT o_custkey, o_orderkey FROM orders EXCEPT SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 7 = 3 ORDER BY 1, 2""")
+@query("""SELECT o_custkey, o_orderkey FROM orders EXCEPT ALL SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 7 = 3""")
 def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return asked.exceptAll(asked.where("o_orderkey % 7 = 3"))
+    return review.missing_pages(asked, asked.where("o_orderkey % 7 = 3"), ["o_custkey", "o_orderkey"])
 
 
 @query("""WITH p AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS later FROM orders)
@@ -217,17 +217,20 @@ def point_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.topmost_at(points, marks)
 
 
-@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS seq, CAST(l_linenumber * 2 + l_quantity % 3 AS DOUBLE) AS x0, CAST(l_linenumber * 2 + l_quantity % 3 + 1 + l_quantity % 2 AS DOUBLE) AS x1, l_linenumber // 3 AS row FROM lineitem),
-runs AS (SELECT *, max(x1) OVER (PARTITION BY page, row ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b)
-SELECT page, count(*) AS n_rects FROM (SELECT page, row, seq, reach IS NULL AS fresh FROM runs) WHERE fresh GROUP BY page""")
+@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS seq, (l_linenumber * 2 + l_quantity % 3) / 16 AS x0, (l_linenumber * 2 + l_quantity % 3 + 1 + l_quantity % 2) / 16 AS x1, l_linenumber // 3 AS line FROM lineitem),
+runs AS (SELECT *, max(x1) OVER (PARTITION BY page, line ORDER BY seq, x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+n AS (SELECT *, sum(CASE WHEN x0 <= reach + 0.012 THEN 0 ELSE 1 END) OVER (PARTITION BY page, line ORDER BY seq, x0, x1 ROWS UNBOUNDED PRECEDING) AS part FROM runs),
+r AS (SELECT page, max(x1) - min(x0) AS width FROM n GROUP BY page, line, part)
+SELECT page, count(*) AS n_rects, sum(width) AS width FROM r GROUP BY page""")
 def rect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rects = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), F.lit(0.0).alias("x0"), F.floor(F.col("l_linenumber") / 3).cast("double").alias("y0"), F.lit(1.0).alias("x1"), (F.floor(F.col("l_linenumber") / 3) + 0.5).alias("y1"))
-    return layout.merge_rects(rects, ["page"]).groupBy("page").agg(F.count("*").alias("n_rects"))
+    x0, line = F.col("l_linenumber") * 2 + F.col("l_quantity") % 3, F.floor(F.col("l_linenumber") / 3)
+    rects = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), (x0 / 16).alias("x0"), line.alias("y0"), ((x0 + 1 + F.col("l_quantity") % 2) / 16).alias("x1"), (line + 0.5).alias("y1"))
+    return layout.merge_rects(rects, ["page"]).groupBy("page").agg(F.count("*").alias("n_rects"), F.sum(F.col("x1") - F.col("x0")).alias("width"))
 
 
 @query(f"""SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ({BOX}) GROUP BY page""")
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).groupBy("page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return layout.bounds(boxes(spark, sf_dir), ["page"])
 
 
 @query("""SELECT l_orderkey, l_linenumber, '#' || printf('%02x', CAST(floor(least(1, l_discount * 10) * 255 + 0.5) AS BIGINT)) || printf('%02x', CAST(floor(least(1, l_tax * 10) * 255 + 0.5) AS BIGINT)) || printf('%02x', CAST(floor(least(1, l_quantity / 50) * 255 + 0.5) AS BIGINT)) AS colour FROM lineitem""")

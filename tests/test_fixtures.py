@@ -74,6 +74,50 @@ def test_a_rejected_span_blocks_nothing(spark):
     assert sorted(r.seq for r in links.without_overlaps(spans, "unit").collect()) == [1, 3, 4]
 
 
+def test_stretches_like_one_fold(spark):
+    """Spans of one key in any order, with empty ones, touching ones and one over all, against a plain loop."""
+    rows = [("u", i, i * 7919 % 300, i * 7919 % 300 + i % 23) for i in range(120)] + [("v", 7, 0, 1000), ("v", 1, 5, 6), ("v", 2, 6, 9), ("v", 3, 8, 12), ("w", 1, None, 5), ("w", 2, 1, 4)]
+    spans = spark.createDataFrame(rows, "unit string, seq long, start long, end long")
+    kept = []
+    for u, q, s, e in sorted(rows, key=lambda r: r[:2]):
+        if s is None or not any(k[0] == u and k[2] is not None and s < k[3] and k[2] < e for k in kept):
+            kept.append((u, q, s, e))
+    assert sorted(map(tuple, links.without_overlaps(spans, "unit").collect()), key=str) == sorted(kept, key=str)
+
+
+def test_many_links_of_one_citation(spark):
+    text_ = "2018 SCC 31 at paras " + ", ".join(str(n) for n in range(1, 1205)) + "; 2019 SCC 7 at para 3"
+    units = spark.createDataFrame([("x", "footnote", text_)], "unit_id string, kind string, text string")
+    found = links.planned(units, citations.extract(units, "unit_id")).collect()
+    assert len(found) == len({(r.seq, r.n) for r in found}) == 1204 + 3 and sum(r.seq == 1 for r in found) == 2
+
+
+def test_leaders_like_one_fold(spark):
+    at = [0, 10, 59, 60, 61, 119, 121, 300, 300, 359, 361, 500]
+    rows = [("k", i, t) for i, t in enumerate(at)] + [("l", 50, 5), ("k", 60, None)]
+    requests = spark.createDataFrame(rows, "key string, request_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    found = {r.request_id: r.leader for r in stateful.shared_requests(requests, ["key"], "ts", 60).collect()}
+    leader, since = None, None
+    for i, t in enumerate(at):
+        if since is None or t - since >= 60:
+            leader, since = i, t
+        assert found[i] == leader
+    assert (found[50], found[60]) == (50, 60)
+
+
+def test_rectangles_one_row_after_the_other(spark):
+    rows = [("m", i, (i % 4) * 0.25, float(i // 4), (i % 4) * 0.25 + (0.25 if i % 4 < 2 else 0.1), i // 4 + 0.5) for i in range(40)]
+    found = layout.merge_rects(spark.createDataFrame(rows, "mark string, seq long, x0 double, y0 double, x1 double, y1 double"), ["mark"]).orderBy("rect_no").collect()
+    assert [(r.x0, r.x1, r.y0) for r in found] == [x for line in range(10) for x in ((0.0, 0.6, float(line)), (0.75, 0.85, float(line)))]
+
+
+def test_excerpts_count_units(spark):
+    assert one(spark, structure.excerpt(F.col("t"), 4), t="\n\u00a0 ab😀cd \ufeff") == "ab😀"
+    assert one(spark, structure.excerpt(F.col("t"), 3), t="ab😀cd") == "ab"
+    assert one(spark, structure.excerpt(F.col("t"), 3), t="😀") == "😀"
+    assert one(spark, citations.case_address(F.col("t"), "fr", {"CMAC": "ca/cmac"}), t="2019 CMAC 2").endswith("/fr/ca/cmac/doc/2019/2019cmac2/2019cmac2.html")
+
+
 def test_text_functions(spark):
     assert one(spark, text.utf16_length(F.col("t")), t="a😀b") == 4
     assert one(spark, text.round_half_up(F.col("t")), t=-2.5) == -2
