@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_text, id_and_text, materialise, private, with_columns
 from .components import connected_components
 
+#: Fingerprints whose variants a task emits, at most.
+NODES = 1 << 17
+
 LOW_BITS = np.uint64(0x0101010101010101)
 
 
@@ -107,14 +111,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """
     if radius % 2:
         raise ValueError("the radius is even")
+    spark = docs.sparkSession
     prints = materialise(fingerprints(docs, words), "fingerprints")
     nodes = materialise(prints.where("doc_id is not null").groupBy("f0").agg(F.min("doc_id").alias("rep")), "nodes")
 
     masks = ball(64, radius // 2)
-    variants = nodes.select("rep", "f0", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, ceil(nodes.count() / NODES))  # each row becomes 65
+    variants = nodes.repartition(tasks, "f0").select("rep", "f0", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
     variants = variants.select("rep", F.col("f0").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.groupBy("variant").agg(F.array_sort(F.collect_list("rep")).alias("reps")).where("size(reps) > 1")
-    pairs = materialise(met.select(F.col("reps")[0].alias("a"), F.explode(F.slice("reps", 2, len(masks))).alias("b")).distinct(), "pairs")
+    met = variants.withColumn("a", F.min("rep").over(Window.partitionBy("variant"))).where("a <> rep")
+    pairs = materialise(met.select("a", F.col("rep").alias("b")).distinct(), "pairs")
 
     def side(to: str) -> DataFrame:
         return nodes.select(F.col("rep").alias(to), F.col("f0").alias(f"{to}_f0"))
