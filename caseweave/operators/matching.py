@@ -45,8 +45,8 @@ def majority_matches(files: DataFrame, file_key: str, waiting: DataFrame, record
     wanted = word_runs(waiting, record_key, text, size)
     owners = wanted.groupBy("phrase").agg(F.count("*").alias("_owners"))
     sizes = wanted.groupBy(record_key).agg(F.count("*").alias("_phrases"))
-    hashed = files.select(file_key, words_of(text).alias("w")).where(F.size("w") >= size).select(file_key, F.posexplode(F.transform(places(size), lambda i: F.xxhash64(run_at(i, size)))).alias("at", "hash"))
-    met = hashed.join(wanted.select(F.xxhash64("phrase").alias("hash")).distinct(), "hash", "left_semi").groupBy(file_key).agg(F.collect_set("at").alias("at"))
+    hashed = files.select(file_key, words_of(text).alias("w")).where(F.size("w") >= size).select(file_key, F.posexplode(F.transform(places(size), lambda i: F.xxhash64(F.slice("w", i, size)))).alias("at", "hash"))
+    met = hashed.join(wanted.select(F.xxhash64(F.split("phrase", " ")).alias("hash")).distinct(), "hash", "left_semi").groupBy(file_key).agg(F.collect_set("at").alias("at"))
     held = files.select(file_key, words_of(text).alias("w")).join(met, file_key).select(file_key, F.explode(F.transform("at", lambda i: run_at(i + 1, size))).alias("phrase")).distinct()
     hits = held.join(wanted.join(owners, "phrase"), "phrase").groupBy(file_key, record_key).agg(F.count("*").alias("hits"), F.count_if(F.col("_owners") == 1).alias("unique_hits"))
     return hits.join(sizes, record_key).where("hits * 2 > _phrases and unique_hits >= 2").select(file_key, record_key, "hits", "unique_hits")
