@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 #: Rows of a batch that a per-document function is handed at once, by characters: a batch of long
 #: documents holds fewer of them.
 SLICE_BYTES = 2 << 20
+#: The same where what a batch shares (pieces of text) is worth more than memory: a job with no other stage.
+WIDE_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -76,15 +78,15 @@ def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about so many bytes of text, one row at least."""
     at, rows = 0, batch.num_rows
     if not rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > SLICE_BYTES:
+        if total and total + n > size:
             yield batch.slice(at, i - at)
             at, total = i, 0
         total += int(n)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import WIDE_BYTES, id_and_text, slices
 from .tokens import REMEMBERED, encoder
 
 #: Tokens of the stream that one dynamic programme sees; its last window opens the next one.
@@ -118,7 +118,7 @@ class Stream:
         return pa.RecordBatch.from_arrays(rows, schema=PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, kept: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024, sentence_penalty: float = 2.0, token_penalty: float = 6.0, kept: int | None = None, batch_bytes: int = WIDE_BYTES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row per piece.
 
     A document is its ids by the vocabulary file of the tokenizers library and end_id. The documents
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
 
     kept: how many pieces of text a worker remembers, if not tokens.REMEMBERED. Where other stages run
     in the same application, an idle worker's memory stands beside theirs, and few are better.
+    batch_bytes: text that is encoded at once; a piece that isn't remembered is encoded once per batch.
 
     A null or empty text is the end_id alone. Repeated rows are packed as often as they come, rows
     without an id keep a null id, and an empty table gives an empty result.
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = 1024,
         stream = Stream(ends, opens, window, sentence_penalty, token_penalty, (context.partitionId() if context else 0) << 40)
         end = np.array([end_id], "<u4")
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, size=batch_bytes):
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                     stream.add(doc_id, np.concatenate([ids, end]))
                     if stream.size >= BLOCK and (rows := stream.cut(last=False)):
