@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, langid, packing, pii, quality, secrets, simhash, tokenfile
+from . import bpe, chat, embeddings, langid, packing, pii, quality, secrets, simhash, tokenfile, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokenfile": op8_tokenfile,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_warc": op11_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,5 +97,14 @@ WITH turns AS (
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
   sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM whole
+""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), q AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS best FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
+FROM q
 """,
 }
