@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, langid, packing, pii, quality, secrets, simhash, tokenfile, warc
+from . import bpe, chat, embeddings, langid, packing, pii, quality, secrets, simhash, tokenfile, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
     "op11_warc": op11_warc,
+    "op13_variants": op13_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -106,5 +111,38 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
 FROM q
+""",
+    "op13_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), found AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS n, hex(id || ':' || run) AS h FROM found WHERE length(run) >= 7 GROUP BY id, run
+), coded AS (
+  SELECT run, n, list_transform(range(0, length(h) // 2), lambda j: 16 * (instr('0123456789ABCDEF', substr(h, 2 * j + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(h, 2 * j + 2, 1)) - 1) AS b FROM counted
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) AS crc FROM coded, crc_table
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM words, unnest(range(1, length(word) + 1)) u(i)
+), near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.k = b.k WHERE a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.k = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.k = w.word
+), ranked AS (
+  SELECT near.word, o.word AS other, o.n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, o.word) AS r
+  FROM near JOIN words o ON near.other = o.word
+), formed AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.n >= 10 * w.n THEN r.other END AS form, CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN (SELECT * FROM ranked WHERE r = 1) r ON w.word = r.word
+), chain AS (
+  SELECT word, word AS root FROM formed WHERE form IS NULL
+  UNION ALL SELECT f.word, c.root FROM formed f JOIN chain c ON f.form = c.word
+)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM formed f JOIN chain c USING (word)
 """,
 }
