@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, langid, packing, pii, quality, secrets, simhash, tokenfile, variants, warc
+from . import bpe, chat, embeddings, langid, lexical, packing, pii, quality, secrets, simhash, tokenfile, variants, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group_variants(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
     "op11_warc": op11_warc,
+    "op12_search": op12_search,
     "op13_variants": op13_variants,
 }
 
@@ -111,6 +116,27 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id <> best THEN best END AS refers_to
 FROM q
+""",
+    "op12_search": r"""
+WITH terms AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ') AS l FROM documents
+), each AS (SELECT r, doc_id, unnest(l) AS term FROM terms),
+postings AS (SELECT r, doc_id, term, count(*) AS tf FROM each WHERE term <> '' GROUP BY r, doc_id, term),
+sizes AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY r),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM postings, whole GROUP BY term, docs
+), asked AS (
+  SELECT DISTINCT q, item_id, term FROM (
+    SELECT q, item_id, unnest(string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g'), ' '), ' ')) AS term
+    FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)) WHERE term <> ''
+), scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (r), whole GROUP BY q, item_id, r, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
     "op13_variants": r"""
 WITH RECURSIVE crc_table AS (
