@@ -17,24 +17,32 @@ def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[\\t\\n\\f\\r ]+", " "))
 
 
+#: What counts as white space.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Characters that NFKC leaves alone wherever they stand: ASCII, Latin letters, common punctuation.
+STABLE = "\\x00-\\x7f\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u2013\u2014\u2018-\u201e\u2022"
+
+
 def nfkc(text: Column) -> Column:
-    """NFKC, runs of any white space as one space, none at the ends; null stays null."""
+    """NFKC, runs of white space (SPACES) as one space, none at the ends; null stays null.
+
+    Texts of STABLE characters are in NFKC already and stay in the JVM; Python is handed the others and
+    a null for each of these.
+    """
 
     @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else " ".join(unicodedata.normalize("NFKC", v).replace("﻿", " ").split()))
+    def compatible(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return run(text)
+    stable = text.rlike(f"^[{STABLE}]*$")
+    composed = F.when(stable, text).otherwise(compatible(F.when(~stable, text)))
+    return F.trim(F.regexp_replace(composed, f"[{SPACES}]+", " "))
 
 
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
-#: What counts as white space at the ends of a text.
-SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-
-
 def utf16_prefix(text: Column, most: int) -> Column:
     """The first so many UTF-16 units; a character that would be cut in two is left out."""
     head = F.substring(text, 1, most)  # as many units at least
@@ -86,14 +94,15 @@ def item_of(text: Column) -> Column:
 
 
 def running_key(text: Column) -> Column:
-    """What a line is compared by across pages: null for a numbered one, one key for page numbers."""
-    line = tidy(text)
-    return F.when(numbered(line), F.lit(None)).when(line.rlike("^(?i)(page\\s+)?[-–—]?\\s*\\d+\\s*[-–—]?$"), F.lit("#page-number")).otherwise(F.nullif(line, F.lit("")))
+    """What a line is compared by across pages: null for a numbered one, one key for page numbers,
+    else its normalised text."""
+    line = nfkc(text)
+    return F.when(numbered(line), F.lit(None)).when(line.rlike("^(?i)(page )?[-–—]? ?\\d+ ?[-–—]?$"), F.lit("#page-number")).otherwise(line)
 
 
 def numbered(line: Column) -> Column:
     """Whether a line begins with a paragraph's number."""
-    return line.rlike("^\\s*(\\[\\d+\\]|\\d+[.)])\\s+")
+    return line.rlike(f"^[{SPACES}]*(\\[\\d+\\]|\\d+[.)])[{SPACES}]+")
 
 
 def error_distance(gold: Column, read: Column) -> Column:

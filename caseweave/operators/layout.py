@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from operator import and_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import text as T
 
@@ -30,31 +33,38 @@ def running_lines(lines: DataFrame, page: str = "doc_id", line: str = "line", le
 TOP, BOTTOM = 0.075, 0.935
 
 
-def running_headers(lines: DataFrame, document: str, page: str, line: str = "line", share: float = 0.5) -> DataFrame:
+def keyed(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines with key, what they are compared by, and numbered, whether they begin with a paragraph's
+    number: what running_headers and strip_running read. Worth writing once, as both read all lines."""
+    return lines.withColumns({"key": T.running_key(F.col(line)), "numbered": T.numbered(F.col(line))})
+
+
+def running_headers(lines: DataFrame, document: str, page: str, share: float = 0.5) -> DataFrame:
     """(document, key): keys that stand in the top or bottom band of max(2, half the pages, or another
     share, rounded up) pages of a document.
 
-    lines: document, page, line, and top and bottom of its box from 0 to 1."""
+    lines: of keyed(), with document, page, and top and bottom of their box from 0 to 1."""
     in_band = (F.col("top") < TOP) | (F.col("bottom") > BOTTOM)
-    keyed = lines.where(in_band).select(document, page, T.running_key(F.col(line)).alias("key"))
     pages = lines.select(document, page).distinct().groupBy(document).agg(F.count("*").alias("pages"))
-    counts = keyed.where("key is not null").distinct().groupBy(document, "key").agg(F.count("*").alias("n"))
+    counts = lines.where(in_band).where("key is not null").select(document, page, "key").distinct().groupBy(document, "key").agg(F.count("*").alias("n"))
     return counts.join(pages, document).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * share))).select(document, "key")
 
 
-def strip_running(lines: DataFrame, running: DataFrame, document: str, page: str, line: str = "line") -> DataFrame:
+def strip_running(lines: DataFrame, running: DataFrame, document: str, page: str) -> DataFrame:
     """The lines without running headers and page numbers.
 
     A line of a running key goes if it is a page's number in one of the bands, or stands in the top
     band before the page's first numbered line. Elsewhere the same words stay.
-    lines: also line_no, by which the lines of a page are ordered; running: of running_headers.
+    lines: of keyed(), also with line_no, by which the lines of a page are ordered; running: of
+    running_headers.
     """
-    first = lines.where(T.numbered(F.col(line))).groupBy(document, page).agg(F.min("line_no").alias("_first"))
-    placed = lines.join(first, [document, page], "left").withColumn("key", T.running_key(F.col(line)))
+    first = lines.where("numbered").groupBy(document, page).agg(F.min("line_no").alias("_first"))
+    placed = lines.join(first, [document, page], "left")
     number, top = F.col("key") == "#page-number", F.col("top") < TOP
     may_go = F.coalesce((top & (number | (F.col("line_no") < F.col("_first")))) | ((F.col("bottom") > BOTTOM) & number), F.lit(False))
-    kept = placed.where(~may_go).drop("_first", "key")
-    return kept.unionByName(placed.where(may_go).join(running, [document, "key"], "left_anti").drop("_first", "key"))
+    goes = running.select(document, "key", F.lit(True).alias("_running"))
+    judged = placed.withColumn("_may", may_go).join(goes, [document, "key"], "left")
+    return judged.where(~(F.col("_may") & F.coalesce("_running", F.lit(False)))).drop("_first", "_may", "_running", "key", "numbered")
 
 
 def strip_lines(lines: DataFrame, running: DataFrame, line: str = "line") -> DataFrame:
@@ -97,39 +107,108 @@ def needs_recognition(pages: DataFrame, useful: str = "useful", body: str = "bod
 
 
 def drop_recognised(native: DataFrame, recognised: DataFrame, keys: Sequence[str], y: str = "y", line: str = "line", within: float = 0.04) -> DataFrame:
-    """The recognised lines that aren't a native line of the same page, text and place."""
-    there = native.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(y).alias("_y"), T.tidy(F.col(line)).alias("_line"))
+    """The recognised lines that aren't a native line of the same page, normalised text and place."""
+    there = native.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(y).alias("_y"), T.nfkc(F.col(line)).alias("_line"))
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    return recognised.join(there, [*same, T.tidy(F.col(line)) == F.col("_line"), F.abs(F.col(y) - F.col("_y")) < within], "left_anti")
-
-
-def assemble_lines(items: DataFrame) -> DataFrame:
-    """Text items of pages put together to lines, in the items' order: gaps and islands by two windows.
-
-    items: doc_id, page, item_no, text, x0, y0, x1, y1 in shares of the page, baseline, height and
-    width, the page's, in one unit, has_eol. A line begins with a page, after an item that ends one,
-    and where an item's baseline is a quarter of its height or more from that of the item before, where
-    it begins over .005 before that one's end, or where the gap is three heights or more. Within a line
-    a gap of over .15 heights gives a space unless one is there. Blank items have no text, but may end
-    a line.
+    read = recognised.withColumn("_key", T.nfkc(F.col(line)))
+    return read.join(there, [*same, F.col("_key") == F.col("_line"), F.abs(F.col(y) - F.col("_y")) < within], "left_anti").drop("_key")
+
+
+#: A line goes on within this share of an item's height round its first baseline, at most
+#: so far left of its box in shares of the page, and over less than so many heights; a gap of over so
+#: many heights gives a space.
+BASELINE, BACK, FAR, SPACED = 0.25, 0.005, 3, 0.15
+#: Items of a page that one task puts together at least, if a line ends among them.
+STRETCH = 4096
+
+LINE = "owner long, first_item long, last_item long, n_items long, text string, x0 double, y0 double, x1 double, y1 double, baseline double"
+
+
+def joined_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fold of assemble_lines over a task's items, sorted by page and number: the open line, its box
+    and its first baseline are all that is kept, whatever the page's size."""
+    schema, place, line = None, None, None
+    blank = str.maketrans("", "", T.SPACES)
+
+    for batch in batches:
+        names = batch.schema.names
+        keys = [i for i, n in enumerate(names) if n not in ("item_no", "text", "x0", "y0", "x1", "y1", "baseline", "height", "width", "has_eol")]
+        schema = schema or pa.schema([batch.schema.field(i) for i in keys] + [pa.field(n, t) for n, t in zip(("first_item", "last_item", "n_items", "text", "x0", "y0", "x1", "y1", "baseline"), [pa.int64()] * 3 + [pa.string()] + [pa.float64()] * 5)])
+        done: list = []
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        at = {n: columns[names.index(n)] for n in ("item_no", "text", "x0", "y0", "x1", "y1", "baseline", "height", "width", "has_eol")}
+        for key, no, text, x0, y0, x1, y1, baseline, height, width, eol in zip(zip(*(columns[i] for i in keys)), *at.values()):
+            if key != place:
+                if line:
+                    done.append((*place, *line))
+                place, line = key, None
+            if not (text or "").translate(blank):
+                if eol and line:
+                    done.append((*place, *line))
+                    line = None
+                continue
+            if None in (x0, y0, x1, y1, baseline, height, width):
+                continue
+            if line and abs(line[8] - baseline) < BASELINE * height and x0 >= line[4] - BACK and (x0 - line[6]) * width < FAR * height:
+                space = " " if (x0 - line[6]) * width > SPACED * height and line[3][-1][-1:] not in T.SPACES else ""
+                line[1], line[2] = no, line[2] + 1
+                line[3].append(space + text)
+                line[4:8] = [min(line[4], x0), min(line[5], y0), max(line[6], x1), max(line[7], y1)]
+            else:
+                if line:
+                    done.append((*place, *line))
+                line = [no, no, 1, [text], x0, y0, x1, y1, baseline]
+            if eol:
+                done.append((*place, *line))
+                line = None
+        yield written(done, schema)
+    if line:
+        yield written([(*place, *line)], schema)
+
+
+def written(lines: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    rows = list(zip(*lines)) or [()] * len(schema)
+    texts = schema.get_field_index("text")
+    return pa.RecordBatch.from_arrays([pa.array(["".join(x) for x in v] if i == texts else v, f.type) for i, (v, f) in enumerate(zip(rows, schema))], schema=schema)
+
+
+def assemble_lines(items: DataFrame, keys: Sequence[str] = ("doc_id", "page"), stretch: int = STRETCH) -> DataFrame:
+    """(keys, line_no, text, first_item, last_item, n_items, box, baseline): a page's items as its lines.
+
+    items: keys, item_no, text, x0, y0, x1, y1 in shares of the page, baseline, height and width, the
+    page's, in one unit, has_eol. In the items' order an item joins the open line if its baseline is
+    within a quarter of its height of that of the line's first item, it begins at most .005 left of the
+    line's box, and the gap to the box's right end is under three heights; a gap of over .15 heights
+    gives a space unless one is there. An item that ends a line closes it. Blank items have no text but
+    may close a line; items without a box are passed over, and close nothing.
+
+    A page is one sorted pass. One of more than `stretch` items is dealt over tasks where a line ends:
+    the last end of each stretch, one row per stretch, says where the next begins. Columns besides
+    these are dropped; items without a number have no place and go.
     """
-    order = Window.partitionBy("doc_id", "page").orderBy("item_no")
-    closed = F.coalesce(F.lag(F.sum(F.col("has_eol").cast("int")).over(order)).over(order), F.lit(0))
-    written = items.withColumn("_closed", closed).where(F.trim(F.coalesce("text", F.lit(""))) != "")
-
-    def before(column: str) -> Column:
-        return F.lag(column).over(order)
-
-    gap = (F.col("x0") - before("x1")) * F.col("width")
-    breaks = before("_closed").isNull() | (before("_closed") != F.col("_closed")) | (F.abs(before("baseline") - F.col("baseline")) >= 0.25 * F.col("height")) | (F.col("x0") < before("x1") - 0.005) | (gap >= 3 * F.col("height"))
-    spaced = (gap > 0.15 * F.col("height")) & ~before("text").rlike("\\s$")
-    marked = written.withColumns({"_new": breaks.cast("long"), "_piece": F.when(~breaks & spaced, F.concat(F.lit(" "), "text")).otherwise(F.col("text"))})
-    numbered = marked.withColumn("line_no", F.sum("_new").over(order) - 1)
-    pieces = F.array_sort(F.collect_list(F.struct("item_no", "_piece")))
-    first = F.min_by("baseline", "item_no").alias("baseline")
-    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
-    lines = numbered.groupBy("doc_id", "page", "line_no").agg(pieces.alias("p"), *box, first)
-    return lines.select("doc_id", "page", "line_no", F.array_join(F.col("p._piece"), "").alias("text"), "x0", "y0", "x1", "y1", "baseline")
+    keys, columns = list(keys), ["item_no", "text", "x0", "y0", "x1", "y1", "baseline", "height", "width"]
+    numbers = [F.col(c).cast("double").alias(c) for c in columns[2:]]
+    rows = items.select(*keys, F.col("item_no").cast("long").alias("item_no"), F.col("text").cast("string").alias("text"), *numbers, F.coalesce("has_eol", F.lit(False)).alias("has_eol"))
+    box = reduce(and_, [F.col(c).isNotNull() for c in columns[2:]])
+    ends = F.col("has_eol") & ((F.btrim(F.coalesce("text", F.lit("")), F.lit(T.SPACES)) == "") | box)
+    part = F.floor(F.col("item_no") / stretch)
+    near = rows.where(F.col("item_no") < stretch).withColumn("owner", F.lit(0).cast("long"))
+    # beyond the first stretch: the stretch of the last end before an item
+    far = rows.where(F.col("item_no") >= stretch).withColumn("_part", part)
+    large = far.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    closed = rows.where(ends).join(large, same, "left_semi").groupBy(*keys, part.alias("_part")).agg(F.min("item_no").alias("_first"))
+    parts = far.select(*keys, "_part", F.lit(None).cast("long").alias("_first")).distinct().unionByName(closed).groupBy(*keys, "_part").agg(F.min("_first").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("_first").isNotNull(), F.col("_part")), ignorenulls=True).over(before)
+    known = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_own"), "_first", last.alias("_before"))
+    owner = F.when(F.col("item_no") > F.col("_first"), F.col("_part")).otherwise(F.coalesce("_before", F.lit(0).cast("long")))
+    later = far.join(known, same & (F.col("_part") == F.col("_own"))).withColumn("owner", owner).select(*rows.columns, "owner")
+    dealt = near.unionByName(later).repartition(*keys, "owner").sortWithinPartitions(*keys, "owner", "item_no")
+    schema = StructType([*dealt.select(*keys).schema.fields, *_parse_datatype_string(LINE).fields])
+    found = dealt.select(*keys, "owner", *columns, "has_eol").mapInArrow(joined_items, schema)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_item")) - 1
+    return found.select(*keys, place.cast("long").alias("line_no"), "text", "first_item", "last_item", "n_items", "x0", "y0", "x1", "y1", "baseline")
 
 
 def merge_rects(rects: DataFrame, keys: Sequence[str], top: float = 0.006, bottom: float = 0.01, gap: float = 0.012) -> DataFrame:

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import layout, matching, resolve, structure
 from ..sources import sinks
+from ..sources.scratch import durable
 from ..sources.tables import table
 from .registry import Registry
 
 query = Registry()
 
 TIDY = r"trim(regexp_replace({}, '[\t\n\f\r ]+', ' ', 'g'))"
+#: What the made rows hold that NFKC or white space changes, and what it becomes.
+MARKS, PLAIN = "\u00a0\ufeff\uff30\uff50\uff0d\uff11\u3000", "  Pp-1 "
+NORMAL = rf"trim(regexp_replace(translate({{}}, '{MARKS}', '{PLAIN}'), '[\t\n\f\r ]+', ' ', 'g'))"
 LINES = r"""
 lines AS (
   SELECT doc_id, i - 1 AS line_no, l[i] AS line
@@ -48,14 +52,16 @@ def strip_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
 
 
-PAGES = r"""pages AS (
-  SELECT source, doc_id, string_split('Report of ' || source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'page ' || doc_id ELSE 'Opening' END || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '[1] ' END || text || chr(10) || 'Report of ' || source || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- ' || doc_id || ' -' ELSE 'Closing' END, chr(10)) AS l
-  FROM documents WHERE source IS NOT NULL AND text IS NOT NULL
+PAGES = r"""heads AS (
+  SELECT *, CASE doc_id % 5 WHEN 1 THEN 'Report' || chr(160) || 'of ' WHEN 2 THEN chr(65279) || 'Report of' || chr(12288) ELSE 'Report of ' END || source AS head FROM documents WHERE source IS NOT NULL AND text IS NOT NULL
+), pages AS (
+  SELECT source, doc_id, string_split(head || chr(10) || CASE doc_id % 6 WHEN 0 THEN 'page ' || doc_id WHEN 3 THEN chr(65328) || 'age' || chr(160) || chr(65297) || doc_id ELSE 'Opening' END || chr(10) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '[1] ' END || text || chr(10) || head || chr(10) || CASE doc_id % 4 WHEN 0 THEN '- ' || doc_id || ' -' WHEN 2 THEN chr(65293) || ' ' || doc_id ELSE 'Closing' END, chr(10)) AS l
+  FROM heads
 ), lines AS (SELECT source, doc_id, i - 1 AS line_no, l[i] AS line, (i - 1) / len(l) AS top, i / len(l) AS bottom FROM pages, unnest(range(1, len(l) + 1)) t(i)),
-tidied AS (SELECT *, """ + TIDY.format("line") + r""" AS tidy FROM lines),
+tidied AS (SELECT *, """ + NORMAL.format("line") + r""" AS tidy FROM lines),
 keyed AS (
   SELECT *, regexp_matches(line, '^\s*(\[\d+\]|\d+[.)])\s+') AS numbered,
-    CASE WHEN regexp_matches(tidy, '^(\[\d+\]|\d+[.)])\s+') THEN NULL WHEN regexp_matches(tidy, '^(?i)(page\s+)?[-–—]?\s*\d+\s*[-–—]?$') THEN '#page-number' ELSE nullif(tidy, '') END AS key FROM tidied
+    CASE WHEN regexp_matches(tidy, '^(\[\d+\]|\d+[.)])\s+') THEN NULL WHEN regexp_matches(tidy, '^(?i)(page\s+)?[-–—]?\s*\d+\s*[-–—]?$') THEN '#page-number' ELSE tidy END AS key FROM tidied
 ), counted AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
 running AS (
   SELECT k.source, k.key FROM keyed k JOIN counted c ON c.source = k.source WHERE k.key IS NOT NULL AND (top < 0.075 OR bottom > 0.935)
@@ -64,13 +70,18 @@ running AS (
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page of its source's report, with a header and a footer."""
+    """Each document as a page of its source's report, with a header and a footer, which some pages
+    write with no-break or wide spaces, a byte order mark, or full-width letters and digits. The lines
+    are written once, with their keys, as headers and pages are read from them."""
     k = F.col("doc_id")
-    head = F.concat(F.lit("Report of "), "source")
-    text = F.concat_ws("\n", head, F.when(k % 3 == 0, F.concat(F.lit("page "), k.cast("string"))).otherwise("Opening"), F.concat(F.when(k % 4 == 0, "").otherwise("[1] "), "text"), head, F.when(k % 2 == 0, F.concat(F.lit("- "), k.cast("string"), F.lit(" -"))).otherwise("Closing"))
+    report = F.when(k % 5 == 1, "Report\u00a0of ").when(k % 5 == 2, "\ufeffReport of\u3000").otherwise("Report of ")
+    head = F.concat(report, "source")
+    opening = F.when(k % 6 == 0, F.concat(F.lit("page "), k.cast("string"))).when(k % 6 == 3, F.concat(F.lit("\uff30age\u00a0\uff11"), k.cast("string"))).otherwise("Opening")
+    closing = F.when(k % 4 == 0, F.concat(F.lit("- "), k.cast("string"), F.lit(" -"))).when(k % 4 == 2, F.concat(F.lit("\uff0d "), k.cast("string"))).otherwise("Closing")
+    text = F.concat_ws("\n", head, opening, F.concat(F.when(k % 4 == 0, "").otherwise("[1] "), "text"), head, closing)
     pages = table(spark, sf_dir, "documents").where("source is not null and text is not null").select("source", "doc_id", F.split(text, "\n").alias("l"))
     lines = pages.select("source", "doc_id", F.size("l").alias("n"), F.posexplode("l").alias("line_no", "line"))
-    return lines.withColumns({"top": F.col("line_no") / F.col("n"), "bottom": (F.col("line_no") + 1) / F.col("n")}).drop("n")
+    return durable(layout.keyed(lines.withColumns({"top": F.col("line_no") / F.col("n"), "bottom": (F.col("line_no") + 1) / F.col("n")}).drop("n")))
 
 
 @query(f"WITH {PAGES} SELECT source, key FROM running")
@@ -79,13 +90,54 @@ def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAGES}, firsts AS (SELECT source, doc_id, min(line_no) FILTER (WHERE numbered) AS first FROM keyed GROUP BY source, doc_id)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(*) FILTER (WHERE starts_with(line, 'Report of ')) AS n_reports FROM keyed k JOIN firsts f USING (source, doc_id)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, count(*) FILTER (WHERE contains(line, 'Report')) AS n_reports FROM keyed k JOIN firsts f USING (source, doc_id)
 WHERE NOT coalesce(((top < 0.075 AND (key = '#page-number' OR line_no < first)) OR (bottom > 0.935 AND key = '#page-number')) AND EXISTS (SELECT 1 FROM running r WHERE r.source = k.source AND r.key = k.key), false)
 GROUP BY doc_id""")
 def strip_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = reports(spark, sf_dir)
     kept = layout.strip_running(lines, layout.running_headers(lines, "source", "doc_id", share=0.1), "source", "doc_id")
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"), F.count_if(F.col("line").startswith("Report of ")).alias("n_reports"))
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"), F.count_if(F.col("line").contains("Report")).alias("n_reports"))
+
+
+ITEMS = """words AS (
+  SELECT doc_id, i - 1 AS w, l[i] AS text FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) t(i)
+), items AS (
+  SELECT doc_id, w // 60 AS page, w % 60 AS item_no, text, CASE WHEN w % 17 <> 3 THEN (9 * (w % 10) + (doc_id + w * 13) % 7) / 100 END AS x0,
+    (9 * (w % 10) + (doc_id + w * 13) % 7 + length(text) % 9) / 100 AS x1, (w // 10 + w % 3) / 1000 AS y0, (w // 10 + 12) / 1000 AS y1,
+    ((w // 10) * 6 + (w * 3 + doc_id) % 4) / 2 AS baseline, (8 + w % 5) / 1 AS height, (200 + 100 * (doc_id % 3)) / 1 AS width, w % 23 = 11 OR contains(text, chr(10)) AS has_eol
+  FROM words
+)"""
+
+
+@query(rf"""WITH RECURSIVE {ITEMS}, walk(doc_id, page, i, line_no, open, n, text, x0, y0, x1, y1, baseline) AS (
+  SELECT DISTINCT doc_id, page, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), false, CAST(0 AS BIGINT), '', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM items
+  UNION ALL
+  SELECT doc_id, page, item_no, CASE WHEN counts AND NOT joins THEN line_no + 1 ELSE line_no END, CASE WHEN blank THEN open AND NOT has_eol WHEN counts THEN NOT has_eol ELSE open END,
+    CASE WHEN NOT counts THEN n WHEN joins THEN n + 1 ELSE 1 END,
+    CASE WHEN NOT counts THEN text WHEN joins THEN text || CASE WHEN (ix0 - x1) * width > CAST(0.15 AS DOUBLE) * height AND NOT regexp_matches(text, '\s$') THEN ' ' ELSE '' END || itext ELSE itext END,
+    CASE WHEN NOT counts THEN x0 WHEN joins THEN least(x0, ix0) ELSE ix0 END, CASE WHEN NOT counts THEN y0 WHEN joins THEN least(y0, iy0) ELSE iy0 END,
+    CASE WHEN NOT counts THEN x1 WHEN joins THEN greatest(x1, ix1) ELSE ix1 END, CASE WHEN NOT counts THEN y1 WHEN joins THEN greatest(y1, iy1) ELSE iy1 END,
+    CASE WHEN counts AND NOT joins THEN ibase ELSE baseline END
+  FROM (
+    SELECT s.*, t.item_no, t.text AS itext, t.x0 AS ix0, t.y0 AS iy0, t.x1 AS ix1, t.y1 AS iy1, t.baseline AS ibase, t.height, t.width, t.has_eol,
+      trim(t.text, ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, trim(t.text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND t.x0 IS NOT NULL AS counts,
+      s.open AND abs(s.baseline - t.baseline) < t.height * CAST(0.25 AS DOUBLE) AND t.x0 >= s.x0 - CAST(0.005 AS DOUBLE) AND (t.x0 - s.x1) * t.width < t.height * 3 AS joins
+    FROM walk s JOIN items t ON t.doc_id = s.doc_id AND t.page = s.page AND t.item_no = s.i + 1
+  )
+), lines AS (SELECT doc_id, page, line_no, max(i) AS i FROM walk WHERE line_no >= 0 GROUP BY doc_id, page, line_no)
+SELECT doc_id, page, line_no, n AS n_items, text, x0, y0, x1, y1, baseline FROM lines JOIN walk USING (doc_id, page, line_no, i)""")
+def assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents as items of pages of sixty: overlaps, drifting baselines, gaps, items without a
+    box, blank items, ends of lines."""
+    words = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", " ")).alias("w", "text"))
+    w, k = F.col("w").cast("long"), F.col("doc_id")
+    left = 9 * (w % 10) + (k + w * 13) % 7
+    row = F.floor(w / 10)
+    items = words.select(
+        "doc_id", F.floor(w / 60).alias("page"), (w % 60).alias("item_no"), "text", F.when(w % 17 != 3, left / 100).alias("x0"), ((row + w % 3) / 1000).alias("y0"), ((left + F.length("text") % 9) / 100).alias("x1"), ((row + 12) / 1000).alias("y1"),
+        ((row * 6 + (w * 3 + k) % 4) / 2).alias("baseline"), (8 + w % 5).alias("height"), (200 + 100 * (k % 3)).alias("width"), ((w % 23 == 11) | F.contains("text", F.lit("\n"))).alias("has_eol"),
+    )
+    return layout.assemble_lines(items).select("doc_id", "page", "line_no", "n_items", "text", "x0", "y0", "x1", "y1", "baseline")
 
 
 @query(f"""WITH {OFFSETS} SELECT doc_id, line_no, "start", "end" FROM offsets""")
@@ -181,8 +233,12 @@ SELECT doc_id, count(*) FILTER (WHERE src = 'native') AS n_native, count(*) FILT
   SELECT doc_id, 'ocr' FROM ocr o WHERE NOT EXISTS (SELECT 1 FROM native n WHERE n.doc_id = o.doc_id AND n.tidy = o.tidy AND abs(n.y - o.y) < 0.04)
 ) GROUP BY doc_id""")
 def ocr_antidupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd lines are recognised ones; every third of them has wide or no-break spaces and a byte order
+    mark, which make no difference."""
     placed = lines(spark, sf_dir).withColumn("y", (F.col("line_no") % 40) / F.lit(40.0))
     native, ocr = placed.where("line_no % 2 = 0"), placed.where("line_no % 2 = 1")
+    odd = F.concat(F.lit("\ufeff"), F.regexp_replace("line", " ", "\u00a0\u3000"))
+    ocr = ocr.withColumn("line", F.when(F.col("line_no") % 3 == 0, odd).otherwise(F.col("line")))
     kept = layout.drop_recognised(native, ocr, ["doc_id"])
     both = native.withColumn("src", F.lit("native")).unionByName(kept.withColumn("src", F.lit("ocr")))
     return both.groupBy("doc_id").agg(F.count_if(F.col("src") == "native").alias("n_native"), F.count_if(F.col("src") == "ocr").alias("n_ocr"))

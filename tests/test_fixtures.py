@@ -317,3 +317,65 @@ def test_gaps_are_measured_in_the_page_s_unit(spark):
     schema = "doc_id long, page long, item_no long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, height double, has_eol boolean, width double"
     found = layout.assemble_lines(spark.createDataFrame(rows, schema)).orderBy("line_no").collect()
     assert [(r.line_no, r.text) for r in found] == [(0, "a b"), (1, "c")]
+
+
+ITEM = "doc_id long, page long, item_no long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, height double, has_eol boolean, width double"
+
+
+def assembled(spark, rows, **settings):
+    found = layout.assemble_lines(spark.createDataFrame(rows, ITEM).repartition(3), **settings).collect()
+    return [r.text for r in sorted(found, key=lambda r: (str(r.doc_id), r.page, r.line_no))]
+
+
+def test_lines_go_on_over_overlaps_and_break_on_drift(spark):
+    assert assembled(spark, [item(0, "AB", 0.10, 0.20), item(1, "C", 0.19, 0.25)]) == ["ABC"]
+    drift = [(1, 1, i, t, 0.1 + 0.1 * i, 0.4, 0.2 + 0.1 * i, 0.5, b, 10.0, False, 100.0) for i, (t, b) in enumerate([("a", 100.0), ("b", 102.0), ("c", 104.0), ("d", 106.0), ("e", 106.4)])]
+    assert assembled(spark, drift) == ["ab", "cde"]
+    # the box is a union: a short item inside it neither ends the line nor moves its right end back
+    union = [item(0, "long", 0.10, 0.50), item(1, "in", 0.20, 0.25), item(2, "on", 0.51, 0.55)]
+    assert assembled(spark, union) == ["longinon"]
+    # left of the box by over .005
+    assert assembled(spark, [item(0, "a", 0.10, 0.2), item(1, "b", 0.0949, 0.15), item(2, "c", 0.0951, 0.15)]) == ["a", "bc"]
+    # an item without a box is passed over with its end of line; a blank one's end counts
+    assert assembled(spark, [item(0, "a", 0.1, 0.2), item(1, "x", None, 0.2, eol=True), item(2, "b", 0.2, 0.3), item(3, "\u00a0", 0.3, 0.4, eol=True), item(4, "c", 0.3, 0.4)]) == ["ab", "c"]
+    # no space after one, of any kind
+    assert assembled(spark, [item(0, "a\u00a0", 0.1, 0.2), item(1, "b", 0.25, 0.3), item(2, "c", 0.35, 0.4)]) == ["a\u00a0b c"]
+    assert assembled(spark, []) == []
+
+
+def test_a_large_page_is_dealt_where_lines_end(spark):
+    """Stretches of five items against one pass, with ends of lines close and far, and null pages."""
+    rows = [(k, 1, i, f"w{i}", 0.05 * (i % 13), 0.1, 0.05 * (i % 13) + 0.03, 0.2, i // 13 * 0.3, 0.1, i % e == e - 1, 1.0) for k, e in ((1, 3), (2, 17), (3, 1000), (None, 4)) for i in range(90)]
+    assert assembled(spark, rows, stretch=5) == assembled(spark, rows) != []
+
+
+def test_keys_are_normalised(spark):
+    key = lambda t: one(spark, text.running_key(F.col("t")), t=t)
+    assert key("Report\u00a0of\u3000X") == key(" Report of X\ufeff") == "Report of X"
+    assert key("Page\u00a05") == key("\uff30age 5") == key("\uff0d 5 -") == key("PAGE 12") == "#page-number"
+    assert key("\ufb01rst") == "first" and key("[1]\u00a0x") is None and key("\u00a0") == ""
+    assert one(spark, text.nfkc(F.col("t")), t="a\x1cb\x85c") == "a\x1cb\x85c"
+    native = spark.createDataFrame([(1, "Same \ufb01ne", 0.5)], "doc_id long, line string, y double")
+    read = spark.createDataFrame([(1, "Same\u00a0fine", 0.51), (1, "Same fine", 0.6), (1, "other", 0.5)], "doc_id long, line string, y double")
+    assert sorted(r.y for r in layout.drop_recognised(native, read, ["doc_id"]).collect()) == [0.5, 0.6]
+
+
+def test_stable_characters_are_stable():
+    import re
+    import unicodedata
+
+    stable = [c for c in map(chr, range(0x3000)) if re.match(f"[{text.STABLE}]", c)]
+    assert len(stable) > 250
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    joined = "".join(stable)
+    assert unicodedata.normalize("NFKC", joined) == joined and unicodedata.normalize("NFKC", joined[::-1]) == joined[::-1]
+
+
+def test_headers_go_in_their_bands(spark):
+    pages = [(p, i, t, top, top + 0.05) for p in range(1, 5) for i, (t, top) in enumerate([("Head\u00a0line" if p % 2 else "Head line", 0.01), ("[1] text", 0.3), ("Head line", 0.5), ("\u2013 %d \u2013" % p, 0.94)])]
+    lines = layout.keyed(spark.createDataFrame([(9, *r) for r in pages], "doc long, page long, line_no int, line string, top double, bottom double"))
+    running = layout.running_headers(lines, "doc", "page")
+    assert sorted(r.key for r in running.collect()) == ["#page-number", "Head line"]
+    kept = layout.strip_running(lines, running, "doc", "page")
+    assert sorted((r.page, r.line_no) for r in kept.collect()) == [(p, i) for p in range(1, 5) for i in (1, 2)]
+    assert set(kept.columns) == {"doc", "page", "line_no", "line", "top", "bottom"}
