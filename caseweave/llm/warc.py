@@ -220,7 +220,8 @@ def restore(spark: SparkSession, folder: str, payloads: bool = True) -> DataFram
     fields = {"record_type": field("WARC-Type"), "payload_digest": F.substring_index(field("WARC-Payload-Digest"), ":", -1), "refers_to": field("Refers-To-Page-ID").cast("long"), "_page": field("Page-ID").cast("long")}
     read = rows.withColumn("_warc", warc).withColumns(fields)
     there = objects(spark, folder, payloads).withColumnRenamed("bytes", "payload_bytes")
-    joined = read.join(there, "digest", "left")
+    # Spark takes what a few file names make for small and would broadcast it
+    joined = read.join(there.hint("merge"), "digest", "left")
     sound = (F.col("sha1") == F.col("payload_digest")) & F.col("_page").eqNullSafe(F.col("page_id"))
     checked = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("no sound payload for "), F.col("record_id"))))
     out = joined.withColumn("payload_digest", checked).drop("_warc", "_page")
