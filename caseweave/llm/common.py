@@ -8,6 +8,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _scratch: list[str] = []
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 @atexit.register
@@ -63,7 +65,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise wrote for these once nothing reads them any more."""
+    for path in filter(None, (_written.pop(t, None) for t in tables)):
+        with contextlib.suppress(OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+            store, folder = pafs.FileSystem.from_uri(path)
+            store.delete_dir(folder)
+            _scratch.remove(path)
 
 
 def private(docs: DataFrame, stem: str = "_caseweave_") -> str:

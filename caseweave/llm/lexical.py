@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, private, release, slices
+from .common import discard, materialise, private, release, slices
 
 #: Documents at most, in expectation, from which the upper levels of the order are learnt.
-SAMPLE = 8192
+SAMPLE = 4096
 #: Of the sample, each leaf of the upper levels has so many documents at least; so many levels at most.
-LEAF_SAMPLE, LEVELS = 256, 5
+LEAF_SAMPLE, LEVELS = 128, 5
 #: A block, bisected within one task, has about so many different terms of documents in all.
 BLOCK_POSTINGS = 1_000_000
 #: A cluster, visited as a whole, has so many documents at most.
@@ -25,16 +25,19 @@ CLUSTER_DOCS = 1024
 #: Passes of swaps per bisection, at most.
 PASSES = 8
 #: Clusters that each item visits in its first round; a round visits so many times more than the last.
-FIRST_ROUND, WIDER = 4, 8
+FIRST_ROUND, WIDER = 8, 16
 #: Items that share one copy of a cluster's postings in a task.
 ITEM_BLOCK = 256
+#: Up to so many different terms of all items, of bounded length in practice a few MB, are broadcast.
+BROADCAST_TERMS = 100_000
 LAST = (1 << 63) - 1
 #: Bytes of terms: digits, ASCII letters (lower-cased) and whatever isn't ASCII; the others are spaces.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 FORWARD = "row long, doc_id long, leaf int, n long, terms binary, tfs binary"
-INDEX = "cluster long, term binary, df long, top long, docs array<int>, saturations array<int>, ids array<long>"
-INDEX_SCHEMA = pa.schema([("cluster", pa.int64()), ("term", pa.binary()), ("df", pa.int64()), ("top", pa.int64()), ("docs", pa.list_(pa.int32())), ("saturations", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
+#: docs, places within the cluster, are unsigned 16-bit integers, saturations 32-bit ones.
+INDEX = "cluster long, term binary, df long, top long, docs binary, saturations binary, ids array<long>"
+INDEX_SCHEMA = pa.schema([("cluster", pa.int64()), ("term", pa.binary()), ("df", pa.int64()), ("top", pa.int64()), ("docs", pa.binary()), ("saturations", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -103,15 +106,18 @@ class Router:
     """The upper levels of the order, learnt from a sample: at each node a weight per term, the bits that
     it costs left more than right, and the threshold that halves the sample."""
 
-    def __init__(self, sample: list[list[bytes]], leaf: int = LEAF_SAMPLE, levels: int = LEVELS) -> None:
-        held = Counter(t for doc in sample for t in doc)
+    def __init__(self, sample: list[bytes], leaf: int = LEAF_SAMPLE, levels: int = LEVELS) -> None:
+        held: Counter = Counter()
+        for doc in sample:
+            held.update(doc.split())
         self.number = {t: i for i, t in enumerate(sorted(t for t, n in held.items() if n > 1))}
+        del held
         self.levels = max(0, min(levels, int(np.log2(max(1, len(sample) / leaf)))))
         self.weights = np.zeros(((1 << self.levels) - 1, len(self.number)), np.float32)
         self.thresholds = np.zeros(len(self.weights))
-        rows = [[self.number[t] for t in doc if t in self.number] for doc in sample]
+        rows = [np.fromiter((self.number[t] for t in doc.split() if t in self.number), np.int32) for doc in sample]
         docs = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        terms = np.array([t for r in rows for t in r], int)
+        terms = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int64)
         nodes = [(0, np.ones(len(rows), bool))] if self.levels else []
         while nodes:
             node, chosen = nodes.pop()
@@ -135,8 +141,8 @@ class Router:
         return at - len(self.weights)
 
 
-def sampled(docs: DataFrame, most: int = SAMPLE) -> list[list[bytes]]:
-    """The different terms of about `most` rows, or of all where there are fewer; never of over twice as many."""
+def sampled(docs: DataFrame, most: int = SAMPLE) -> list[bytes]:
+    """The different terms, with spaces between, of about `most` rows, or of all where there are fewer; never of over twice as many."""
     total = docs.count()
     some = docs if total <= most else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, total // most))) == 0).limit(2 * most)
 
@@ -145,7 +151,7 @@ def sampled(docs: DataFrame, most: int = SAMPLE) -> list[list[bytes]]:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([pa.array([b" ".join(sorted(set(terms_of(t)))) for t in batch.column("text").to_pylist()], pa.binary())], ["terms"])
 
-    return [bytes(r.terms).split() for r in some.select("text").mapInArrow(run, "terms binary").collect()]
+    return [bytes(r.terms) for r in some.select("text").mapInArrow(run, "terms binary").collect()]
 
 
 def forward(docs: DataFrame, router: Router) -> DataFrame:
@@ -195,14 +201,19 @@ def index_block(block: int, table: pa.Table, docs: int, length: int, most: int =
         cluster_of[names], place[names] = k, np.arange(len(names))
     key = cluster_of[doc] * len(number) + term
     order = np.lexsort((place[doc], key))
-    key, at, value = key[order], place[doc][order].astype(np.int32), value[order].astype(np.int32)
+    key, at, value = key[order], place[doc][order].astype("<u2"), value[order].astype("<u4")
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[first, len(key)].astype(np.int32)
+
+    def blobs(numbers: np.ndarray) -> pa.Array:
+        offsets = pa.py_buffer((ends * numbers.itemsize).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(numbers)])
+
     words = pa.array(list(number), pa.binary()).take(pa.array(key[first] % len(number)))
     none = pa.nulls(len(first), pa.list_(pa.int64()))
-    base = block << 12
-    rows = [base + key[first] // len(number), words, np.diff(ends).astype(np.int64), np.maximum.reduceat(value, first).astype(np.int64), pa.ListArray.from_arrays(ends, at), pa.ListArray.from_arrays(ends, value), none]
-    empty = [[]] * len(clusters)
+    base = block << 20
+    rows = [base + key[first] // len(number), words, np.diff(ends).astype(np.int64), np.maximum.reduceat(value, first).astype(np.int64), blobs(at), blobs(value), none]
+    empty = [b""] * len(clusters)
     heads = [base + np.arange(len(clusters)), [b""] * len(clusters), [len(c) for c in clusters], [0] * len(clusters), empty, empty, [[ids[i] for i in c.tolist()] for c in clusters]]
     both = [pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(part_, INDEX_SCHEMA)], schema=INDEX_SCHEMA) for part_ in (rows, heads)]
     return pa.concat_tables(both).combine_chunks()
@@ -224,8 +235,12 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     all its documents down to clusters. The order decides only how much a search can leave out.
     Repeated rows are documents of their own.
     """
+    if not 0 < cluster_docs <= 1 << 16:
+        raise ValueError("a cluster's places are 16-bit numbers")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = materialise(forward(rows, Router(sampled(rows, sample))), "forward")
+    router = Router(sampled(rows, sample))
+    release()
+    known = materialise(forward(rows, router), "forward")
     leaves = known.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("length"), F.sum(F.octet_length("tfs") / 4).cast("long").alias("postings")).collect()
     n, length = sum(r.docs for r in leaves), sum(r.length for r in leaves)
     blocks = {r.leaf: max(1, -(-r.postings // block_postings)) for r in leaves}
@@ -239,7 +254,9 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
         release()
         return out
 
-    return Index(materialise(known.withColumn("block", block).groupBy("block").applyInArrow(run, INDEX), "index"), n, length)
+    index = materialise(known.withColumn("block", block).groupBy("block").applyInArrow(run, INDEX), "index")
+    discard(known)
+    return Index(index, n, length)
 
 
 def top_of(ids: list, scores: np.ndarray, k: int) -> list[tuple[int | None, int]]:
@@ -260,20 +277,17 @@ def visit(work: DataFrame, index: DataFrame, asked: DataFrame, k: int) -> DataFr
     """
     visits = work.withColumn("items", F.floor(F.col("item") / ITEM_BLOCK))
     wanted = visits.select("cluster", "items").distinct()
-    postings = index.join(asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([(b"",)], "term binary")), "term", "left_semi").join(wanted, "cluster")
+    postings = index.join(wanted, "cluster")
     asks = visits.join(asked, "item").select(F.col("cluster").alias("_cluster"), F.col("items").alias("_items"), "item", "term", "weight")
     schema = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         lists, ids = {}, []
-        for name in ("docs", "saturations", "ids"):
-            left = left.set_column(left.schema.get_field_index(name), name, left.column(name).combine_chunks())
-        terms, docs, values = left.column("term").to_pylist(), left.column("docs").chunk(0) if left.num_rows else [], left.column("saturations").chunk(0) if left.num_rows else []
-        for i, term in enumerate(terms):
+        for term, docs, values, names in zip(*(left.column(n).to_pylist() for n in ("term", "docs", "saturations", "ids"))):
             if term:
-                lists[term] = (docs[i].values.to_numpy(), values[i].values.to_numpy())
+                lists[term] = (np.frombuffer(docs, "<u2"), np.frombuffer(values, "<u4"))
             else:
-                ids = left.column("ids")[i].as_py()
+                ids = names
         out = []
         by_item: dict = {}
         for item, term, weight in zip(right.column("item").to_pylist(), right.column("term").to_pylist(), right.column("weight").to_pylist()):
@@ -316,10 +330,13 @@ def search(index: Index, items: DataFrame, k: int = 10, key: str = "item_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("item_id"), terms], ["item", "item_id", "terms"])
 
     asked = materialise(named.mapInArrow(split, schema), "items")
-    rows, names = index.rows, asked.select("item", "item_id")
+    names = asked.select("item", "item_id")
     by_term = asked.select("item", F.explode("terms").alias("term"))
+    every = by_term.select("term").distinct().unionByName(spark.createDataFrame([(b"",)], "term binary"))
+    few = every.count() <= BROADCAST_TERMS
+    rows = index.rows.join(F.broadcast(every) if few else every, "term", "left_semi").select(index.rows.columns)
     narrow = rows.where("term <> X''").select("cluster", "term", "df", "top")
-    counted = narrow.join(by_term.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = narrow.groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * index.docs + 2) / (2.0 * F.col("df") + 1)))
     weighed = materialise(by_term.join(counted, "term").select("item", "term", weight.cast("long").alias("weight")), "weights")
     first_id = F.array_min(F.transform("ids", lambda x: F.coalesce(x, F.lit(LAST))))
@@ -335,8 +352,9 @@ def search(index: Index, items: DataFrame, k: int = 10, key: str = "item_id", te
         reached = found.where(F.col("rank") == k).select("item", F.col("score").alias("_score"), F.coalesce("doc_id", F.lit(LAST)).alias("_id"))
         found = found.drop("rank")
         open_ = F.col("_score").isNull() | (F.col("bound") > F.col("_score")) | ((F.col("bound") == F.col("_score")) & (F.col("first_id") < F.col("_id")))
-        left = materialise(ranked.where(F.col("turn") > width).drop("turn").join(reached, "item", "left").where(open_).drop("_score", "_id"), "bounds")
-        width *= WIDER
+        after = materialise(ranked.where(F.col("turn") > width).drop("turn").join(reached, "item", "left").where(open_).drop("_score", "_id"), "bounds")
+        discard(left, ranked)
+        left, width = after, width * WIDER
     return best(found, k).join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
