@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from math import log2
 from operator import and_
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import text as T
+from .folds import sorted_pass
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,27 +214,29 @@ def assemble_lines(items: DataFrame, keys: Sequence[str] = ("doc_id", "page"), s
 
 
 def merge_rects(rects: DataFrame, keys: Sequence[str], top: float = 0.006, bottom: float = 0.01, gap: float = 0.012) -> DataFrame:
-    """Selected rectangles put together along a line, in their order: gaps and islands by a fold.
+    """Selected rectangles put together along a line, in their order: one sorted pass per key that keeps
+    the open rectangle only.
 
     rects: keys, seq, x0, y0, x1, y1. A rectangle extends the last one if tops, bottoms and the gap
-    are within the limits; only x1 grows. The fold carries the open rectangle beside those that are
-    closed. A key is one selection.
+    are within the limits; only x1 grows. Rectangles with a null corner are passed over.
     """
-    box = F.struct("seq", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    kind = "struct<x0:double,y0:double,x1:double,y1:double>"
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("closed"), F.lit(None).cast(kind).alias("open"))
+    keys = list(keys)
+    n = len(keys)
+    corners = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = rects.select(*keys, "seq", *corners).where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
 
-    def step(acc: Column, r: Column) -> Column:
-        last = acc["open"]
-        plain = F.struct(*[r[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
-        grown = F.struct(last["x0"].alias("x0"), last["y0"].alias("y0"), F.greatest(last["x1"], r["x1"]).alias("x1"), last["y1"].alias("y1"))
-        fits = (F.abs(last["y0"] - r["y0"]) < top) & (F.abs(last["y1"] - r["y1"]) < bottom) & (r["x0"] <= last["x1"] + gap)
-        closed = F.when(fits | last.isNull(), acc["closed"]).otherwise(F.array_append(acc["closed"], last))
-        return F.struct(closed.alias("closed"), F.when(fits, grown).otherwise(plain).alias("open"))
+    def step(state: list, row: tuple) -> list[tuple]:
+        x0, y0, x1, y1 = row[n + 1 :]
+        last = state[1:]
+        if last and abs(last[1] - y0) < top and abs(last[3] - y1) < bottom and x0 <= last[2] + gap:
+            state[3] = max(last[2], x1)
+            return []
+        state[:] = [state[0] + 1 if state else 0, x0, y0, x1, y1]
+        return [(state[0] - 1, *last)] if last else []
 
-    merged = F.aggregate("b", start, step, lambda acc: F.array_append(acc["closed"], acc["open"]))
-    whole = rects.groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("b"))
-    return whole.select(*keys, F.posexplode(merged).alias("rect_no", "r")).select(*keys, F.col("rect_no").cast("long"), "r.x0", "r.y0", "r.x1", "r.y1")
+    kinds = _parse_datatype_string("rect_no long, x0 double, y0 double, x1 double, y1 double").fields
+    out = StructType([*rows.select(*keys).schema.fields, *kinds])
+    return sorted_pass(rows, keys, ["seq", "x0", "y0", "x1", "y1"], out, list, step, lambda state: [tuple(state)])
 
 
 def bounds(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -240,15 +244,47 @@ def bounds(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rects.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def topmost_at(points: DataFrame, marks: DataFrame, page: str = "page") -> DataFrame:
-    """points with the mark drawn last that holds them, null if none does.
+#: Marks of a page up to which points are compared with all of them.
+FEW_MARKS = 256
+#: A page of more has about so many marks per cell, and so many cells to each side at most, a power of two.
+CELL_MARKS, CELLS = 16, 64
 
-    points: point_id, page, x, y. marks: mark_id, page, seq, x0, y0, x1, y1.
+
+def topmost_at(points: DataFrame, marks: DataFrame, page: str = "page", few: int = FEW_MARKS) -> DataFrame:
+    """(point_id, mark_id): the mark drawn last that holds each point, null if none does.
+
+    points: point_id, page, x, y. marks: mark_id, page, seq, x0, y0, x1, y1. Points and marks meet by
+    page where no page has over `few` marks. Else a page is a grid, finer the more marks it has: marks
+    are dealt to the cells that they reach, points to the one that they are in, and meet by page and
+    cell. Of the marks that fill a cell only the last one drawn is left, by partial aggregation, so a
+    page of many large marks costs what its edges do. A ring of outer cells takes what is beyond the
+    page. Of marks of one seq that of the largest mark_id counts; null corners and places hold nothing.
     """
-    m = marks.select(F.col(page).alias("_page"), "mark_id", "seq", "x0", "y0", "x1", "y1")
-    inside = (F.col(page) == F.col("_page")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    hits = points.join(m, inside, "left")
-    return hits.groupBy("point_id").agg(F.max_by("mark_id", "seq").alias("mark_id"))
+    box = ["seq", "mark_id", "x0", "y0", "x1", "y1"]
+    sound = marks.where("x0 <= x1 and y0 <= y1").select(F.col(page).alias("_page"), *box)
+    placed = points.select("point_id", page, "x", "y")
+    sizes = sound.groupBy("_page").agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    meets = (F.col(page) == F.col("_page")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    held = sound
+    if largest > few:
+        finer = F.ceil(F.log2(F.sqrt(F.col("_n") / CELL_MARKS)))
+        grids = sizes.select(F.col("_page").alias("_grid"), F.pow(F.lit(2), F.greatest(F.lit(0), F.least(F.lit(int(log2(CELLS))), finer))).cast("int").alias("_cells"))
+
+        def cell(v: Column) -> Column:
+            return F.greatest(F.lit(-1), F.least(F.col("_cells"), F.floor(v * F.col("_cells")))).cast("int")
+
+        dealt = sound.join(grids, F.col("_page") == F.col("_grid"))
+        for c in "xy":
+            dealt = dealt.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(f"{c}0")), cell(F.col(f"{c}1")))))
+        inner = F.col("_cx").between(0, F.col("_cells") - 1) & F.col("_cy").between(0, F.col("_cells") - 1)
+        filled = inner & reduce(and_, [(F.col(f"{c}0") * F.col("_cells") <= F.col(f"_c{c}")) & (F.col(f"{c}1") * F.col("_cells") >= F.col(f"_c{c}") + 1) for c in "xy"])
+        full = dealt.where(filled).groupBy("_page", "_cx", "_cy").agg(F.max(F.struct(*box)).alias("m")).select("_page", "_cx", "_cy", "m.*")
+        held = full.unionByName(dealt.where(~filled).select("_page", "_cx", "_cy", *box))
+        placed = placed.join(grids, F.col(page) == F.col("_grid"), "left").withColumns({"_px": cell(F.col("x")), "_py": cell(F.col("y"))})
+        meets = meets & (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
+    hits = placed.join(held, meets, "left")
+    return hits.groupBy("point_id").agg(F.max(F.when(F.col("seq").isNotNull(), F.struct("seq", "mark_id"))).alias("m")).select("point_id", "m.mark_id")
 
 
 def last_before(events: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from ..sources.scratch import durable
+from .folds import TARGET, sorted_pass
 
 
 def kept_within(entries: DataFrame, budget: int, newest: Sequence[Column], partition: Sequence[str] = ()) -> DataFrame:
@@ -88,30 +94,75 @@ def expired(answers: DataFrame, ts: str, days: Column, now: Column) -> DataFrame
     return answers.withColumn("fresh", F.col(ts) + F.make_dt_interval(days.cast("int")) > now)
 
 
-def shared_requests(requests: DataFrame, key: Sequence[str], ts: str, window_seconds: int) -> DataFrame:
+def shared_requests(requests: DataFrame, key: Sequence[str], ts: str, window_seconds: int, target: int = TARGET) -> DataFrame:
     """requests with `leader`: the first of identical requests since an answer of so many seconds ran
     out does the work, the others share it.
 
-    A later one counts from its leader, so leaders come from a fold. After a gap of so many seconds a
-    request always leads: windows cut each key there, and only the requests between two such gaps are
-    folded. The fold keeps leaders, at most one in so many seconds; a window then names each request's.
+    A later one counts from its leader, so leaders follow from each other. Keys of at most `target`
+    requests are one sorted pass each, which keeps the last leader only. Where a key has more, each
+    time points at its successor, the first at or after it and the window; the leaders are what the
+    key's first request reaches, found by doubling the pointers, and no step needs a key's rows
+    together: times meet by windows of the time's length, of which a leader's sharers fill two.
+    Requests without a time share the first of them. Columns besides key and request_id are dropped.
     """
-    span = window_seconds * 1_000_000
+    span, key = window_seconds * 1_000_000, list(key)
     rows = requests.select(*key, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col("request_id").alias("id"))
-    order = Window.partitionBy(*key).orderBy("at", "id")
-    cut = F.coalesce(F.col("at") - F.lag("at").over(order) >= span, F.lit(True)).cast("long")
-    stretches = rows.withColumn("_cut", cut).withColumn("_stretch", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    none = F.array().cast(f"array<struct<at:bigint,id:{rows.schema['id'].dataType.simpleString()}>>")
-
-    def step(leaders: Column, r: Column) -> Column:
-        shares = r["at"] - F.get(leaders, F.size(leaders) - 1)["at"] < span
-        return F.when(shares, leaders).otherwise(F.array_append(leaders, r))
-
-    grouped = stretches.groupBy(*key, "_stretch").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("r"))
-    leaders = grouped.select(*key, F.explode(F.aggregate("r", none, step)).alias("l")).select(*key, "l.at", "l.id", F.col("l.id").alias("leader"), F.lit(0).alias("side"))
-    both = leaders.unionByName(rows.select(*key, "at", "id", F.lit(None).alias("leader"), F.lit(1).alias("side")))
-    last = F.last("leader", ignorenulls=True).over(Window.partitionBy(*key).orderBy("at", "id", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("leader", last).where("side = 1").select(*key, F.col("id").alias("request_id"), "leader")
+    largest = rows.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+    if largest > target:
+        return leaders_by_pointers(rows, key, span)
+    n = len(key)
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        at, id_ = row[n:]
+        if not state or (at is not None and (state[0] is None or at - state[0] >= span)):
+            state[:] = [at, id_]
+        return [(id_, state[1])]
+
+    kind = rows.schema["id"].dataType
+    out = StructType([*rows.select(*key).schema.fields, StructField("request_id", kind), StructField("leader", kind)])
+    return sorted_pass(rows, key, ["at", "id"], out, list, step)
+
+
+def leaders_by_pointers(rows: DataFrame, key: list[str], span: int) -> DataFrame:
+    """shared_requests for keys of any size. rows: key, at in microseconds, id."""
+    none = rows.where("at is null")
+    lone = none.join(none.groupBy(*key).agg(F.min("id").alias("leader")).select(*[F.col(k).alias(f"_{k}") for k in key], "leader"), null_safe(key))
+    lone = lone.select(*key, F.col("id").alias("request_id"), "leader")
+    part = F.floor(F.col("at") / span)
+    timed = rows.where("at is not null")
+    times = durable(timed.groupBy(*key, "at").agg(F.min("id").alias("id")).withColumn("part", part))
+    # the first time of the next part that has any, and of the one after an empty next part
+    parts = times.groupBy(*key, "part").agg(F.min("at").alias("first"))
+    order = Window.partitionBy(*key).orderBy("part")
+    after = parts.select(*key, "part", F.lead("first").over(order).alias("_one"), F.lead("part").over(order).alias("_part"), F.lead("first", 2).over(order).alias("_two"))
+    # the first time at or after at + span: in the next part, or the first of a later one
+    asks = times.select(*key, (F.col("part") + 1).alias("part"), (F.col("at") + span).alias("at"), F.col("at").alias("asker"))
+    both = times.select(*key, "part", "at", F.lit(None).cast("long").alias("asker")).unionByName(asks)
+    later = Window.partitionBy(*key, "part").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("_there", F.min(F.when(F.col("asker").isNull(), F.col("at"))).over(later)).where("asker is not null")
+    own = after.select(*[F.col(k).alias(f"_{k}") for k in key], (F.col("part") + 1).alias("_own"), "_part", "_one", "_two")
+    follows = F.coalesce("_there", F.when(F.col("_part") == F.col("part"), F.col("_two")).otherwise(F.col("_one")))
+    jump = durable(found.join(own, null_safe(key) & (F.col("part") == F.col("_own"))).select(*key, F.col("asker").alias("at"), follows.alias("to")).where("to is not null"))
+    reached = durable(times.groupBy(*key).agg(F.min("at").alias("at")))
+    while jump.limit(1).count():
+        old = [F.col(k).alias(f"_{k}") for k in key]
+        steps = jump.select(*old, F.col("at").alias("_at"), F.col("to").alias("_to"))
+        more = reached.join(steps, null_safe(key) & (F.col("at") == F.col("_at"))).select(*key, F.col("_to").alias("at"))
+        reached = durable(reached.unionByName(more))
+        jump = durable(jump.join(steps, null_safe(key) & (F.col("to") == F.col("_at"))).select(*key, "at", F.col("_to").alias("to")))
+    old = [F.col(k).alias(f"_{k}") for k in key]
+    leaders = reached.join(times.select(*old, F.col("at").alias("_at"), "id", "part"), null_safe(key) & (F.col("at") == F.col("_at"))).select(*key, "at", F.col("id").alias("leader"), "part")
+    # a leader's sharers are in its own part and the next
+    spread = leaders.unionByName(leaders.withColumn("part", F.col("part") + 1)).withColumns({"id": F.lit(None).cast(rows.schema["id"].dataType), "side": F.lit(0)})
+    all_rows = spread.unionByName(timed.select(*key, "at", F.lit(None).cast(rows.schema["id"].dataType).alias("leader"), part.alias("part"), "id", F.lit(1).alias("side")))
+    last = F.last("leader", ignorenulls=True).over(Window.partitionBy(*key, "part").orderBy("at", "side", "id").rowsBetween(Window.unboundedPreceding, 0))
+    shared = all_rows.withColumn("leader", last).where("side = 1").select(*key, F.col("id").alias("request_id"), "leader")
+    return shared.unionByName(lone)
+
+
+def null_safe(key: Sequence[str]) -> Column:
+    """Equality of the columns of key and those of the same names after an underscore, nulls too."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
 
 
 def answered(requests: DataFrame, responses: DataFrame, key: str, limit_seconds: int) -> DataFrame:

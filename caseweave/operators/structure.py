@@ -53,11 +53,28 @@ def unique_targets(targets: DataFrame, nodes: DataFrame, document: str = "doc_id
     return counted.select(document, "value", status.alias("status"), F.when(F.col("n") == 1, F.col("_one")).alias("node_id"))
 
 
-def overlapping(lines: DataFrame, ranges: DataFrame, document: str = "doc_id") -> DataFrame:
-    """Non-blank lines that overlap a range of their document: an equi-join with the interval as its
-    rest. ranges: document, range_id, start, end."""
-    r = ranges.select(document, "range_id", F.col("start").alias("_from"), F.col("end").alias("_to"))
-    return lines.where("trim(line) <> ''").join(r, document).where("end > _from and start < _to").drop("_from", "_to")
+#: Characters of a stretch in which lines and ranges meet.
+STRETCH = 1024
+
+
+def overlapping(lines: DataFrame, ranges: DataFrame, document: str = "doc_id", stretch: int = STRETCH) -> DataFrame:
+    """Non-blank lines that overlap a range of their document, each pair once.
+
+    ranges: document, range_id, start, end. A line and a range stand in each stretch of positions that
+    they reach, and meet by document and stretch; a pair counts in the stretch in which the later of
+    the two begins. So a document of many lines and ranges is many keys, and a line is compared with
+    the ranges near it only. A line that only touches a range doesn't overlap it.
+    """
+
+    def reached(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / stretch), F.floor(F.greatest(start, end - 1) / stretch)))
+
+    r = ranges.select(F.col(document).alias("_document"), "range_id", F.col("start").cast("long").alias("_from"), F.col("end").cast("long").alias("_to"))
+    r = r.withColumn("_there", reached(F.col("_from"), F.col("_to")))
+    dealt = lines.where("trim(line) <> ''").withColumn("_here", reached(F.col("start"), F.col("end")))
+    once = F.floor(F.greatest(F.col("start"), F.col("_from")) / stretch) == F.col("_here")
+    meets = (F.col(document) == F.col("_document")) & (F.col("_here") == F.col("_there")) & (F.col("end") > F.col("_from")) & (F.col("start") < F.col("_to"))
+    return dealt.join(r, meets & once).drop("_document", "_from", "_to", "_here", "_there")
 
 
 def fragments(lines: DataFrame, document: str = "doc_id") -> DataFrame:

@@ -379,3 +379,100 @@ def test_headers_go_in_their_bands(spark):
     kept = layout.strip_running(lines, running, "doc", "page")
     assert sorted((r.page, r.line_no) for r in kept.collect()) == [(p, i) for p in range(1, 5) for i in (1, 2)]
     assert set(kept.columns) == {"doc", "page", "line_no", "line", "top", "bottom"}
+
+
+SPAN = "unit string, seq long, start long, end long"
+
+
+def plain_fold(rows):
+    kept = []
+    for u, q, s, e in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2] if r[2] is not None else -1, r[3] or 0)):
+        if s is None or e is None or e < s or not any(k[0] == u and None not in k[2:] and k[2] <= k[3] and s < k[3] and k[2] < e for k in kept):
+            kept.append((u, q, s, e))
+    return sorted(kept, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_like_one_fold(spark, seed):
+    """Many stretches against a plain loop: random spans, long ones over many stretches, chains in which
+    each overlaps the next, repeats, empty and reversed ones, nulls."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [("u", i, s, s + rng.choice([0, 1, 5, 20, 60])) for i, s in enumerate(rng.randrange(600) for _ in range(300))]
+    rows += [("c", i, 4 * i, 4 * i + 6) for i in range(150)] + [("d", 150 - i, 4 * i, 4 * i + 6) for i in range(150)]
+    rows += [("u", 7, 3, 3), ("u", 7, 3, 3), ("v", 1, None, 3), ("v", 2, 5, 1), ("v", 3, 0, 900), (None, 1, 0, 5), (None, 2, 4, 9), ("u", -1, 290, 330)]
+    rows += [("same", i, 10, 20) for i in range(60)] + [("far", 1, -(10**12), -(10**12) + 5), ("far", 2, 10**12, 10**12 + 5)]
+    spans = spark.createDataFrame(rows, SPAN).repartition(4)
+    one_pass = sorted(map(tuple, links.without_overlaps(spans, "unit").collect()), key=str)
+    assert one_pass == plain_fold(rows)
+    assert sorted(map(tuple, links.without_overlaps(spans, "unit", target=10).collect()), key=str) == one_pass
+
+
+def test_a_million_spans_of_one_unit(spark):
+    """One key in several tasks, against the sorted pass over all of it."""
+    start = F.pmod(F.xxhash64("id"), F.lit(4_000_000))
+    spans = spark.range(1_000_000).select(F.lit("u").alias("unit"), F.col("id").alias("seq"), start.alias("start"), (start + 1 + F.col("id") % 9).alias("end"))
+    in_rounds, whole = links.without_overlaps(spans, "unit"), links.without_overlaps(spans, "unit", target=10**9)
+    total = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("seq", "start", "end").cast("decimal(38,0)")).alias("h")).first()
+    assert total(in_rounds) == total(whole) and total(whole).n > 300_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pointers_like_one_fold(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    at, rows = 0, []
+    for i in range(400):
+        at += rng.choice([0, 0, 1, 3, 10, 59, 60, 61, 200, 700])
+        rows.append(("k", i, at))
+    rows += [("l", 900, 5), ("l", 901, None), ("l", 902, None), (None, 903, 7), (None, 904, 30), (None, 905, 99)]
+    requests = spark.createDataFrame(rows, "key string, request_id long, s long").repartition(3).withColumn("ts", F.timestamp_seconds("s"))
+    of = lambda **k: sorted((r.request_id, r.leader) for r in stateful.shared_requests(requests, ["key"], "ts", 60, **k).collect())
+    leader, since, given = None, None, []
+    for _, i, t in rows[:400]:
+        if since is None or t - since >= 60:
+            leader, since = i, t
+        given.append((i, leader))
+    timed = lambda found: [x for x in found if x[0] not in (901, 902)]
+    assert timed(of()) == given + [(900, 900), (903, 903), (904, 903), (905, 905)]
+    assert timed(of(target=5)) == timed(of())
+
+
+def test_pairs_of_lines_and_ranges_once(spark):
+    import random
+
+    rng = random.Random(3)
+    lines = [(d, i, " " if i % 11 == 5 else "x", s, s + rng.randrange(0, 90)) for d in (1, 2, None) for i, s in enumerate(rng.randrange(500) for _ in range(60))]
+    ranges = [(d, i, s, s + rng.choice([-3, 0, 1, 40, 500])) for d in (1, 2, None) for i, s in enumerate(rng.randrange(500) for _ in range(20))] + [(1, 99, None, 4)]
+    a = spark.createDataFrame(lines, "doc_id long, line_no long, line string, start long, end long")
+    b = spark.createDataFrame(ranges, "doc_id long, range_id long, start long, end long")
+    given = sorted((d, i, r) for d, i, t, s, e in lines for k, r, f, g in ranges if d is not None and d == k and t.strip() and None not in (f, g) and e > f and s < g)
+    for stretch in (1, 7, 64, 100_000):
+        assert sorted((x.doc_id, x.line_no, x.range_id) for x in structure.overlapping(a, b, stretch=stretch).collect()) == given
+
+
+def test_a_document_of_many_lines_and_ranges(spark):
+    n = 100_000
+    lines = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("line_no"), F.lit("x").alias("line"), (F.col("id") * 50).alias("start"), (F.col("id") * 50 + 49).alias("end"))
+    ranges = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("range_id"), (F.col("id") * 50 + 25).alias("start"), (F.col("id") * 50 + 75).alias("end"))
+    assert structure.overlapping(lines, ranges).count() == 2 * n - 1
+
+
+def test_points_in_cells_like_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    u = lambda: rng.choice([0.0, 0.25, 0.5, 1.0, rng.random(), rng.random(), -0.2, 1.3])
+    marks = [(i, rng.choice([1, 1, 1, 2, None]), i // 2, *(rng.choice([(0.0, 1.0), (0.5, 0.75), tuple(sorted((u(), u())))]) + tuple(sorted((u(), u()))))) for i in range(300)]
+    marks = [(i, p, q, a, c, b, d) for i, p, q, a, b, c, d in marks] + [(900, 1, 99999, None, 0.0, 1.0, 1.0), (901, 1, 99999, 0.9, 0.0, 0.1, 1.0)]
+    points = [(i, rng.choice([1, 2, 3, None]), u(), u()) for i in range(200)] + [(999, 1, None, 0.5)]
+    m = spark.createDataFrame(marks, "mark_id long, page long, seq long, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame(points, "point_id long, page long, x double, y double")
+    given = {}
+    for i, page, x, y in points:
+        held = [(q, k) for k, g, q, a, b, c, d in marks if page is not None and page == g and None not in (a, x) and a <= x <= c and b <= y <= d]
+        given[i] = max(held, default=(None, None))[1]
+    for few in (1000, 0, 50):
+        assert {r.point_id: r.mark_id for r in layout.topmost_at(p, m, few=few).collect()} == given
