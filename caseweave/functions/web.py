@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,29 +85,61 @@ def body_fits(path: Column, size: Column) -> Column:
     return size <= F.when(path.startswith("/runtime/"), F.lit(RUNTIME_BODY)).otherwise(F.lit(BODY))
 
 
+#: An IPv4 address, without leading zeros.
+IPV4 = r"^(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
+
+
 def ip_number(address: Column) -> Column:
     """An IPv4 address as a number; null for anything else."""
     parts = F.split(address, "\\.")
     value = sum((parts[i].try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0).cast("long"))
-    return F.when(address.rlike("^(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)(?:\\.(?!$)|$)){4}$"), value)
+    return F.when(address.rlike(IPV4), value)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def ip_key(address: Column) -> Column:
-    """An address of either family as family and 32 hex digits, so that strings compare like numbers;
-    null for what is no address."""
+    """An address of either family as 4: or 6: and 8 or 32 hex digits, so that those of a family compare
+    like numbers; null for what is no address. A double colon stands for the groups that are missing,
+    none too, and the last two groups may be dotted."""
+
+    def dotless(text: Column) -> Column:
+        dotted = F.regexp_extract(text, "(\\d+\\.\\d+\\.\\d+\\.\\d+)$", 1)
+        pair = once(ip_number(dotted), lambda n: F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65535)))))
+        return F.when(dotted == "", text).otherwise(F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(dotted)), F.lower(pair)))
+
+    def listed(half: Column) -> Column:
+        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+
+    def parts(halves: Column) -> Column:
+        ends = F.struct(listed(F.get(halves, 0)).alias("head"), listed(F.get(halves, 1)).alias("tail"), F.size(halves).alias("n"))
+        fill = lambda e: F.when(e["n"] == 2, F.greatest(F.lit(0), 8 - F.size(e["head"]) - F.size(e["tail"]))).otherwise(F.lit(0))
+        return once(ends, lambda e: F.when(e["n"] <= 2, F.concat(e["head"], F.array_repeat(F.lit("0"), fill(e)), e["tail"])))
+
+    def digits(groups: Column) -> Column:
+        sound = (F.size(groups) == 8) & F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(sound, F.concat(F.lit("6:"), F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")))
+
+    long = once(F.lower(address), lambda a: once(dotless(a), lambda t: once(F.split(t, "::", -1), lambda h: once(parts(h), digits))))
+    short = F.concat(F.lit("4:"), F.lpad(F.lower(F.hex(ip_number(address))), 8, "0"))
+    return F.when(address.rlike(IPV4), short).otherwise(long)
+
 
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        def key(v: str | None) -> str | None:
-            try:
-                ip = ipaddress.ip_address(v)
-            except ValueError:
-                return None
-            return f"{ip.version}:{int(ip):032x}"
+#: What a hex digit is when only its first one, two or three bits count.
+FIRST_BITS = {1: "0000000088888888", 2: "000044448888cccc", 3: "0022446688aaccee"}
 
-        return values.map(key)
 
-    return run(address)
+def ip_prefix(key: Column, bits: Column) -> Column:
+    """The first so many bits of an ip_key, as family, hex digits, and one that is cut."""
+    whole = F.floor(bits / 4).cast("int")
+    digit = F.substring(key, whole + 3, F.lit(1))
+    cut = F.lit("")
+    for n, mapped in FIRST_BITS.items():
+        cut = F.when(bits % 4 == n, F.translate(digit, "0123456789abcdef", mapped)).otherwise(cut)
+    return F.concat(F.substring(key, F.lit(1), whole + 2), cut)
 
 
 #: What may be asked, as host, method and path.

@@ -86,6 +86,39 @@ def ip_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.addresses_in(addresses, rules).select("page_id", "n", "blocked")
 
 
+@query("""WITH p AS (SELECT page_id, page_id::UHUGEINT AS p FROM pages), a AS (
+  SELECT page_id, CASE page_id % 6 WHEN 0 THEN 4 WHEN 5 THEN NULL ELSE 6 END AS family, CASE page_id % 6
+    WHEN 0 THEN p * 16843009 % 4294967296
+    WHEN 1 THEN ((p * 23757 % 65536) << 112) + ((p * 31676 % 65536) << 96) + ((p * 39595 % 65536) << 80) + ((p * 47514 % 65536) << 64) + ((p * 55433 % 65536) << 48) + ((p * 63352 % 65536) << 32) + ((p * 71271 % 65536) << 16) + p * 79190 % 65536
+    WHEN 2 THEN (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96) + p * 7919 % 65536
+    WHEN 3 THEN (65535::UHUGEINT << 32) + p * 16843009 % 4294967296
+    WHEN 4 THEN (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96) + ((p % 7) << 80) + p % 9 END AS n FROM p
+), r(family, first, last) AS (VALUES
+  (4, 268435456::UHUGEINT, 536870911::UHUGEINT), (4, 285278208, 285343743), (4, 1677721607, 2030043145),
+  (6, (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96), (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96) + 32767),
+  (6, (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96) + (2::UHUGEINT << 80), (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96) + (4::UHUGEINT << 80) + 5),
+  (6, (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96) + (3::UHUGEINT << 80), (8193::UHUGEINT << 112) + (3512::UHUGEINT << 96) + (4::UHUGEINT << 80) - 1),
+  (6, (65535::UHUGEINT << 32), (65535::UHUGEINT << 32) + 2147483647), (6, 1::UHUGEINT << 127, (1::UHUGEINT << 127) + (1::UHUGEINT << 125) - 1)
+) SELECT page_id, family, EXISTS (SELECT 1 FROM r WHERE r.family = a.family AND n BETWEEN first AND last) AS blocked FROM a""")
+def ip_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both families in all their spellings, and some that are none, against subnets and
+    ranges, wide and nested."""
+    p = F.col("page_id")
+    hexed = lambda n: F.hex(n.cast("long"))
+    dotted = lambda n: F.concat_ws(".", *[F.shiftright(n, 24 - 8 * i).bitwiseAND(F.lit(255)).cast("string") for i in range(4)])
+    n = (p * 16843009) % 4294967296
+    groups = [hexed((p * (7919 * (i + 3))) % 65536) for i in range(8)]
+    odd = F.get(F.array(*[F.lit(x) for x in ("1::2::3", "300.1.1.1", "01.2.3.4", "12345::", "")]), (p % 5).cast("int"))
+    kinds = [dotted(n), F.concat_ws(":", *groups), F.concat(F.lit("2001:DB8::"), hexed((p * 7919) % 65536)), F.concat(F.lit("::ffff:"), dotted(n)), F.concat(F.lit("2001:db8:"), hexed(p % 7), F.lit("::"), hexed(p % 9)), odd]
+    address = F.lit(None).cast("string")
+    for i, kind in enumerate(kinds):
+        address = F.when(p % 6 == i, kind).otherwise(address)
+    rules = [("16.0.0.0", None, 4), ("17.1.0.0", None, 16), ("100.0.0.7", "121.0.0.9", None), ("2001:db8::", None, 113), ("2001:db8:2::", "2001:db8:4::5", None), ("2001:db8:3::1", None, 48), ("::ffff:0:0", None, 97), ("8000::", None, 3)]
+    table_ = spark.createDataFrame(rules, "first string, last string, bits int")
+    found = resolve.blocked_by_rules(table(spark, sf_dir, "pages").select("page_id", address.alias("address")), table_)
+    return found.select("page_id", F.substring(web.ip_key(F.col("address")), 1, 1).cast("int").alias("family"), "blocked")
+
+
 @query("""WITH s AS (SELECT page_id AS store, CASE WHEN page_id % 5 = 0 THEN NULL ELSE 'f' || page_id END AS path, length(html) AS size, page_id * 10 AS mtime, length(html) + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS has_size FROM pages)
 SELECT store, path IS NOT NULL AND size = has_size AS open FROM s""")
 def kv_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

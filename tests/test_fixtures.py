@@ -149,6 +149,7 @@ def test_web(spark):
     assert one(spark, web.ip_number(F.col("a")), a="1.2.3.256") is None
     assert one(spark, web.ip_number(F.col("a")), a="1.2.3.4") == 16909060
     assert one(spark, web.ip_key(F.col("a")), a="::1") == "6:" + "0" * 31 + "1"
+    assert one(spark, web.ip_key(F.col("a")), a="1.2.3.4") == "4:01020304"
     assert one(spark, web.credential_fits(F.col("a")), a="x\ny") is False
     pdf = spark.createDataFrame([(b"%PDF-1.7 ... %%EOF\n",), (b"%PDF-1.7",), (b"<html>%%EOF",)], "c binary")
     assert [r.v for r in pdf.select(web.is_pdf(F.col("c")).alias("v")).collect()] == [True, False, False]
@@ -476,3 +477,44 @@ def test_points_in_cells_like_all_pairs(spark):
         given[i] = max(held, default=(None, None))[1]
     for few in (1000, 0, 50):
         assert {r.point_id: r.mark_id for r in layout.topmost_at(p, m, few=few).collect()} == given
+
+
+def test_addresses_of_both_families(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    given = {"::": "0" * 32, "1:2:3:4:5:6:7:8": "00010002000300040005000600070008", "1:2:3:4::5:6:7:8": "00010002000300040005000600070008", "FE80::A:1": "fe80" + "0" * 20 + "000a0001", "::1.2.3.4": "0" * 24 + "01020304", "1:2:3:4:5:6:1.2.3.4": "00010002000300040005000601020304"}
+    for text_, digits in given.items():
+        assert one(spark, web.ip_key(F.col("a")), a=text_) == "6:" + digits
+    for bad in ("1::2::3", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::", "::1.2.3.256", "1.2.3", "01.2.3.4", "", "::1%lo", "1:2:3:4:5:6:7:8::9"):
+        assert one(spark, web.ip_key(F.col("a")), a=bad) is None, bad
+    assert one(spark, web.ip_number(F.col("a")), a="01.2.3.4") is None
+    rules, plain = [], []
+    for family, size in ((ipaddress.IPv4Address, 32), (ipaddress.IPv6Address, 128)):
+        for _ in range(12):
+            a = rng.getrandbits(size)
+            b = min((1 << size) - 1, a + rng.getrandbits(rng.randrange(1, size)))
+            rules.append((str(family(a)), str(family(b)), None))
+            plain.append((size, a, b))
+            bits = rng.randrange(0 if rng.random() < 0.05 else 3, size + 1)
+            rules.append((str(family(a)), None, bits))
+            low = a >> size - bits << size - bits
+            plain.append((size, low, low + (1 << size - bits) - 1))
+    plain = plain[:-1]
+    rules = rules[:-1] + [("9.9.9.9", "1.1.1.1", None)]
+    addresses = []
+    for size, a, b in plain:
+        addresses += [(size, n) for n in (a, b, a - 1, b + 1, rng.getrandbits(size), (a + b) // 2) if 0 <= n < 1 << size]
+    rows = [(i, str((ipaddress.IPv4Address if s == 32 else ipaddress.IPv6Address)(n)), i) for i, (s, n) in enumerate(addresses)]
+    df = spark.createDataFrame([*rows, (-1, None, 0), (-2, "no", 0), (0, rows[0][1], 5)], "n long, address string, bits long")
+    r = spark.createDataFrame(rules, "first string, last string, bits int")
+    found = resolve.blocked_by_rules(df, r).collect()
+    assert len(found) == len(rows) + 3 and found[0].__fields__ == ["n", "address", "bits", "blocked"]
+    for x in found:
+        size, n = addresses[x.n] if x.n >= 0 else (0, 0)
+        assert x.blocked == any(s == size and a <= n <= b for s, a, b in plain), x
+    none = spark.createDataFrame([], "first string, last string, bits int")
+    assert not any(x.blocked for x in resolve.blocked_by_rules(df, none).collect())
+    with pytest.raises(Exception, match="one family"):
+        resolve.blocked_by_rules(df, spark.createDataFrame([("1.2.3.4", "::1", None)], r.schema)).collect()
