@@ -26,10 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: sets of five-word shingles with a similarity
-    of 0.8 or more, searched by 24 bands of 8 min-hashes. SimHashes of 252 bits that differ in over 58
-    rule a pair out before its sets are compared."""
-    return simhash.one_of_each(docs, words=5, bits=36, tables=7, max_distance=58)
+    """One document of each group of near copies stays: sets of five-word shingles with a similarity of
+    0.8 or more. SimHashes at most two bits apart meet by ball hashing; sets further apart, which no
+    ball of bounded size reaches, meet by bands of min-hashes. What meets is verified on the sets."""
+    return simhash.one_of_each(docs, words=5)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
