@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_text, id_and_text, materialise, private, with_columns
+from .common import by_text, discard, id_and_text, materialise, private, with_columns
 from .components import connected_components
 
 #: Fingerprints whose variants a task emits, at most.
@@ -94,6 +94,29 @@ def ball(bits: int, radius: int) -> list[int]:
     return [m - 2**64 if m >= 2**63 else m for m in masks]
 
 
+def ball_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): pairs of nodes whose fingerprints differ in at most so many bits, enough of them to
+    connect all such. nodes: rep, f0, each f0 once.
+
+    Every fingerprint emits all variants within half the radius. Values that meet at a variant lie
+    within the radius of each other, so a star from the smallest of them loses no connection; a variant
+    has as many such values as a ball has masks at most.
+    """
+    spark = nodes.sparkSession
+    masks = ball(64, radius // 2)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, ceil(nodes.count() / NODES))  # each row becomes 65
+    variants = nodes.repartition(tasks, "f0").select("rep", "f0", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    variants = variants.select("rep", F.col("f0").bitwiseXOR(F.col("mask")).alias("variant"))
+    met = variants.withColumn("a", F.min("rep").over(Window.partitionBy("variant"))).where("a <> rep")
+    pairs = materialise(met.select("a", F.col("rep").alias("b")).distinct(), "pairs")
+
+    def side(to: str) -> DataFrame:
+        return nodes.select(F.col("rep").alias(to), F.col("f0").alias(f"{to}_f0"))
+
+    with_a = materialise(pairs.join(side("a"), "a"), "pairs-a")
+    return with_a.join(side("b"), "b").where(F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))) <= radius).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; linked documents share a component.
 
@@ -102,8 +125,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     differing bits, and every such link is found.
 
     Documents with one fingerprint are one node from the start, so that copies cost nothing more.
-    Values that meet at a variant lie within the radius of each other, so a star from the smallest of
-    them loses no connection; a variant has as many such values as a ball has masks at most.
 
     Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows and ids
     are returned as often as they come; a row without an id gets the component of its fingerprint.
@@ -111,23 +132,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """
     if radius % 2:
         raise ValueError("the radius is even")
-    spark = docs.sparkSession
     prints = materialise(fingerprints(docs, words), "fingerprints")
     nodes = materialise(prints.where("doc_id is not null").groupBy("f0").agg(F.min("doc_id").alias("rep")), "nodes")
 
-    masks = ball(64, radius // 2)
-    tasks = max(2 * spark.sparkContext.defaultParallelism, ceil(nodes.count() / NODES))  # each row becomes 65
-    variants = nodes.repartition(tasks, "f0").select("rep", "f0", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
-    variants = variants.select("rep", F.col("f0").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.withColumn("a", F.min("rep").over(Window.partitionBy("variant"))).where("a <> rep")
-    pairs = materialise(met.select("a", F.col("rep").alias("b")).distinct(), "pairs")
-
-    def side(to: str) -> DataFrame:
-        return nodes.select(F.col("rep").alias(to), F.col("f0").alias(f"{to}_f0"))
-
-    with_a = materialise(pairs.join(side("a"), "a"), "pairs-a")
-    links = with_a.join(side("b"), "b").where(F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))) <= radius).select("a", "b")
-    found = connected_components(links)
+    found = connected_components(ball_links(nodes, radius))
     named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f0", F.coalesce("component", "rep").alias("component_id"))
     named = materialise(named, "named")
     return prints.join(named, "f0", "left").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -156,20 +164,18 @@ def band_keys(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least)]
 
 
-def sketches(docs: DataFrame, words: int, width: int, bands: int) -> DataFrame:
-    """(doc_id, node, n, f0, f1, ..., keys): hash and size of each document's set of shingles, the
-    set's SimHash, and its band keys."""
-    names = [f"f{i}" for i in range(width)]
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *((n, pa.int64()) for n in names), ("keys", pa.list_(pa.int64()))])
+def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
+    """(doc_id, node, n, f0, keys): hash and size of each document's set of shingles, the set's SimHash,
+    and its band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("f0", pa.int64()), ("keys", pa.list_(pa.int64()))])
     factors = np.random.default_rng(42).integers(0, 2**64, bands * BAND, np.uint64) | np.uint64(1)
 
     def rows(ids: list, texts: list) -> dict:
         sets = [distinct_shingles(t, words) for t in texts]
-        prints = np.array([of_hashes(s, width) for s in sets], np.uint64).reshape(-1, width).view(np.int64)
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return {"doc_id": ids, "node": signed([set_hash(s) for s in sets]), "n": [len(s) for s in sets], "keys": [signed(band_keys(s, factors)) for s in sets]} | {n: prints[:, i] for i, n in enumerate(names)}
+        return {"doc_id": ids, "node": signed([set_hash(s) for s in sets]), "n": [len(s) for s in sets], "f0": signed([of_hashes(s, 1)[0] for s in sets]), "keys": [signed(band_keys(s, factors)) for s in sets]}
 
-    return id_and_text(docs).mapInArrow(by_text(schema, rows), "doc_id long, node long, n long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+    return id_and_text(docs).mapInArrow(by_text(schema, rows), "doc_id long, node long, n long, f0 long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -206,41 +212,38 @@ def coded(shingles: pa.ChunkedArray) -> tuple[list[np.ndarray], np.ndarray]:
     return np.split(codes, np.cumsum(pc.list_value_length(shingles).to_numpy())[:-1]), np.zeros(len(distinct), bool)
 
 
-def near(prints: np.ndarray, n: np.ndarray, i: int, max_distance: int, similarity: float) -> np.ndarray:
-    """Which rows' fingerprints and sizes don't rule out a link with row i."""
-    close = np.bitwise_count(prints ^ prints[i]).sum(axis=1) <= max_distance
-    return close & (np.minimum(n, n[i]) / np.maximum(n, n[i]) >= similarity)
+def near(n: np.ndarray, i: int, similarity: float) -> np.ndarray:
+    """Which rows' sizes don't rule out a link with row i."""
+    return np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])
 
 
-def head_links(names: list[str], max_distance: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
-    """The links of nodes with the head that they share a band with."""
+def head_links(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """The links of nodes with the head that they met."""
 
     def run(table: pa.Table) -> pa.Table:
         node, head, n = (table.column(c).to_numpy() for c in ("node", "head", "n"))
-        prints = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
         h = int((node == head).argmax())
         sets, held = coded(table.column("shingles"))
         held[sets[h]] = True
-        close = near(prints, n, h, max_distance, similarity) & (node != head)
+        close = near(n, h, similarity) & (node != head)
         ends = [i for i in np.flatnonzero(close).tolist() if (both := np.count_nonzero(held[sets[i]])) / (n[i] + n[h] - both) >= similarity]
         return pa.table({"a": node[ends], "b": head[ends]})
 
     return run
 
 
-def block_links(names: list[str], max_distance: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
-    """The links between two blocks of a group, or within one, that connect different labels."""
+def block_links(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """The links between two blocks of a band's nodes, or within one, that connect different labels."""
 
     def run(table: pa.Table) -> pa.Table:
         node, n, label = (table.column(c).to_numpy() for c in ("node", "n", "label"))
         block = np.unique(table.column("block").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        prints = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
         sets, held = coded(table.column("shingles"))
         holder = -1
         across = table.column("i")[0] != table.column("j")[0]
 
         def candidates(i: int) -> np.ndarray:
-            close = near(prints, n, i, max_distance, similarity)
+            close = near(n, i, similarity)
             return close & (block != block[i]) if across else close
 
         def linked(i: int, j: int) -> bool:
@@ -259,74 +262,83 @@ def block_links(names: list[str], max_distance: int, similarity: float) -> Calla
     return run
 
 
-def linked_sets(nodes: DataFrame, keyed: DataFrame, sets: Callable[[DataFrame], DataFrame], names: list[str], max_distance: int, similarity: float) -> DataFrame:
-    """(node, component) of the nodes that have a link. nodes: node, n, rep and the fingerprint's names;
-    keyed: node, key; sets: from nodes to (node, shingles).
+def linked_sets(nodes: DataFrame, keyed: DataFrame, close: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(node, component) of the nodes that have a link. nodes: node, n; keyed: node, key of each band;
+    close: node, head, further pairs to compare; sets: from nodes to (node, shingles).
 
     First every node is compared with the heads, the smallest nodes, of its bands: work in proportion
-    to the nodes, which settles a large group of near copies of one text. Nodes that shared bands
-    connect, directly or through others, form a group. In a group that the heads haven't made one
-    component, all pairs of different components are compared, block against block. A component of
-    more than a block has blocks of its own, which meet those of others only.
+    to the nodes, which settles a large group of near copies of one text. Of a band whose nodes that
+    leaves in different components, all pairs of different components are compared, block against
+    block: work in proportion to the pairs that share a band. A component of more than a block has
+    blocks of its own there, which meet those of others only.
     """
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("held")).where("held > 1").drop("held")
-    met = materialise(keyed.join(heads, "key").where("node <> head").select("node", "head").distinct(), "met")
-    groups = materialise(connected_components(met, "node", "head").withColumnRenamed("component", "group"), "groups")
-    members = groups.join(nodes, "node")
-    members = materialise(members.join(sets(members), "node").select("group", "node", "n", *names, "shingles"), "members")
-
-    slim = members.drop("group")
-    salts = materialise(met.join(slim.select("node", "n"), "node").groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).alias("salts")), "salts")
-    spokes = met.join(slim, "node").join(salts, "head").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
-    hubs = slim.join(salts.withColumn("node", F.col("head")), "node").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    by_head = spokes.unionByName(hubs).drop("salts").groupBy("head", "salt").applyInArrow(head_links(names, max_distance, similarity), "a long, b long")
+    heads = materialise(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("held")).where("held > 1"), "heads")
+    met = keyed.join(heads, "key").select("node", "head").unionByName(close.select("node", "head"))
+    met = materialise(met.where("node <> head").distinct(), "met")
+    involved = met.select("node").unionByName(met.select(F.col("head").alias("node"))).distinct()
+    members = nodes.join(involved, "node")
+    members = materialise(members.join(sets(members), "node").select("node", "n", "shingles"), "members")
+
+    salts = materialise(met.join(members.select("node", "n"), "node").groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).alias("salts")), "salts")
+    spokes = met.join(members, "node").join(salts, "head").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
+    hubs = members.join(salts.withColumn("node", F.col("head")), "node").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    by_head = spokes.unionByName(hubs).drop("salts").groupBy("head", "salt").applyInArrow(head_links(similarity), "a long, b long")
     by_head = materialise(by_head, "head-links")
+    discard(met, salts)
     first = connected_components(by_head).withColumnRenamed("component", "label")
 
-    labelled = materialise(groups.join(first, "node", "left").select("node", "group", F.coalesce("label", "node").alias("label")), "labelled")
-    open_groups = labelled.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("held")).where("a <> b and held > 2").select("group")
-    rows = members.join(labelled.drop("group"), "node").join(open_groups, "group")
-    sizes = rows.groupBy("group", "label").agg(F.sum("n").alias("size")).withColumn("part", F.when(F.col("size") > BLOCK, F.col("label").cast("string")).otherwise("rest"))
+    shared = keyed.join(heads.where("held > 2").select("key"), "key").join(first, "node", "left")
+    labelled = materialise(shared.select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    rows = members.join(labelled, "node").join(open_keys, "key")
+    sizes = rows.groupBy("key", "label").agg(F.sum("n").alias("size")).withColumn("part", F.when(F.col("size") > BLOCK, F.col("label").cast("string")).otherwise("rest"))
     sizes = materialise(sizes, "sizes")
-    parts = sizes.groupBy("group", "part").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
-    dealt = rows.join(sizes.select("group", "label", "part"), ["group", "label"]).join(parts, ["group", "part"])
+    parts = sizes.groupBy("key", "part").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    dealt = rows.join(sizes.select("key", "label", "part"), ["key", "label"]).join(parts, ["key", "part"])
     named = lambda part, number: F.concat_ws(":", part, number.cast("string"))
     dealt = dealt.withColumn("block", named(F.col("part"), F.pmod(F.xxhash64("node"), "blocks"))).drop("blocks")
-    others = parts.select("group", F.col("part").alias("other"), "blocks")
-    faced = dealt.join(others, "group").where("part <> other or part = 'rest'").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    others = parts.select("key", F.col("part").alias("other"), "blocks")
+    faced = dealt.join(others, "key").where("part <> other or part = 'rest'").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     opposite = named(F.col("other"), F.col("number"))
-    faced = faced.withColumns({"i": F.least("block", opposite), "j": F.greatest("block", opposite)}).select("group", "i", "j", "block", "node", "n", "label", *names, "shingles")
-    by_block = faced.groupBy("group", "i", "j").applyInArrow(block_links(names, max_distance, similarity), "a long, b long")
-    return connected_components(by_head.unionByName(by_block))
+    faced = faced.withColumns({"i": F.least("block", opposite), "j": F.greatest("block", opposite)}).select("key", "i", "j", "block", "node", "n", "label", "shingles")
+    by_block = materialise(faced.groupBy("key", "i", "j").applyInArrow(block_links(similarity), "a long, b long"), "block-links")
+    discard(heads, members, labelled, sizes)
+    found = connected_components(by_head.unionByName(by_block))
+    discard(by_head, by_block)
+    return found
 
 
-def one_of_each(docs: DataFrame, words: int = 5, bits: int = 36, tables: int = 7, max_distance: int = 58, bands: int = 24, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 2, bands: int = 24, similarity: float = 0.8) -> DataFrame:
     """docs with one row left of each group of near-duplicates, that of the smallest id.
 
-    Documents of one set of shingles are one node. Every node emits its band keys, and nodes that
-    share a key are candidates: a pair of similarity s with the chance 1 - (1 - s^BAND)^bands. Nodes
-    connected by shared keys form a group, all of whose pairs count; none is capped. They link if their
-    SimHashes of bits * tables bits differ in max_distance or fewer and the similarity of their sets
-    (what both have of what either has) is similarity at least.
+    Documents of one set of shingles are one node. Two searches find pairs to compare. Ball hashing:
+    nodes whose SimHashes differ in at most `radius` bits, and those of one SimHash. Sets of a
+    similarity of 0.8 differ in far more bits than a ball of bounded size has, so every node also emits
+    its band keys, and nodes that share a key meet: a pair of similarity s with the chance
+    1 - (1 - s^BAND)^bands. None is capped. A pair links if the similarity of its sets (what both have
+    of what either has) is similarity at least; nothing else rules one out.
 
     Rows are judged by id and set: where one id has several texts, each counts in its own group. Of
     rows that repeat both, one stays; rows without an id are kept as they are. Texts without a word,
     null ones too, are one set. Texts of any length are read whole; an empty table gives an empty
     result. Columns of any name may be in docs.
     """
-    names = [f"f{i}" for i in range(-(-bits * tables // 64))]
-    rows = materialise(sketches(docs, words, len(names), bands).where("doc_id is not null"), "sketches")
-    nodes = materialise(rows.groupBy("node", "n", *names).agg(F.min("doc_id").alias("rep")), "nodes")
+    rows = materialise(sketches(docs, words, bands).where("doc_id is not null"), "sketches")
+    nodes = materialise(rows.groupBy("node", "n", "f0").agg(F.min("doc_id").alias("rep")), "nodes")
     keyed = materialise(rows.select("node", F.explode("keys").alias("key")).distinct(), "keys")
+    prints = materialise(nodes.groupBy("f0").agg(F.min("node").alias("rep"), F.count("*").alias("held")), "prints")
+    equal = nodes.join(prints.where("held > 1"), "f0").select("node", prints["rep"].alias("head"))
+    close = materialise(ball_links(prints.select("rep", "f0"), radius).select(F.col("b").alias("node"), F.col("a").alias("head")).unionByName(equal), "close")
 
     def sets(members: DataFrame) -> DataFrame:
         sought = members.select(F.col("rep").alias("doc_id")).distinct()
         return shingle_sets(id_and_text(docs).join(sought, "doc_id"), words).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
-    found = linked_sets(nodes, keyed, sets, names, max_distance, similarity)
+    found = linked_sets(nodes, keyed, close, sets, similarity)
     p = private(docs)
     placed = rows.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
+    discard(nodes, keyed, prints, close)
     winners = materialise(placed.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("w")).select(F.col("w.doc_id").alias(p + "id"), F.col("w.node").alias(p + "set")), "winners")
     repeated = materialise(rows.groupBy(F.col("doc_id").alias(p + "id")).agg(F.count("*").alias("n")).where("n > 1").select(p + "id"), "repeated")
     lost = placed.select(F.col("doc_id").alias(p + "id")).distinct().join(winners, p + "id", "left_anti")

@@ -68,6 +68,6 @@ def test_empty_documents(spark, folder):
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_names_and_run(spark):
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 13
     assert set(ORACLES) <= set(QUERIES)
     assert corpus_pipeline.run(spark, DIR).count() > 0

@@ -69,7 +69,7 @@ def test_wide_tables_find_near_copies(spark, edits):
         for _ in range(edits):
             words[rng.randrange(300)] = "edit"
         rows.append((1000 + i, " ".join(words), "en"))
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=5, bits=36, tables=7, max_distance=38)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=5)
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == ["doc_id", "text", "lang"]
     assert set(range(n)) <= ids and len(ids) <= n + 3
@@ -91,7 +91,7 @@ def test_wide_search_at_the_threshold(spark):
     for i in range(n):
         a, b = at_similarity(rng, 0.81)
         rows += [(i, a), (1000 + i, b)]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=36, tables=7, max_distance=58)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5)
     ids = {r.doc_id for r in kept.collect()}
     assert set(range(n)) <= ids and len(ids) - n <= n // 10
 
@@ -105,7 +105,7 @@ def test_blocks_compare_every_pair(spark, monkeypatch):
         rows.append((i, " ".join(words)))
         at = rng.randrange(290)
         words[at : at + 5] = [f"e{i}.{k}" for k in range(5)]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=36, tables=7, max_distance=58)
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5)
     assert [r.doc_id for r in kept.collect()] == [0]
 
 
@@ -137,7 +137,7 @@ def test_like_all_pairs(spark, monkeypatch):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    kept = simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), words=5, max_distance=252)
+    kept = simhash.one_of_each(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), words=5)
     ids = {r.doc_id for r in kept.collect()}
     want = {i for i in range(len(texts)) if find(i) == i}
     assert want <= ids and len(ids - want) <= 2
@@ -156,9 +156,30 @@ def test_pairs_below_the_threshold_stay(spark):
     for i in range(100):
         a, b = at_similarity(rng, 0.72)
         rows += [(i, a), (1000 + i, b)]
-    for options in ({"max_distance": 38}, {"max_distance": 58}):
-        kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5, bits=36, tables=7, **options)
-        assert kept.count() == 200
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5)
+    assert kept.count() == 200
+
+
+def test_short_texts_at_the_threshold(spark):
+    """Eight and nine words, four of five shingles: SimHashes of such pairs differ in many bits."""
+    rng, rows, n = random.Random(4), [], 300
+    for i in range(n):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(8)]
+        rows += [(i, " ".join(a)), (1000 + i, " ".join([*a, f"v{i}"]))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()}
+    assert set(range(n)) <= kept and len(kept) - n <= n // 20
+
+
+def test_common_passages_don_t_lose_links(spark, monkeypatch):
+    """Bands that a common passage makes hold strangers, among them pairs that link."""
+    monkeypatch.setattr(simhash, "BLOCK", 400)
+    rng, rows = random.Random(3), []
+    passage = [f"p{k}" for k in range(100)]
+    for i in range(40):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(60)]
+        rows += [(i, " ".join(passage + own)), (1000 + i, " ".join([*passage, *own[:-2], "x", f"y{i}"]))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=5).collect()}
+    assert kept == set(range(40))
 
 
 def test_repeated_ids_are_judged_by_row(spark):
