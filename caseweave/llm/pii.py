@@ -51,12 +51,17 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(end, at + 1))
 
 
+def octet(part: str) -> bool:
+    """Whether digits, however many of them are leading zeros, are 255 at most."""
+    return len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255
+
+
 def base_spans(text: str | None) -> list[Span]:
     """(start, kind, end) by start, then kind; leftmost and non-overlapping within a kind."""
     if not text or not TRIGGER.search(text):
         return []
     out = [(s, 0, e) for s, e in emails(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p) < 1000 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(octet(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if 14 <= len(digits := digits_of(m[0])) <= 19 and luhn(digits):
             out.append((m.start(), 2, m.end()))

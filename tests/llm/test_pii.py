@@ -37,6 +37,13 @@ def test_base_spans():
         assert pii.base_spans(text) == base(text), text
 
 
+def test_leading_zeros_of_any_number():
+    for n in (0, 2, 1200, 5000):
+        text = "0" * n + "1.2.3." + "0" * n + "255"
+        assert (0, 1, len(text)) in pii.base_spans(text)
+        assert not any(k == 1 for _, k, _ in pii.base_spans("0" * n + "256.2.3.4 " + "9" * (n + 4) + ".1.1.1"))
+
+
 def test_long_runs_are_linear():
     for text in ("x" * 400_000 + "@", "9" * 400_000, "1.1" * 100_000, "+" + " " * 400_000, ("a" * 50 + "@") * 8000, "9 " * 200_000):
         pii.base_spans(text)
