@@ -46,6 +46,8 @@ class Automaton:
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         size = max(vocabulary.values()) + 1
+        if size > 1 << 20:
+            raise ValueError(f"{size} tokens: transitions are numbered for at most {1 << 20}")
         never = len(merges)
         self.removed: dict[int, int] = {}  # state << 20 | token: the merge that removed the arc
         self.copies: list[tuple] = [()] * size  # of a state: (state << 20, removals inherited before)
@@ -149,7 +151,9 @@ def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, byte
         content = json.load(source)
     to_byte = byte_characters()
     spelt = lambda token: bytes(to_byte[c] for c in token)
-    model = content["model"]
+    model, splits = content["model"], str(content.get("pre_tokenizer"))
+    if content.get("normalizer") or "ByteLevel" not in splits or "'add_prefix_space': True" in splits or "Regex" in splits:
+        raise ValueError(f"{path}: only byte-level vocabularies with the published pre-splitting and no normaliser")
     pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
     special = {t["content"]: t["id"] for t in content["added_tokens"]}
     tokens = {spelt(t): i for t, i in model["vocab"].items() if t not in special}

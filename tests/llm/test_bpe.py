@@ -65,3 +65,17 @@ def test_query_columns(spark):
     expected = [(i, len(x), sha(",".join(map(str, x))), sha(t or "")) for (i, t), x in zip(given, ids)]
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
     assert bpe.digest(bpe.decode(bpe.encode(rows.limit(0), PATH), PATH)).collect() == []
+
+
+def test_what_the_tables_can_t_hold_raises(tmp_path):
+    import json
+
+    letters = {bytes([b]): b for b in range(256)}
+    with pytest.raises(ValueError, match="at most"):
+        bpe.Automaton(letters | {b"ab": 1 << 20}, [(b"a", b"b")])
+    content = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": content["pre_tokenizer"] | {"add_prefix_space": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(content | change))
+        with pytest.raises(ValueError, match="only byte-level"):
+            bpe.read_vocabulary(str(path))
