@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
@@ -148,10 +149,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     copies gives rows in proportion to its vectors and not to its pairs. A cell with more vectors or
     more visitors than a block or a pack holds is dealt over several.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or haven't the most common
-    length (the longest such one) link with nothing and are components of their own. Repeated rows
-    are vectors of their own. A row without vec_id has no links, no component and isn't kept. Rows
-    that share an id are one vector for the components. An empty table gives an empty result.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
+    components of their own. Vectors of each length are a table of their own. Repeated rows are vectors
+    of their own, and count as links of each other. A row without vec_id has no links, no component and isn't kept. Rows
+    that share an id and a length are one vector for the components. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
@@ -160,11 +161,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
         rows = rows.withColumn("v", F.col("v").cast("array<double>"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     sound = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0)
-    sizes = rows.where(sound).groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    entries = materialise(rows.where(sound & (F.size("v") == F.lit(sizes["size"] if sizes else -1))).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "entries")
-
-    if not sizes:
+    lengths = sorted(r[0] for r in rows.where(sound).select(F.size("v")).distinct().collect())
+    if len(lengths) > 1:  # vectors of different lengths never link: an index for each
+        size = F.size("embedding")
+        parts = [near_duplicates(vectors.where(size == n), cosine, recall, sample) for n in lengths]
+        return reduce(DataFrame.unionByName, parts, near_duplicates(vectors.where(F.col("embedding").isNull() | ~size.isin(lengths)), cosine, recall, sample))
+    if not lengths:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    entries = materialise(rows.where(sound).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "entries")
     total = entries.count()
     share = min(1.0, sample / total)
     chosen = entries.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20)).select("v").toPandas()["v"]

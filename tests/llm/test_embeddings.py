@@ -57,6 +57,14 @@ def test_empty_and_unsound(spark):
     assert sorted(map(tuple, same)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
+def test_each_length_is_linked(spark):
+    rows = [(i, [1.0, float(i)] * 4) for i in range(6)] + [(20, [1.0, 2.0, 3.0]), (21, [2.0, 4.0, 6.0]), (22, [-1.0, 0.0, 0.0]), (30, [5.0]), (40, None), (41, [0.0, 0.0, 0.0]), (42, [])]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(found) == len(rows)
+    assert found[20] == (1, 20, True) and found[21] == (1, 20, False) and found[22] == (0, 22, True) and found[30] == (0, 30, True)
+    assert all(found[i] == (0, i, True) for i in (40, 41, 42)) and found[5][0] > 0
+
+
 def test_traversal_visits_the_nearest_cells():
     rng = np.random.default_rng(2)
     index = embeddings.MultiIndex(rng.normal(size=(6, 3)), rng.normal(size=(5, 3)), 2.5)
