@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import geometry, text, web
 from caseweave.operators import citations, layout, links, matching, resolve, stateful, structure
-from caseweave.sources import files, sinks
+from caseweave.sources import files, linked, sinks
 from caseweave.streaming import watch
 
 DECISION = "https://www.canlii.org/en/ca/scc/doc/2018/2018scc31/2018scc31.html"
@@ -518,3 +518,26 @@ def test_addresses_of_both_families(spark):
     assert not any(x.blocked for x in resolve.blocked_by_rules(df, none).collect())
     with pytest.raises(Exception, match="one family"):
         resolve.blocked_by_rules(df, spark.createDataFrame([("1.2.3.4", "::1", None)], r.schema)).collect()
+
+
+def test_links_are_written_or_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/links"
+    planned = spark.createDataFrame([("a", 1, 0, 3, "one", "u1"), ("a", 2, 4, 7, "two", "u2"), ("b", 1, 0, 3, "one", "u3"), ("gone", 1, 0, 1, "x", "u4"), ("a", 3, 90, 95, "far", "u5"), ("a", 4, 4, 7, None, "u6")], "unit_id string, n long, start long, end long, expected string, url string").repartition(4)
+    units = spark.createDataFrame([("a", "one two"), ("b", "0ne")], "unit_id string, text string")
+    assert linked.write_links(planned, units, path) == {"written": 2, "refused": 4}
+    assert {(r.unit_id, r.n) for r in linked.read_links(spark, path).where("written").collect()} == {("a", 1), ("a", 2)}
+    assert linked.write_links(planned, units, path) == {"written": 2, "refused": 4}
+    assert linked.read_links(spark, path).count() == 12
+    assert linked.write_links(planned.limit(0), units, path) == {"written": 0, "refused": 0}
+    assert linked.write_links(planned.where("n = 1"), units, path, mode="overwrite") == {"written": 1, "refused": 2}
+    assert linked.read_links(spark, path).count() == 3 == len({r.url for r in linked.read_links(spark, path).collect()})
+    files = {f.name for f in (tmp_path / "links").iterdir() if f.suffix == ".parquet"}
+    writer = linked.LinkWriter(path, False)
+    import pyarrow as pa
+
+    lost = writer.write(iter([pa.RecordBatch.from_pydict({"expected": ["a"], "found": ["a"]})]))
+    assert linked.read_links(spark, path).count() == 3  # what no commit lists doesn't count
+    writer.abort([lost, None])
+    assert {f.name for f in (tmp_path / "links").iterdir() if f.suffix == ".parquet"} == files
+    with pytest.raises(Exception, match="need expected"):
+        planned.write.format("linked_units").option("path", path).mode("append").save()
