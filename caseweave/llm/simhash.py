@@ -266,31 +266,34 @@ def linked_sets(nodes: DataFrame, keyed: DataFrame, close: DataFrame, sets: Call
     """(node, component) of the nodes that have a link. nodes: node, n; keyed: node, key of each band;
     close: node, head, further pairs to compare; sets: from nodes to (node, shingles).
 
-    First every node is compared with the heads, the smallest nodes, of its bands: work in proportion
-    to the nodes, which settles a large group of near copies of one text. Of a band whose nodes that
-    leaves in different components, all pairs of different components are compared, block against
-    block: work in proportion to the pairs that share a band. A component of more than a block has
-    blocks of its own there, which meet those of others only.
+    First every node is compared with one head, the smallest node of most of its bands or of its ball:
+    work in proportion to the nodes, which settles a large group of near copies of one text. Of a band
+    whose nodes that leaves in different components, all pairs of different components are compared,
+    block against block: work in proportion to the pairs that share a band. A component of more than a
+    block has blocks of its own there, which meet those of others only. Nodes are dealt without their
+    sets, which join them once they are.
     """
     heads = materialise(keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("held")).where("held > 1"), "heads")
-    met = keyed.join(heads, "key").select("node", "head").unionByName(close.select("node", "head"))
-    met = materialise(met.where("node <> head").distinct(), "met")
-    involved = met.select("node").unionByName(met.select(F.col("head").alias("node"))).distinct()
+    by_band = keyed.join(heads, "key").where("node <> head").groupBy("node", "head").agg(F.count("*").alias("shared"))
+    either = by_band.unionByName(close.where("node <> head").select("node", "head", F.lit(64).cast("long").alias("shared")))
+    met = either.groupBy("node").agg(F.max(F.struct("shared", F.bitwise_not("head").alias("order"), "head")).alias("m")).select("node", F.col("m.head").alias("head"))
+    met = materialise(met, "met")
+    involved = keyed.join(heads.select("key"), "key").select("node").unionByName(close.select("node")).unionByName(close.select(F.col("head").alias("node"))).distinct()
     members = nodes.join(involved, "node")
     members = materialise(members.join(sets(members), "node").select("node", "n", "shingles"), "members")
 
     salts = materialise(met.join(members.select("node", "n"), "node").groupBy("head").agg(F.ceil(F.sum("n") / BLOCK).alias("salts")), "salts")
-    spokes = met.join(members, "node").join(salts, "head").withColumn("salt", F.pmod(F.xxhash64("node"), "salts"))
-    hubs = members.join(salts.withColumn("node", F.col("head")), "node").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    by_head = spokes.unionByName(hubs).drop("salts").groupBy("head", "salt").applyInArrow(head_links(similarity), "a long, b long")
+    spokes = met.join(salts, "head").select("head", "node", F.pmod(F.xxhash64("node"), "salts").alias("salt"))
+    hubs = salts.select("head", F.col("head").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    by_head = spokes.unionByName(hubs).join(members, "node").groupBy("head", "salt").applyInArrow(head_links(similarity), "a long, b long")
     by_head = materialise(by_head, "head-links")
     discard(met, salts)
     first = connected_components(by_head).withColumnRenamed("component", "label")
 
-    shared = keyed.join(heads.where("held > 2").select("key"), "key").join(first, "node", "left")
+    shared = keyed.join(heads.select("key"), "key").join(first, "node", "left")
     labelled = materialise(shared.select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    rows = members.join(labelled, "node").join(open_keys, "key")
+    rows = materialise(labelled.join(open_keys, "key").join(nodes.select("node", "n"), "node"), "open")
     sizes = rows.groupBy("key", "label").agg(F.sum("n").alias("size")).withColumn("part", F.when(F.col("size") > BLOCK, F.col("label").cast("string")).otherwise("rest"))
     sizes = materialise(sizes, "sizes")
     parts = sizes.groupBy("key", "part").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
@@ -300,9 +303,9 @@ def linked_sets(nodes: DataFrame, keyed: DataFrame, close: DataFrame, sets: Call
     others = parts.select("key", F.col("part").alias("other"), "blocks")
     faced = dealt.join(others, "key").where("part <> other or part = 'rest'").withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     opposite = named(F.col("other"), F.col("number"))
-    faced = faced.withColumns({"i": F.least("block", opposite), "j": F.greatest("block", opposite)}).select("key", "i", "j", "block", "node", "n", "label", "shingles")
+    faced = faced.select("key", F.least("block", opposite).alias("i"), F.greatest("block", opposite).alias("j"), "block", "node", "label").join(members, "node")
     by_block = materialise(faced.groupBy("key", "i", "j").applyInArrow(block_links(similarity), "a long, b long"), "block-links")
-    discard(heads, members, labelled, sizes)
+    discard(heads, members, labelled, rows, sizes)
     found = connected_components(by_head.unionByName(by_block))
     discard(by_head, by_block)
     return found
