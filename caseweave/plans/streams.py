@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import stateful
 from ..sources import sinks
 from ..sources.scratch import scratch_folder
 from ..sources.tables import table
-from ..streaming.watch import unseen
+from ..streaming import state
 from .registry import Registry
 
 query = Registry()
@@ -19,11 +20,57 @@ def stream_seen_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as sightings of files, read as a stream; what is new goes to a table."""
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    files = rows.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("name"), (F.col("event_id") % 5).alias("size"), (F.col("user_id") * 1000).alias("mtime_us"))
+    files = rows.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("name"), (F.col("event_id") % 5).alias("size"), (F.col("user_id") * 1000).alias("mtime_us"), F.lit(1).alias("choice"))
     target = scratch_folder(spark, "seen")
-    running = unseen(files).writeStream.format("parquet").option("checkpointLocation", target + "-state").outputMode("append").trigger(availableNow=True).start(target)
+    running = state.unseen(files, ttl_ms=0, buckets=16).writeStream.format("parquet").option("checkpointLocation", target + "-state").outputMode("append").trigger(availableNow=True).start(target)
     running.awaitTermination()
-    return spark.read.schema(files.schema).parquet(target)
+    return spark.read.schema(files.drop("choice").schema).parquet(target)
+
+
+def in_parts(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """The events as a stream of so many triggers, in their order."""
+    events = table(spark, sf_dir, "events")
+    folder = scratch_folder(spark, "parts")
+    edges = events.agg(F.percentile_approx("ts", [i / parts for i in range(1, parts)]).alias("e")).first().e
+    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+        part = events.where((F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high))
+        part.coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def collected(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream puts out over all its triggers, with the batch's number, as a table."""
+    spark = stream.sparkSession
+    target = scratch_folder(spark, name)
+    schema = stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/{number:06d}")
+
+    running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", target + "-state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(schema.add("batch", "integer")).parquet(f"{target}/*")
+
+
+@query("""SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type""")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and type, from a stream in three triggers that puts out what changes."""
+    rows = in_parts(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", "value")
+    found = collected(state.latest(rows, "user_id", "event_type", ["ts", "event_id"], idle_ms=0), "latest", "update")
+    return stateful.latest(found, ["user_id", "event_type"], ["batch"]).select("user_id", "event_type", "event_id", "value")
+
+
+@query("""WITH e AS (SELECT *, event_id % 3 AS run FROM events)
+SELECT event_id, user_id, run, coalesce(
+  first_value(CASE WHEN event_type = 'error' THEN 'blocked at ' || event_id END IGNORE NULLS) OVER w, CASE WHEN event_type = 'error' THEN 'blocked at ' || event_id END, 'ok') AS outcome,
+  first_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER w IS NOT NULL AS skipped
+FROM e WINDOW w AS (PARTITION BY run, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of three runs at users as origins, of which errors block, from a stream in three triggers."""
+    rows = in_parts(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", (F.col("event_id") % 3).alias("run"))
+    message = F.concat(F.lit("blocked at "), F.col("event_id").cast("string"))
+    found = state.after_block(rows, "run", "user_id", ["ts", "event_id"], F.col("event_type") == "error", message, ttl_ms=0)
+    return collected(found, "breaker", "append").select("event_id", "user_id", "run", "outcome", "skipped")
 
 
 @query()

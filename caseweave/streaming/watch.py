@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import os
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SCHEMA = "name string, size long, mtime_us long"
+SCHEMA = "name string, size long, mtime_us long, choice long"
 
 
 class FolderSource(DataSource):
-    """spark.readStream.format("watched_folder").option("path", ...): the PDF files directly in a
-    folder, again when they are rewritten, which Spark's own file source leaves out. A file that
-    can't be read isn't marked as seen and comes with a later batch."""
+    """spark.readStream.format("watched_folder").option("path", ...): the PDF files of a folder, all
+    that are there at each trigger. Options: suffix; choice, a number that grows when the folder is
+    chosen anew; depth, 0 for the files directly in it, 1 for those of its folders too."""
 
     @classmethod
     def name(cls) -> str:
@@ -27,48 +28,53 @@ class FolderSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return FolderReader(self.options["path"], self.options.get("suffix", ".pdf"))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FolderReader(self.options["path"], self.options.get("suffix", ".pdf"), int(self.options.get("choice", 0)), int(self.options.get("depth", 0)))
 
 
-class FolderReader(SimpleDataSourceStreamReader):
-    """The offset is what has been seen: name, size and time of each file that is there."""
+@dataclass
+class Listing(InputPartition):
+    """A folder below the watched one, or that itself, whose files one task lists."""
 
-    def __init__(self, path: str, suffix: str):
-        self.path, self.suffix = path, suffix
+    folder: str
+
+
+class FolderReader(DataSourceStreamReader):
+    """The offset is a version, a number whatever the folder holds. Files are listed by the tasks, one
+    per folder, while they read them; what was seen before is for state.unseen to know. A batch that is
+    repeated lists what is there by then, and what it lists is seen with it. A file that can't be read
+    isn't listed and comes with a later batch."""
+
+    def __init__(self, path: str, suffix: str, choice: int, depth: int):
+        self.path, self.suffix, self.choice, self.depth, self.version = path, suffix, choice, depth, 0
 
     def initialOffset(self) -> dict:
-        return {"seen": "[]"}
+        return {"version": 0}
+
+    def latestOffset(self) -> dict:
+        self.version = max(self.version + 1, time.time_ns() // 1_000_000)
+        return {"version": self.version}
+
+    def partitions(self, start: dict, end: dict) -> list[Listing]:
+        below = sorted(e.name for e in os.scandir(self.path) if e.is_dir()) if self.depth else []
+        return [Listing(""), *map(Listing, below)]
 
-    def listed(self) -> list[tuple[str, int, int]]:
-        out = []
-        for entry in os.scandir(self.path):
-            if entry.name.lower().endswith(self.suffix) and entry.is_file():
+    def read(self, partition: Listing) -> Iterator[tuple]:
+        at = os.path.join(self.path, partition.folder) if partition.folder else self.path
+        with os.scandir(at) as entries:
+            for entry in entries:
                 try:
-                    stat = entry.stat()
+                    if entry.name.lower().endswith(self.suffix) and entry.is_file():
+                        stat = entry.stat()
+                        yield f"{partition.folder}/{entry.name}".lstrip("/"), stat.st_size, stat.st_mtime_ns // 1000, self.choice
                 except OSError:
                     continue
-                out.append((entry.name, stat.st_size, stat.st_mtime_ns // 1000))
-        return sorted(out)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        seen = {tuple(x) for x in json.loads(start["seen"])}
-        now = self.listed()
-        return iter([x for x in now if x not in seen]), {"seen": json.dumps(now)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        seen = {tuple(x) for x in json.loads(start["seen"])}
-        return iter([tuple(x) for x in json.loads(end["seen"]) if tuple(x) not in seen])
-
-
-def watched(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
+def watched(spark: SparkSession, path: str, suffix: str = ".pdf", choice: int = 0, depth: int = 0) -> DataFrame:
+    """(name, size, mtime_us, choice) of a folder's files at each trigger: see FolderSource."""
     spark.dataSource.register(FolderSource)
-    return spark.readStream.format("watched_folder").option("path", path).option("suffix", suffix).load()
-
-
-def unseen(files: DataFrame) -> DataFrame:
-    """Each name, size and time once over the stream's life."""
-    return files.dropDuplicates(["name", "size", "mtime_us"])
+    return spark.readStream.format("watched_folder").options(path=path, suffix=suffix, choice=choice, depth=depth).load()
 
 
 def closed_sessions(requests: DataFrame, idle_seconds: int = 150) -> DataFrame:

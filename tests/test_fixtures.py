@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseweave.functions import geometry, text, web
 from caseweave.operators import citations, layout, links, matching, resolve, stateful, structure
 from caseweave.sources import files, linked, sinks
-from caseweave.streaming import watch
+from caseweave.streaming import state, watch
 
 DECISION = "https://www.canlii.org/en/ca/scc/doc/2018/2018scc31/2018scc31.html"
 
@@ -256,21 +256,97 @@ def test_archives(spark):
         assert z.namelist() == ["a.txt", "b.txt"] and z.read("b.txt") == b"two" and z.testzip() is None
 
 
+def until(done, seconds=90):
+    """Streams with times of their own never end by themselves: wait for what they must have put out."""
+    import time
+
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        time.sleep(0.3)
+    return done()
+
+
 def test_watched_folder(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.pdf").write_bytes(b"1")
+    for i in range(200):
+        (folder / f"{i:03d}.pdf").write_bytes(b"1")
     (folder / "skip.txt").write_bytes(b"1")
-    stream = watch.unseen(watch.watched(spark, str(folder)))
-    running = stream.writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).start()
+    (folder / "below").mkdir()
+    (folder / "below" / "deep.PDF").write_bytes(b"1")
+    rows: list = []
+    got = lambda: list(rows)
+
+    def start(choice):
+        rows.clear()
+        files = state.unseen(watch.watched(spark, str(folder), choice=choice, depth=1), buckets=4)
+        keep = lambda batch, i: rows.extend((r.name, r.size) for r in batch.collect())
+        return files.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(processingTime="1 second").start()
+
+    running = start(1)
     try:
-        running.processAllAvailable()
-        (folder / "a.pdf").write_bytes(b"22")
-        (folder / "b.pdf").write_bytes(b"3")
-        running.processAllAvailable()
+        assert until(lambda: len(got()) == 201) and ("below/deep.PDF", 1) in got()
+        (folder / "000.pdf").write_bytes(b"22")
+        (folder / "new.pdf").write_bytes(b"3")
+        assert until(lambda: len(got()) == 203) and {("000.pdf", 2), ("new.pdf", 1)} <= set(got())
+    finally:
+        running.stop()
+    sizes = [f.stat().st_size for f in (tmp_path / "c" / "offsets").iterdir() if f.name.isdigit()]
+    assert max(sizes) < 2500  # whatever the number of files
+    (folder / "late.pdf").write_bytes(b"4")
+    running = start(1)  # what was seen stays seen
+    try:
+        assert until(lambda: len(got()) >= 1) and got() == [("late.pdf", 1)]
+    finally:
+        running.stop()
+    running = start(2)  # the folder is chosen anew: all of it again
+    try:
+        assert until(lambda: len(got()) >= 203) and sorted(n for n, _ in got())[:1] == ["000.pdf"] and len(got()) == 203
+    finally:
+        running.stop()
+
+
+def test_streams_like_batches_at_every_trigger(spark, tmp_path):
+    """Latest rows and the breaker against their batch forms over what had come by each trigger; with
+    rows that come late, and with state that ends."""
+    import datetime as d
+
+    at = lambda s: d.datetime(2024, 1, 1) + d.timedelta(seconds=s)
+    batches = [[("a", "x", 1, at(5)), ("a", "y", 2, at(1)), ("b", "x", 3, at(3))], [("a", "x", 4, at(4)), ("a", "y", 5, at(9))], [("b", "x", 6, at(8)), ("c", "z", 7, at(1)), ("a", "x", 8, at(20))]]
+    schema = "user string, item string, n long, ts timestamp"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        import time
+
+        time.sleep(1.1)  # files come in the order of their times
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got: dict = {}
+
+    def keep(name):
+        return lambda batch, i: got.setdefault(name, []).append([tuple(r) for r in batch.collect()])
+
+    def run(name, df, mode):
+        running = df.writeStream.foreachBatch(keep(name)).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert running.awaitTermination(120)
+
+    run("latest", state.latest(stream(), "user", "item", ["ts", "n"], idle_ms=0), "update")
+    run("breaker", state.after_block(stream(), "user", "item", ["ts", "n"], F.col("n") % 2 == 1, F.concat(F.lit("by "), F.col("n").cast("string")), ttl_ms=0), "append")
+    held, seen, outcomes = {}, [], []
+    for i, rows in enumerate(batches):
+        seen += rows
+        held |= {(u, k): (n, t) for u, k, n, t in got["latest"][i]}
+        batch = stateful.latest(spark.createDataFrame(seen, schema), ["user", "item"], ["ts", "n"])
+        assert held == {(r.user, r.item): (r.n, r.ts) for r in batch.collect()}
+        outcomes += got["breaker"][i]
+    by_arrival = spark.createDataFrame([(*r, i) for i, rows in enumerate(batches) for r in rows], schema + ", batch int")
+    marked = resolve.after_block(by_arrival.withColumn("origin", F.concat("user", "item")), "origin", ["batch", "ts", "n"], F.col("n") % 2 == 1, F.concat(F.lit("by "), F.col("n").cast("string")))
+    assert sorted((n, o, s) for _, _, n, _, o, s in outcomes) == sorted((r.n, r.outcome, r.skipped) for r in marked.collect())
+    rows = state.latest(stream(), "user", "item", ["ts", "n"], idle_ms=600_000)
+    running = rows.writeStream.foreachBatch(keep("timed")).outputMode("update").option("checkpointLocation", str(tmp_path / "timed")).start()
+    try:
+        assert until(lambda: sum(map(len, got.get("timed", []))) == sum(map(len, got["latest"])))
     finally:
         running.stop()
-    assert sorted((r.name, r.size) for r in spark.table("watched").collect()) == [("a.pdf", 1), ("a.pdf", 2), ("b.pdf", 1)]
 
 
 def test_stream_sessions(spark, tmp_path):
