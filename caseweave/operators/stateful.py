@@ -9,7 +9,7 @@ from operator import and_
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.scratch import durable
 from .folds import TARGET, sorted_pass
@@ -80,6 +80,39 @@ def history_tail(rows: DataFrame, key: str, order: Sequence[str], most: int = 40
     return rows.withColumn("depth", F.row_number().over(newest).cast("long")).where(F.col("depth") <= most)
 
 
+def replayed_history(rows: DataFrame, key: str, order: Sequence[str], most: int = 40) -> DataFrame:
+    """(key, order, current, undos, redos): what each key holds after each of its rows, and how many
+    steps back and forth it then has.
+
+    rows: key, the order's columns, op and value. A change puts what was there on the undo stack, which
+    keeps the last `most`, and clears the redo stack; undo and redo take from one stack and put on the
+    other, and do nothing where there is nothing to take. One sorted pass per key, whose state is two
+    stacks of `most` values together. Rows of another op, or of none, change nothing; before the first
+    change a key holds null.
+    """
+    order = list(order)
+    kind = rows.schema["value"].dataType
+    fields = [rows.schema[c] for c in (key, *order)] + [StructField("current", kind), StructField("undos", LongType()), StructField("redos", LongType())]
+
+    def step(state: list, row: tuple) -> list[tuple]:
+        if not state:
+            state[:] = [None, [], []]
+        op, value = row[-2:]
+        current, undo, redo = state
+        if op == "change":
+            undo.append(current)
+            del undo[:-most], redo[:]
+            state[0] = value
+        elif op in ("undo", "redo"):
+            source, target = (undo, redo) if op == "undo" else (redo, undo)
+            if source:
+                target.append(current)
+                state[0] = source.pop()
+        return [(*row[1:-2], state[0], len(undo), len(redo))]
+
+    return sorted_pass(rows.select(key, *order, "op", "value"), [key], order, StructType(fields), list, step)
+
+
 def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """(key, session_no, first, last, n): a session ends when nothing came for more than the gap."""
     order = Window.partitionBy(key).orderBy(ts)

@@ -103,6 +103,24 @@ def undo_tail_40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.history_tail(events(spark, sf_dir), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "depth")
 
 
+@query("""WITH RECURSIVE r AS (
+  SELECT user_id, event_id, CASE WHEN event_id % 5 IN (0, 2) THEN 'undo' WHEN event_id % 5 = 3 THEN 'redo' ELSE 'change' END AS op, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events
+), walk(user_id, rn, event_id, v, u, d) AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM r UNION ALL
+  SELECT r.user_id, r.rn, r.event_id,
+    CASE WHEN op = 'change' THEN r.event_id WHEN op = 'undo' AND len(u) > 0 THEN u[-1] WHEN op = 'redo' AND len(d) > 0 THEN d[-1] ELSE v END,
+    CASE WHEN op = 'change' THEN list_append(u, v)[-5:] WHEN op = 'undo' THEN u[:-2] WHEN len(d) > 0 THEN list_append(u, v) ELSE u END,
+    CASE WHEN op = 'change' THEN [] WHEN op = 'redo' THEN d[:-2] WHEN len(u) > 0 THEN list_append(d, v) ELSE d END
+  FROM walk w JOIN r ON r.user_id = w.user_id AND r.rn = w.rn + 1
+) SELECT user_id, event_id, v AS current, CAST(len(u) AS BIGINT) AS undos, CAST(len(d) AS BIGINT) AS redos FROM walk WHERE rn > 0""")
+def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes, undos and redos of a history of five steps."""
+    rest = F.col("event_id") % 5
+    op = F.when(rest.isin(0, 2), "undo").when(rest == 3, "redo").otherwise("change")
+    rows = events(spark, sf_dir).select("user_id", "ts", "event_id", op.alias("op"), F.col("event_id").alias("value"))
+    return stateful.replayed_history(rows, "user_id", ["ts", "event_id"], most=5).drop("ts")
+
+
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session_no FROM g)
 SELECT user_id, session_no, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, session_no""")

@@ -617,3 +617,13 @@ def test_links_are_written_or_refused(spark, tmp_path):
     assert {f.name for f in (tmp_path / "links").iterdir() if f.suffix == ".parquet"} == files
     with pytest.raises(Exception, match="need expected"):
         planned.write.format("linked_units").option("path", path).mode("append").save()
+
+
+def test_a_change_clears_what_could_be_redone(spark):
+    ops = ["undo", "change", "change", "undo", "redo", "undo", "change", "redo", "undo", "undo", "undo", "other", None]
+    rows = spark.createDataFrame([("k", i, o, f"v{i}") for i, o in enumerate(ops)], "key string, seq long, op string, value string").repartition(3)
+    found = [(r.current, r.undos, r.redos) for r in sorted(stateful.replayed_history(rows, "key", ["seq"]).collect(), key=lambda r: r.seq)]
+    assert found == [(None, 0, 0), ("v1", 1, 0), ("v2", 2, 0), ("v1", 1, 1), ("v2", 2, 0), ("v1", 1, 1), ("v6", 2, 0), ("v6", 2, 0), ("v1", 1, 1), (None, 0, 2), (None, 0, 2), (None, 0, 2), (None, 0, 2)]
+    many = spark.createDataFrame([(1, i, "change", i) for i in range(100)] + [(1, 100 + i, "undo", None) for i in range(60)], "key long, seq long, op string, value long")
+    last = max(stateful.replayed_history(many, "key", ["seq"]).collect(), key=lambda r: r.seq)
+    assert (last.current, last.undos, last.redos) == (59, 0, 40)
