@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: list[str] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete the folders that scratch_folder named for this driver process, with what stands beside
+    them under the same name (a stream's state)."""
+    while _folders:
+        path = _folders.pop()
+        for each in (path, f"{path}-state"):
+            with contextlib.suppress(OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                store, folder = pafs.FileSystem.from_uri(each)
+                if store.get_file_info(folder).type == pafs.FileType.Directory:
+                    store.delete_dir(folder)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset and there is one machine."""
@@ -20,8 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """The name of a new folder in the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """The name of a new folder in the shared one, which goes when the driver process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
 
 
 def durable(df: DataFrame) -> DataFrame:

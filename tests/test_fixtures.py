@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import geometry, text, web
 from caseweave.operators import citations, layout, links, matching, resolve, stateful, structure
-from caseweave.sources import files, linked, sinks
+from caseweave.sources import files, linked, scratch, sinks
 from caseweave.streaming import state, watch
 
 DECISION = "https://www.canlii.org/en/ca/scc/doc/2018/2018scc31/2018scc31.html"
@@ -627,3 +627,17 @@ def test_a_change_clears_what_could_be_redone(spark):
     many = spark.createDataFrame([(1, i, "change", i) for i in range(100)] + [(1, 100 + i, "undo", None) for i in range(60)], "key long, seq long, op string, value long")
     last = max(stateful.replayed_history(many, "key", ["seq"]).collect(), key=lambda r: r.seq)
     assert (last.current, last.undos, last.redos) == (59, 0, 40)
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    path = scratch.scratch_folder(spark, "t")
+    spark.range(3).write.parquet(path)
+    spark.range(3).write.parquet(path + "-state")
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local)
+    kept, scratch._folders[:] = scratch._folders[:-1], scratch._folders[-1:]
+    scratch.sweep()
+    scratch._folders[:] = kept
+    assert not os.path.exists(local) and not os.path.exists(local + "-state")
