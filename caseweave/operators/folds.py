@@ -8,6 +8,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -20,6 +21,9 @@ def sorted_pass(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: S
 
     Rows are tuples in the order of their columns, which begin with `by`; what is yielded begins with
     the columns of out that follow `by`, which are put before it. Null keys are keys.
+
+    Rows are dealt by a hash of the key and not by the key: where rows are a union, adaptive execution
+    otherwise takes its sides to be dealt by the key already, though they aren't dealt alike.
     """
     n, arrow = len(by), to_arrow_schema(out)
 
@@ -43,7 +47,7 @@ def sorted_pass(rows: DataFrame, by: Sequence[str], order: Sequence[str], out: S
         if key is not None:
             yield packed([key + x for x in end(state)])
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, out)
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, out)
 
 
 class Disjoint:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..sources.scratch import durable
+from .folds import TARGET, sorted_pass
 
 
 def word_runs(rows: DataFrame, key: str, text: str, size: int = 12, opening: bool = False) -> DataFrame:
@@ -52,14 +58,38 @@ def majority_matches(files: DataFrame, file_key: str, waiting: DataFrame, record
     return hits.join(sizes, record_key).where("hits * 2 > _phrases and unique_hits >= 2").select(file_key, record_key, "hits", "unique_hits")
 
 
-def greedy_assignment(files: DataFrame, records: DataFrame, group: str, matches: Callable[[str, str], bool] | None = None) -> DataFrame:
+def name_keys(name: Column) -> Column:
+    """A name's words, split at ASCII white space and lower-cased, and the name itself."""
+    words = F.filter(F.split(F.lower(name), "[\\t\\n\\f\\r ]+"), lambda w: w != "")
+    return F.array_distinct(F.concat(words, F.array(name)))
+
+
+def matching_names(files: DataFrame, records: DataFrame, group: str, matches: Callable[[str, str], bool], shares: Callable[[Column], Column] = name_keys) -> DataFrame:
+    """(group, name, wanted): a file's and a record's name that match, each pair of names once.
+
+    Only names of a group that share a key are compared, by an equality join of different names."""
+    keyed = lambda rows, name: rows.select(group, F.col("name").alias(name)).where(F.col("name").isNotNull()).distinct().withColumn("_key", F.explode(shares(F.col(name))))
+
+    @F.pandas_udf("boolean")
+    def match(name: pd.Series, wanted: pd.Series) -> pd.Series:
+        return pd.Series([bool(matches(a, b)) for a, b in zip(name, wanted)], dtype=bool)
+
+    met = keyed(files, "name").join(keyed(records, "wanted"), [group, "_key"]).select(group, "name", "wanted").distinct()
+    return met.where(match("name", "wanted"))
+
+
+def greedy_assignment(files: DataFrame, records: DataFrame, group: str, matches: Callable[[str, str], bool] | None = None, shares: Callable[[Column], Column] = name_keys, target: int = TARGET) -> DataFrame:
     """(group, file_id, record_id): per group, files by time from the newest each take the first
     waiting record that matches, which is then gone.
 
+    files: group, file_id, name, mtime; records: group, record_id, seq, name. Other columns are
+    ignored. Equal times are broken by file_id, equal seq by record_id; files without a time come last,
+    records without seq first. A null group or name matches nothing.
+
     matches None: names must be equal. The n-th file of a name then takes its n-th record, which two
-    windows over group and name find. With another match the outcome depends on the order, so a group
-    is folded as a whole, in one task: that is for groups of bounded size.
-    files: group, file_id, name, mtime; records: group, record_id, seq, name.
+    windows over group and name find. Another match says of two names whether they do, and must hold
+    only for names that have one of the keys of `shares` in common. What a file takes then depends on
+    all before it: assigned_in_stretches decides `target` files of a group at a time.
     """
 
     if matches is None:
@@ -67,15 +97,65 @@ def greedy_assignment(files: DataFrame, records: DataFrame, group: str, matches:
         f = files.select(group, "name", "file_id", at(F.desc("mtime"), "file_id").alias("_place"))
         r = records.select(group, "name", "record_id", at("seq", "record_id").alias("_place"))
         return f.join(r, [group, "name", "_place"]).select(group, "file_id", "record_id")
-
-    def fold(f: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        waiting = list(r.sort_values(["seq", "record_id"])[["record_id", "wanted"]].itertuples(index=False))
-        out = []
-        for row in f.sort_values(["mtime", "file_id"], ascending=[False, True]).itertuples(index=False):
-            i = next((i for i, w in enumerate(waiting) if matches(row.name, w.wanted)), None)
-            if i is not None:
-                out.append((getattr(row, group), row.file_id, waiting.pop(i).record_id))
-        return pd.DataFrame(out, columns=[group, "file_id", "record_id"])
-
-    f, r = files.select(group, "file_id", "name", "mtime"), records.select(group, "record_id", "seq", F.col("name").alias("wanted"))
-    return f.groupBy(group).cogroup(r.groupBy(group)).applyInPandas(fold, f"{group} {files.schema[group].dataType.simpleString()}, file_id long, record_id long")
+    placed = lambda rows, *order: durable(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    f = placed(files.select(group, "file_id", "name", "mtime"), F.desc_nulls_last("mtime"), "file_id")
+    r = placed(records.select(group, "record_id", "seq", F.col("name").alias("wanted")), F.asc_nulls_first("seq"), "record_id")
+    names = durable(matching_names(f, r.withColumnRenamed("wanted", "name"), group, matches, shares))
+    offered = names.join(r.select(group, "wanted", F.col("_at").alias("_record")), [group, "wanted"]).select(F.col(group).alias("_group"), F.col("name").alias("_name"), "_record")
+    askers = f.select(F.col(group).alias("_group"), F.col("name").alias("_name"), F.col("_at").alias("_file"))
+    taken = assigned_in_stretches(askers, offered, target)
+    ids = taken.join(f.select(group, "file_id", F.col("_at").alias("_file")), "_file").join(r.select("record_id", F.col("_at").alias("_record")), "_record")
+    return ids.select(group, "file_id", "record_id")
+
+
+def assigned_in_stretches(askers: DataFrame, offered: DataFrame, target: int = TARGET) -> DataFrame:
+    """(_group, _name, _file, _record): from the smallest _file of a group on, each takes the smallest
+    _record offered to its name that is left.
+
+    askers: _group, _name, _file; offered: _group, _name, _record. A number is given to one file and to
+    one record; a record may be offered to many names.
+
+    A file's turn depends on all before it, so a group is decided in stretches of `target` files, all
+    groups side by side. A stretch is one sorted pass over the records left for its names and then over
+    its files. It is told twice as many records of a name as it has files of it, and 256 more; where
+    others took all of these and there are more, the pass ends before that file, which begins the next
+    stretch. So a pass holds a bounded number of records whatever the size of a group, and the first
+    file of each stretch is always decided. Names whose records are all gone leave at once.
+    """
+    by = ["_group", "_name"]
+    more = -1
+
+    def take(state: dict, row: tuple) -> list[tuple]:
+        _, file, _, record, name = row
+        if file is None:
+            state["offers"].setdefault(name, deque()).append(record)
+            return []
+        left = state["offers"].get(name)
+        while left and left[0] in state["gone"]:
+            left.popleft()
+        state["ended"] |= bool(left) and left[0] == more
+        if state["ended"]:
+            return []
+        if not left:
+            return [(name, file, None)]
+        state["gone"].add(left[0])
+        return [(name, file, left.popleft())]
+
+    nothing = F.lit(None).cast("long")
+    out = StructType([*askers.select(*by).schema.fields, StructField("_file", LongType()), StructField("_record", LongType())])
+    left, offers, done = askers, offered, []
+    while True:
+        left = durable(left.join(offers.select(*by).distinct(), by, "left_semi"))
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, done) if done else left.withColumn("_record", nothing)
+        place = F.row_number().over(Window.partitionBy("_group").orderBy("_file"))
+        chosen = left.withColumn("_n", place).where(F.col("_n") <= target)
+        wanted = chosen.groupBy(*by).agg((F.count("*") * 2 + 256).alias("_most"))
+        told = offers.join(wanted, by).withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_record"))).where("_n <= _most + 1")
+        told = told.select("_group", nothing.alias("_file"), "_n", F.when(F.col("_n") <= F.col("_most"), F.col("_record")).otherwise(more).alias("_record"), "_name")
+        rows = told.unionByName(chosen.select("_group", "_file", "_n", nothing.alias("_record"), "_name"))
+        decided = durable(sorted_pass(rows, ["_group"], ["_file", "_n"], out, lambda: {"offers": {}, "gone": set(), "ended": False}, take))
+        taken = decided.where("_record is not null")
+        done.append(taken)
+        left = left.join(decided.select("_file"), "_file", "left_anti")
+        offers = durable(offers.join(taken.select("_record"), "_record", "left_anti"))

@@ -319,4 +319,23 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.greedy_assignment(files, records, "source")
 
 
+@query(r"""WITH RECURSIVE p AS (SELECT p_partkey, p_brand, p_size, string_split(p_name, ' ') AS w FROM part),
+f AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS rn FROM p WHERE p_partkey % 2 = 1),
+r AS (SELECT p_brand, w, p_partkey AS record_id FROM p WHERE p_partkey % 2 = 0),
+walk(p_brand, rn, file_id, record_id, gone) AS (
+  SELECT DISTINCT p_brand, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]) FROM f UNION ALL
+  SELECT p_brand, rn, file_id, record_id, CASE WHEN record_id IS NULL THEN gone ELSE list_append(gone, record_id) END FROM (
+    SELECT k.p_brand, f.rn, f.p_partkey AS file_id, k.gone, min(r.record_id) AS record_id
+    FROM walk k JOIN f ON f.p_brand = k.p_brand AND f.rn = k.rn + 1
+    LEFT JOIN r ON r.p_brand = k.p_brand AND list_has_any(r.w, f.w) AND NOT list_contains(k.gone, r.record_id)
+    GROUP BY k.p_brand, f.rn, f.p_partkey, k.gone) s
+) SELECT p_brand, file_id, record_id FROM walk WHERE record_id IS NOT NULL""")
+def greedy_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files and as records of their brand; names match that have a word in common."""
+    part = table(spark, sf_dir, "part").withColumn("name", F.col("p_name"))
+    files = part.where("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").cast("long").alias("file_id"), "name", F.col("p_size").alias("mtime"))
+    records = part.where("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").cast("long").alias("record_id"), F.col("p_partkey").alias("seq"), "name")
+    return matching.greedy_assignment(files, records, "p_brand", lambda a, b: not set(a.split()).isdisjoint(b.split()))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -1,8 +1,10 @@
 """Semantics that the tables lack, on literal rows."""
 
 import io
+import random
 import sqlite3
 import zipfile
+from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +199,49 @@ def test_greedy_assignment(spark):
     assert sorted((x.file_id, x.record_id) for x in found) == [(2, 7), (3, 8)]
 
 
+def in_turn(files, records, matches):
+    """The plain fold: files from the newest, each takes the first record left that matches."""
+    left, out = sorted(records, key=lambda r: (r[0], r[2] is not None, r[2] or 0, r[1])), []
+    for g, file_id, name, _ in sorted(files, key=lambda f: (f[3] is None, -(f[3] or 0), f[1])):
+        hit = next((r for r in left if None not in (g, name, r[3]) and r[0] == g and matches(name, r[3])), None)
+        if hit:
+            left.remove(hit)
+            out.append((g, file_id, hit[1]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,groups,words,target", [(0, 1, 3, 20_000), (1, 3, 5, 25)])
+def test_greedy_assignment_in_stretches(spark, seed, groups, words, target):
+    """Names of one or two words in few groups, so that kinds contend; times and places tie."""
+    rng = random.Random(seed)
+    name = lambda: " ".join(rng.choice([f"w{i}" for i in range(words)]) for _ in range(rng.choice([1, 2])))
+    group = lambda: f"g{rng.randrange(groups)}"
+    files = [(group(), i, name(), rng.choice([None, *range(9)])) for i in range(120)] + [(None, 900, "w0", 3), ("g0", 901, None, 3), ("g0", 902, "", 3)]
+    records = [(group(), i, rng.choice([None, *range(9)]), name()) for i in range(100)] + [(None, 900, 1, "w0"), ("g0", 901, 1, None), ("g0", 902, 0, "")]
+    share = lambda a, b: a == b or bool(set(a.split()) & set(b.split()))
+    records = sorted(records, key=lambda r: str(r[0]))
+    f = spark.createDataFrame(files, "g string, file_id long, name string, mtime long").withColumn("_record", F.lit(1))
+    r = spark.createDataFrame(records, "g string, record_id long, seq long, name string").withColumn("_name", F.lit(1))
+    found = sorted(tuple(x) for x in matching.greedy_assignment(f, r, "g", share, target=target).collect())
+    plain = in_turn([x for x in files if x[0]], [x for x in records if x[0]], share)
+    assert found == plain
+    assert not matching.greedy_assignment(f.where("false"), r, "g", share).collect()
+
+
+def test_greedy_assignment_of_one_hot_name(spark):
+    """A name that most files have, and one that contends for its records."""
+    f = spark.range(9_000).select(F.lit("g").alias("g"), F.col("id").alias("file_id"), F.when(F.col("id") % 3 == 0, "a b").otherwise("a").alias("name"), (-F.col("id")).alias("mtime"))
+    r = spark.range(6_000).select(F.lit("g").alias("g"), F.col("id").alias("record_id"), F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("name"))
+    share = lambda a, b: bool(set(a.split()) & set(b.split()))
+    found = sorted((x.file_id, x.record_id) for x in matching.greedy_assignment(f, r, "g", share, target=3_000).collect())
+    left, out = {"a": deque(i for i in range(6_000) if i % 4), "b": deque(range(0, 6_000, 4))}, []
+    for i in range(9_000):
+        open_ = [k for k in (("a", "b") if i % 3 == 0 else ("a",)) if left[k]]
+        if open_:
+            out.append((i, left[min(open_, key=lambda k: left[k][0])].popleft()))
+    assert found == out
+
+
 def test_merge_rects(spark):
     rows = [("m", 1, 0.1, 0.2, 0.2, 0.3), ("m", 2, 0.205, 0.202, 0.3, 0.301), ("m", 3, 0.5, 0.2, 0.6, 0.3), ("m", 4, 0.1, 0.4, 0.2, 0.5)]
     found = layout.merge_rects(spark.createDataFrame(rows, "mark string, seq long, x0 double, y0 double, x1 double, y1 double"), ["mark"]).orderBy("rect_no").collect()
