@@ -22,6 +22,11 @@ PINPOINT = re.compile(r"\G?,?[ ]*(?:\bat[ ]+)?(?P<word>paras?\.?|¶+|pp?\.?|page
 #: Words that introduce a citation and aren't part of a style of cause.
 SIGNAL = re.compile(r"^(?:(?:See|Voir|Cf\.?|In|Dans|But|And|Also|Citing)[ ]+)+")
 LOCATOR = re.compile(r"(\d+[a-z]?)(?:[ ]*[-–][ ]*(\d+[a-z]?))?")
+#: What a text holds that holds a citation: a year before a court or a bracket, a statute's court, an
+#: ibid. Java's syntax; the grammar reads no other text.
+CITING = r"(?s)(?:1[89]|20)..(?: +[A-Z]{2}|\])|S[CO] |[Ii]bid"
+#: A pattern's matches hold one of these.
+MARKS = {"neutral": ("18", "19", "20"), "reporter": ("[",), "statute": ("SC ", "SO "), "ibid": ("bid",)}
 KIND = {"p": "paragraph", "¶": "paragraph", "s": "section"}
 
 
@@ -51,7 +56,9 @@ def citations_in(text: str | None) -> list[dict]:
     """Every citation in the order of the text; an ibid takes the key of the citation before it."""
     found = []
     for kind, pattern in (("neutral", NEUTRAL), ("reporter", REPORTER), ("statute", STATUTE), ("ibid", IBID)):
-        for m in pattern.finditer(text or ""):
+        if not text or not any(mark in text for mark in MARKS[kind]):
+            continue
+        for m in pattern.finditer(text):
             found.append((m.start("cite"), m.end("cite"), kind, m))
     out: list[dict] = []
     end = 0
@@ -76,8 +83,9 @@ def citations_in(text: str | None) -> list[dict]:
 def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, seq, start, end, full_start, text, key, form, authority, style, court, pinpoints) per citation.
 
-    The grammar knows neutral citations, bracketed reporters, statutes and ibid. Texts are read by
-    Arrow batches; what is found is exploded on the JVM side.
+    The grammar knows neutral citations, bracketed reporters, statutes and ibid. Texts that can't hold
+    one are left out on the JVM side; the others are read by Arrow batches, and what is found is exploded
+    on the JVM side. A text that is null or cites nothing has no row.
     """
 
     @F.pandas_udf(OCCURRENCES)
@@ -85,7 +93,7 @@ def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for batch in texts:
             yield batch.map(citations_in)
 
-    return docs.select(key, F.posexplode(run(F.col(text))).alias("seq", "c")).select(key, "seq", "c.*" if key != "key" else "c")
+    return docs.where(F.col(text).rlike(CITING)).select(key, F.posexplode(run(F.col(text))).alias("seq", "c")).select(key, "seq", "c.*" if key != "key" else "c")
 
 
 def tails(occurrences: DataFrame, document: str = "doc_id", text: str = "text") -> DataFrame:

@@ -199,6 +199,25 @@ def test_greedy_assignment(spark):
     assert sorted((x.file_id, x.record_id) for x in found) == [(2, 7), (3, 8)]
 
 
+def test_citing_texts_are_all_read(spark):
+    """What the JVM leaves out holds no citation, and what a pattern's marks leave out holds no match."""
+    rng = random.Random(5)
+    bits = ["2001", "1999", "20\u0661\u0662", "18\U0001d7ce\U0001d7cf", "[", "]", " ", "  ", "\n", "SCC", "S.C.R.", "RSC", "SO", "SC", "1985", ",", "c", "C-46", "12", "Ibid", "ibid.", "R. v. Oakes", "at paras 3-5", "x", "3"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(4000)] + [None, "", "SC 1985, c C-46", "[2001] 1 S.C.R. 3", "2001  SCC  1"]
+
+    def plain(t):
+        kinds = (("neutral", citations.NEUTRAL), ("reporter", citations.REPORTER), ("statute", citations.STATUTE), ("ibid", citations.IBID))
+        return sorted((m.start("cite"), m.end("cite")) for _, p in kinds for m in p.finditer(t or ""))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in citations.extract(docs).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end))
+    assert {i for i, t in enumerate(texts) if plain(t)} == set(found)
+    assert all(set(spans) <= set(plain(texts[i])) for i, spans in found.items())
+    assert len(found) > 200
+
+
 def in_turn(files, records, matches):
     """The plain fold: files from the newest, each takes the first record left that matches."""
     left, out = sorted(records, key=lambda r: (r[0], r[2] is not None, r[2] or 0, r[1])), []
