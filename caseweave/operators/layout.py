@@ -206,7 +206,7 @@ def assemble_lines(items: DataFrame, keys: Sequence[str] = ("doc_id", "page"), s
     known = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_own"), "_first", last.alias("_before"))
     owner = F.when(F.col("item_no") > F.col("_first"), F.col("_part")).otherwise(F.coalesce("_before", F.lit(0).cast("long")))
     later = far.join(known, same & (F.col("_part") == F.col("_own"))).withColumn("owner", owner).select(*rows.columns, "owner")
-    dealt = near.unionByName(later).repartition(*keys, "owner").sortWithinPartitions(*keys, "owner", "item_no")
+    dealt = near.unionByName(later).repartition(F.xxhash64(*keys, "owner")).sortWithinPartitions(*keys, "owner", "item_no")
     schema = StructType([*dealt.select(*keys).schema.fields, *_parse_datatype_string(LINE).fields])
     found = dealt.select(*keys, "owner", *columns, "has_eol").mapInArrow(joined_items, schema)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_item")) - 1

@@ -8,9 +8,10 @@ from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from caseweave.functions import geometry, text, web
-from caseweave.operators import citations, layout, links, matching, resolve, stateful, structure
+from caseweave.operators import citations, folds, layout, links, matching, resolve, stateful, structure
 from caseweave.sources import files, linked, scratch, sinks
 from caseweave.streaming import state, watch
 
@@ -199,6 +200,23 @@ def test_greedy_assignment(spark):
     assert sorted((x.file_id, x.record_id) for x in found) == [(2, 7), (3, 8)]
 
 
+def test_a_pass_sees_a_key_once(spark):
+    """Rows that are a union of joins on the key: adaptive execution makes broadcasts of them."""
+    few = spark.range(7).select(F.col("id").alias("k"))
+    part = lambda kind: spark.range(2000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"), F.lit(kind).alias("kind")).join(few, "k", "left_semi")
+    out = StructType([StructField("k", LongType()), StructField("n", LongType())])
+    for threshold in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+        try:
+            rows = part("a").unionByName(part("b"))
+            found = folds.sorted_pass(rows, ["k"], ["v", "kind"], out, lambda: [0], lambda n, _: n.__setitem__(0, n[0] + 1) or (), lambda n: [(n[0],)]).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        assert sorted(r.k for r in found) == list(range(7)) and sum(r.n for r in found) == 4000
+
+
 def test_citing_texts_are_all_read(spark):
     """What the JVM leaves out holds no citation, and what a pattern's marks leave out holds no match."""
     rng = random.Random(5)
