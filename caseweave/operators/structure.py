@@ -34,9 +34,21 @@ def bare_label(label: Column) -> Column:
 
 
 def item_ends(items: DataFrame, group: str, last: str) -> DataFrame:
-    """items with item_end: the least begin of the group that is after their own, else the group's end."""
-    later = F.min("start").over(Window.partitionBy(group).orderBy("start").rangeBetween(1, Window.unboundedFollowing))
-    return items.withColumn("item_end", F.coalesce(later, F.col(last)))
+    """items with item_end: the least begin of the group that is after their own, else the group's end.
+
+    The different begins are dealt by range, so that a group of any size is many tasks; each range is
+    one sorted pass of a window, and its last begin takes the first one of the group's next range, one
+    row per group and range. A null group is a group; an item without a begin has none after it.
+    """
+    begins = items.select(F.col(group).alias("_group"), F.col("start").alias("_start")).where("start is not null").distinct()
+    dealt = durable(begins.repartitionByRange("_group", "_start").withColumn("_part", F.spark_partition_id()))
+    firsts = dealt.groupBy("_group", "_part").agg(F.min("_start").alias("_first"))
+    firsts = firsts.select("_group", "_part", F.lead("_first").over(Window.partitionBy("_group").orderBy("_part")).alias("_after"))
+    following = F.lead("_start").over(Window.partitionBy("_group", "_part").orderBy("_start"))
+    ends = dealt.select("_group", "_part", "_start", following.alias("_next")).join(firsts.select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), "_after"), F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    ends = ends.select("_group", "_start", F.coalesce("_next", "_after").alias("_end"))
+    found = items.join(ends, F.col(group).eqNullSafe(F.col("_group")) & (F.col("start") == F.col("_start")), "left")
+    return found.withColumn("item_end", F.coalesce("_end", F.col(last))).select(*items.columns, "item_end")
 
 
 def unique_targets(targets: DataFrame, nodes: DataFrame, document: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import random
 import sqlite3
+import time
 import zipfile
 from collections import deque
 
@@ -298,6 +299,19 @@ def test_structure(spark):
     assert one(spark, structure.bare_label(F.col("l")), l="(iv).)") == "iv"
 
 
+def test_item_ends_of_one_large_group(spark):
+    """A frame that begins after each row was read anew for every row: a minute and more for this group."""
+    n = 150_000
+    rows = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("item"), (F.col("id") * 3).alias("start"), F.lit(9 * n).alias("last"))
+    began = time.monotonic()
+    found = structure.item_ends(rows, "g", "last")
+    ends = F.when(F.col("item") < n - 1, F.col("start") + 3).otherwise(F.col("last"))
+    assert found.where(F.col("item_end") == ends).count() == n
+    assert time.monotonic() - began < 30
+    few = spark.createDataFrame([(None, 1, 5, 99), (None, 2, 5, 99), (None, 3, 7, 99), ("a", 4, 6, 50), ("a", 5, None, 50)], "g string, item long, start long, last long")
+    assert {r["item"]: r.item_end for r in structure.item_ends(few, "g", "last").collect()} == {1: 7, 2: 7, 3: 99, 4: 50, 5: 50}
+
+
 def test_redirect_limit(spark):
     chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "source string, target string")
     ends = {r.url: (r.final, r.n_hops, r.status) for r in resolve.redirect_ends(spark.createDataFrame([("0",), ("5",), ("z",)], "url string"), chain).collect()}
