@@ -7,12 +7,15 @@ from functools import reduce
 from math import log2
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import text as T
+from ..sources.scratch import durable
 from .folds import sorted_pass
 
 
@@ -123,58 +126,98 @@ BASELINE, BACK, FAR, SPACED = 0.25, 0.005, 3, 0.15
 #: Items of a page that one task puts together at least, if a line ends among them.
 STRETCH = 4096
 
-LINE = "owner long, first_item long, last_item long, n_items long, text string, x0 double, y0 double, x1 double, y1 double, baseline double"
+LINE = "line_no long, first_item long, last_item long, n_items long, text string, x0 double, y0 double, x1 double, y1 double, baseline double"
+#: Runs of items side by side from which numpy steps through them at once.
+LANES = 16
+
+
+def begun(starts: np.ndarray, sizes: np.ndarray, x0: np.ndarray, x1: np.ndarray, baseline: np.ndarray, height: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which items begin a line and which have a gap before them. Runs begin at `starts` and begin a
+    line each; an item depends on its run's earlier ones only, so all runs go step by step side by
+    side, and the few that are longer than the others go by themselves."""
+    new, gap = np.ones(len(x0), bool), np.zeros(len(x0), bool)
+    runs = np.argsort(-sizes, kind="stable")
+    at, sizes = starts[runs], sizes[runs]
+    left, right, base = x0[at], x1[at], baseline[at]
+    step = 1
+    while (n := int(np.searchsorted(-sizes, -step, "left"))) >= LANES:
+        i, left, right, base = at[:n] + step, left[:n], right[:n], base[:n]
+        a, b, h, far = x0[i], x1[i], height[i], (x0[i] - right) * width[i]
+        joins = (np.abs(base - baseline[i]) < BASELINE * h) & (a >= left - BACK) & (far < FAR * h)
+        new[i], gap[i] = ~joins, joins & (far > SPACED * h)
+        left, right, base = np.where(joins & ~(a < left), left, a), np.where(joins & ~(b > right), right, b), np.where(joins, base, baseline[i])
+        step += 1
+    for k in range(n):
+        l, r, o, rest = float(left[k]), float(right[k]), float(base[k]), slice(int(at[k]) + step, int(at[k] + sizes[k]))
+        for i, a, b, c, h, w in zip(range(rest.start, rest.stop), x0[rest].tolist(), x1[rest].tolist(), baseline[rest].tolist(), height[rest].tolist(), width[rest].tolist()):
+            far = (a - r) * w
+            if abs(o - c) < BASELINE * h and a >= l - BACK and far < FAR * h:
+                new[i], gap[i], l, r = False, far > SPACED * h, min(l, a), max(r, b)
+            else:
+                l, r, o = a, b, c
+    return new, gap
 
 
 def joined_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fold of assemble_lines over a task's items, sorted by page and number: the open line, its box
-    and its first baseline are all that is kept, whatever the page's size."""
-    schema, place, line = None, None, None
-    blank = str.maketrans("", "", T.SPACES)
-
+    """The fold of assemble_lines over a task's items, sorted by page and number. Between two batches the
+    open line is kept, as one item with its box and its first baseline, whatever the page's size."""
+    numbers = ("x0", "y0", "x1", "y1", "baseline", "height", "width")
+    own = ("item_no", "text", *numbers, "has_eol")
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    line_fields = [pa.field(n, kinds[t]) for n, t in (c.split(" ") for c in LINE.split(", "))]
+    open_line: pa.Table | None = None
+    place, lines_before = None, 0
     for batch in batches:
-        names = batch.schema.names
-        keys = [i for i, n in enumerate(names) if n not in ("item_no", "text", "x0", "y0", "x1", "y1", "baseline", "height", "width", "has_eol")]
-        schema = schema or pa.schema([batch.schema.field(i) for i in keys] + [pa.field(n, t) for n, t in zip(("first_item", "last_item", "n_items", "text", "x0", "y0", "x1", "y1", "baseline"), [pa.int64()] * 3 + [pa.string()] + [pa.float64()] * 5)])
-        done: list = []
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        at = {n: columns[names.index(n)] for n in ("item_no", "text", "x0", "y0", "x1", "y1", "baseline", "height", "width", "has_eol")}
-        for key, no, text, x0, y0, x1, y1, baseline, height, width, eol in zip(zip(*(columns[i] for i in keys)), *at.values()):
-            if key != place:
-                if line:
-                    done.append((*place, *line))
-                place, line = key, None
-            if not (text or "").translate(blank):
-                if eol and line:
-                    done.append((*place, *line))
-                    line = None
-                continue
-            if None in (x0, y0, x1, y1, baseline, height, width):
-                continue
-            if line and abs(line[8] - baseline) < BASELINE * height and x0 >= line[4] - BACK and (x0 - line[6]) * width < FAR * height:
-                space = " " if (x0 - line[6]) * width > SPACED * height and line[3][-1][-1:] not in T.SPACES else ""
-                line[1], line[2] = no, line[2] + 1
-                line[3].append(space + text)
-                line[4:8] = [min(line[4], x0), min(line[5], y0), max(line[6], x1), max(line[7], y1)]
-            else:
-                if line:
-                    done.append((*place, *line))
-                line = [no, no, 1, [text], x0, y0, x1, y1, baseline]
-            if eol:
-                done.append((*place, *line))
-                line = None
-        yield written(done, schema)
-    if line:
-        yield written([(*place, *line)], schema)
-
-
-def written(lines: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    rows = list(zip(*lines)) or [()] * len(schema)
-    texts = schema.get_field_index("text")
-    return pa.RecordBatch.from_arrays([pa.array(["".join(x) for x in v] if i == texts else v, f.type) for i, (v, f) in enumerate(zip(rows, schema))], schema=schema)
-
-
-def assemble_lines(items: DataFrame, keys: Sequence[str] = ("doc_id", "page"), stretch: int = STRETCH) -> DataFrame:
+        keys = [n for n in batch.schema.names if n not in own]
+        schema = pa.schema([*(batch.schema.field(n) for n in keys), *line_fields])
+        items = pa.Table.from_arrays([*batch.columns, batch.column("item_no"), pa.array(np.ones(len(batch), np.int64))], [*batch.schema.names, "first_item", "n_items"])
+        if open_line is not None:
+            items = pa.concat_tables([open_line, items.select(open_line.schema.names)])
+        items = items.combine_chunks()
+        text = pc.fill_null(items["text"].combine_chunks(), "")
+        blank = pc.equal(pc.utf8_trim(text, T.SPACES), "").to_numpy(zero_copy_only=False)
+        boxed = np.logical_and.reduce([pc.is_valid(items[n]).to_numpy() for n in numbers])
+        ends = items["has_eol"].to_numpy() & (blank | boxed)
+        counted = np.flatnonzero(~blank & boxed)
+        if not len(counted):
+            continue
+        codes = [items[n].combine_chunks().dictionary_encode("encode").indices.to_numpy()[counted] for n in keys]
+        turns = np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in codes])]) if keys else np.arange(len(counted)) == 0
+        closings = np.concatenate([[0], np.cumsum(ends)])[:-1][counted]  # before each item
+        starts = np.flatnonzero(turns | np.concatenate([[True], closings[1:] != closings[:-1]]))
+        at = {n: items[n].to_numpy()[counted].astype(float) for n in numbers}
+        text = text.take(pa.array(counted))
+        new, gap = begun(starts, np.diff(np.append(starts, len(counted))), at["x0"], at["x1"], at["baseline"], at["height"], at["width"])
+        spaced = pc.is_in(pc.utf8_slice_codeunits(text, -1), value_set=pa.array(list(T.SPACES))).to_numpy(zero_copy_only=False)
+        gap[1:] &= ~spaced[:-1]
+        lines = np.flatnonzero(new)
+        last = np.append(lines[1:], len(counted)) - 1
+        pieces = pc.binary_join_element_wise(pa.array(np.where(gap, " ", "")), text, "")
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(lines, len(counted)).astype(np.int32)), pieces), "")
+        box = [np.where(np.isnan(at[n][lines]), at[n][lines], f.reduceat(at[n], lines)) for n, f in (("x0", np.fmin), ("y0", np.fmin), ("x1", np.fmax), ("y1", np.fmax))]
+        heads = items.take(pa.array(counted[lines]))
+        here = tuple(heads[n][0].as_py() for n in keys)
+        # the lines' numbers in their page
+        page = np.flatnonzero(turns[lines])
+        no = np.arange(len(lines)) - np.repeat(page, np.diff(np.append(page, len(lines))))
+        no[: page[1] if len(page) > 1 else len(lines)] += lines_before if here == place else 0
+        columns = [*(heads[n].combine_chunks() for n in keys), no, heads["first_item"].combine_chunks(), items["item_no"].to_numpy()[counted[last]], np.add.reduceat(items["n_items"].to_numpy()[counted], lines), joined, *box, at["baseline"][lines]]
+        found = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        place = tuple(heads[n][len(lines) - 1].as_py() for n in keys)
+        stays = not ends[counted[-1] :].any()
+        lines_before = int(no[-1]) + (not stays)
+        open_line = None
+        if stays:
+            found, rest = found.slice(0, len(lines) - 1), found.slice(len(lines) - 1)
+            names = [{"last_item": "item_no"}.get(n, n) for n in schema.names]
+            open_line = pa.Table.from_arrays([*rest.columns, *(pa.array([v]) for v in (0.0, 0.0, False))], [*names, "height", "width", "has_eol"]).drop_columns(["line_no"])
+        yield found
+    if open_line is not None:
+        rest = open_line.append_column("last_item", open_line["item_no"]).append_column("line_no", pa.array([lines_before]))
+        yield pa.RecordBatch.from_arrays([rest[n].combine_chunks() for n in schema.names], schema=schema)
+
+
+def assemble_lines(items: DataFrame, keys: Sequence[str] = ("doc_id", "page"), stretch: int = STRETCH, in_order: bool = False) -> DataFrame:
     """(keys, line_no, text, first_item, last_item, n_items, box, baseline): a page's items as its lines.
 
     items: keys, item_no, text, x0, y0, x1, y1 in shares of the page, baseline, height and width, the
@@ -184,20 +227,34 @@ def assemble_lines(items: DataFrame, keys: Sequence[str] = ("doc_id", "page"), s
     gives a space unless one is there. An item that ends a line closes it. Blank items have no text but
     may close a line; items without a box are passed over, and close nothing.
 
-    A page is one sorted pass. One of more than `stretch` items is dealt over tasks where a line ends:
-    the last end of each stretch, one row per stretch, says where the next begins. Columns besides
-    these are dropped; items without a number have no place and go.
+    in_order: the items of a page already follow each other in one partition by item_no, as those do
+    that are exploded from one row; then nothing is dealt or sorted. Otherwise a page is one sorted
+    pass, and one of more than `stretch` items is dealt over tasks where a line ends: the last end of
+    each stretch, one row per stretch, says where the next begins. Columns besides these are dropped;
+    items without a number have no place and go.
     """
     keys, columns = list(keys), ["item_no", "text", "x0", "y0", "x1", "y1", "baseline", "height", "width"]
     numbers = [F.col(c).cast("double").alias(c) for c in columns[2:]]
     rows = items.select(*keys, F.col("item_no").cast("long").alias("item_no"), F.col("text").cast("string").alias("text"), *numbers, F.coalesce("has_eol", F.lit(False)).alias("has_eol"))
+    rows = rows.where("item_no is not null")
+
+    def put_together(dealt: DataFrame, by: list[str]) -> DataFrame:
+        schema = StructType([*dealt.select(*by).schema.fields, *_parse_datatype_string(LINE).fields])
+        return dealt.select(*by, *columns, "has_eol").mapInArrow(joined_items, schema)
+
+    line = ["line_no", "text", "first_item", "last_item", "n_items", "x0", "y0", "x1", "y1", "baseline"]
+    if in_order:
+        return put_together(rows, keys).select(*keys, *line)
+    far = rows.where(F.col("item_no") >= stretch)
+    large = durable(far.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct())
+    if large.isEmpty():
+        return put_together(rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "item_no"), keys).select(*keys, *line)
     box = reduce(and_, [F.col(c).isNotNull() for c in columns[2:]])
     ends = F.col("has_eol") & ((F.btrim(F.coalesce("text", F.lit("")), F.lit(T.SPACES)) == "") | box)
     part = F.floor(F.col("item_no") / stretch)
     near = rows.where(F.col("item_no") < stretch).withColumn("owner", F.lit(0).cast("long"))
     # beyond the first stretch: the stretch of the last end before an item
-    far = rows.where(F.col("item_no") >= stretch).withColumn("_part", part)
-    large = far.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    far = far.withColumn("_part", part)
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     closed = rows.where(ends).join(large, same, "left_semi").groupBy(*keys, part.alias("_part")).agg(F.min("item_no").alias("_first"))
     parts = far.select(*keys, "_part", F.lit(None).cast("long").alias("_first")).distinct().unionByName(closed).groupBy(*keys, "_part").agg(F.min("_first").alias("_first"))
@@ -207,10 +264,8 @@ def assemble_lines(items: DataFrame, keys: Sequence[str] = ("doc_id", "page"), s
     owner = F.when(F.col("item_no") > F.col("_first"), F.col("_part")).otherwise(F.coalesce("_before", F.lit(0).cast("long")))
     later = far.join(known, same & (F.col("_part") == F.col("_own"))).withColumn("owner", owner).select(*rows.columns, "owner")
     dealt = near.unionByName(later).repartition(F.xxhash64(*keys, "owner")).sortWithinPartitions(*keys, "owner", "item_no")
-    schema = StructType([*dealt.select(*keys).schema.fields, *_parse_datatype_string(LINE).fields])
-    found = dealt.select(*keys, "owner", *columns, "has_eol").mapInArrow(joined_items, schema)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_item")) - 1
-    return found.select(*keys, place.cast("long").alias("line_no"), "text", "first_item", "last_item", "n_items", "x0", "y0", "x1", "y1", "baseline")
+    return put_together(dealt, [*keys, "owner"]).withColumn("line_no", place.cast("long")).select(*keys, *line)
 
 
 def merge_rects(rects: DataFrame, keys: Sequence[str], top: float = 0.006, bottom: float = 0.01, gap: float = 0.012) -> DataFrame:

@@ -128,7 +128,7 @@ ITEMS = """words AS (
 SELECT doc_id, page, line_no, n AS n_items, text, x0, y0, x1, y1, baseline FROM lines JOIN walk USING (doc_id, page, line_no, i)""")
 def assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents as items of pages of sixty: overlaps, drifting baselines, gaps, items without a
-    box, blank items, ends of lines."""
+    box, blank items, ends of lines. A text's words are exploded in their order."""
     words = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", " ")).alias("w", "text"))
     w, k = F.col("w").cast("long"), F.col("doc_id")
     left = 9 * (w % 10) + (k + w * 13) % 7
@@ -137,7 +137,7 @@ def assemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.floor(w / 60).alias("page"), (w % 60).alias("item_no"), "text", F.when(w % 17 != 3, left / 100).alias("x0"), ((row + w % 3) / 1000).alias("y0"), ((left + F.length("text") % 9) / 100).alias("x1"), ((row + 12) / 1000).alias("y1"),
         ((row * 6 + (w * 3 + k) % 4) / 2).alias("baseline"), (8 + w % 5).alias("height"), (200 + 100 * (k % 3)).alias("width"), ((w % 23 == 11) | F.contains("text", F.lit("\n"))).alias("has_eol"),
     )
-    return layout.assemble_lines(items).select("doc_id", "page", "line_no", "n_items", "text", "x0", "y0", "x1", "y1", "baseline")
+    return layout.assemble_lines(items, in_order=True).select("doc_id", "page", "line_no", "n_items", "text", "x0", "y0", "x1", "y1", "baseline")
 
 
 @query(f"""WITH {OFFSETS} SELECT doc_id, line_no, "start", "end" FROM offsets""")

@@ -495,6 +495,46 @@ def test_gaps_are_measured_in_the_page_s_unit(spark):
 ITEM = "doc_id long, page long, item_no long, text string, x0 double, y0 double, x1 double, y1 double, baseline double, height double, has_eol boolean, width double"
 
 
+def test_items_in_order_are_not_dealt(spark):
+    """The operator read its items five times and sorted them; items that are in order are read once."""
+    rng = random.Random(5)
+    for size, long in ((1, 40), (7, 40), (500, 40), (64, 700)):
+        rows, expected = [], []
+        for page in range(30):
+            line = None
+            for no in range(rng.randrange(long)):
+                x0 = rng.choice([None, *[rng.randrange(60) / 100] * 9])
+                text, base, height, eol = rng.choice(["a", "b ", "\u00a0", "", None, "cd"]), float(rng.randrange(4)), 8.0, rng.random() < 0.1
+                rows.append((page % 3 or None, page, no, text, x0, 0.1 * (no % 3), (x0 or 0) + 0.05, 0.5, base, height, eol, 200.0))
+                blank = not (text or "").strip(text_spaces)
+                if blank:
+                    line = None if eol else line
+                    continue
+                if x0 is None:
+                    continue
+                if line is not None and abs(line[4] - base) < 0.25 * height and x0 >= line[2] - 0.005 and (x0 - line[3]) * 200 < 3 * height:
+                    space = (x0 - line[3]) * 200 > 0.15 * height and line[0][-1] not in text_spaces
+                    line[:4] = [line[0] + " " * space + text, line[1] + 1, min(line[2], x0), max(line[3], x0 + 0.05)]
+                else:
+                    line = [text, 1, x0, x0 + 0.05, base, page]
+                    expected.append(line)
+                line = None if eol else line
+        items = spark.createDataFrame(rows, ITEM).coalesce(1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = layout.assemble_lines(items, in_order=True)
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            got = [[r.text, r.n_items, r.x0, r.x1, r.baseline, r.page] for r in found.collect()]
+            assert got == expected
+            dealt = layout.assemble_lines(items.repartition(3)).orderBy("page", "line_no").collect()
+            assert [[r.text, r.n_items, r.x0, r.x1, r.baseline, r.page] for r in dealt] == expected
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+text_spaces = text.SPACES
+
+
 def assembled(spark, rows, **settings):
     found = layout.assemble_lines(spark.createDataFrame(rows, ITEM).repartition(3), **settings).collect()
     return [r.text for r in sorted(found, key=lambda r: (str(r.doc_id), r.page, r.line_no))]
