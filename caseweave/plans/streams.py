@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,36 +29,36 @@ def stream_seen_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(files.drop("choice").schema).parquet(target)
 
 
-def in_parts(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
-    """The events as a stream of so many triggers, in their order."""
+def in_parts(spark: SparkSession, sf_dir: str, parts: int = 3) -> list[DataFrame]:
+    """The events in their order, as so many parts that come one after the other."""
     events = table(spark, sf_dir, "events")
-    folder = scratch_folder(spark, "parts")
     edges = events.agg(F.percentile_approx("ts", [i / parts for i in range(1, parts)]).alias("e")).first().e
-    for i, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
-        part = events.where((F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high))
-        part.coalesce(1).write.parquet(f"{folder}/{i}")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return [events.where((F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high)) for low, high in zip([None, *edges], [*edges, None])]
 
 
-def collected(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream puts out over all its triggers, with the batch's number, as a table."""
-    spark = stream.sparkSession
-    target = scratch_folder(spark, name)
-    schema = stream.schema
+def collected(parts: list[DataFrame], operator: Callable[[DataFrame], DataFrame], name: str, mode: str) -> DataFrame:
+    """What a stream puts out over all its triggers, with the batch's number, as a table. Each part is
+    written by its tasks when the one before is read, and then read in a trigger of its own: the stream
+    is started again from its state."""
+    spark = parts[0].sparkSession
+    folder, target = scratch_folder(spark, "parts"), scratch_folder(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/{number:06d}")
 
-    running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", target + "-state").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.schema(schema.add("batch", "integer")).parquet(f"{target}/*")
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{folder}/{i}")
+        stream = operator(spark.readStream.schema(part.schema).parquet(f"{folder}/*"))
+        running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", target + "-state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    return spark.read.schema(stream.schema.add("batch", "integer")).parquet(f"{target}/*")
 
 
 @query("""SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type""")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and type, from a stream in three triggers that puts out what changes."""
-    rows = in_parts(spark, sf_dir).select("user_id", "event_type", "ts", "event_id", "value")
-    found = collected(state.latest(rows, "user_id", "event_type", ["ts", "event_id"], idle_ms=0), "latest", "update")
+    parts = [p.select("user_id", "event_type", "ts", "event_id", "value") for p in in_parts(spark, sf_dir)]
+    found = collected(parts, lambda rows: state.latest(rows, "user_id", "event_type", ["ts", "event_id"], idle_ms=0), "latest", "update")
     return stateful.latest(found, ["user_id", "event_type"], ["batch"]).select("user_id", "event_type", "event_id", "value")
 
 
@@ -67,10 +69,10 @@ SELECT event_id, user_id, run, coalesce(
 FROM e WINDOW w AS (PARTITION BY run, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts of three runs at users as origins, of which errors block, from a stream in three triggers."""
-    rows = in_parts(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", (F.col("event_id") % 3).alias("run"))
+    parts = [p.select("event_id", "user_id", "event_type", "ts", (F.col("event_id") % 3).alias("run")) for p in in_parts(spark, sf_dir)]
     message = F.concat(F.lit("blocked at "), F.col("event_id").cast("string"))
-    found = state.after_block(rows, "run", "user_id", ["ts", "event_id"], F.col("event_type") == "error", message, ttl_ms=0)
-    return collected(found, "breaker", "append").select("event_id", "user_id", "run", "outcome", "skipped")
+    found = collected(parts, lambda rows: state.after_block(rows, "run", "user_id", ["ts", "event_id"], F.col("event_type") == "error", message, ttl_ms=0), "breaker", "append")
+    return found.select("event_id", "user_id", "run", "outcome", "skipped")
 
 
 @query()

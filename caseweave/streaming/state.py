@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Keys of what was seen: a bucket's identities are read at once.
 BUCKETS = 256
+#: Calls of a trigger over which the keys of the latest rows and of the breaker are dealt.
+CALLS = 1024
 DAY_MS = 86_400_000
 
 
@@ -74,38 +76,37 @@ def unseen(files: DataFrame, ttl_ms: int = DAY_MS, buckets: int = BUCKETS) -> Da
     return rows.groupBy("bucket").transformWithStateInPandas(Unseen(ttl_ms), "name string, size long, mtime_us long", "append", time_mode(ttl_ms))
 
 
+def bucketed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """rows with _key, the names' values as one string, and the bucket of the first of them. A processor
+    is called once for each bucket and trigger, as a call costs far more than a row; the state knows
+    what a bucket holds by _key."""
+    key = F.to_json(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)]))
+    return rows.withColumns({"state_key": key, "state_bucket": F.pmod(F.xxhash64(names[0]), F.lit(CALLS))})
+
+
 class Latest(StatefulProcessor):
-    """The latest row of each item of a key, replaced by later ones; the key's items are forgotten by a
-    timer some time after its last row."""
+    """The latest row of each item of a bucket's keys, replaced by later ones, forgotten some time after
+    its last row."""
 
-    def __init__(self, item: str, order: Sequence[str], columns: Sequence[str], kind: str, item_kind: str, idle_ms: int):
-        self.item, self.order, self.columns, self.kind, self.item_kind, self.idle_ms = item, list(order), list(columns), kind, item_kind, idle_ms
+    def __init__(self, order: Sequence[str], columns: Sequence[str], kind: str, ttl_ms: int):
+        self.order, self.columns, self.kind, self.ttl_ms = list(order), list(columns), kind, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getMapState("held", f"item {self.item_kind}", self.kind)
+        self.held = handle.getMapState("held", "item string", self.kind, self.ttl_ms or None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         given = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        last = given.groupby(self.item, sort=False, dropna=False).tail(1)
-        at = [self.columns.index(c) for c in self.order]
+        last = given.drop_duplicates("state_key", keep="last")
         changed = []
-        for item, *row in last[[self.item, *self.columns]].itertuples(index=False):
-            row = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in row)
-            item = item.item() if hasattr(item, "item") else item
-            old = self.held.getValue((item,)) if self.held.containsKey((item,)) else None
-            if old is None or tuple(row[i] for i in at) >= tuple(old[i] for i in at):
-                self.held.updateValue((item,), row)
-                changed.append((*key, item, *row))
-        if self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(changed, columns=["_key", self.item, *self.columns])
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        return iter([])
+        for i, item, *at in last[["state_key", *self.order]].itertuples():
+            at = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in at)
+            old = self.held.getValue((item,))
+            if old is None or at >= tuple(old):
+                self.held.updateValue((item,), at)
+                changed.append(i)
+            elif self.ttl_ms:
+                self.held.updateValue((item,), tuple(old))
+        yield last.loc[changed, self.columns]
 
     def close(self) -> None:
         pass
@@ -116,36 +117,40 @@ def latest(rows: DataFrame, key: str, item: str, order: Sequence[str], idle_ms:
     progress replaces what wasn't sent yet; over all triggers it is stateful.latest of all rows, also
     where a trigger brings rows that are older than some before.
 
-    rows: without nulls in order. A key whose last row is idle_ms old is forgotten; with
-    0 none is."""
+    rows: without nulls in order. The state holds the order of each item's latest row. An item whose
+    last row is idle_ms old is forgotten; with 0 none is."""
     keep_state(rows.sparkSession)
-    columns = [c for c in rows.columns if c not in (key, item)]
+    columns = [key, item, *(c for c in rows.columns if c not in (key, item))]
     of = lambda names: ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    out = f"_key {rows.schema[key].dataType.simpleString()}, {of([item, *columns])}"
-    processor = Latest(item, order, columns, of(columns), rows.schema[item].dataType.simpleString(), idle_ms)
-    return rows.groupBy(key).transformWithStateInPandas(processor, out, "update", time_mode(idle_ms)).withColumnRenamed("_key", key)
+    processor = Latest(order, columns, of(order), idle_ms)
+    return bucketed(rows, [key, item]).groupBy("state_bucket").transformWithStateInPandas(processor, StructType([rows.schema[c] for c in columns]), "update", time_mode(idle_ms))
 
 
 class Breaker(StatefulProcessor):
-    """What first blocked an origin in a run; later attempts there get its message."""
+    """What first blocked the origins of a bucket in their runs; later attempts there get its message."""
 
     def __init__(self, order: Sequence[str], columns: Sequence[str], ttl_ms: int):
         self.order, self.columns, self.ttl_ms = list(order), list(columns), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.blocked = handle.getValueState("blocked", "message string", self.ttl_ms or None)
+        self.blocked = handle.getMapState("blocked", "origin string", "message string", self.ttl_ms or None)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        message = self.blocked.get()[0] if self.blocked.exists() else None
+        given = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        codes, origins = pd.factorize(given["state_key"])
+        known = {i: found[0] for i, o in enumerate(origins) if (found := self.blocked.getValue((o,))) is not None}
+        own = given["block_message"].where(given["block_message"].notna(), None)
+        blocks = own[own.notna()]
+        first = blocks.groupby(codes[blocks.index]).head(1)
+        own_first = dict(zip(codes[first.index].tolist(), first.items()))
+        for code, (_, message) in own_first.items():
+            if code not in known:
+                self.blocked.updateValue((origins[code],), (message,))
         outcomes, skipped = [], []
-        for own in given["block_message"]:
-            own = None if pd.isna(own) else own
-            outcomes.append(message or own or "ok")
-            skipped.append(message is not None)
-            if message is None and own is not None:
-                message = own
-                self.blocked.update((message,))
+        for at, code in enumerate(codes.tolist()):
+            where, message = (-1, known[code]) if code in known else own_first.get(code, (at + 1, "ok"))
+            outcomes.append(message if at >= where else "ok")
+            skipped.append(at > where)
         yield given[self.columns].assign(outcome=outcomes, skipped=skipped)
 
     def close(self) -> None:
@@ -159,6 +164,6 @@ def after_block(attempts: DataFrame, run: str, origin: str, order: Sequence[str]
     Attempts of a trigger come in their order, after all of earlier triggers. What is known of a run
     and origin is forgotten ttl_ms after its block; with 0 it isn't."""
     keep_state(attempts.sparkSession)
-    marked = attempts.withColumn("block_message", F.when(blocked, message))
+    marked = bucketed(attempts.withColumn("block_message", F.when(blocked, message)), [origin, run])
     out = StructType([*attempts.schema.fields]).add("outcome", "string").add("skipped", "boolean")
-    return marked.groupBy(run, origin).transformWithStateInPandas(Breaker(order, attempts.columns, ttl_ms), out, "append", time_mode(ttl_ms))
+    return marked.groupBy("state_bucket").transformWithStateInPandas(Breaker(order, attempts.columns, ttl_ms), out, "append", time_mode(ttl_ms))

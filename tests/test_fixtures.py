@@ -445,6 +445,28 @@ def test_streams_like_batches_at_every_trigger(spark, tmp_path):
         running.stop()
 
 
+def test_many_keys_of_a_stream_are_few_calls(spark, tmp_path):
+    """Each key was a call of its own, some milliseconds each: minutes for these."""
+    n = 40_000
+    rows = spark.range(n).select((F.col("id") % 20_000).alias("user"), (F.col("id") % 3).alias("item"), "id")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    message = F.when(F.col("id") == 0, "").otherwise("x")
+    for name, df, mode in (
+        ("breaker", state.after_block(stream, "item", "user", ["id"], F.col("id") < 20_000, message, ttl_ms=0), "append"),
+        ("latest", state.latest(stream, "user", "item", ["id"], idle_ms=0), "update"),
+    ):
+        began, got = time.monotonic(), []
+        running = df.writeStream.foreachBatch(lambda batch, i, got=got: got.extend(batch.collect())).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert running.awaitTermination(240)
+        assert time.monotonic() - began < 60
+        if name == "latest":
+            assert len(got) == len({(r.user, r["item"]) for r in got}) and max(r.id for r in got) == n - 1
+        else:
+            marked = resolve.after_block(rows.withColumn("origin", F.struct("item", "user")), "origin", ["id"], F.col("id") < 20_000, message)
+            assert sorted((r.id, r.outcome, r.skipped) for r in got) == sorted((r.id, r.outcome, r.skipped) for r in marked.collect())
+
+
 def test_stream_sessions(spark, tmp_path):
     import datetime as d
 
