@@ -23,20 +23,31 @@ SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u200
 STABLE = "\\x00-\\x7f\u00a1-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u2013\u2014\u2018-\u201e\u2022"
 
 
+#: What parts the pieces that nfkc hands to Python; no form of another character holds it.
+PARTED = "\x1f"
+
+
 def nfkc(text: Column) -> Column:
     """NFKC, runs of white space (SPACES) as one space, none at the ends; null stays null.
 
-    Texts of STABLE characters are in NFKC already and stay in the JVM; Python is handed the others and
-    a null for each of these.
+    Texts of STABLE characters are in NFKC already and stay in the JVM. Of the others Python is handed
+    the pieces of other characters only, each with the one before it, with which it may be composed: no
+    STABLE character is composed with one before it. So what Python holds of a batch doesn't grow with
+    the stable part of its texts. A text that holds PARTED itself is one piece.
     """
 
     @F.pandas_udf("string")
     def compatible(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    stable = text.rlike(f"^[{STABLE}]*$")
-    composed = F.when(stable, text).otherwise(compatible(F.when(~stable, text)))
-    return F.trim(F.regexp_replace(composed, f"[{SPACES}]+", " "))
+    run = f"[{STABLE}]+(?=[{STABLE}])"  # all but the last of a run of stable characters
+    whole = text.contains(PARTED)
+    pieces = F.when(text.rlike(f"[^{STABLE}]"), F.when(whole, text).otherwise(F.regexp_replace(text, run, PARTED)))
+    composed = compatible(pieces)
+    runs = F.concat(F.regexp_extract_all(text, F.lit(run), F.lit(0)), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(composed, PARTED, -1), runs, lambda a, b: F.concat(a, b)), "")
+    found = F.when(composed.isNull(), text).when(whole, composed).otherwise(joined)
+    return F.trim(F.regexp_replace(found, f"[{SPACES}]+", " "))
 
 
 def utf16_length(text: Column) -> Column:

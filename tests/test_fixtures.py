@@ -445,6 +445,22 @@ def test_streams_like_batches_at_every_trigger(spark, tmp_path):
         running.stop()
 
 
+def test_nfkc_by_pieces(spark, monkeypatch):
+    """Python was handed whole texts; now their pieces of characters that have other forms."""
+    import unicodedata
+
+    rng = random.Random(9)
+    chars = [*"aeo< K1\x1f\n", "\u0301", "\u0327", "\u0338", "\ufb01", "\uff21", "\u2460", "\u3131", "\u1100", "\u1161", "\u11a8", "\u212b", "\u3000", "\ufdfa", "\U0001f600", "\U0001d400", "\u05d0", "\u00e9", "\u30ab", "\u3099", "\u0344", "\u00a8", "\u1e9b"]
+    texts = ["".join(rng.choices(chars, k=rng.randrange(12))) for _ in range(3000)] + ["", "\x1f\u0301\x1f", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", text.nfkc(F.col("t")).alias("n")).collect()
+    import re
+
+    plain = lambda t: None if t is None else re.sub(f"[{text.SPACES}]+", " ", unicodedata.normalize("NFKC", t)).strip(" ")
+    assert [(texts[r.i], r.n) for r in found] == [(texts[r.i], plain(texts[r.i])) for r in found]
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda f: lambda c: F.concat(c, F.length(c).cast("string")))
+    assert one(spark, text.nfkc(F.col("t")), t="x" * 5000 + "\ufb01") == "x" * 5000 + "\ufb013"  # three characters, with what parts them
+
+
 def test_many_keys_of_a_stream_are_few_calls(spark, tmp_path):
     """Each key was a call of its own, some milliseconds each: minutes for these."""
     n = 40_000
