@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import layout, matching, resolve, structure
 from ..sources import sinks
-from ..sources.scratch import durable
 from ..sources.tables import table
 from .registry import Registry
 
@@ -71,8 +70,7 @@ running AS (
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a page of its source's report, with a header and a footer, which some pages
-    write with no-break or wide spaces, a byte order mark, or full-width letters and digits. The lines
-    are written once, with their keys, as headers and pages are read from them."""
+    write with no-break or wide spaces, a byte order mark, or full-width letters and digits."""
     k = F.col("doc_id")
     report = F.when(k % 5 == 1, "Report\u00a0of ").when(k % 5 == 2, "\ufeffReport of\u3000").otherwise("Report of ")
     head = F.concat(report, "source")
@@ -81,7 +79,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat_ws("\n", head, opening, F.concat(F.when(k % 4 == 0, "").otherwise("[1] "), "text"), head, closing)
     pages = table(spark, sf_dir, "documents").where("source is not null and text is not null").select("source", "doc_id", F.split(text, "\n").alias("l"))
     lines = pages.select("source", "doc_id", F.size("l").alias("n"), F.posexplode("l").alias("line_no", "line"))
-    return durable(layout.keyed(lines.withColumns({"top": F.col("line_no") / F.col("n"), "bottom": (F.col("line_no") + 1) / F.col("n")}).drop("n")))
+    return layout.keyed(lines.withColumns({"top": F.col("line_no") / F.col("n"), "bottom": (F.col("line_no") + 1) / F.col("n")}).drop("n"))
 
 
 @query(f"WITH {PAGES} SELECT source, key FROM running")

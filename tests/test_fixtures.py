@@ -445,6 +445,15 @@ def test_streams_like_batches_at_every_trigger(spark, tmp_path):
         running.stop()
 
 
+def test_only_lines_of_the_bands_need_a_key(spark):
+    rows = [(1, page, i, f"[{i}] x" if i == 1 else "Head" if i == 0 else "words", i / 20, (i + 1) / 20) for page in range(3) for i in range(20)]
+    lines = layout.keyed(spark.createDataFrame(rows, "doc long, page long, line_no long, line string, top double, bottom double"))
+    band = (F.col("top") < layout.TOP) | (F.col("bottom") > layout.BOTTOM)
+    lines = lines.withColumn("key", F.when(band, F.col("key")).otherwise(F.raise_error(F.lit("not in a band"))))
+    kept = layout.strip_running(lines, layout.running_headers(lines, "doc", "page"), "doc", "page")
+    assert sorted((r.page, r.line_no) for r in kept.collect()) == [(p, i) for p in range(3) for i in range(1, 20)]
+
+
 def test_nfkc_by_pieces(spark, monkeypatch):
     """Python was handed whole texts; now their pieces of characters that have other forms."""
     import unicodedata
