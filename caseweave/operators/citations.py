@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
 from ..functions import text as T
 
@@ -87,11 +89,12 @@ def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     one are left out on the JVM side; the others are read by Arrow batches, and what is found is exploded
     on the JVM side. A text that is null or cites nothing has no row.
     """
+    found = to_arrow_type(ArrayType.fromDDL(OCCURRENCES))
 
-    @F.pandas_udf(OCCURRENCES)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(OCCURRENCES)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield batch.map(citations_in)
+            yield pa.array([citations_in(text) for text in batch.to_pylist()], found)
 
     return docs.where(F.col(text).rlike(CITING)).select(key, F.posexplode(run(F.col(text))).alias("seq", "c")).select(key, "seq", "c.*" if key != "key" else "c")
 
@@ -163,10 +166,10 @@ COURTS = {"SCC": "ca/scc", "FCA": "ca/fca", "FC": "ca/fct", "ONCA": "on/onca", "
 
 def case_address(key: Column, language: str = "en", courts: Mapping[str, str] = COURTS) -> Column:
     """The page of a case by its neutral citation, null for other keys and for courts that aren't known."""
-    part = lambda i: F.regexp_extract(key, "^(\\d{4}) ([A-Z]+) (\\d+)$", i)
-    slug = F.concat(part(1), F.lower(part(2)), part(3))
-    place = F.element_at(F.create_map(*[F.lit(x) for pair in courts.items() for x in pair]), part(2))
-    return F.when(part(1) != "", F.concat(F.lit(f"https://www.canlii.org/{language}/"), place, F.lit("/doc/"), part(1), F.lit("/"), slug, F.lit("/"), slug, F.lit(".html")))
+    form = "^(\\d{4}) ([A-Z]+) (\\d+)$"
+    slug = F.lower(F.regexp_replace(key, form + "\\R?", "$1$2$3"))
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in courts.items() for x in pair]), F.split_part(key, F.lit(" "), F.lit(2)))
+    return F.when(key.rlike(form), F.concat(F.lit(f"https://www.canlii.org/{language}/"), place, F.lit("/doc/"), F.substring(key, 1, 4), F.lit("/"), slug, F.lit("/"), slug, F.lit(".html")))
 
 
 def statute_address(key: Column, language: str = "en") -> Column:

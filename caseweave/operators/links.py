@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import first_filled
-from ..sources.scratch import durable
+from ..sources.scratch import durable, stored
 from .citations import address, anchor
 from .folds import TARGET, Disjoint, sorted_pass
 
@@ -124,7 +124,7 @@ def planned(units: DataFrame, found: DataFrame, sources: DataFrame | None = None
         rows = rows.join(sources.select("key", "link"), "key", "left")
     else:
         rows = rows.withColumn("link", F.lit(None).cast("string"))
-    rows = rows.withColumn("page", first_filled(F.col("link"), address(F.col("key")))).where("page is not null")
+    rows = rows.withColumn("page", first_filled(F.col("link"), address(F.col("key"))))
     whole = F.struct(F.col("start").alias("start"), F.col("end").alias("end"), F.col("page").alias("url"))
     def one(p):
         ends = [p["first"], p["last"]] if not whole_pinpoint else [p["first"]]
@@ -134,8 +134,15 @@ def planned(units: DataFrame, found: DataFrame, sources: DataFrame | None = None
         last = F.struct((p["end"] - F.length(p["last"])).alias("start"), p["end"].alias("end"), F.concat(F.col("page"), anchor(p["kind"], p["last"])).alias("url"))
         return F.when(p["last"].isNull(), F.array(first)).otherwise(F.array(first, last))
 
-    spans = F.concat(F.array(whole), F.flatten(F.transform("pinpoints", one)))
+    # a citation without a page has no links; as a filter this would compute the page again
+    spans = F.when(F.col("page").isNotNull(), F.concat(F.array(whole), F.flatten(F.transform("pinpoints", one))))
     flat = rows.select("unit_id", "unit_text", "seq", F.posexplode(spans).alias("n", "s")).select("unit_id", "unit_text", F.struct("seq", "n").alias("place"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.url")
-    kept = without_overlaps(flat, "unit_id", "place")
-    out = kept.join(flat, ["unit_id", "place", "start", "end"])
-    return out.select("unit_id", "place.seq", "place.n", "start", "end", F.expr("substring(unit_text, int(start) + 1, int(`end` - start))").alias("expected"), "url")
+    near = Window.partitionBy("unit_id").orderBy("start", "end")
+    reached = F.max("end").over(near.rowsBetween(Window.unboundedPreceding, -1))
+    alone = F.coalesce(F.col("start") >= reached, F.lit(True)) & F.coalesce(F.lead("start").over(near) >= F.col("end"), F.lit(True)) & (F.col("start") <= F.col("end"))
+    expected = F.expr("substring(unit_text, int(start) + 1, int(`end` - start))")
+    flat = stored(flat.select("unit_id", "place", "start", "end", expected.alias("expected"), "url", alone.alias("_alone")), "planned")
+    met = flat.where("not _alone").drop("_alone")
+    kept = without_overlaps(met, "unit_id", "place").join(met, ["unit_id", "place", "start", "end"])
+    out = flat.where("_alone").drop("_alone").unionByName(kept)
+    return out.select("unit_id", "place.seq", "place.n", "start", "end", "expected", "url")

@@ -49,3 +49,10 @@ def durable(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for wide rows that are read more than once."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -96,6 +96,25 @@ def test_many_links_of_one_citation(spark):
     assert len(found) == len({(r.seq, r.n) for r in found}) == 1204 + 3 and sum(r.seq == 1 for r in found) == 2
 
 
+def test_planned_links_read_each_text_once(spark):
+    """Once for the citations and once for the words at their places, also where links overlap."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, "footnote", f"2018 SCC {i} at paras {i}-{i + 2}") for i in range(1, 51)] + [(0, "footnote", "2018 SCC 31, 2018 XXX 5")]
+    units = spark.createDataFrame(rows, "unit_id long, kind string, text string").mapInArrow(counted, "unit_id long, kind string, text string")
+    found = citations.extract(units, "unit_id")
+    again = found.where("unit_id = 1").withColumn("seq", F.lit(7)).withColumn("start", F.col("start") + 2)
+    got = links.planned(units, found.unionByName(again)).collect()
+    assert read.value <= 3 * len(rows)
+    assert len(got) == 50 * 3 + 1 and {(r.seq, r.n) for r in got if r.unit_id == 1} == {(0, 0), (0, 1), (0, 2)}
+    assert [r.url for r in got if r.unit_id == 0] == [DECISION]  # a court without an address has no link
+
+
 def test_leaders_like_one_fold(spark):
     at = [0, 10, 59, 60, 61, 119, 121, 300, 300, 359, 361, 500]
     rows = [("k", i, t) for i, t in enumerate(at)] + [("l", 50, 5), ("k", 60, None)]
