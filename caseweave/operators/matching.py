@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 from collections.abc import Callable
 from functools import reduce
+from heapq import heapify, heappop, heapreplace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -89,7 +91,9 @@ def greedy_assignment(files: DataFrame, records: DataFrame, group: str, matches:
     matches None: names must be equal. The n-th file of a name then takes its n-th record, which two
     windows over group and name find. Another match says of two names whether they do, and must hold
     only for names that have one of the keys of `shares` in common. What a file takes then depends on
-    all before it: assigned_in_stretches decides `target` files of a group at a time.
+    all before it: a group is one sorted pass (assigned_in_turn), in which records wait by their own name
+    and aren't repeated for each name of a file. Where a group has over 50 times `target` records and
+    pairs of names, assigned_in_stretches decides `target` files of it at a time.
     """
 
     if matches is None:
@@ -101,13 +105,67 @@ def greedy_assignment(files: DataFrame, records: DataFrame, group: str, matches:
     f = placed(files.select(group, "file_id", "name", "mtime"), F.desc_nulls_last("mtime"), "file_id")
     r = placed(records.select(group, "record_id", "seq", F.col("name").alias("wanted")), F.asc_nulls_first("seq"), "record_id")
     names = durable(matching_names(f, r.withColumnRenamed("wanted", "name"), group, matches, shares))
-    offered = names.join(r.select(group, "wanted", F.col("_at").alias("_record")), [group, "wanted"]).select(F.col(group).alias("_group"), F.col("name").alias("_name"), "_record")
+    named = names.select(F.col(group).alias("_group"), F.col("name").alias("_name"), F.col("wanted").alias("_wanted"))
     askers = f.select(F.col(group).alias("_group"), F.col("name").alias("_name"), F.col("_at").alias("_file"))
-    taken = assigned_in_stretches(askers, offered, target)
+    waiting = r.select(F.col(group).alias("_group"), F.col("wanted").alias("_wanted"), F.col("_at").alias("_record"))
+    askers = askers.join(named.select("_group", "_name").distinct(), ["_group", "_name"], "left_semi")
+    waiting = waiting.join(named.select("_group", "_wanted").distinct(), ["_group", "_wanted"], "left_semi")
+    held = waiting.select("_group").unionByName(named.select("_group")).groupBy("_group").count()
+    large = durable(held.where(F.col("count") > 50 * target).select("_group"))
+    if not large.limit(1).count():
+        taken = assigned_in_turn(askers, waiting, named)
+    else:
+        within, without = ([x.join(large, "_group", how) for x in (askers, waiting, named)] for how in ("left_semi", "left_anti"))
+        offered = within[2].join(within[1], ["_group", "_wanted"]).select("_group", "_name", "_record")
+        in_stretches = assigned_in_stretches(within[0], offered, target).select("_file", "_record")
+        taken = assigned_in_turn(*without).unionByName(in_stretches)
     ids = taken.join(f.select(group, "file_id", F.col("_at").alias("_file")), "_file").join(r.select("record_id", F.col("_at").alias("_record")), "_record")
     return ids.select(group, "file_id", "record_id")
 
 
+def assigned_in_turn(askers: DataFrame, waiting: DataFrame, named: DataFrame) -> DataFrame:
+    """(_file, _record): the same as assigned_in_stretches, each group in one sorted pass.
+
+    askers: _group, _name, _file; waiting: _group, _wanted, _record; named: the pairs _name and _wanted
+    of a group that match. Records of one name go in their order, so a name's place in them is all that
+    is known of those that are gone. A file's name keeps a heap of the next record of each name it
+    matches; as places only move on, its top is right once it is that name's next one.
+    """
+
+    def take(state: dict, row: tuple) -> list[tuple]:
+        _, file, record, name, wanted = row
+        if file is None and record is None:
+            state["pairs"].setdefault(name, []).append(wanted)
+            return []
+        left, at = state["left"], state["at"]
+        if file is None:
+            left.setdefault(wanted, array("q")).append(record)
+            at[wanted] = 0
+            return []
+        if name in state["pairs"]:
+            state["heaps"][name] = heap = [(left[w][at[w]], w) for w in state["pairs"].pop(name) if at[w] < len(left[w])]
+            heapify(heap)
+        heap = state["heaps"][name]
+        while heap:
+            record, wanted = heap[0]
+            place = at[wanted]
+            if place == len(left[wanted]):
+                heappop(heap)
+            elif left[wanted][place] != record:
+                heapreplace(heap, (left[wanted][place], wanted))
+            else:
+                at[wanted] = place + 1
+                return [(file, record)]
+        return []
+
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = named.select("_group", none("long").alias("_file"), none("long").alias("_record"), "_name", "_wanted")
+    rows = rows.unionByName(waiting.select("_group", none("long").alias("_file"), "_record", none("string").alias("_name"), "_wanted"))
+    rows = rows.unionByName(askers.select("_group", "_file", none("long").alias("_record"), "_name", none("string").alias("_wanted")))
+    out = StructType([rows.schema["_group"], StructField("_file", LongType()), StructField("_record", LongType())])
+    return sorted_pass(rows, ["_group"], ["_file", "_record"], out, lambda: {"pairs": {}, "left": {}, "at": {}, "heaps": {}}, take).select("_file", "_record")
+
+
 def assigned_in_stretches(askers: DataFrame, offered: DataFrame, target: int = TARGET) -> DataFrame:
     """(_group, _name, _file, _record): from the smallest _file of a group on, each takes the smallest
     _record offered to its name that is left.

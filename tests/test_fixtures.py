@@ -285,6 +285,24 @@ def test_greedy_assignment_in_stretches(spark, seed, groups, words, target):
     assert not matching.greedy_assignment(f.where("false"), r, "g", share).collect()
 
 
+@pytest.mark.parametrize("target", [1, 20])
+def test_greedy_assignment_in_one_pass(spark, monkeypatch, target):
+    """A large group goes in stretches, the others in one pass each, in which no group waits for a round."""
+    rng = random.Random(3)
+    name = lambda: " ".join(rng.choice("abcde") for _ in range(2))
+    group = lambda: rng.choice(["g0", "g1", "g1", "g1"])
+    files = [(group(), i, name(), rng.randrange(9)) for i in range(90)] + [("g2", 90, "a b", 1), ("g2", 91, "b", 2)]
+    records = [(group(), i, rng.randrange(9), name()) for i in range(60)] + [("g2", 60, 1, "b c"), ("g2", 61, 0, "c")]
+    share = lambda a, b: bool(set(a.split()) & set(b.split()))
+    f = spark.createDataFrame(files, "g string, file_id long, name string, mtime long")
+    r = spark.createDataFrame(records, "g string, record_id long, seq long, name string")
+    run, rounds = matching.assigned_in_stretches, []
+    monkeypatch.setattr(matching, "assigned_in_stretches", lambda a, o, t: rounds.append(a.select("_group").distinct().count()) or run(a, o, 15))
+    found = sorted(tuple(x) for x in matching.greedy_assignment(f, r, "g", share, target=target).collect())
+    assert found == in_turn(files, records, share)
+    assert rounds == ([] if target == 20 else [2])
+
+
 def test_greedy_assignment_of_one_hot_name(spark):
     """A name that most files have, and one that contends for its records."""
     f = spark.range(9_000).select(F.lit("g").alias("g"), F.col("id").alias("file_id"), F.when(F.col("id") % 3 == 0, "a b").otherwise("a").alias("name"), (-F.col("id")).alias("mtime"))
